@@ -15,6 +15,9 @@ ARROW_BATCH_BYTES = 16 << 20
 #: A key is heavy if it holds more than one part in so many of all rows; so there are at most so many heavy keys.
 HEAVY_PARTS = 1000
 
+#: Delta encodings and zstd: tables between stages take about a third less disk.
+PACKED = {"compression": "zstd", "parquet.writer.version": "v2"}
+
 _CONT = bytes(range(0x80, 0xC0))
 _LEAD = bytes(range(0x80)) + b"\x80" * 128
 _own_dirs: dict[str, str] = {}
@@ -46,7 +49,7 @@ def fresh_dir(spark: SparkSession, tag: str) -> str:
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Writes the rows to the shared folder and reads them again: later stages survive lost executors without recomputing."""
     path = fresh_dir(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.options(**PACKED).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

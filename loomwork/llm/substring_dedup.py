@@ -1,8 +1,8 @@
 """Substring dedup by a log-structured fingerprint index.
 
-Windows are 13 words in a row. Each window has a fingerprint: the smallest hash of the five-word runs inside it
+Windows are 13 words in a row. Each window has a fingerprint: the smallest hash of the seven-word runs inside it
 (winnowing), so equal windows have equal fingerprints and a document needs only the fingerprints that change
-from window to window, about a fifth as many as words. The index keeps them in immutable runs, bucketed and
+from window to window, about a quarter as many as words. The index keeps them in immutable runs, bucketed and
 sorted by fingerprint. A batch of documents becomes a new run, is merge-joined bucket by bucket with the runs of
 history without shuffling these, and is committed by a manifest; several runs are compacted into one. Only
 documents that share a fingerprint with another one go on to verification: their windows with a shared
@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach_by_key, cut, fresh_dir, table, text_col, tune, words_col
+from .common import PACKED, attach_by_key, cut, fresh_dir, table, text_col, tune, words_col
 from .token_counts import _Files
 
 WINDOW = 13
-GRAM = 5
+GRAM = 7
 BATCHES = 2
 MAX_RUNS = 4
 #: Bits of the broadcast filter of document ids, 1 MB whatever the input; it only spares work.
@@ -51,7 +51,7 @@ def _rolled(h: np.ndarray, n: int, factor: np.uint64) -> np.ndarray:
 
 
 def fingerprints(h: np.ndarray) -> np.ndarray:
-    """Of each window of a document's word hashes (uint64; at least 13): the smallest five-word hash in it."""
+    """Of each window of a document's word hashes (uint64; at least 13): the smallest seven-word hash in it."""
     grams, width = _rolled(h, GRAM, _M3), WINDOW - GRAM + 1
     low, have = grams, 1
     while have < width:  # minima over doubling spans
@@ -109,7 +109,7 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"
         dealt = rows.repartition(self.buckets, "fp")
-        dealt.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.root}/{name}").saveAsTable(name)
+        dealt.write.options(**PACKED).bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.root}/{name}").saveAsTable(name)
         return name
 
     def run(self, name: str) -> DataFrame:
@@ -189,10 +189,10 @@ def verified(docs: DataFrame, hits: DataFrame) -> DataFrame:
 
     hashed = texts.select("doc_id", _hashes(words_col(F.col("text"))).alias("h"), "fps")
     found = cut(hashed.mapInArrow(run, "doc_id long, start int, a long, b int"), "substring-windows")
-    owners = found.groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("owner < last").drop("last")
+    owners = found.groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     later = attach_by_key(found, cut(owners, "substring-owners"), ["a", "b"], "n").filter("owner < doc_id")
-    starts = later.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-    return texts.select("doc_id", "text").join(starts, "doc_id")
+    starts = cut(later.groupBy("doc_id").agg(F.collect_set("start").alias("starts")), "substring-starts")
+    return _near(texts.select("doc_id", "text"), starts).join(starts, "doc_id")
 
 
 def _kept(words: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def dedup_substrings(docs: DataFrame, index: FingerprintIndex | None = None, bat
     rest = facts.select("doc_id", "n_words", "whole", "copy")
     if hits is not None:
         copies = facts.groupBy("doc_id").agg(F.min("copy").alias("copy")).filter("copy").select("doc_id")
-        left = cut(hits.join(copies, "doc_id", "left_anti").distinct(), "substring-hits")
+        left = cut(hits.join(copies, "doc_id", "left_anti"), "substring-hits")
         shared = left.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("fp")
         part = cut(_kept(verified(plain, left.join(shared, "fp", "left_semi"))).select("doc_id", "whole", "n_removed", F.sha2("kept", 256).alias("kept_sha256")).distinct(), "substring-kept")
         rest = rest.join(part, ["doc_id", "whole"], "left")
