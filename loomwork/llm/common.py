@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[ \x09-\x0D]+"
 #: Bytes of text handed to Python at a time, so that very long texts cannot fill a worker's memory.
 ARROW_BATCH_BYTES = 16 << 20
-#: A key is heavy if it holds more than one part in so many of all rows; so there are at most so many heavy keys.
-HEAVY_PARTS = 1000
+#: A key is heavy if it holds more than one part in so many of all rows, so there are at most so many; skewed-join splitting does for keys below.
+HEAVY_PARTS = 64
 
 #: Delta encodings and zstd: tables between stages take about a third less disk.
 PACKED = {"compression": "zstd", "parquet.writer.version": "v2"}
