@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_col, tune
+from .common import table, text_col, tune
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -192,10 +192,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a leak, in all columns of `docs`."""
-    leaky = cut(contaminated(docs, benchmark).select(F.col("doc_id").alias("_leaky")).distinct(), "leaky")
-    return docs.join(leaky, docs["doc_id"] == leaky["_leaky"], "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """The documents without a leak, in all columns of `docs`: decided row by row, so nothing is shuffled."""
+    tune(docs.sparkSession)
+    for part in _rounds(benchmark, item_id, "text"):
+        sent = docs.sparkSession.sparkContext.broadcast(ItemIndex(part))
+
+        def judge(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+                leaky = {lo + g[0] for lo in range(0, len(texts), 256) for g in sent.value.leaks(texts[lo : lo + 256], threshold)}
+                yield b.filter(pa.array([i not in leaky for i in range(len(texts))], pa.bool_()))
+
+        docs = docs.mapInArrow(judge, docs.schema)
+    return docs
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """All columns of `docs`, `text` without the removed lines, and `_n_removed`. A text that loses all its lines becomes empty."""
     gone = cut(removed(docs), "line-gone").select(F.col("doc_id").alias("_d"), F.col("copy").alias("_c"), "gone")
     key = (docs["doc_id"].cast("long") == gone["_d"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == gone["_c"])
-    rows = docs.join(gone, key, "left")
+    rows = docs.join(gone.hint("merge"), key, "left")  # the same plan at every size
     n = F.coalesce(F.size("gone"), F.lit(0))
     has_word = lambda x: F.trim(F.translate(x, _GAPS, "      ")) != ""
     all_lines = F.split(text_col(), "\n")
