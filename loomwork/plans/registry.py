@@ -1,5 +1,8 @@
 """The library's queries by name and their SQL."""
 
+from .oracles import ORACLE_SQL
+from .queries import Q
+
 FLAGSHIP = "reason_counts"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+QUERIES = dict(Q)
+ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if k in QUERIES}
