@@ -47,21 +47,21 @@ def removed(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All columns of `docs`, `text` without the removed lines, and `_n_removed`. A text that loses all its lines becomes empty."""
-    gone = cut(removed(docs), "line-gone").select(F.col("doc_id").alias("_d"), F.col("copy").alias("_c"), "gone")
-    key = (docs["doc_id"].cast("long") == gone["_d"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == gone["_c"])
+    gone = cut(removed(docs), "line-gone").select(F.col("doc_id").alias("__ld_d"), F.col("copy").alias("__ld_c"), F.col("gone").alias("__ld_gone"))
+    key = (docs["doc_id"].cast("long") == gone["__ld_d"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == gone["__ld_c"])
     rows = docs.join(gone.hint("merge"), key, "left")  # the same plan at every size
-    n = F.coalesce(F.size("gone"), F.lit(0))
+    n = F.coalesce(F.size("__ld_gone"), F.lit(0))
     has_word = lambda x: F.trim(F.translate(x, _GAPS, "      ")) != ""
-    all_lines = F.split(text_col(), "\n")
+    all_lines = F.split(F.coalesce(docs["text"].cast("string"), F.lit("")), "\n")
     # a line's number among those with a word: running count kept while folding over the lines
     numbered = F.transform(F.filter(F.transform(all_lines, lambda x, i: F.struct(i.alias("i"), has_word(x).alias("w"))), lambda s: s["w"]), lambda s: s["i"])
-    rows = rows.withColumn("_all", F.when(F.col("gone").isNotNull(), all_lines)).withColumn("_num", F.when(F.col("gone").isNotNull(), numbered))
-    out = F.expr("transform(gone, p -> get(_num, p))")
-    rows = rows.withColumn("_out", out)
-    left = F.expr("array_join(transform(array_except(sequence(0, size(_all) - 1), _out), i -> get(_all, i)), '\n')")
-    kept = F.when(F.size("gone") >= F.size("_num"), F.lit("")).otherwise(left)
+    rows = rows.withColumn("__ld_all", F.when(F.col("__ld_gone").isNotNull(), all_lines)).withColumn("__ld_num", F.when(F.col("__ld_gone").isNotNull(), numbered))
+    out = F.expr("transform(__ld_gone, p -> get(__ld_num, p))")
+    rows = rows.withColumn("__ld_out", out)
+    left = F.expr("array_join(transform(array_except(sequence(0, size(__ld_all) - 1), __ld_out), i -> get(__ld_all, i)), '\n')")
+    kept = F.when(F.size("__ld_gone") >= F.size("__ld_num"), F.lit("")).otherwise(left)
     own = [c for c in docs.columns if c != "text"]
-    return rows.select(*[docs[c] for c in own], F.when(F.col("gone").isNull(), docs["text"]).otherwise(kept).alias("text"), n.cast("long").alias("_n_removed"))
+    return rows.select(*[docs[c] for c in own], F.when(F.col("__ld_gone").isNull(), docs["text"]).otherwise(kept).alias("text"), n.cast("long").alias("_n_removed"))
 
 
 def stage(docs: DataFrame) -> DataFrame:

@@ -150,8 +150,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket_limit: int = B
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents without all but one of each near-duplicate group: the smallest doc_id stays, in all columns of `docs`."""
-    gone = near_duplicates(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")  # the same plan at every size
+    gone = near_duplicates(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("__sh_gone")).distinct()
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["__sh_gone"], "left_anti")  # the same plan at every size
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
