@@ -16,6 +16,8 @@ from . import constants as C
 #: White space as Python's str.split sees it.
 SPACE = r"[\s\x0B\x1c-\x1f\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 
+SCRIPT = r"[\u0600-\u06FF]"
+
 
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -42,23 +44,34 @@ def grams(w: Column, n: int) -> Column:
     return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(F.expr("cast(array() as array<string>)"))
 
 
+def gram_hashes(w: Column, n: int) -> Column:
+    """64-bit hashes of the n-grams of an array of words; within one text they stand for the n-grams. Empty below n words."""
+    each = lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])
+    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), each)).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+
 def repetition(w: Column, n: int = 3, min_words: int = 12) -> Column:
     """Share of n-grams that repeat an earlier one; 0 below `min_words`."""
-    g = grams(w, n)
-    return F.when(F.size(w) < min_words, 0.0).otherwise((F.size(g) - F.size(F.array_distinct(g))) / F.size(g))
+    total = F.size(w) - (n - 1)
+    return F.when(F.size(w) < min_words, 0.0).otherwise((total - F.size(F.array_distinct(gram_hashes(w, n)))) / total)
 
 
 def max_gram_repeat(w: Column, n: int = 12) -> Column:
     """How often the most frequent n-gram occurs; 1 below n words. Sorted hashes bring equal n-grams side by side."""
-    h = F.sort_array(F.transform(grams(w, n), lambda g: F.xxhash64(g)))
-    step = lambda acc, x: F.struct(x.alias("last"), F.when(acc["last"] == x, acc["run"] + 1).otherwise(1).alias("run"), F.greatest(acc["best"], F.when(acc["last"] == x, acc["run"] + 1).otherwise(1)).alias("best"))
-    return F.when(F.size(w) < n, 1).otherwise(F.aggregate(h, F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(1).alias("best")), step, lambda acc: acc["best"]))
+    h = F.sort_array(gram_hashes(w, n))
+    run = lambda acc, x: F.when(acc["last"] == x, acc["run"] + 1).otherwise(1)
+    step = lambda acc, x: F.struct(x.alias("last"), run(acc, x).alias("run"), F.greatest(acc["best"], run(acc, x)).alias("best"))
+    longest = F.aggregate(h, F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(1).alias("best")), step, lambda acc: acc["best"])
+    return F.when(F.size(w) < n, 1).when(F.size(F.array_distinct(gram_hashes(w, n))) == F.size(w) - (n - 1), 1).otherwise(longest)
 
 
 def repeats_at_least(w: Column, n: int, times: int) -> Column:
     """Whether some n-gram occurs at least `times` times: after sorting, an entry equals the one `times` - 1 further."""
-    h = F.sort_array(F.transform(grams(w, n), lambda g: F.xxhash64(g)))
-    return (F.size(w) >= n + times - 1) & F.exists(F.zip_with(h, F.slice(h, times, F.greatest(F.size(h), F.lit(1))), lambda a, b: a == b), lambda x: F.coalesce(x, F.lit(False)))
+    total = F.size(w) - (n - 1)
+    some = F.size(F.array_distinct(gram_hashes(w, n))) <= total - (times - 1)  # as many repeats at least; the sort is for the rest
+    h = F.sort_array(gram_hashes(w, n))
+    far = F.exists(F.zip_with(h, F.slice(h, times, F.greatest(F.size(h), F.lit(1))), lambda a, b: a == b), lambda x: F.coalesce(x, F.lit(False)))
+    return F.when((total >= times) & some, far).otherwise(False)
 
 
 def unique_ratio(w: Column) -> Column:
@@ -107,7 +120,8 @@ def normalize_segment(t) -> Column:
 def substring_language(t) -> Column:
     """fa, ar, en, mixed or other, from counted substrings and letters."""
     t = col(t)
-    total = lambda pieces: reduce(lambda a, b: a + b, [occurrences(t, p) for p in pieces])
+    # all markers are of the Arabic script: texts without it have none, and skip the counting
+    total = lambda pieces: F.when(t.rlike(SCRIPT), reduce(lambda a, b: a + b, [occurrences(t, p) for p in pieces])).otherwise(0)
     ar, fa, letters = total(C.ARABIC_MARKERS), total(C.PERSIAN_MARKERS), char_count(t, f"[{C.PERSIAN_LETTERS}]")
     size, ascii_n, arabic = F.greatest(F.lit(1), F.length(t)), char_count(t, "[A-Za-z]"), char_count(t, r"[\u0600-\u06FF\u0750-\u077F]")
     return (
@@ -128,12 +142,12 @@ def token_language(t) -> Column:
     raw = col(t)
     x = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"```[\s\S]*?```", " "), r"`[^`\n]+`", " "), r"https?://\S+", " ")
     w = F.regexp_extract_all(x, F.lit(r"([\p{L}\p{N}_\u0600-\u06FF\u0750-\u077F]+)"), 1)
-    hits = lambda lexicon: F.size(F.filter(w, lambda y: y.isin(lexicon)))
+    hits = lambda lexicon: F.when(x.rlike(SCRIPT), F.size(F.filter(w, lambda y: y.isin(lexicon)))).otherwise(0)
     fa, ar = hits(C.PERSIAN_WORDS), hits(C.ARABIC_WORDS)
     letters, ascii_n, arabic = char_count(x, f"[{C.PERSIAN_LETTERS}]"), char_count(x, "[A-Za-z]"), char_count(x, r"[\u0600-\u06FF]")
     out = lambda lang, conf: F.struct(F.lit(lang).alias("lang"), (conf if isinstance(conf, Column) else F.lit(float(conf))).alias("conf"))
     return (
-        F.when(raw.isNull() | (strip(raw) == "") | (F.size(w) == 0), out("other", 0.0)).when((ascii_n > 5) & (ascii_n > arabic * 2), out("en", 0.8))
+        F.when(raw.isNull() | ~x.rlike(r"[\p{L}\p{N}_\u0600-\u06FF\u0750-\u077F]"), out("other", 0.0)).when((ascii_n > 5) & (ascii_n > arabic * 2), out("en", 0.8))
         .when((letters >= 2) & (fa >= ar), out("fa", F.least(F.lit(1.0), 0.55 + 0.08 * letters + 0.05 * fa))).when((ar >= 2) & (fa == 0) & (letters == 0), out("ar", F.least(F.lit(1.0), 0.5 + 0.1 * ar)))
         .when(arabic >= 5, F.when((fa == 0) & (ar >= 1), out("ar", 0.6)).otherwise(out("fa", 0.55))).when(fa >= 1, out("fa", 0.5)).otherwise(out("other", 0.3))
     )

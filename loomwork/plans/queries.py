@@ -125,7 +125,8 @@ def document_script_measures(s, d):
 @query
 def document_languages(s, d):
     """F11, F13, F15"""
-    return docs(s, d).select("doc_id", T.substring_language("text").alias("by_substrings"), T.token_language("text")["lang"].alias("by_tokens"), T.token_language("text")["conf"].alias("conf"), T.response_language("text").alias("response"))
+    rows = docs(s, d).withColumn("_t", T.token_language("text"))
+    return rows.select("doc_id", T.substring_language("text").alias("by_substrings"), F.col("_t.lang").alias("by_tokens"), F.col("_t.conf").alias("conf"), T.response_language("text").alias("response"))
 
 
 @query
