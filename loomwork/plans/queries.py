@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions import udfs as U
 from ..operators import conversations as V
 from ..operators import dedup, materialize, metrics, sampling
+from ..sources.readers import spread
 from ..streaming import prep
 
 SYSTEM_PREFIX = "You are"
@@ -33,7 +34,7 @@ def t(spark, d, name):
 
 
 def docs(spark, d):
-    return t(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return spread(t(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit(""))))
 
 
 def convs(spark, d):

@@ -11,6 +11,12 @@ PROMPTS = "name string, count long, prompts array<struct<id: string, lang: strin
 _BAD = "_corrupt_record"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals rows anew if the files give fewer tasks than there are cores; larger tables stay as they were read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def domain_parquet(spark: SparkSession, root: str, pattern: str = "*/train-*.parquet", subset: int | None = None) -> DataFrame:
     """(messages, domain, source, seq-able file name) of Parquet files whose folder names the domain; only `messages` is read.
 
