@@ -24,8 +24,13 @@ _own_dirs: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data set, read by Spark (the path may be of any file system that Spark knows)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the data set, read by Spark (the path may be of any file system that Spark knows).
+
+    Dealt anew only if its files give fewer tasks than there are cores.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name == "documents" and rows.rdd.getNumPartitions() < cores else rows
 
 
 def tune(spark: SparkSession) -> None:
