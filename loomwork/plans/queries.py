@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions import udfs as U
 from ..operators import conversations as V
 from ..operators import dedup, materialize, metrics, sampling
+from ..shipping import ship
 from ..sources.readers import spread
 from ..streaming import prep
 
@@ -21,6 +22,7 @@ def query(f):
     """Registers a query; integers come out as longs."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
         df = f(spark, sf_dir)
         return df.select(*[F.col(c).cast("long").alias(c) if kind in ("int", "smallint", "tinyint") else F.col(c) for c, kind in df.dtypes])
 
