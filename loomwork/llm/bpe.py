@@ -186,6 +186,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, decoded) of rows (doc_id, ids), special tokens kept."""
+    tune(encoded.sparkSession)
     sent = encoded.sparkSession.sparkContext.broadcast(_spec(path or tokenizer_path()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

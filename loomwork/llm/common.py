@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: The words of every operator whose result is fixed by contract: runs free of ASCII white space.
 WORD_GAP = r"[ \x09-\x0D]+"
 #: Bytes of text handed to Python at a time, so that very long texts cannot fill a worker's memory.
@@ -34,7 +36,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bounds the Arrow batches by bytes as well as by rows."""
+    """For operators with Python code: sends the package to the executors and bounds Arrow batches by bytes."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 

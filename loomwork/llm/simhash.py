@@ -104,7 +104,7 @@ def _forest(fps: np.ndarray, reps: np.ndarray, radius: int) -> list[tuple[int, i
 
 def links(distinct: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """Links (a, b) between rows (fp, rep) of distinct fingerprints, enough to connect all pairs within the radius."""
-    spark = distinct.sparkSession
+    tune(distinct.sparkSession)
     masks = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("k")) for i, m in enumerate(covering_masks(radius))])
     rows = distinct.select("fp", "rep", F.explode(masks).alias("x")).select(F.xxhash64("x.k", "x.t").alias("key"), "fp", "rep")
     buckets = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("fp", "rep")).alias("lo"), F.max(F.struct("fp", "rep")).alias("hi")).filter("n > 1"), "simhash-buckets")
