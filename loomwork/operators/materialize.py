@@ -57,3 +57,33 @@ def template_product(spark, domains: list[str], questions: list[str], styles: li
     n = F.col("id").cast("int")
     rows = spark.range(len(domains) * d).select(F.format_string(f"{prefix}-%04d", n + 1).alias("id"), pick(domains, (n / d).cast("int")).alias("domain"), pick(questions, ((n % d) / q).cast("int")).alias("question"), pick(styles, n % q).alias("style"))
     return rows.withColumn("prompt", F.concat_ws(" ", "style", F.format_string("%s: %s", F.col("domain"), F.col("question"))))
+
+
+def task_matrix(spark, kinds: list[tuple[str, str, int]], difficulties: list[str]) -> DataFrame:
+    """(id, kind, lang, difficulty): `n` tasks for each (kind, lang, n), difficulties in turn; a bounded product of parameters."""
+    rows = spark.createDataFrame([(k, x, n) for k, x, n in kinds], "kind string, lang string, n int").filter("n > 0")
+    each = rows.select("kind", "lang", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    turn = F.element_at(F.array(*[F.lit(x) for x in difficulties]), F.col("i") % len(difficulties) + 1)
+    return each.select(F.format_string("%s-%s-%03d", "kind", "lang", "i").alias("id"), "kind", "lang", turn.alias("difficulty"))
+
+
+def prompt_cycle(spark, subjects: list[str], modes: list[str], n: int, prefix: str = "prompt") -> DataFrame:
+    """(id, subject, mode) of n prompts by index: subjects in turn, and a mode that moves on with each round of subjects, so that all pairs meet."""
+    i = F.col("id").cast("int")
+    pick = lambda xs, k: F.element_at(F.array(*[F.lit(x) for x in xs]), k + 1)
+    return spark.range(n).select(F.format_string(f"{prefix}-%05d", i).alias("id"), pick(subjects, i % len(subjects)).alias("subject"), pick(modes, (F.floor(i / len(subjects)).cast("int") + i) % len(modes)).alias("mode"))
+
+
+def filled_templates(rows: DataFrame, template: str, key: str, choices: dict[str, list[str]], seed: int = 4217) -> DataFrame:
+    """`rows` with `text`: the template's {name} slots filled by choices picked by a hash of the seed, the slot and the key."""
+    text = F.lit(template)
+    for name, values in choices.items():
+        at = F.pmod(F.xxhash64(F.lit(seed), F.lit(name), F.col(key)), F.lit(len(values))).cast("int")
+        text = F.replace(text, F.lit("{" + name + "}"), F.element_at(F.array(*[F.lit(v) for v in values]), at + 1))
+    return rows.withColumn("text", text)
+
+
+def fitting_config(configs: DataFrame, memory_limit: float = 14.5, fallback: int = 2048) -> DataFrame:
+    """(seq_len): the longest measured length without an error and within the memory limit, else the fallback."""
+    fits = F.max(F.when(F.col("error").isNull() & (F.col("memory_gb") < memory_limit), F.col("seq_len")))
+    return configs.agg(F.coalesce(fits, F.lit(fallback)).alias("seq_len"))

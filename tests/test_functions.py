@@ -125,3 +125,14 @@ def test_metrics_and_material(spark):
     assert [(r["category"], r["need"], r["batch"]) for r in materialize.plan_batches(wants, have, 2400).collect()] == [("a", 5.0, 0), ("a", 5.0, 1)]
     rate = spark.createDataFrame([(0,), (9,), (10,), (110,)], "s long").select(T.learning_rate("s", 10, 110, 1.0).alias("x")).collect()
     assert [round(r["x"], 6) for r in rate] == [0.1, 1.0, 1.0, 0.0]
+
+
+def test_generators(spark):
+    tasks = materialize.task_matrix(spark, [("page", "fa", 3), ("fix", "en", 0), ("css", "en", 2)], ["easy", "hard"]).orderBy("id").collect()
+    assert [(r["id"], r["difficulty"]) for r in tasks] == [("css-en-000", "easy"), ("css-en-001", "hard"), ("page-fa-000", "easy"), ("page-fa-001", "hard"), ("page-fa-002", "easy")]
+    got = materialize.prompt_cycle(spark, ["a", "b", "c", "d"], ["x", "y"], 16).collect()
+    assert len({(r["subject"], r["mode"]) for r in got}) == 8
+    texts = [r["text"] for r in materialize.filled_templates(spark.range(50), "a {c} page for {n}", "id", {"c": ["red", "blue"], "n": ["x", "y", "z"]}).collect()]
+    assert len(set(texts)) == 6 and not any("{" in t for t in texts)
+    runs = spark.createDataFrame([(1024, 10.0, None), (4096, 15.0, None), (3072, 14.0, None), (8192, 1.0, "oom")], "seq_len int, memory_gb double, error string")
+    assert materialize.fitting_config(runs).first()["seq_len"] == 3072 and materialize.fitting_config(runs.limit(0)).first()["seq_len"] == 2048
