@@ -31,7 +31,9 @@ THRESHOLD = 0.5
 OVERLAP = 0.8
 SHINGLE = 5
 BLOCK = 8
-INDEX_BYTES = 32 << 20
+INDEX_BYTES = 16 << 20
+#: Items whose shingles a task keeps at a time.
+KEPT_ITEMS = 4096
 #: ASCII punctuation and white space separate words; digits, letters and all beyond ASCII belong to them.
 _CLEAN = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -51,60 +53,71 @@ def question_and_answer(words: list) -> tuple[list, list]:
 
 
 class ItemIndex:
-    """Postings of a set of items with BM25 impacts, their maxima per term and per block of items."""
+    """Postings of a set of items with BM25 impacts, their maxima per term and per block of items.
+
+    All in flat arrays, as large as the items' words: postings by term and item, block maxima by term and
+    block (only of blocks that have the term), and the items' words as term numbers.
+    """
 
     def __init__(self, items: list[tuple[int, str | None]]) -> None:
         kept = [(i, w) for i, t in items if i is not None and (w := terms(t or ""))]
         kept.sort(key=lambda x: (len(x[1]), x[0]))
         self.ids = [i for i, _ in kept]
-        self.words = [w for _, w in kept]
-        n, mean = len(kept), sum(len(w) for _, w in kept) / max(1, len(kept))
-        df = Counter(t for _, w in kept for t in set(w))
-        self.vocab = {t: k for k, t in enumerate(sorted(df))}
-        idf = {t: math.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
-        postings: list[list[tuple[int, float]]] = [[] for _ in self.vocab]
+        n = len(kept)
+        self.vocab = {t: k for k, t in enumerate(sorted({t for _, w in kept for t in w}))}
+        self.words = np.array([self.vocab[t] for _, w in kept for t in w], dtype=np.int32)
+        lens = np.array([len(w) for _, w in kept], dtype=np.int64)
+        self.ends = np.cumsum(lens)
+        self.longest = int(lens.max(initial=0))
         self.n_blocks = -(-n // BLOCK)
-        self.block_max = np.zeros((len(self.vocab) + 1, self.n_blocks), dtype=np.float32)
-        for k, (_, w) in enumerate(kept):
-            tf = Counter(w)
-            raw = {t: idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for t, c in tf.items()}
-            own = sum(raw.values())
-            for t, x in raw.items():
-                postings[self.vocab[t]].append((k, x / own))
-        self.starts = np.zeros(len(self.vocab) + 2, dtype=np.int64)
-        self.starts[1:-1] = np.cumsum([len(p) for p in postings])
-        self.starts[-1] = self.starts[-2]
-        self.post_item = np.array([k for p in postings for k, _ in p], dtype=np.int64)
-        self.post_impact = np.array([x for p in postings for _, x in p], dtype=np.float32)
-        for t, p in enumerate(postings):
-            for k, x in p:
-                self.block_max[t, k // BLOCK] = max(self.block_max[t, k // BLOCK], np.float32(x))
-        self.term_max = self.block_max.max(axis=1, initial=0)
-        self.longest = max((len(w) for w in self.words), default=0)
-        parts = [question_and_answer(w) for w in self.words]
-        self.parts = [tuple(_shingles(p) for p in x if p) for x in parts]
-        self.sizes = [tuple(len(p) for p in x if p) for x in parts]
+        pairs, tf = np.unique(self.words.astype(np.int64) * n + np.repeat(np.arange(n), lens), return_counts=True)
+        term, item = np.divmod(pairs, max(1, n))
+        df = np.bincount(term, minlength=len(self.vocab))
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        raw = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[item] / (lens.mean() if n else 1)))
+        own = np.bincount(item, weights=raw, minlength=n)
+        self.post_item, self.post_impact = item.astype(np.int32), (raw / own[item]).astype(np.float32)
+        # the last term number stands for words that no item has: without postings
+        self.starts = np.concatenate([[0], np.cumsum(df), [len(pairs)]])
+        first = np.flatnonzero(np.diff(term * (self.n_blocks + 1) + item // BLOCK, prepend=-1))
+        self.max_block = (item[first] // BLOCK).astype(np.int32)
+        self.max_impact = np.maximum.reduceat(self.post_impact, first) if n else self.post_impact
+        self.max_starts = np.searchsorted(term[first], np.arange(len(self.vocab) + 2))
+        self.term_max = np.append(np.maximum.reduceat(self.post_impact, self.starts[:-2]) if n else self.post_impact, np.float32(0))
+        self.parts: dict[int, list[tuple[set, int]]] = {}
+
+    @staticmethod
+    def _of(starts: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Places of all entries of the terms q."""
+        lens = starts[q + 1] - starts[q]
+        return np.repeat(starts[q] - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
 
     def search(self, query: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
         """Items (by position) of one passage's term numbers that score at least the threshold."""
         q = np.unique(np.array(query, dtype=np.int64))
         q = q[q < len(self.vocab)]
-        blocks = np.flatnonzero(self.block_max[q].sum(axis=0, dtype=np.float64) >= threshold - 1e-5)
-        if not len(blocks):
+        at = self._of(self.max_starts, q)
+        live = np.bincount(self.max_block[at], weights=self.max_impact[at], minlength=self.n_blocks) >= threshold - 1e-5
+        if not live.any():
             return []
-        lens = self.starts[q + 1] - self.starts[q]
-        at = np.repeat(self.starts[q] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
-        items, impacts = self.post_item[at], self.post_impact[at]
-        live = np.zeros(self.n_blocks, dtype=bool)
-        live[blocks] = True
-        keep = live[items // BLOCK]
-        scores = np.bincount(items[keep], weights=impacts[keep], minlength=len(self.ids))
+        at = self._of(self.starts, q)
+        at = at[live[self.post_item[at] // BLOCK]]
+        scores = np.bincount(self.post_item[at], weights=self.post_impact[at], minlength=len(self.ids))
         return [(int(k), float(scores[k])) for k in np.flatnonzero(scores >= threshold - 1e-5)]
 
-    def verified(self, item: int, passage: list[bytes]) -> tuple[float, float] | None:
-        """Shares of the question's and the answer's shingles in the passage, if both reach OVERLAP."""
+    def shingles_of(self, item: int) -> list[tuple[set, int]]:
+        """(shingles, words) of an item's question and answer; kept for a while, as few items are ever retrieved."""
+        if item not in self.parts:
+            if len(self.parts) >= KEPT_ITEMS:
+                self.parts.clear()
+            words = self.words[self.ends[item - 1] if item else 0 : self.ends[item]].tolist()
+            self.parts[item] = [(_shingles(p), len(p)) for p in question_and_answer(words) if p]
+        return self.parts[item]
+
+    def verified(self, item: int, passage: list[int]) -> tuple[float, float] | None:
+        """Shares of the question's and the answer's shingles in the passage (term numbers), if both reach OVERLAP."""
         shares = []
-        for want, size in zip(self.parts[item], self.sizes[item]):
+        for want, size in self.shingles_of(item):
             have = _shingles(passage) if size >= SHINGLE else {tuple(passage[i : i + size]) for i in range(len(passage) - size + 1)}
             shares.append(len(want & have) / len(want))
             if shares[-1] < OVERLAP:
@@ -150,7 +163,7 @@ class ItemIndex:
                     if key in found and found[key][0] >= score:
                         continue
                     s = int(start[p])
-                    if shares := self.verified(item, words[own[p]][s : s + 2 * step]):
+                    if shares := self.verified(item, flat[cuts[p] : end].tolist()):
                         found[key] = (score, s, *shares)
         return [(d, self.ids[k], s, score, q, a) for (d, k), (score, s, q, a) in sorted(found.items())]
 
