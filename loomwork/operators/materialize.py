@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import sampling
 
 IGNORED = -100
 
@@ -78,7 +79,7 @@ def filled_templates(rows: DataFrame, template: str, key: str, choices: dict[str
     """`rows` with `text`: the template's {name} slots filled by choices picked by a hash of the seed, the slot and the key."""
     text = F.lit(template)
     for name, values in choices.items():
-        at = F.pmod(F.xxhash64(F.lit(seed), F.lit(name), F.col(key)), F.lit(len(values))).cast("int")
+        at = (T.hash32(F.concat(F.lit(f"{seed}:{name}:"), F.col(key).cast("string"))) % len(values)).cast("int")
         text = F.replace(text, F.lit("{" + name + "}"), F.element_at(F.array(*[F.lit(v) for v in values]), at + 1))
     return rows.withColumn("text", text)
 
@@ -87,3 +88,26 @@ def fitting_config(configs: DataFrame, memory_limit: float = 14.5, fallback: int
     """(seq_len): the longest measured length without an error and within the memory limit, else the fallback."""
     fits = F.max(F.when(F.col("error").isNull() & (F.col("memory_gb") < memory_limit), F.col("seq_len")))
     return configs.agg(F.coalesce(fits, F.lit(fallback)).alias("seq_len"))
+
+
+def in_turn(rows: DataFrame, order: list, items: DataFrame, item_order: list) -> DataFrame:
+    """`rows` beside `items` by place: row k gets item k modulo their number, in the given orders.
+
+    Both sides are numbered without a task for all rows; a place that more rows share than others don't is not
+    possible, as places take turns. Names of the two sides must differ. No items: no rows.
+    """
+    n = items.count()
+    if not n:
+        return rows.join(items, F.lit(False))
+    own = sampling.ranked(rows, order).withColumn("_place", (F.col("rank") - 1) % n).drop("rank")
+    return own.join(sampling.ranked(items, item_order).withColumn("_place", F.col("rank") - 1).drop("rank"), "_place").drop("_place")
+
+
+def zipped(a: DataFrame, a_order: list, b: DataFrame, b_order: list) -> DataFrame:
+    """Two tables side by side by place; the longer one's rest is left out."""
+    return sampling.ranked(a, a_order).join(sampling.ranked(b, b_order), "rank").drop("rank")
+
+
+def config_hash(names: list[str]) -> Column:
+    """SHA-256 of a row's columns as JSON with sorted keys; null columns are left out."""
+    return F.sha2(F.to_json(F.struct(*sorted(names))), 256)

@@ -81,3 +81,8 @@ def side_by_side(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
     """(metric, a, b) of two one-row frames."""
     long = lambda df, to: df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in names])).alias("x")).select("x.metric", F.col("x.v").alias(to))
     return long(a, "a").join(long(b, "b"), "metric", "full")
+
+
+def log_means(log: DataFrame, step: str, loss: str, tokens: str) -> DataFrame:
+    """(step, n, tokens, mean_loss) of a training log's accumulated entries; entries without a loss count no loss."""
+    return log.groupBy(step).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(tokens, F.lit(0))).alias("tokens"), F.round(F.avg(loss), 6).alias("mean_loss"))

@@ -72,3 +72,15 @@ def nearest_rank(rows: DataFrame, value: str) -> DataFrame:
     r = ranked(rows.select(F.col(value).cast("long").alias("v")), [F.col("v")])
     at = lambda k: F.max(F.when(F.col("rank") == k + 1, F.col("v")))
     return r.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 1).alias("mean"), at(n // 2).alias("p50"), at(int(n * 0.95)).alias("p95"), F.max("v").alias("max"))
+
+
+def within_budget(rows: DataFrame, key: str, budget: int, least: int = 64, seed: int = 42) -> DataFrame:
+    """The first rows of a hashed order: as many as a budget allows, but `least` at least."""
+    return rows.orderBy(*shuffled(key, seed)).limit(max(budget, least))
+
+
+def presence(rows: DataFrame, split: str, wanted: list[str]) -> DataFrame:
+    """(split, n, present) of each wanted split, also of those without rows."""
+    want = rows.sparkSession.createDataFrame([(w,) for w in wanted], f"{split} string")
+    got = rows.groupBy(split).agg(F.count(F.lit(1)).alias("n"))
+    return want.join(got, split, "left").select(split, F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNotNull().alias("present"))

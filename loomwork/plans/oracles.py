@@ -90,6 +90,11 @@ SEGMENT = "text"
 for _p, _to in ((r"\r\n|\r", "chr(10)"), (r"[ \t]+\n", "chr(10)"), (r"[ \t]{2,}", "' '"), (r"\n{3,}", "chr(10) || chr(10)")):
     SEGMENT = f"regexp_replace({SEGMENT}, {lit(_p)}, {_to}, 'g')"
 
+
+def choice(name: str, values: list[str]) -> str:
+    return f"[{', '.join(map(lit, values))}][('0x' || substr(md5('4217:{name}:' || doc_id), 1, 8))::BIGINT % {len(values)} + 1]"
+
+
 ORACLE_SQL = {
     "reason_counts": f"SELECT reason, count(*) AS n FROM {REASON} GROUP BY reason",
     "conversation_reasons": f"SELECT conv_id, turns, reason FROM {REASON}",
@@ -137,6 +142,22 @@ ORACLE_SQL = {
     "planned_batches": f"SELECT category, need, unnest(range(0, CAST(ceil(need / 4) AS BIGINT))) AS batch FROM (SELECT source AS category, greatest(0.0::DOUBLE, 600.0::DOUBLE - count(*)) AS need FROM {D} GROUP BY source)",
     "unlabelled_documents": f"SELECT doc_id, source FROM {D} WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "corpus_union": f"SELECT 'document' AS origin, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM {D} UNION ALL SELECT 'conversation', count(*), CAST(sum(length(text)) AS BIGINT) FROM conversations",
+    "task_matrix": """SELECT format('{}-{}-{:03d}', kind, lang, i) AS id, kind, lang, ['easy', 'medium', 'hard'][i % 3 + 1] AS difficulty FROM (SELECT kind, lang, unnest(range(n)) AS i FROM (VALUES ('page', 'fa', 110), ('page', 'en', 130), ('style', 'fa', 90), ('script', 'en', 40)) v(kind, lang, n))""",
+    "prompt_cycle": """SELECT format('prompt-{:05d}', i) AS id, ['table', 'form', 'menu', 'card', 'chart'][i % 5 + 1] AS subject, ['write', 'fix', 'explain', 'extend'][(i // 5 + i) % 4 + 1] AS mode FROM range(110) r(i)""",
+    "filled_templates": f"SELECT doc_id, 'A ' || {choice('colour', ['red', 'green', 'blue'])} || ' ' || {choice('kind', ['page', 'form', 'table', 'menu', 'card'])} || ' with a ' || {choice('part', ['header', 'footer'])} || '.' AS text FROM documents",
+    "prompts_in_turn": "SELECT doc_id, item_id FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) % (SELECT count(*) FROM benchmark) AS p FROM documents) JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS p FROM benchmark) USING (p)",
+    "prompts_zipped": "SELECT item_id, doc_id FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) AS p FROM benchmark) JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS p FROM documents) USING (p)",
+    "extracted_files": f"""SELECT doc_id, 'pages/' || source || '.html' AS path, md5({strip("translate(text, '`*', '')")}) AS md5 FROM {D} UNION ALL SELECT doc_id, 'styles.css', md5('body {{ margin: 0 }}') FROM {D} UNION ALL SELECT doc_id, 'file3.sql', md5('SELECT 1') FROM {D}""",
+    "salvaged_json": """SELECT doc_id, CAST(0 AS BIGINT) AS place, '{"id": ' || doc_id || ', "lang": "' || lang || '", "mark": "} ] {"}' AS object FROM documents UNION ALL SELECT doc_id, 1, '{"source": "' || source || '", "more": {"n": [1, 2]}}' FROM documents""",
+    "learning_rates": "SELECT i AS step, round(1e6::DOUBLE * CASE WHEN i < 4 THEN 2e-4::DOUBLE * (i + 1) / 4 ELSE 2e-4::DOUBLE * 0.5 * (1 + cos(pi() * (i - 4) / greatest(1, n - 4))) END, 6) AS micro_rate FROM (SELECT n, unnest(range(n)) AS i FROM (SELECT (count(*) + 15) // 16 AS n FROM documents))",
+    "long_enough_pairs": f"SELECT conv_id, turn FROM {PAIRS} WHERE length(prompt) >= 10 AND length(answer) >= 40",
+    "training_log": "SELECT event_id // 64 AS step, count(*) AS n, CAST(sum(coalesce(length(props), 0)) AS BIGINT) AS tokens, round(avg(value), 6) AS mean_loss FROM events GROUP BY 1",
+    "split_presence": f"SELECT w AS split, count(s) AS n, count(s) > 0 AS present FROM (VALUES ('train'), ('validation'), ('test')) v(w) LEFT JOIN (SELECT CASE WHEN {split_of('conv_id')} < 100 THEN 'validation' ELSE 'train' END AS s FROM (SELECT DISTINCT conv_id FROM conversations)) ON s = w GROUP BY w",
+    "budgeted_sample": f"SELECT doc_id, source FROM {D} ORDER BY sha256('42:' || doc_id), doc_id LIMIT 120",
+    "config_hashes": """SELECT source, sha256('{"last":' || max(doc_id) || ',"rows":' || count(*) || ',"source":"' || source || '"}') AS sha256 FROM documents GROUP BY source""",
+    "fitting_configs": "SELECT CAST(coalesce(max(512 * (n_nationkey + 1)), 2048) AS BIGINT) AS seq_len FROM nation WHERE n_nationkey % 5 <> 0 AND n_nationkey * 0.75 + 3 < 14.5",
+    "labelled_documents": "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels",
+    "streamed_turns": f"SELECT conv_id, turn, md5(text) AS md5, round({rep('w', 12)}, 6) AS repetition, {matches('text', C.SECRETS)} AS secret, CASE WHEN {split_of('conv_id')} < 100 THEN 'validation' ELSE 'train' END AS split FROM (SELECT *, {words('text')} AS w FROM (SELECT conv_id, turn, {SEGMENT} AS text FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)))",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 2) AS avg_price FROM lineitem GROUP BY ALL",
     "streamed_event_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

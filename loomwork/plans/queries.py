@@ -343,21 +343,148 @@ def corpus_union(s, d):
     return a.unionByName(b).groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+@query
+def task_matrix(s, d):
+    """Tasks by kind and language, difficulties in turn"""
+    return materialize.task_matrix(s, [("page", "fa", 110), ("page", "en", 130), ("style", "fa", 90), ("script", "en", 40)], ["easy", "medium", "hard"])
+
+
+@query
+def prompt_cycle(s, d):
+    """G6, J7 over parameters"""
+    return materialize.prompt_cycle(s, ["table", "form", "menu", "card", "chart"], ["write", "fix", "explain", "extend"], 110)
+
+
+@query
+def filled_templates(s, d):
+    """A text for each document, filled by hashed choices"""
+    choices = {"colour": ["red", "green", "blue"], "part": ["header", "footer"], "kind": ["page", "form", "table", "menu", "card"]}
+    return materialize.filled_templates(docs(s, d).select("doc_id"), "A {colour} {kind} with a {part}.", "doc_id", choices)
+
+
+@query
+def prompts_in_turn(s, d):
+    """Benchmark items go round over the documents"""
+    items = t(s, d, "benchmark").select("item_id")
+    return materialize.in_turn(docs(s, d).select("doc_id"), [F.col("doc_id")], items, [F.col("item_id")]).select("doc_id", "item_id")
+
+
+@query
+def prompts_zipped(s, d):
+    """Benchmark items and documents side by side by place"""
+    items = t(s, d, "benchmark").select("item_id")
+    return materialize.zipped(items, [F.col("item_id")], docs(s, d).select("doc_id"), [F.col("doc_id")]).select("item_id", "doc_id")
+
+
+def answers_with_files(s, d):
+    """Answers that hold each document's text as a page, a style sheet and a block that isn't a file."""
+    page = F.translate("text", "`*", "")
+    return docs(s, d).select("doc_id", F.concat(F.lit("Files: **pages/"), "source", F.lit(".html**\n```html\n"), page, F.lit("\n```\nand\n```css\nbody { margin: 0 }\n```\n```text\nnotes\n```\n```sql\nSELECT 1\n```\n")).alias("answer"))
+
+
+@query
+def extracted_files(s, d):
+    """F23"""
+    return answers_with_files(s, d).select("doc_id", F.explode(U.extract_files("answer")).alias("f")).select("doc_id", "f.path", F.md5(T.strip("f.code")).alias("md5"))
+
+
+def noisy_json(s, d):
+    """Two objects in a fence with words around it; every third array is cut off inside a third object."""
+    one = F.format_string('{"id": %d, "lang": "%s", "mark": "} ] {"}', "doc_id", "lang")
+    two = F.format_string('{"source": "%s", "more": {"n": [1, 2]}}', "source")
+    end = F.when(F.col("doc_id") % 3 == 0, F.lit(', {"id": 7, "text": "cut')).otherwise(F.lit("]\n```\nDone."))
+    return docs(s, d).select("doc_id", F.concat(F.lit("Here it is:\n```json\n["), one, F.lit(", "), two, end).alias("answer"))
+
+
+@query
+def salvaged_json(s, d):
+    """F28, F29, F30"""
+    return noisy_json(s, d).select("doc_id", F.posexplode(U.salvage_json("answer")).alias("place", "object"))
+
+
+@query
+def learning_rates(s, d):
+    """warm-up and cosine over the batches of the documents"""
+    n = -(-t(s, d, "documents").count() // 16)
+    return s.range(n).select(F.col("id").alias("step"), F.round(1e6 * T.learning_rate("id", 4, n, 2e-4), 6).alias("micro_rate"))
+
+
+@query
+def long_enough_pairs(s, d):
+    """P11"""
+    return pairs(s, d).filter((F.length("prompt") >= 10) & (F.length("answer") >= 40)).select("conv_id", "turn")
+
+
+@query
+def training_log(s, d):
+    """A12 over events as log entries"""
+    log = t(s, d, "events").select(F.floor(F.col("event_id") / 64).alias("step"), F.col("value").alias("loss"), F.length("props").cast("long").alias("tokens"))
+    return metrics.log_means(log, "step", "loss", "tokens")
+
+
+@query
+def split_presence(s, d):
+    """P13"""
+    return sampling.presence(sampling.hash_split(convs(s, d), "conv_id"), "split", ["train", "validation", "test"])
+
+
+@query
+def budgeted_sample(s, d):
+    """O9, O7"""
+    return sampling.within_budget(docs(s, d).select("doc_id", "source"), "doc_id", 120)
+
+
+@query
+def config_hashes(s, d):
+    """V4 over the figures of each source"""
+    rows = docs(s, d).groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.max("doc_id").alias("last"))
+    return rows.select("source", materialize.config_hash(["source", "rows", "last"]).alias("sha256"))
+
+
+@query
+def fitting_configs(s, d):
+    """Measured lengths that fit, from the sizes of nations"""
+    k = F.col("n_nationkey")
+    runs = t(s, d, "nation").select((512 * (k + 1)).cast("int").alias("seq_len"), (k * 0.75 + 3).cast("double").alias("memory_gb"), F.when(k % 5 == 0, "out of memory").alias("error"))
+    return materialize.fitting_config(runs)
+
+
+@query
+def labelled_documents(s, d):
+    """Ids in both tables"""
+    return t(s, d, "documents").select("doc_id").intersect(t(s, d, "labels").select("doc_id"))
+
+
+@query
+def streamed_turns(s, d):
+    """T1, F2, F8, P5, O3 on a file stream, run to its end"""
+    base, path = stream_paths(s, f"{d}/conversations.parquet")
+    schema = ", ".join(f"{n} {k}" for n, k in t(s, d, "conversations").dtypes)
+    rows = prep.prepared(prep.turns(s, path, schema)).select("conv_id", "turn", F.md5("content").alias("md5"), F.round("repetition", 6).alias("repetition"), "secret", "split")
+    prep.run_to_end(rows, f"{base}/out", f"{base}/state")
+    return s.read.parquet(f"{base}/out")
+
+
 @query
 def pricing_summary(s, d):
     """Generic relational coverage: aggregation"""
     return t(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.avg("l_extendedprice"), 2).alias("avg_price"))
 
 
-@query
-def streamed_event_windows(s, d):
-    """Tumbling windows over a file stream, run to its end"""
+def stream_paths(s, path):
+    """(folder for state and output, what a stream reads); streams read folders or globs, not single files."""
     import tempfile
     import uuid
 
     base = f"{(s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()).rstrip('/')}/loomwork/stream-{uuid.uuid4().hex}"
-    path = f"{d}/events.parquet"  # a glob, as streams read folders or globs, not single files
-    events = s.readStream.schema(t(s, d, "events").schema).parquet(f"{d}/events.parque[t]" if _is_file(s, path) else path)
+    return base, f"{path[:-1]}[{path[-1]}]" if _is_file(s, path) else path
+
+
+@query
+def streamed_event_windows(s, d):
+    """Tumbling windows over a file stream, run to its end"""
+    base, path = stream_paths(s, f"{d}/events.parquet")
+    events = s.readStream.schema(t(s, d, "events").schema).parquet(path)
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     counts = prep.windowed_counts(events, size="1 day").select(F.col("window.start").cast("string").alias("day"), "event_type", "n")
     write = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
