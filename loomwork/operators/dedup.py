@@ -1,14 +1,16 @@
-"""Duplicates: keep-first by key, by smallest shingle, and by verified MinHash."""
+"""Duplicates: keep-first by key, by smallest shingle, and all pairs of similar shingle sets."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 #: Above any 32-bit hash; products of a hash and a factor below 2**31 stay within a long.
 PRIME = 4294967311
+#: Shingles with a larger share of all shingles than one part in so many count as frequent.
+FREQUENT_PARTS = 1 << 16
 
 
 def keep_first(rows: DataFrame, key, order: list[str]) -> DataFrame:
@@ -44,26 +46,54 @@ def min_shingle(rows: DataFrame, text: str, order: str, most: int = 60) -> DataF
     return marked.join(groups, "_m").withColumn("group", F.when(F.col("_n") > most, F.col(order)).otherwise(F.col("_root"))).drop("_m", "_root", "_n")
 
 
-def minhash_pairs(rows: DataFrame, text: str, key: str, threshold: float = 0.85, perms: int = 32, bands: int = 8) -> DataFrame:
-    """(a, b, jaccard) of pairs of different texts that share a band of the signature and whose shingle sets reach the threshold.
-
-    Equal shingle sets are one class, represented by the smallest key, so copies don't multiply pairs. Permutations
-    are affine maps modulo a prime, with constants from a fixed recurrence.
-    """
-    worded = rows.withColumn("_w", T.words(text))
-    sets = worded.withColumn("_s", F.array_sort(F.array_distinct(F.transform(T.shingles(F.col("_w")), lambda s: T.hash32(s))))).groupBy("_s").agg(F.min(key).alias("k"))
+def minhash_signature(shingles, perms: int = 32):
+    """The smallest value of each of `perms` affine maps, modulo a prime, over an array of 32-bit hashes; constants follow a fixed recurrence."""
     c, consts = 0x9E3779B9, []
     for _ in range(2 * perms):
         c = (c * 6364136223846793005 + 1442695040888963407) % (1 << 64)
         consts.append(1 + (c >> 34))
     affine = lambda a, b: lambda x: F.pmod(x * F.lit(a) + F.lit(b), F.lit(PRIME))
-    sig = F.array(*[F.array_min(F.transform("_s", affine(consts[2 * i], consts[2 * i + 1]))) for i in range(perms)])
-    width = perms // bands
-    signed = sets.withColumn("_sig", sig)
-    keyed = signed.select("k", "_s", F.posexplode(F.array(*[F.xxhash64(*[F.col("_sig")[b * width + i] for i in range(width)]) for b in range(bands)])).alias("band", "h"))
-    left, right = keyed.select(F.col("k").alias("a"), "band", "h"), keyed.select(F.col("k").alias("b"), "band", "h")
-    pairs = left.join(right, ["band", "h"]).filter("a < b").select("a", "b").distinct()
-    texts = signed.select("k", "_s")
+    return F.array(*[F.array_min(F.transform(T.col(shingles), affine(consts[2 * i], consts[2 * i + 1]))) for i in range(perms)])
+
+
+def agreement(a, b):
+    """The share of places at which two signatures of one length agree, which estimates the Jaccard similarity."""
+    same = F.filter(F.zip_with(T.col(a), T.col(b), lambda x, y: x == y), lambda x: x)
+    return F.size(same) / F.size(T.col(a))
+
+
+def shingle_classes(rows: DataFrame, text: str, key: str) -> DataFrame:
+    """`rows` with `class`: the smallest key of the rows with the same set of five-word shingles."""
+    marked = _with_set(rows, text).withColumn("_h", F.md5(F.array_join("_s", ","))).drop("_s")
+    least = marked.groupBy("_h").agg(F.min(key).alias("class"))
+    return marked.join(least, "_h").drop("_h")
+
+
+def similar_pairs(rows: DataFrame, text: str, key: str, threshold: float = 0.8) -> DataFrame:
+    """(a, b, jaccard) of all pairs of classes (see `shingle_classes`) whose shingle sets reach the threshold; a < b.
+
+    Exact, by prefix filtering: in any common order of shingles, two such sets share one of the first
+    n - ceil(threshold * n) + 1 of either. Frequent shingles come last in the order, so that few sets meet at a
+    prefix; those with over one part in FREQUENT_PARTS of all shingles are at most so many, and are broadcast.
+    Sizes too far apart never meet.
+    """
+    sets = _with_set(rows, text).groupBy("_s").agg(F.min(key).alias("k")).withColumn("n", F.size("_s"))
+    each = sets.select("k", "n", F.explode_outer("_s").alias("x"))  # outer, though no set is empty: its filters would be pushed down and split the text once per shingle
+    counts = each.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
+    total = each.agg(F.count(F.lit(1)).alias("total"))
+    frequent = counts.crossJoin(F.broadcast(total)).filter(F.col("df") * FREQUENT_PARTS > F.col("total")).select("x", "df")  # one row, an ungrouped aggregate
+    order = Window.partitionBy("k").orderBy(F.coalesce("df", F.lit(0)), "x")
+    first = each.join(F.broadcast(frequent), "x", "left").withColumn("_rn", F.row_number().over(order))
+    first = first.filter(F.col("_rn") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+    side = lambda to: first.select(F.col("k").alias(to), F.col("n").alias(f"n{to}"), "x")
+    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
+    pairs = side("a").join(side("b"), "x").filter(near).select("a", "b").distinct()
+    texts = sets.select("k", "_s")
     both = pairs.join(texts.withColumnsRenamed({"k": "a", "_s": "sa"}), "a").join(texts.withColumnsRenamed({"k": "b", "_s": "sb"}), "b")
     same = F.size(F.array_intersect("sa", "sb"))
     return both.withColumn("jaccard", same / (F.size("sa") + F.size("sb") - same)).filter(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+
+
+def _with_set(rows: DataFrame, text: str) -> DataFrame:
+    worded = rows.withColumn("_w", T.words(text))  # a column of its own, or each shingle would split the text again
+    return worded.withColumn("_s", F.array_sort(F.array_distinct(F.transform(T.shingles(F.col("_w")), lambda s: F.xxhash64(s))))).drop("_w")

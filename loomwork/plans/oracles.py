@@ -91,6 +91,17 @@ for _p, _to in ((r"\r\n|\r", "chr(10)"), (r"[ \t]+\n", "chr(10)"), (r"[ \t]{2,}"
     SEGMENT = f"regexp_replace({SEGMENT}, {lit(_p)}, {_to}, 'g')"
 
 
+SETS = f"(SELECT doc_id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE {grams('w', 5)} END AS s FROM (SELECT doc_id, {words('text')} AS w FROM {D}))"
+
+
+def affine(n: int) -> list[tuple[int, int]]:
+    c, out = 0x9E3779B9, []
+    for _ in range(2 * n):
+        c = (c * 6364136223846793005 + 1442695040888963407) % (1 << 64)
+        out.append(1 + (c >> 34))
+    return list(zip(out[::2], out[1::2]))
+
+
 def choice(name: str, values: list[str]) -> str:
     return f"[{', '.join(map(lit, values))}][('0x' || substr(md5('4217:{name}:' || doc_id), 1, 8))::BIGINT % {len(values)} + 1]"
 
@@ -109,6 +120,12 @@ ORACLE_SQL = {
     "prompt_key_dedup": f"SELECT conv_id, turn FROM {PAIRS} QUALIFY row_number() OVER (PARTITION BY {KEY('prompt')} ORDER BY conv_id, turn) = 1",
     "prompt_answer_dedup": f"SELECT conv_id, turn FROM {PAIRS} QUALIFY row_number() OVER (PARTITION BY {FOLD('prompt')}, substr({FOLD('answer')}, 1, 600) ORDER BY conv_id, turn) = 1",
     "near_dedup_min_shingle": f"SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY k) > 60 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY k) END AS group_id FROM {SHINGLE}",
+    "minhash_signatures": f"SELECT doc_id, md5(array_to_string([{', '.join(f'list_min(list_transform(h, lambda x: (x * {a} + {b}) % 4294967311))' for a, b in affine(32))}], ',')) AS md5 FROM (SELECT doc_id, list_transform(s, lambda y: ('0x' || substr(md5(y), 1, 8))::BIGINT) AS h FROM {SETS})",
+    "similar_shingle_pairs": f"""WITH c AS (SELECT s, min(doc_id) AS k FROM (SELECT doc_id, list_sort(list_distinct(s)) AS s FROM {SETS}) GROUP BY s), e AS (SELECT k, len(s) AS n, unnest(s) AS x FROM c),
+      p AS (SELECT l.k AS a, r.k AS b, l.n AS na, r.n AS nb, count(*) AS m FROM e l JOIN e r ON l.x = r.x AND l.k < r.k GROUP BY ALL) SELECT a, b, round(m::DOUBLE / (na + nb - m), 6) AS jaccard FROM p WHERE m::DOUBLE / (na + nb - m) >= 0.8::DOUBLE""",
+    "shingle_classes": f"SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS class_id FROM (SELECT doc_id, list_sort(list_distinct(s)) AS s FROM {SETS})",
+    "template_product": """SELECT format('bench-{:04d}', 6 * d + 2 * q + y + 1) AS id, ['history', 'science', 'poetry'][d + 1] AS domain, ['what', 'why', 'how'][q + 1] AS question, ['Briefly,', 'In detail,'][y + 1] AS style,
+      ['Briefly,', 'In detail,'][y + 1] || ' ' || ['history', 'science', 'poetry'][d + 1] || ': ' || ['what', 'why', 'how'][q + 1] AS prompt FROM range(3) a(d), range(3) b(q), range(2) c(y)""",
     "document_text_measures": f"SELECT doc_id, round({rep('w', 5)}, 6) AS rep5, round({rep('w', 12)}, 6) AS rep12, CAST({most('w', 12)} AS BIGINT) AS max_gram, round({uniq('w')}, 6) AS uniq FROM (SELECT doc_id, {words('text')} AS w FROM {D})",
     "document_script_measures": f"SELECT doc_id, round({chars('text', ARABIC)}::DOUBLE / greatest(1, length(text)), 6) AS arabic, round({chars('text', 'A-Za-z')}::DOUBLE / greatest(1, length(text)), 6) AS latin, 0.0::DOUBLE AS corruption, CAST({chars('text', 'ضطظعغفقحخثصشسجرذدز')} AS BIGINT) AS arabic_only, round(length(text)::DOUBLE / 2.0, 1) AS est_tokens FROM {D}",
     "document_languages": f"SELECT doc_id, {language('text')} AS by_substrings, {LANG} AS by_tokens, {CONF} AS conf, CASE WHEN {strip('text')} = '' THEN 'code' ELSE {LANG} END AS response FROM {D}",

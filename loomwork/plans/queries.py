@@ -107,9 +107,22 @@ def near_dedup_min_shingle(s, d):
 
 
 @query
-def near_dedup_minhash(s, d):
-    """J4, U4, F21 with verified similarity, between texts with different shingle sets"""
-    return dedup.minhash_pairs(docs(s, d), "text", "doc_id").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+def minhash_signatures(s, d):
+    """A14 over many permutations"""
+    rows = docs(s, d).withColumn("_w", T.words("text")).withColumn("_s", F.transform(T.shingles(F.col("_w")), lambda x: T.hash32(x)))
+    return rows.select("doc_id", F.md5(F.array_join(dedup.minhash_signature("_s"), ",")).alias("md5"))
+
+
+@query
+def similar_shingle_pairs(s, d):
+    """J4, U4 in full: pairs of different shingle sets, by the smallest documents with them"""
+    return dedup.similar_pairs(docs(s, d), "text", "doc_id").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query
+def shingle_classes(s, d):
+    """The class of each document, for the pairs of classes"""
+    return dedup.shingle_classes(docs(s, d), "text", "doc_id").select("doc_id", F.col("class").alias("class_id"))
 
 
 @query

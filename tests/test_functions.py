@@ -95,8 +95,13 @@ def test_dedup_and_sampling(spark):
     assert dedup.min_shingle(df.filter("id < 61"), "t", "id").filter("group = id").count() == 61  # a group over 60 counts as none
     words = [f"w{i}" for i in range(60)]
     texts = [" ".join(words), " ".join(words[:-1] + ["other"]), " ".join(reversed(words)), " ".join(words)]
-    got = dedup.minhash_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "t", "id").collect()
+    table = spark.createDataFrame(list(enumerate([*texts, "", "  "])), "id long, t string")
+    got = dedup.similar_pairs(table, "t", "id").collect()
     assert [(r["a"], r["b"], round(r["jaccard"], 4)) for r in got] == [(0, 1, round(55 / 57, 4))]
+    assert {r["id"]: r["class"] for r in dedup.shingle_classes(table, "t", "id").collect()} == {0: 0, 1: 1, 2: 2, 3: 0, 4: 4, 5: 4}
+    both = spark.createDataFrame([([1, 2, 3, 4], [1, 5, 3, 4])], "a array<long>, b array<long>").select(dedup.agreement("a", "b").alias("f"), dedup.minhash_signature("a", 8).alias("m"))
+    assert both.first()["f"] == 0.75 and len(both.first()["m"]) == 8
+    assert dedup.similar_pairs(table.limit(0), "t", "id").count() == 0
     rows = spark.createDataFrame([(i, c, i) for i, c in enumerate(["a-1", "a-2", "b-1", "c-1"])], "seq long, id string, n long")
     assert [r["id"] for r in sampling.round_robin(rows, F.regexp_replace("id", "-?[0-9]+$", ""), "seq", 4).collect()] == ["a-1", "b-1", "c-1", "a-2"]
     four = sampling.nearest_rank(spark.createDataFrame([(k,) for k in (1, 2, 3, 4)], "n long"), "n").first()
