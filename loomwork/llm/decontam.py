@@ -6,8 +6,9 @@ threshold holds for all items. Items are laid out in blocks; the index keeps eac
 overall (WAND's bound) and per block (block-max). Passages go through in batches: whole passages whose summed
 term bounds stay below the threshold are skipped, then blocks whose summed block maxima do, and only the
 postings of the blocks left are scored. Bounds never underestimate, so all items at or over the threshold
-are retrieved. A retrieved pair counts as a leak if the item's question part and answer part each have at least
-OVERLAP of their five-word shingles in the passage.
+are retrieved. A retrieved pair counts as a leak if the whole item has at least OVERLAP of its five-word shingles
+in the passage and both its question part and its answer part have at least FLOOR of their words in shared
+shingles, or if each part alone has at least OVERLAP of its own shingles there (parts that stand apart).
 
 The index is broadcast, so the benchmark must be small: its bytes are checked against INDEX_BYTES and a
 larger one is searched in several rounds, one part of it at a time.
@@ -29,6 +30,9 @@ from .common import table, text_col, tune
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 OVERLAP = 0.8
+#: Words of either part in shared shingles. Fails only where shingles repeat within the item: without repeats, at most
+#: 0.2 * (words - 4) words, under 0.4 of a part, can be outside shared shingles when the whole item reaches OVERLAP.
+FLOOR = 0.5
 SHINGLE = 5
 BLOCK = 8
 INDEX_BYTES = 16 << 20
@@ -84,7 +88,7 @@ class ItemIndex:
         self.max_impact = np.maximum.reduceat(self.post_impact, first) if n else self.post_impact
         self.max_starts = np.searchsorted(term[first], np.arange(len(self.vocab) + 2))
         self.term_max = np.append(np.maximum.reduceat(self.post_impact, self.starts[:-2]) if n else self.post_impact, np.float32(0))
-        self.parts: dict[int, list[tuple[set, int]]] = {}
+        self.parts: dict[int, tuple[list[int], set, list[tuple[set, int]]]] = {}
 
     @staticmethod
     def _of(starts: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -105,22 +109,31 @@ class ItemIndex:
         scores = np.bincount(self.post_item[at], weights=self.post_impact[at], minlength=len(self.ids))
         return [(int(k), float(scores[k])) for k in np.flatnonzero(scores >= threshold - 1e-5)]
 
-    def shingles_of(self, item: int) -> list[tuple[set, int]]:
-        """(shingles, words) of an item's question and answer; kept for a while, as few items are ever retrieved."""
+    def shingles_of(self, item: int) -> tuple[list[int], set, list[tuple[set, int]]]:
+        """An item's words, its shingles, and (shingles, words) of its question and answer; kept for a while, as few items are ever retrieved."""
         if item not in self.parts:
             if len(self.parts) >= KEPT_ITEMS:
                 self.parts.clear()
             words = self.words[self.ends[item - 1] if item else 0 : self.ends[item]].tolist()
-            self.parts[item] = [(_shingles(p), len(p)) for p in question_and_answer(words) if p]
+            self.parts[item] = words, _shingles(words), [(_shingles(p), len(p)) for p in question_and_answer(words) if p]
         return self.parts[item]
 
     def verified(self, item: int, passage: list[int]) -> tuple[float, float] | None:
-        """Shares of the question's and the answer's shingles in the passage (term numbers), if both reach OVERLAP."""
-        shares = []
-        for want, size in self.shingles_of(item):
-            have = _shingles(passage) if size >= SHINGLE else {tuple(passage[i : i + size]) for i in range(len(passage) - size + 1)}
-            shares.append(len(want & have) / len(want))
-            if shares[-1] < OVERLAP:
+        """Shares of the question's and the answer's shingles in the passage (term numbers), if the pair is a leak."""
+        words, whole, parts = self.shingles_of(item)
+        grams = {SHINGLE: _shingles(passage)}
+        for size in {min(SHINGLE, len(words)), *(min(SHINGLE, size) for _, size in parts)} - {SHINGLE}:
+            grams[size] = {tuple(passage[i : i + size]) for i in range(len(passage) - size + 1)}
+        shares = [len(want & grams[min(SHINGLE, size)]) / len(want) for want, size in parts]
+        if min(shares) < OVERLAP:
+            shared = whole & grams[min(SHINGLE, len(words))]
+            if len(shared) < OVERLAP * len(whole):
+                return None
+            covered = np.zeros(len(words), dtype=bool)
+            for i in range(len(words) - SHINGLE + 1):
+                if tuple(words[i : i + SHINGLE]) in shared:
+                    covered[i : i + SHINGLE] = True
+            if any(p.mean() < FLOOR for p in question_and_answer(covered) if len(p)):
                 return None
         return shares[0], shares[-1]
 

@@ -214,6 +214,36 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def edited(words, spots):
+    return [f"changed{i}" if i in spots else w for i, w in enumerate(words)]
+
+
+def test_decontamination_finds_edited_items(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").orderBy("item_id").limit(60).collect()
+    items = [(r["item_id"], r["text"]) for r in rows]
+    index, r, tried = decontam.ItemIndex(items), np.random.RandomState(14), Counter()
+    for k, text in items:
+        w = decontam.terms(text)
+        words = [x.decode() for x in w]
+        spots = [{i} for i in range(len(w))] + [set(r.choice(len(w), 2, replace=False).tolist()) for _ in range(20)]
+        for spot in spots:
+            new = edited(words, spot)
+            whole = decontam._shingles(w)
+            share = len(whole & decontam._shingles([x.encode() for x in new])) / len(whole)
+            hit = k in {g[1] for g in index.leaks([prose(15, 40) + " " + " ".join(new) + " " + prose(16, 40)])}
+            tried[len(spot), share >= 0.8] += 1
+            assert hit or share < 0.8, (k, spot)
+            parts = [decontam._shingles(p) for p in decontam.question_and_answer(w)]
+            both = all(len(p & decontam._shingles([x.encode() for x in new])) >= 0.8 * len(p) for p in parts)
+            assert hit == (share >= 0.8 or both), (k, spot)
+    assert tried[1, True] > 500 and tried[2, True] > 50
+    # the parts apart from each other still count, one part alone doesn't, also if the other's shingles are few
+    q, a = [f"q{i}" for i in range(20)], [f"a{i}" for i in range(20)]
+    index = decontam.ItemIndex([(1, " ".join(q + a)), (2, " ".join(["x"] * 30 + [f"b{i}" for i in range(30)]))])
+    assert [g[1] for g in index.leaks([" ".join([*q, "answer", "is", *a])])] == [1]
+    assert index.leaks([" ".join(q)]) == index.leaks([" ".join(a)]) == index.leaks([" ".join(f"b{i}" for i in range(30))]) == []
+
+
 # --- 6, 7 ------------------------------------------------------------------------------------------------
 
 def accuracy(spark, name, label, parts, held):
