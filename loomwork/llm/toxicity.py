@@ -58,7 +58,7 @@ class FuzzyTrie:
         self.term: list[tuple[str, bool] | None] = [None]
         self.room = [0]  # the most edits that any term below the node allows
         for t, stem in [*((w, False) for w in words), *((s, True) for s in stems)]:
-            at, k = 0, 0 if stem else allowed(t)
+            at, k = 0, allowed(t)
             self.room[0] = max(self.room[0], k)
             for c in t:
                 if c not in self.next[at]:
@@ -77,7 +77,7 @@ class FuzzyTrie:
         self.states: list[dict[int, int]] = []
         self.moves: list[dict[str, int]] = []
         self.hits: list[tuple | None] = []  # whole-word hit of the state: (term, edits, 0)
-        self.stem_hits: list[tuple | None] = []  # hit of a stem that has just been read
+        self.stem_hits: list[tuple | None] = []  # hit of a stem that has just been read: (term, edits)
         self.start = self._id(self._close({0: 0}))
         self.prefixes: dict[bytes, bool] = {}
 
@@ -98,7 +98,7 @@ class FuzzyTrie:
             self.states.append(state)
             self.moves.append({})
             whole = [(e, self.term[n][0]) for n, e in state.items() if self.term[n] and not self.term[n][1] and e <= allowed(self.term[n][0])]
-            stem = [(e, self.term[n][0]) for n, e in state.items() if self.term[n] and self.term[n][1] and e == 0]
+            stem = [(e, self.term[n][0]) for n, e in state.items() if self.term[n] and self.term[n][1] and e <= allowed(self.term[n][0])]
             self.hits.append(min(whole)[::-1] if whole else None)
             self.stem_hits.append(min(stem)[::-1] if stem else None)
         return self.ids[key]
@@ -119,15 +119,21 @@ class FuzzyTrie:
         return to
 
     def match(self, word: str) -> tuple[str, int, bool] | None:
-        """(term, edits, stem?) of the best hit of a word: a stem that it starts with, else the nearest whole term."""
-        at = self.start
+        """(term, edits, stem?) of the best hit of a word: a stem that it starts with, else the nearest term, at equal edits a whole one."""
+        at, near = self.start, None
         for c in word:
             at = self.step(at, c)
             if at < 0:
-                return None
-            if self.stem_hits[at]:
-                return self.stem_hits[at][0], 0, True
-        return (*self.hits[at], False) if self.hits[at] else None
+                break
+            hit = self.stem_hits[at]
+            if hit and (near is None or hit[1] < near[1]):
+                near = hit
+                if not hit[1]:
+                    return hit[0], 0, True
+        whole = self.hits[at] if at >= 0 else None
+        if whole and (near is None or whole[1] <= near[1]):
+            return (*whole, False)
+        return (*near, True) if near else None
 
     def alive(self, word: bytes) -> bool:
         """Whether the first three bytes leave a chance; kept by prefix."""
@@ -200,7 +206,7 @@ class Scanner:
     def features(self, text: str) -> list[float]:
         got = self.hits(text)
         n = max(1, text.count(" ") + text.count("\n") + 1)
-        kinds = [sum(1 for h in got if not h[3] and h[2] == 0), sum(1 for h in got if h[3]), sum(1 for h in got if h[2] > 0)]
+        kinds = [sum(1 for h in got if not h[3] and h[2] == 0), sum(1 for h in got if h[3] and h[2] == 0), sum(1 for h in got if h[2] > 0)]
         return [*[math.log1p(k) for k in kinds], math.log1p(sum(h[4] for h in got)), max((h[4] for h in got), default=0.0), math.log1p(100 * len(got) / n), math.log1p(len({h[1] for h in got}))]
 
 

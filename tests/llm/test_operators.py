@@ -297,6 +297,15 @@ def test_levenshtein_trie_against_edit_distance():
     assert abuse > 3 * quote
 
 
+def test_misspelt_stems_hit():
+    trie = toxicity.FuzzyTrie({"worthless": 2.0, "grond": 1.0}, {"idiot": 1.0, "vequ": 1.0})
+    hits = {w: trie.match(w) for w in ("idiotic", "idoitic", "idotic", "ideotically", "xidiots", "idio", "iditos", "vequta", "veqta", "worthles", "grond")}
+    assert hits == {"idiotic": ("idiot", 0, True), "idoitic": None, "idotic": ("idiot", 1, True), "ideotically": ("idiot", 1, True), "xidiots": ("idiot", 1, True), "idio": ("idiot", 1, True), "iditos": ("idiot", 1, True), "vequta": ("vequ", 0, True), "veqta": None, "worthles": ("worthless", 1, False), "grond": ("grond", 0, False)}
+    scan = toxicity.Scanner({}, {"idiot": 3.0})
+    assert [h[1:4] for h in scan.hits("an ideotic plan")] == [("idiot", 1, True)]
+    assert all(toxicity._Alive(trie)[w.encode()[:3]] for w, hit in hits.items() if hit)
+
+
 def test_line_marginals_against_enumeration():
     r = np.random.RandomState(1)
     trans, emit = r.randn(2, 2), [r.randn(4, 2), r.randn(1, 2), np.zeros((0, 2)), r.randn(6, 2)]
