@@ -179,13 +179,14 @@ class Scanner:
             self.trie.reset()
             self.live.clear()
         ws, live = tokens(text), self.live
-        found = []
+        found, quoted = [], {}
         for i in [i for i, w in enumerate(ws) if live[w[:3]]]:
             m = self.trie.match(ws[i].decode("utf-8", "ignore"))
             if m:
                 term, edits, stem = m
-                quoted = self.quoted(text, ws[i])
-                weight = (self.stems if stem else self.words)[term] * 0.6**edits * context(ws, i, quoted)
+                if ws[i] not in quoted:
+                    quoted[ws[i]] = self.quoted(text, ws[i])
+                weight = (self.stems if stem else self.words)[term] * 0.6**edits * context(ws, i, quoted[ws[i]])
                 found.append((i, term, edits, stem, weight))
         return found
 
@@ -195,13 +196,19 @@ class Scanner:
         if not any(q in text for q in "\"«“„"):
             return False
         w, low = word.decode("utf-8", "ignore"), text.lower()
-        at, n, inside = low.find(w), 0, 0
-        while at >= 0 and n < 50:
-            line = low[low.rfind("\n", 0, at) + 1 : at]
-            inside += (line.count('"') % 2 == 1) or line.rfind("«") > line.rfind("»") or max(line.rfind("“"), line.rfind("„")) > line.rfind("”")
-            n += 1
-            at = low.find(w, at + len(w))
-        return n > 0 and inside == n
+        at, start, marks, last = low.find(w), 0, 0, dict.fromkeys("«»“„”", -1)
+        if at < 0:
+            return False
+        while at >= 0:  # the line's marks are counted on from the occurrence before
+            line = low.rfind("\n", start, at) + 1
+            if line:
+                start, marks, last = line, 0, dict.fromkeys("«»“„”", -1)
+            marks += low.count('"', start, at)
+            last = {q: max(low.rfind(q, start, at), p) for q, p in last.items()}
+            if not (marks % 2 == 1 or last["«"] > last["»"] or max(last["“"], last["„"]) > last["”"]):
+                return False
+            start, at = at, low.find(w, at + len(w))
+        return True
 
     def features(self, text: str) -> list[float]:
         got = self.hits(text)

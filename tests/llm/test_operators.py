@@ -306,6 +306,25 @@ def test_misspelt_stems_hit():
     assert all(toxicity._Alive(trie)[w.encode()[:3]] for w, hit in hits.items() if hit)
 
 
+def test_quoted_reads_all_occurrences():
+    def brute(text, word):
+        low, inside, at = text.lower(), [], text.lower().find(word)
+        while at >= 0:
+            line = low[low.rfind("\n", 0, at) + 1 : at]
+            inside.append(line.count('"') % 2 == 1 or line.rfind("«") > line.rfind("»") or max(line.rfind("“"), line.rfind("„")) > line.rfind("”"))
+            at = low.find(word, at + len(word))
+        return bool(inside) and all(inside) and any(q in text for q in "\"«“„")
+
+    said = 'he said "idiot" then\n' * 60
+    assert toxicity.Scanner.quoted(said, b"idiot") and not toxicity.Scanner.quoted(said + "you idiot", b"idiot")
+    r, seen = np.random.RandomState(12), Counter()
+    for _ in range(5000):
+        text = "".join(r.choice(['"', "«", "»", "“", "„", "”", "\n", "Bad", "bad", " a "], r.randint(1, 14), p=[0.2, 0.1, 0.05, 0.1, 0.05, 0.05, 0.1, 0.1, 0.1, 0.15]))
+        seen[brute(text, "bad")] += 1
+        assert toxicity.Scanner.quoted(text, b"bad") == brute(text, "bad"), text
+    assert min(seen[True], seen[False]) > 500
+
+
 def test_line_marginals_against_enumeration():
     r = np.random.RandomState(1)
     trans, emit = r.randn(2, 2), [r.randn(4, 2), r.randn(1, 2), np.zeros((0, 2)), r.randn(6, 2)]
