@@ -52,7 +52,7 @@ class _Words(dict):
         super().__init__()
         self.bpe = bpe
 
-    def __missing__(self, word: str) -> tuple[str, str]:
+    def __missing__(self, word: str) -> str:
         got = self.bpe.word(word)
         if len(word) <= 64:
             self[word] = got
@@ -107,12 +107,12 @@ class ForcedBPE:
         out.append(letters[last:])
         return out
 
-    def word(self, word: str) -> tuple[str, str]:
-        """Ids and tokens of one pre-token, each joined by one space: its fragments' one after another."""
+    def word(self, word: str) -> str:
+        """Ids of one pre-token, joined by one space: its fragments' one after another."""
         letters = "".join([self.letters[b] for b in word.encode("utf-8", "replace")])
         cuts = self.pieces(letters)
         tokens = [t for piece in cuts[:-1] for t in self.inside.tokenize(piece)] + self.at_end.tokenize(cuts[-1])
-        return " ".join([str(t.id) for t in tokens]), " ".join([t.value for t in tokens])
+        return " ".join([str(t.id) for t in tokens])
 
     def split(self, text: str) -> list[str]:
         try:
@@ -123,8 +123,8 @@ class ForcedBPE:
             return [bytes(back[c] for c in w).decode("utf-8", "replace") for w, _ in self.lib.pre_tokenizer.pre_tokenize_str(low)]
         return _FAST.findall(text.lower())
 
-    def rows(self, text: str) -> list[tuple[str, str]]:
-        """Ids and tokens of each pre-token and special token of a text."""
+    def rows(self, text: str) -> list[str]:
+        """Ids of each pre-token and special token of a text."""
         words = self.words
         if len(words) > CACHE_WORDS:
             words.clear()
@@ -134,25 +134,26 @@ class ForcedBPE:
         out, at = [], 0
         for m in marks:
             out += [words[w] for w in self.split(text[at : m.start()])]
-            out.append((str(self.special[m[0]]), m[0]))
+            out.append(str(self.special[m[0]]))
             at = m.end()
         return out + [words[w] for w in self.split(text[at:])]
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for ids, _ in self.rows(text or "") for i in ids.split(" ")]
+        return [int(i) for ids in self.rows(text or "") for i in ids.split(" ")]
 
     def decode(self, ids: list[int]) -> str:
         """As the library without a decoder: tokens joined by one space, special ones included."""
         return " ".join([self.by_id[i] for i in ids])
 
     def count(self, text: str | None) -> int:
-        return sum([ids.count(" ") + 1 for ids, _ in self.rows(text or "")])
+        return sum([ids.count(" ") + 1 for ids in self.rows(text or "")])
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        got = self.rows(text or "")
-        ids, tokens = (" ".join(x) for x in zip(*got)) if got else ("", "")
+        """Number of tokens and digests of the ids and of what they decode to."""
+        ids = " ".join(self.rows(text or ""))
+        decoded = self.decode([int(i) for i in ids.split(" ")]) if ids else ""
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        return ids.count(" ") + bool(ids), sha(ids), sha(tokens)
+        return ids.count(" ") + bool(ids), sha(ids), sha(decoded)
 
 
 @lru_cache(maxsize=4)

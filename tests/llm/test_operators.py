@@ -160,6 +160,16 @@ def test_bpe_equals_the_library(spark):
     assert {x["doc_id"]: sha(x["decoded"]) for x in both} == {x["doc_id"]: got[x["doc_id"]]["decoded_sha256"] for x in both}
 
 
+def test_bpe_digests_what_the_ids_decode_to():
+    coder = bpe.ForcedBPE(bpe._spec(bpe.tokenizer_path()))
+    n, ids, decoded = coder.digest("Hi there <|endoftext|> don't")
+    other = {i: f"<{i}>" for i in coder.by_id}
+    coder.by_id = other
+    got, want = coder.digest("Hi there <|endoftext|> don't"), coder.encode("Hi there <|endoftext|> don't")
+    assert got == (n, ids, sha(" ".join(other[i] for i in want))) and got[2] != decoded
+    assert coder.digest("") == coder.digest(None) == (0, sha(""), sha(""))
+
+
 def test_token_counts(spark, tmp_path):
     want = {}
     coder = bpe.ForcedBPE(bpe._spec(bpe.tokenizer_path()))
