@@ -11,7 +11,7 @@ in the passage and both its question part and its answer part have at least FLOO
 shingles, or if each part alone has at least OVERLAP of its own shingles there (parts that stand apart).
 
 The index is broadcast, so the benchmark must be small: its bytes are checked against INDEX_BYTES and a
-larger one is searched in several rounds, one part of it at a time.
+larger one is searched in several rounds, one part of it at a time, with the statistics of the whole.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_col, tune
+from .common import cut, table, text_col, tune
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -56,14 +57,24 @@ def question_and_answer(words: list) -> tuple[list, list]:
     return words[:half], words[half:]
 
 
+class Statistics(NamedTuple):
+    """Of all items with a word: their number, words in all, words of the longest, and items with each term (of those asked for)."""
+
+    n: int
+    words: int
+    longest: int
+    df: dict[bytes, int]
+
+
 class ItemIndex:
     """Postings of a set of items with BM25 impacts, their maxima per term and per block of items.
 
     All in flat arrays, as large as the items' words: postings by term and item, block maxima by term and
-    block (only of blocks that have the term), and the items' words as term numbers.
+    block (only of blocks that have the term), and the items' words as term numbers. An index of a part of the
+    benchmark is given the statistics of the whole.
     """
 
-    def __init__(self, items: list[tuple[int, str | None]]) -> None:
+    def __init__(self, items: list[tuple[int, str | None]], whole: Statistics | None = None) -> None:
         kept = [(i, w) for i, t in items if i is not None and (w := terms(t or ""))]
         kept.sort(key=lambda x: (len(x[1]), x[0]))
         self.ids = [i for i, _ in kept]
@@ -72,13 +83,15 @@ class ItemIndex:
         self.words = np.array([self.vocab[t] for _, w in kept for t in w], dtype=np.int32)
         lens = np.array([len(w) for _, w in kept], dtype=np.int64)
         self.ends = np.cumsum(lens)
-        self.longest = int(lens.max(initial=0))
+        self.longest = whole.longest if whole else int(lens.max(initial=0))
         self.n_blocks = -(-n // BLOCK)
         pairs, tf = np.unique(self.words.astype(np.int64) * n + np.repeat(np.arange(n), lens), return_counts=True)
         term, item = np.divmod(pairs, max(1, n))
         df = np.bincount(term, minlength=len(self.vocab))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        raw = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[item] / (lens.mean() if n else 1)))
+        all_n, all_words = (whole.n, whole.words) if whole else (n, int(lens.sum()))
+        all_df = np.array([whole.df[t] for t in self.vocab], dtype=np.int64) if whole else df
+        idf = np.log(1 + (all_n - all_df + 0.5) / (all_df + 0.5))
+        raw = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[item] / (all_words / all_n if n else 1)))
         own = np.bincount(item, weights=raw, minlength=n)
         self.post_item, self.post_impact = item.astype(np.int32), (raw / own[item]).astype(np.float32)
         # the last term number stands for words that no item has: without postings
@@ -181,13 +194,43 @@ class ItemIndex:
         return [(d, self.ids[k], s, score, q, a) for (d, k), (score, s, q, a) in sorted(found.items())]
 
 
-def _rounds(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    """The items in parts of at most INDEX_BYTES of text each, by a stable hash of the id; the driver holds one part."""
+def _item_terms(items: DataFrame) -> DataFrame:
+    """(part, term, words) of each item with a word: its terms once each; `words`, the item's length, stands on its first row only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts, found, sizes = [], [], []
+            for part, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = terms(t)
+                once = set(own)
+                parts += [part] * len(once)
+                found += once
+                sizes += [len(own), *[None] * (len(once) - 1)] if own else []
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(found, pa.binary()), pa.array(sizes, pa.int64())], ["part", "term", "words"])
+
+    return items.filter("id is not null").select("part", "text").mapInArrow(run, "part long, term binary, words long")
+
+
+def _rounds(benchmark: DataFrame, item_id: str, text: str) -> Iterator[ItemIndex]:
+    """Indexes of the items in parts of at most INDEX_BYTES of text each, by a stable hash of the id; the driver holds one part.
+
+    Scores and passages don't depend on the parts: with more than one, document frequencies, lengths and the
+    number of items are counted over the whole benchmark, and each part fetches those of its own terms.
+    """
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), text_col(text).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-size // INDEX_BYTES) or 1
+    if parts == 1:
+        yield ItemIndex([(r["id"], r["text"]) for r in items.collect()])
+        return
+    items = items.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    each = cut(_item_terms(items), "item-terms")
+    n, words, longest = each.agg(F.count("words"), F.sum("words"), F.max("words")).first()
+    df = cut(each.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "item-df")
     for k in range(parts):
-        yield [(r["id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == k).collect()]
+        own = df.join(each.filter(F.col("part") == k).select("term").distinct(), "term")
+        whole = Statistics(n or 0, words or 0, longest or 0, {bytes(r["term"]): r["df"] for r in own.collect()})
+        yield ItemIndex([(r["id"], r["text"]) for r in items.filter(F.col("part") == k).collect()], whole)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
@@ -200,8 +243,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     schema = "doc_id long, item_id long, first_word long, score double, question_share double, answer_share double"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col(text).alias("text"))
     out = None
-    for part in _rounds(benchmark, item_id, "text"):
-        sent = docs.sparkSession.sparkContext.broadcast(ItemIndex(part))
+    for index in _rounds(benchmark, item_id, "text"):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
@@ -221,8 +264,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text: str = "text", item_id: str = "item_id") -> DataFrame:
     """The documents without a leak, in all columns of `docs`: decided row by row, so nothing is shuffled."""
     tune(docs.sparkSession)
-    for part in _rounds(benchmark, item_id, "text"):
-        sent = docs.sparkSession.sparkContext.broadcast(ItemIndex(part))
+    for index in _rounds(benchmark, item_id, "text"):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def judge(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -254,6 +254,16 @@ def test_decontamination_finds_edited_items(spark):
     assert index.leaks([" ".join(q)]) == index.leaks([" ".join(a)]) == index.leaks([" ".join(f"b{i}" for i in range(30))]) == []
 
 
+def test_decontamination_is_the_same_in_parts(spark, monkeypatch):
+    bench = spark.createDataFrame([(k, prose(40 + k, 12 + 9 * k)) for k in range(12)] + [(None, "one two"), (50, None), (51, " ")], "item_id long, text string")
+    docs = frame(spark, [prose(90 + k, 70) + " " + prose(40 + k, 12 + 9 * k) + " " + prose(60, 300) for k in range(12)])
+    whole = sorted(map(tuple, decontam.contaminated(docs, bench).collect()))
+    monkeypatch.setattr(decontam, "INDEX_BYTES", 1500)
+    assert len(list(decontam._rounds(bench, "item_id", "text"))) > 2
+    assert {r[0] for r in whole} == set(range(12)) and sorted(map(tuple, decontam.contaminated(docs, bench).collect())) == whole
+    assert decontam.decontaminate(docs, bench).count() == 0
+
+
 # --- 6, 7 ------------------------------------------------------------------------------------------------
 
 def accuracy(spark, name, label, parts, held):
