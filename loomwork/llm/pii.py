@@ -195,7 +195,7 @@ class ShapeCRF:
         if got is None:
             if len(self.cache) >= CACHE_SHAPES:
                 self.cache.clear()
-            got = self.cache[shape] = self.emit[[self.index.get(f, len(self.index)) for f in features(shape[:200])]].sum(axis=0)
+            got = self.cache[shape] = self.emit[[self.index.get(f, len(self.index)) for f in features(shape)]].sum(axis=0)
         return got
 
     def surely_outside(self, e: np.ndarray) -> bool:
@@ -279,6 +279,9 @@ class Finder:
                 stretches.append(np.array([self.model.emission(words[i]) for i in run]))
                 jobs.append((len(done) - 1, view, [places[i] for i in run]))
         for (doc, view, places), labels in zip(jobs, self.model.viterbi(stretches)):
+            taken = [x for spans in done[doc][0] for x in spans]
+            # words that a base span touches are outside, so they cut a run and its other words stay
+            labels = [0 if any(a < end and start < b for a, b in taken) else k for k, (start, end) in zip(labels, places)] if taken else labels
             i = 0
             while i < len(labels):
                 j = i
@@ -290,7 +293,7 @@ class Finder:
                         start += 1
                     while end > start and view[end - 1] in _EDGE:
                         end -= 1
-                    if start < end and not any(a < end and start < b for spans in done[doc][0] for a, b in spans):
+                    if start < end:
                         done[doc][1].append((int(labels[i]) - 1, start, end))
                 i = j
         return done
