@@ -19,9 +19,8 @@ from .common import table, text_col, tune
 from .labelled import fold, sample
 from .logistic import Logistic
 
-#: Labelled documents per class that are learnt from, and lines of each, at most.
+#: Labelled documents per class that are learnt from, at most.
 SAMPLE_PER_CLASS = 1500
-SAMPLE_LINES = 60
 CUTOFF = 0.3
 _KINDS = np.zeros(256, dtype=np.uint8)
 for _c in range(256):
@@ -156,7 +155,7 @@ class QualityModel:
     def fit(cls, texts: list[str], y: np.ndarray) -> "QualityModel":
         docs = [document(t) for t in texts]
         some = [i for i, (x, _) in enumerate(docs) if len(x)]
-        xs = [docs[i][0][:SAMPLE_LINES] for i in some]
+        xs = [docs[i][0] for i in some]
         crf = LineCRF(np.zeros((WIDTH, 2)), np.zeros((2, 2)))
         if some and y.min() != y.max():
             crf = LineCRF.fit(xs, [np.full(len(x), y[i]) for i, x in zip(some, xs)])
@@ -174,8 +173,7 @@ class QualityModel:
 def train(docs: DataFrame, labels: DataFrame, usable, per_class: int = SAMPLE_PER_CLASS) -> QualityModel:
     """A model from a bounded sample of labelled documents; without usable labels the score is the base rate.
 
-    The driver fetches 2 * per_class texts at most; very long ones count with their first SAMPLE_LINES lines
-    in the line model's training only.
+    The driver fetches 2 * per_class texts at most; all their lines count.
     """
     tune(docs.sparkSession)
     rows = sample(docs, labels, "quality", usable, per_class).orderBy("doc_id").collect()

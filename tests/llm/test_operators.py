@@ -89,6 +89,16 @@ def test_pii_crf_generalizes_and_viterbi_is_exact():
     assert {pii.KINDS[k] for k, _, _ in found[1]} == {"email", "secret"}
 
 
+def test_pii_keeps_what_a_base_span_leaves_of_a_run():
+    model = pii.default_model()
+    text = "call (555) 123-4567 +1 555 123 4567 now"
+    base, more = pii.Finder(model).find([text])[0]
+    assert [text[s:e] for s, e in base[3]] == ["+1 555 123 4567"] and [text[s:e] for _, s, e in more] == ["(555) 123-4567"]
+    long = pii.shape_of("a" * 300 + "1" * 300)
+    want = model.emit[[model.index.get(f, len(model.index)) for f in pii.features(long)]].sum(axis=0)
+    assert np.array_equal(model.emission(long), want)
+
+
 # --- 2 ---------------------------------------------------------------------------------------------------
 
 def brute_fp(t):
@@ -345,6 +355,18 @@ def test_quoted_reads_all_occurrences():
     assert min(seen[True], seen[False]) > 500
 
 
+def test_quality_learns_from_late_lines():
+    clean = [prose(100 + k, 9) for k in range(40)]
+    text = lambda r, n: [clean[i] for i in r.randint(0, 40, n)]
+    junk = "#$%& {}<> || *** ~~ 0101 $$$"
+    r = np.random.RandomState(3)
+    good = ["\n".join(text(r, 30)) for _ in range(20)]
+    bad = ["\n".join(text(r, 70) + [junk] * 40) for _ in range(20)]
+    model = quality.QualityModel.fit(good + bad, np.array([1.0] * 20 + [0.0] * 20))
+    lines = model.crf.lines([quality.document(bad[0])[0]])[0]
+    assert lines[72:].max() < 0.5 < lines[:30].min()
+
+
 def test_line_marginals_against_enumeration():
     r = np.random.RandomState(1)
     trans, emit = r.randn(2, 2), [r.randn(4, 2), r.randn(1, 2), np.zeros((0, 2)), r.randn(6, 2)]
