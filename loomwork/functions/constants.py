@@ -25,6 +25,7 @@ PERSIAN_WORDS = ["است", "را", "برای", "که", "های", "بود", "هس
 # Fixed: letters and digits that normalization maps; the last source letter (tatweel) has no target and is dropped.
 MAP_FROM = "يىكةٱ" + "".join(chr(0x0660 + i) for i in range(10)) + "ـ"
 MAP_TO = "ییکها" + "".join(chr(0x06F0 + i) for i in range(10))
+# Fixed: marks of direction and controls that normalization drops.
 BIDI = "[\u200b\u200e\u200f\u202a-\u202e\u2066-\u2069\ufeff]"
 CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 # Fixed: what normalization leaves alone, in order of priority.
@@ -42,8 +43,10 @@ BAD_MARKERS = ["TODO", "FIXME", "implement this yourself", "placeholder logic",
 BUILD_WORDS = ["بساز", "build", "create", "make", "generate", "landing", "dashboard", "page"]
 # Fixed: elements without an end tag.
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
+# Fixed: fenced blocks, what their language tags mean, bold paths before them and the names of blocks without one.
 BLOCK = r"```([a-zA-Z0-9]*)\s*\n([\s\S]*?)```"
 BLOCK_KIND = {"html": "html", "css": "css", "js": "js", "javascript": "js", "jsx": "js", "json": "other", "text": "other"}
+BOLD_PATH = r"\*\*\s*([\w./\-]+)\*\*"
 FILE_NAMES = {"html": "index.html", "css": "styles.css", "js": "app.js", "javascript": "app.js"}
 # Fixed: thresholds of large-corpus preparation.
 LIMITS = {"min_answer_chars": 60, "min_prompt_chars": 10, "max_answer_chars": 4000, "max_seq_len": 3072}

@@ -202,6 +202,31 @@ def blocks(t) -> Column:
     return F.transform(pairs, lambda p: F.struct(F.coalesce(named[F.lower(p["lang"])], guess(p["code"])).alias("kind"), p["code"].alias("code")))
 
 
+def files(t) -> Column:
+    """array<struct(path, code)> of the fenced blocks of an answer.
+
+    One scan reads bold paths and blocks as events; folding over them, a path waits for the next block that is a
+    file. Blocks without a path are named by their language, or by their number among all blocks. Blocks of the
+    language `text` are no files; a bold path within one waits on.
+    """
+    pattern = F.lit(f"(?U){C.BOLD_PATH}|{C.BLOCK}")
+    event = F.arrays_zip(*[F.regexp_extract_all(F.coalesce(col(t), F.lit("")), pattern, i).alias(n) for i, n in enumerate(("all", "path", "lang", "code"))])
+    named = F.create_map(*[F.lit(v) for kv in C.FILE_NAMES.items() for v in kv])
+    last = lambda code: F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(code, F.lit(f"(?U){C.BOLD_PATH}"), 1)), -1)
+    none = F.expr("cast(array() as array<struct<path: string, code: string>>)")
+
+    def step(acc, e):
+        lang, block = F.lower(e["lang"]), e["path"] == ""
+        file = block & (lang != "text")
+        name = F.coalesce(F.nullif(acc["path"], F.lit("")), named[lang], F.concat(F.lit("file"), acc["n"].cast("string"), F.lit("."), F.coalesce(F.nullif(lang, F.lit("")), F.lit("txt"))))
+        inner = F.coalesce(F.nullif(last(e["code"]), F.lit("")), acc["path"])
+        path = F.when(file, "").when(block, inner).otherwise(e["path"])
+        more = F.when(file, F.array(F.struct(name.alias("path"), strip(e["code"]).alias("code")))).otherwise(none)
+        return F.struct(path.alias("path"), (acc["n"] + block.cast("int")).alias("n"), F.concat(acc["out"], more).alias("out"))
+
+    return F.aggregate(event, F.struct(F.lit("").alias("path"), F.lit(0).alias("n"), none.alias("out")), step, lambda acc: acc["out"])
+
+
 def css_balanced(code) -> Column:
     return occurrences(code, "{") == occurrences(code, "}")
 

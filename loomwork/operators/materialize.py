@@ -30,17 +30,34 @@ def collate(rows: DataFrame, batch: str, ids: str, labels: str, pad: int) -> Dat
     return out.select(*[c for c in rows.columns if c not in (ids, labels)], padded(ids, "_n", pad).alias("input_ids"), padded(labels, "_n", IGNORED).alias("labels"), padded(real, "_n", 0).alias("attention_mask"))
 
 
-def budgeted_lines(rows: DataFrame, key: str, text: str, budget, cost) -> DataFrame:
-    """(key, kept): leading whole lines of a text whose summed cost stays within the budget."""
-    lines = F.split(T.col(text), "\n")
-    start = F.struct(F.lit(0).alias("used"), F.lit(True).alias("open"), F.expr("cast(array() as array<string>)").alias("kept"))
+def budgeted_lines(rows: DataFrame, key: str | list[str], text: str, budget, cost) -> DataFrame:
+    """(key, kept): leading whole lines of a text whose summed cost stays within the budget; `key` may be several columns.
+
+    The fold keeps the number of lines only, so it is linear in their number.
+    """
+    keys = [key] if isinstance(key, str) else key
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(True).alias("open"), F.lit(0).alias("n"))
 
     def add(acc, line):
-        used = acc["used"] + cost(line)
+        used = acc["used"] + cost(line).cast("long")
         fits = acc["open"] & (used <= budget)
-        return F.struct(used.cast("int").alias("used"), fits.alias("open"), F.when(fits, F.concat(acc["kept"], F.array(line))).otherwise(acc["kept"]).alias("kept"))
+        return F.struct(used.alias("used"), fits.alias("open"), (acc["n"] + fits.cast("int")).alias("n"))
+
+    counted = rows.withColumn("_lines", F.split(T.col(text), "\n")).withColumn("_n", F.aggregate("_lines", start, add, lambda acc: acc["n"]))
+    return counted.select(*keys, F.array_join(F.slice("_lines", F.lit(1), F.col("_n")), "\n").alias("kept"))
 
-    return rows.select(key, F.aggregate(lines, start, add, lambda acc: F.array_join(acc["kept"], "\n")).alias("kept"))
+
+def truncated_answers(rows: DataFrame, key: str, text: str, budget, cost, least_share: float = 0.1, least_budget: int = 48) -> DataFrame:
+    """(key, kept): `budgeted_lines` without blanks at the end and with an open code block closed.
+
+    Null if the budget is under `least_budget`, or if what is left is empty or under `least_share` of the answer.
+    `budget` may be a column: what a row's prompt leaves.
+    """
+    whole = F.length(T.rstrip(text))
+    cuts = budgeted_lines(rows.withColumns({"_budget": T.col(budget) if isinstance(budget, (str, Column)) else F.lit(budget), "_whole": whole}), [key, "_budget", "_whole"], text, F.col("_budget"), cost)
+    left = cuts.withColumn("kept", T.rstrip("kept"))
+    usable = (F.col("_budget") >= least_budget) & (F.length("kept") > 0) & (F.length("kept") >= least_share * F.col("_whole"))
+    return left.select(key, F.when(usable, F.when(T.odd_fences("kept"), F.concat("kept", F.lit("\n```"))).otherwise(F.col("kept"))).alias("kept"))
 
 
 def plan_batches(wants: DataFrame, have: DataFrame, target: int, base: int = 2400, size: int = 4) -> DataFrame:

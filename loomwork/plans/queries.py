@@ -398,7 +398,7 @@ def answers_with_files(s, d):
 @query
 def extracted_files(s, d):
     """F23"""
-    return answers_with_files(s, d).select("doc_id", F.explode(U.extract_files("answer")).alias("f")).select("doc_id", "f.path", F.md5(T.strip("f.code")).alias("md5"))
+    return answers_with_files(s, d).select("doc_id", F.explode(T.files("answer")).alias("f")).select("doc_id", "f.path", F.md5(T.strip("f.code")).alias("md5"))
 
 
 def noisy_json(s, d):

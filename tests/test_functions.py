@@ -1,5 +1,8 @@
 """Branches that the tables don't reach, on hand-written rows."""
 
+import time
+from itertools import product
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,7 +89,38 @@ def test_text_functions(spark):
     assert U.html_fault("<p><b></p>") is None and U.html_fault("</p>") == "stray </p>" and U.html_fault("<p></b>") == "unmatched </b>" and U.html_fault("<i><b><p>").startswith("unclosed")
     assert U.json_objects('noise ```json\n[{"a": "}{"}, {"b": [1, {"c": 2}]}, {"d": ') == ['{"a": "}{"}', '{"b": [1, {"c": 2}]}']
     assert U.json_objects('[{"a": 1}]') == ['{"a": 1}'] and U.json_objects(None) == []
-    assert U.truncate("aa\n```js\nbb\ncc", 60, lambda x: 20) == "aa\n```js\nbb\n```" and U.truncate("a", 10, len) is None
+    assert U.json_objects('[{"a": {"b": 1}, "c') == [] and U.json_objects('[{"a": "x\\') == [] and U.json_objects('{"a": 1}, {"b": 2}') == []
+
+
+def test_json_objects_is_linear_and_survives_nesting():
+    for noise in ("{" * 200_000, '"\\' * 200_000, "[" * 200_000, "[" + '{"a":' * 100_000 + "1" + "}" * 100_000 + "]"):
+        began = time.time()
+        assert U.json_objects('[{"a": 1}, ' + noise) == (['{"a": 1}'])
+        assert time.time() - began < 5
+    rows = [("".join(c), None) for c in product('{}"\\[a', repeat=6)]
+    for s, _ in rows[:: 7]:  # against a scan letter by letter
+        depth, quoted, escaped, start, want = 0, False, False, -1, []
+        for i, c in enumerate(s):
+            if quoted:
+                quoted, escaped = (c != '"' or escaped), (c == "\\" and not escaped)
+            elif c == '"':
+                quoted, escaped = True, False
+            elif c == "{":
+                start, depth = (i if depth == 0 else start), depth + 1
+            elif c == "}":
+                depth -= 1
+                if depth == 0 and start >= 0:
+                    want.append(s[start : i + 1])
+        assert [x for x in U.complete_objects(s)] == want or depth < 0 or "}" in s[: (s + "{").find("{")], s
+
+
+def test_files_and_truncated_answers(spark):
+    text = "**a/b.html**\n```html\n <p> \n```\n**x.css** then **y.css**\n```text\nnotes **z.css**\n```\n```css\nq{}\n```\n```JS\n1\n```\n```\nplain\n```\n```sql\nSELECT 1\n```"
+    assert [tuple(f) for f in one(spark, text, T.files("t"))] == [("a/b.html", "<p>"), ("z.css", "q{}"), ("app.js", "1"), ("file4.txt", "plain"), ("file5.sql", "SELECT 1")]
+    assert one(spark, None, T.files("t")) == [] == one(spark, "no block", T.files("t"))
+    rows = spark.createDataFrame([(1, "aa\n```js\nbb\ncc", 60), (2, "a", 10), (3, "x" * 500 + "\n" + "y" * 20, 100), (4, "a\n\n" + "b" * 100, 60), (5, "short \n" + "z" * 30 + "\n", 60)], "id long, t string, b int")
+    got = {r["id"]: r["kept"] for r in materialize.truncated_answers(rows, "id", "t", "b", lambda x: F.when(F.col("id") == 1, 20).otherwise(F.length(x) + 1)).collect()}
+    assert got == {1: "aa\n```js\nbb\n```", 2: None, 3: None, 4: None, 5: "short \n" + "z" * 30}
 
 
 def test_dedup_and_sampling(spark):
