@@ -2,14 +2,25 @@
 
 Windows are 13 words in a row. Each window has a fingerprint: the smallest hash of the seven-word runs inside it
 (winnowing), so equal windows have equal fingerprints and a document needs only the fingerprints that change
-from window to window, about a quarter as many as words. The index keeps them in immutable runs, bucketed and
-sorted by fingerprint. A batch of documents becomes a new run, is merge-joined bucket by bucket with the runs of
-history without shuffling these, and is committed by a manifest; several runs are compacted into one. Only
-documents that share a fingerprint with another one go on to verification: their windows with a shared
-fingerprint are compared by 96 bits of two hashes of all 13 words, and the smallest doc_id of each owns it.
+from window to window, about a quarter as many as words.
+
+The index keeps immutable runs, bucketed and sorted by their keys. Runs of postings say which documents have a
+fingerprint. Runs of windows say which document owns a window (the smallest doc_id that has it), for all windows
+whose fingerprint was ever shared; a window is known by 96 bits of two hashes of all its words. A batch of
+documents becomes new runs, which are merge-joined bucket by bucket with the runs of history without shuffling these:
+
+* a fingerprint that two documents of history share has all its windows among the owned ones already;
+* a fingerprint that one document of history has alone is verified now: that document's text is read again
+  from the index, and its windows become owned ones;
+* all windows of the batch with a shared fingerprint are compared with each other and with the owned ones.
+
+A batch is committed by a manifest, with its decisions: a batch that was committed before gives the same result
+again and changes nothing. Beyond MAX_RUNS runs are compacted into one and the old ones removed.
 
 Documents with equal word sequences are copies: all but the smallest doc_id lose all their words at once (if
-there are 13), and take no part in the comparison.
+there are 13), and take no part in the comparison. Fingerprints of boilerplate, which over one in HOT_SHARE of
+a sample of documents has, would crowd one bucket: they count as shared without a join, so their postings stay
+where the documents are.
 """
 
 from __future__ import annotations
@@ -30,8 +41,12 @@ WINDOW = 13
 GRAM = 7
 BATCHES = 2
 MAX_RUNS = 4
-#: Bits of the broadcast filter of document ids, 1 MB whatever the input; it only spares work.
-FILTER_BITS = 1 << 23
+#: Documents in the sample that finds boilerplate, about; and the share of them that makes a fingerprint hot. So at
+#: most HOT_SHARE times a document's mean number of fingerprints are hot, whatever the input.
+HOT_SAMPLE = 4096
+HOT_SHARE = 64
+#: Bits of the broadcast filter of document ids, 4 MB whatever the input; it only spares work.
+FILTER_BITS = 1 << 25
 _PAGE = 32768
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -71,173 +86,285 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
         yield flat[a:b]
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(fp, doc_id), one row per document and fingerprint; documents under 13 words have none."""
+def _digested(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, mark, n_words, whole, text, fps) of each row, in one pass over the texts.
+
+    `whole` is the digest of the words, (key, mark) are 96 bits of hashes of them, `fps` the document's distinct
+    fingerprints (none below 13 words and for rows with a null doc_id).
+    """
+    names = ["doc_id", "key", "mark", "n_words", "whole", "text", "fps"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, fps, owner = b.column(0).to_numpy(), [], []
-            for d, h in zip(ids, _lists(b.column(1))):
-                if len(h) >= WINDOW:
-                    own = np.unique(fingerprints(h.view(np.uint64)))
-                    fps.append(own.view(np.int64))
-                    owner.append(np.full(len(own), d))
-            if fps:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fps)), pa.array(np.concatenate(owner))], ["fp", "doc_id"])
+            fps, ends = [], [0]
+            for known, h in zip(b.column(0).is_valid().to_pylist(), _lists(b.column(6))):
+                own = np.unique(fingerprints(h.view(np.uint64))) if known and len(h) >= WINDOW else h[:0]
+                fps.append(own.view(np.int64))
+                ends.append(ends[-1] + len(own))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(fps) if fps else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(6)], lists], names)
 
     tune(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("_t")).filter("doc_id is not null")
-    return rows.select("doc_id", _hashes(words_col(F.col("_t"))).alias("h")).mapInArrow(run, "fp long, doc_id long")
-
-
-class FingerprintIndex:
-    """Immutable sorted runs of (fp, doc_id) under a folder shared by all executors; the last manifest names the live ones."""
-
-    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None) -> None:
-        self.spark, self.root, self.files = spark, root.rstrip("/"), _Files(spark, root.rstrip("/"))
-        now = self.manifest()
-        self.buckets = now["buckets"] or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def manifest(self) -> dict:
-        all_of = self.files.read("manifests")
-        return all_of[max(all_of)] if all_of else {"runs": [], "batches": [], "buckets": None, "n": 0}
-
-    def _commit(self, runs: list[str], batches: list[str], n: int) -> None:
-        if not self.files.claim(f"manifests/{n + 1:09d}", json.dumps({"runs": runs, "batches": batches, "buckets": self.buckets, "n": n + 1})):
-            raise RuntimeError("another writer has committed to the index meanwhile")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text")).withColumn("_w", words_col(F.col("text"))).withColumn("_t", F.array_join("_w", " "))
+    rows = rows.select("doc_id", F.xxhash64("_t").alias("key"), F.hash("_t").alias("mark"), F.size("_w").cast("long").alias("n_words"), F.sha2("_t", 256).alias("whole"), "text", _hashes(F.col("_w")).alias("h"))
+    return rows.mapInArrow(run, "doc_id long, key long, mark int, n_words long, whole string, text string, fps array<long>")
 
-    def _write(self, rows: DataFrame) -> str:
-        name = f"run_{uuid.uuid4().hex}"
-        dealt = rows.repartition(self.buckets, "fp")
-        dealt.write.options(**PACKED).bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.root}/{name}").saveAsTable(name)
-        return name
 
-    def run(self, name: str) -> DataFrame:
-        if not self.spark.catalog.tableExists(name):
-            self.spark.sql(f"CREATE TABLE {name} (fp BIGINT, doc_id BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{name}'")
-        return self.spark.table(name)
+def _bits(ids: DataFrame):
+    """A fixed-size bitmap of the column doc_id, in pages; FILTER_BITS / _PAGE rows at most."""
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    return F.broadcast(ids.select(spot.alias("_s")).groupBy(F.expr(f"_s div {_PAGE}").alias("_page")).agg(F.bitmap_construct_agg(F.expr(f"_s % {_PAGE}")).alias("_bits")))
 
-    def add(self, batch: str, docs: DataFrame) -> DataFrame | None:
-        """Adds a batch and returns (doc_id, fp) of all its and the history's documents that share a fingerprint which the batch has.
 
-        A batch of a name that was committed before changes nothing and gives None.
-        """
-        now = self.manifest()
-        if batch in now["batches"]:
-            return None
-        name = self._write(postings(docs))
-        new = self.run(name)
-        within = new.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-        shared, found = within.filter("lo < hi").select("fp"), []
-        for old in now["runs"]:
-            both = within.select("fp").join(self.run(old).select("fp").distinct(), "fp")
-            shared = shared.unionByName(both)
-            found.append(self.run(old).join(within.select("fp"), "fp", "left_semi").select("doc_id", "fp"))
-        hits = shared.distinct() if now["runs"] else shared
-        found.append(new.join(hits, "fp", "left_semi").select("doc_id", "fp"))
-        out = found[0]
-        for f in found[1:]:
-            out = out.unionByName(f)
-        out = cut(out, "substring-hits")
-        self._commit([*now["runs"], name], [*now["batches"], batch], now["n"])
-        if len(now["runs"]) + 1 > MAX_RUNS:
-            self.compact()
-        return out
+def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """`docs` with `_near`: false only for rows whose doc_id isn't in `ids`; most of those are told by the bitmap."""
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(_s % {_PAGE} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    rows = docs.withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).withColumn("_page", F.expr(f"_s div {_PAGE}")).join(_bits(ids), "_page", "left")
+    return rows.withColumn("_near", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_s % 8 as int))")) != 0, F.lit(False))).drop("_s", "_page", "_bits")
 
-    def compact(self) -> None:
-        """Merges all runs into one."""
-        now = self.manifest()
-        if len(now["runs"]) > 1:
-            rows = self.run(now["runs"][0])
-            for r in now["runs"][1:]:
-                rows = rows.unionByName(self.run(r))
-            self._commit([self._write(rows.distinct())], now["batches"], now["n"])
 
+def _picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`docs` joined with `wanted` on doc_id; the bitmap spares shuffling the texts of most others."""
+    return _marked(docs, wanted).filter("_near").drop("_near").join(wanted, "doc_id")
 
-def _near(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """`docs` without most of those whose doc_id isn't in `ids`: a fixed-size bitmap, broadcast, spares shuffling their texts."""
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    pages = ids.select(spot.alias("s")).groupBy(F.expr(f"s div {_PAGE}").alias("_page")).agg(F.bitmap_construct_agg(F.expr(f"s % {_PAGE}")).alias("_bits"))
-    rows = docs.withColumn("_s", spot).withColumn("_page", F.expr(f"_s div {_PAGE}")).join(F.broadcast(pages), "_page")  # FILTER_BITS / _PAGE rows at most
-    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(_s % {_PAGE} div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return rows.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(_s % 8 as int))")) != 0).select(*docs.columns)
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows (doc_id, key, fps) whose (doc_id, key) isn't in `gone`: most need no join."""
+    rows = _marked(docs, gone)
+    return rows.filter("not _near").drop("_near").unionByName(rows.filter("_near").drop("_near").join(gone, ["doc_id", "key"], "left_anti"))
 
-def verified(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """(doc_id, text, starts): the documents with windows that a smaller doc_id has too, and where these start.
 
-    `hits` are (doc_id, fp); only windows with such a fingerprint are compared, by all their words.
-    """
-    wanted = cut(hits.groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "substring-wanted")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text")).filter("doc_id is not null")
-    texts = cut(_near(rows, wanted).join(wanted, "doc_id"), "substring-texts")
+def windows(rows: DataFrame) -> DataFrame:
+    """(doc_id, key, start, a, b, old) of rows (doc_id, key, text, fps, old): the windows with one of the fingerprints `fps`."""
+    names = ["doc_id", "key", "start", "a", "b", "old"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "a", "b"]
-        for b in batches:
+        for batch in batches:
             out: list[tuple] = []
-            for d, h, fps in zip(b.column(0).to_numpy(), _lists(b.column(1)), _lists(b.column(2))):
+            for d, key, old, h, fps in zip(*[batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], _lists(batch.column(3)), _lists(batch.column(4))):
                 if len(h) < WINDOW:
                     continue
                 h = h.view(np.uint64)
                 at = np.flatnonzero(np.isin(fingerprints(h), fps.view(np.uint64)))
                 if len(at):
                     one, two = _rolled(h, WINDOW, _M1)[at], _rolled(_mix(h), WINDOW, _M2)[at]
-                    out.append((np.full(len(at), d), at.astype(np.int32), one.view(np.int64), (two >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                    out.append((np.full(len(at), d), np.full(len(at), key), at.astype(np.int32), one.view(np.int64), (two >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(at), bool(old))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
 
-    hashed = texts.select("doc_id", _hashes(words_col(F.col("text"))).alias("h"), "fps")
-    found = cut(hashed.mapInArrow(run, "doc_id long, start int, a long, b int"), "substring-windows")
-    owners = found.groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = attach_by_key(found, cut(owners, "substring-owners"), ["a", "b"], "n").filter("owner < doc_id")
-    starts = cut(later.groupBy("doc_id").agg(F.collect_set("start").alias("starts")), "substring-starts")
-    return _near(texts.select("doc_id", "text"), starts).join(starts, "doc_id")
+    hashed = rows.select("doc_id", "key", "old", _hashes(words_col(F.col("text"))).alias("h"), "fps")
+    return hashed.mapInArrow(run, "doc_id long, key long, start int, a long, b int, old boolean")
+
 
+class FingerprintIndex:
+    """The index under a folder that all executors share; the last manifest names what is live.
+
+    One writer at a time: a second one's commit is refused. Compaction removes the runs that it replaces, so a
+    reader that holds an older manifest opens the index anew.
+    """
+
+    _KINDS = {"postings": ("fp BIGINT, doc_id BIGINT", ["fp"]), "windows": ("a BIGINT, b INT, owner BIGINT, n BIGINT", ["a", "b"])}
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None) -> None:
+        self.spark, self.root, self.files = spark, root.rstrip("/"), _Files(spark, root.rstrip("/"))
+        self.buckets = self.manifest()["buckets"] or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def manifest(self) -> dict:
+        last = self.files.last("manifests")
+        return last or {"postings": [], "windows": [], "texts": [], "hot": [], "batches": {}, "buckets": None, "n": 0}
+
+    def _commit(self, now: dict, **changed) -> None:
+        new = now | changed | {"buckets": self.buckets, "n": now["n"] + 1}
+        if not self.files.claim(f"manifests/{now['n'] + 1:09d}", json.dumps(new)):
+            raise RuntimeError("another writer has committed to the index meanwhile")
+
+    def _save(self, rows: DataFrame, tag: str) -> str:
+        """Writes a table within the index; it counts once a manifest names it."""
+        name = f"{tag}/{uuid.uuid4().hex}"
+        rows.write.options(**PACKED).parquet(f"{self.root}/{name}")
+        return name
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+
+    def _cut(self, rows: DataFrame, tag: str) -> DataFrame:
+        return self.spark.read.schema(rows.schema).parquet(f"{self.root}/{self._save(rows, f'work/{tag}')}")
 
-def _kept(words: DataFrame) -> DataFrame:
-    """(doc_id, whole, n_removed, kept_sha256, kept) of rows (doc_id, text, starts): words of covered positions go."""
-    t = words.withColumn("_w", words_col(F.col("text")))
+    def _write(self, rows: DataFrame, kind: str) -> str:
+        name, keys = f"{kind}_{uuid.uuid4().hex}", self._KINDS[kind][1]
+        rows.write.options(**PACKED).bucketBy(self.buckets, *keys).sortBy(*keys).option("path", f"{self.root}/{name}").saveAsTable(name)
+        return name
+
+    def _run(self, name: str) -> DataFrame:
+        if not self.spark.catalog.tableExists(name):
+            schema, keys = self._KINDS[name.split("_")[0]]
+            by = ", ".join(keys)
+            self.spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{name}'")
+        return self.spark.table(name)
+
+    def _remove(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self.files.delete(name)
+
+    def drop(self) -> None:
+        """Removes the whole index but the facts and decisions of its batches."""
+        now = self.manifest()
+        self._remove(now["postings"] + now["windows"])
+        for name in now["hot"] + now["texts"]:
+            self.files.delete(name)
+
+    def _owned(self, rows: DataFrame, now: dict) -> DataFrame:
+        """(a, b, owner, n): the smallest doc_id of each pair of hashes among rows (doc_id, a, b) and in history, and how many have it, runs of history counting once."""
+        got = rows.groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n"))
+        for name in now["windows"]:
+            before = self._run(name).groupBy("a", "b").agg(F.min("owner").alias("_before"))
+            got = got.join(before, ["a", "b"], "left").withColumns({"owner": F.least("owner", "_before"), "n": F.col("n") + F.col("_before").isNotNull().cast("long")}).drop("_before")
+        return got.select("a", "b", "owner", "n")
+
+    def _hot(self, docs: DataFrame, n: int) -> DataFrame:
+        """(fp) of the fingerprints of boilerplate; a bounded number."""
+        some = docs if n <= HOT_SAMPLE else docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(n)) < HOT_SAMPLE)
+        return some.select(F.explode("fps").alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") * HOT_SHARE > min(n, HOT_SAMPLE)).filter("_n > 8").select("fp")
+
+    def add(self, batch: str, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Adds a batch of documents, unless one of this name is there already, and gives what was decided on it.
+
+        (doc_id, key, n_words, whole, copy) of each row of the batch; (doc_id, key, starts) of the documents
+        that lose windows; (doc_id, key, ..., text) of the batch's rows.
+        """
+        now = self.manifest()
+        if batch not in now["batches"]:
+            self._judge(now, batch, docs)
+            if len(now["postings"]) + 1 > MAX_RUNS:
+                self.compact()
+            now = self.manifest()
+        own = now["batches"][batch]
+        return self._read(own["facts"], _FACTS), self._read(own["starts"], _STARTS), self._read(own["texts"], _TEXTS)
+
+    def _judge(self, now: dict, batch: str, docs: DataFrame) -> None:
+        stored = self._save(_digested(docs), "texts")
+        rows = self._read(stored, _TEXTS)
+        # copies: rows whose words a smaller doc_id has, all of them
+        known = rows.select("doc_id", F.col("key").alias("a"), F.col("mark").alias("b"), "key", "n_words", "whole")
+        wholes = self._write(self._owned(known.filter("doc_id is not null"), now), "windows")
+        owners = self._run(wholes).filter("n > 1")
+        facts = self._save(attach_by_key(known, owners, ["a", "b"], "n").select("doc_id", "key", "n_words", "whole", F.coalesce(F.col("owner") < F.col("doc_id"), F.lit(False)).alias("copy")), "facts")
+        first = self._read(facts, _FACTS)
+        n = first.count()
+        single = self._cut(_without(rows.select("doc_id", "key", "fps"), first.filter("copy").select("doc_id", "key")).filter("size(fps) > 0").select("doc_id", "fps"), "single")
+        hot = self._save(self._hot(single, n), "hot")
+        boiler = F.broadcast(self._read(hot, "fp long"))
+        each = single.select(F.explode("fps").alias("fp"), "doc_id")
+        postings = self._write(each.join(boiler, "fp", "left_anti").repartition(self.buckets, "fp"), "postings")
+
+        new = self._run(postings)
+        shared = new.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).withColumns({"_held": F.lit(0), "_old": F.lit(None).cast("long")})
+        for name in now["postings"]:
+            before = self._run(name).groupBy("fp").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"))
+            shared = shared.join(before, "fp", "left").withColumns({"_held": F.col("_held") + F.when(F.col("_lo").isNull(), 0).when(F.col("_lo") < F.col("_hi"), 2).otherwise(1), "_old": F.coalesce("_old", "_lo")}).drop("_lo", "_hi")
+        alone = F.when(F.col("_held") == 1, F.col("_old"))  # a document of history that had the fingerprint alone
+        for name in now["hot"]:
+            shared = shared.join(F.broadcast(self._read(name, "fp long").withColumn("_hot", F.lit(True))), "fp", "left").withColumn("_held", F.col("_held") + F.when(F.col("_hot"), 2).otherwise(0)).drop("_hot")
+        shared = shared.filter("lo < hi or _held > 0").select("fp", alone.alias("old"))
+        hits = new.join(shared, "fp").select("doc_id", "fp", "old")
+        boilers = each.join(boiler, "fp").select("doc_id", "fp", F.lit(None).cast("long").alias("old"))
+        hits = self._cut(hits.unionByName(boilers), "hits")
+        met = hits.filter("old is not null").select(F.col("old").alias("doc_id"), "fp")
+        if now["postings"]:  # of what is boilerplate now, too: who of history had it alone
+            held = None
+            for name in now["postings"]:
+                part = self._run(name).join(boiler, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+                held = part if held is None else held.unionByName(part)
+            held = held.groupBy("fp").agg(F.min("lo").alias("doc_id"), F.max("hi").alias("hi")).filter("doc_id = hi")
+            for name in now["hot"]:
+                held = held.join(F.broadcast(self._read(name, "fp long")), "fp", "left_anti")
+            met = met.unionByName(held.select("doc_id", "fp"))
+
+        wanted = hits.groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
+        texts = _picked(rows.select("doc_id", "key", "text"), self._cut(wanted, "wanted")).withColumn("old", F.lit(False))
+        if now["texts"]:
+            wanted = self._cut(met.groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "wanted-old")
+            for name in now["texts"]:
+                texts = texts.unionByName(_picked(self._read(name, _TEXTS).select("doc_id", "key", "text"), wanted).withColumn("old", F.lit(True)))
+        found = self._cut(windows(texts), "found")
+        owned = self._write(self._owned(found, now), "windows")
+        several = self._run(owned).filter("n > 1")
+        later = attach_by_key(found.filter("not old").drop("old"), several, ["a", "b"], "n").filter("owner < doc_id")
+        starts = self._save(later.groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts")), "starts")
+        self._commit(now, postings=[*now["postings"], postings], windows=[*now["windows"], wholes, owned], texts=[*now["texts"], stored], hot=[*now["hot"], hot], batches=now["batches"] | {batch: {"facts": facts, "starts": starts, "texts": stored}})
+        self.files.delete("work")
+
+    def compact(self) -> None:
+        """Merges the runs of each kind into one and removes the old ones."""
+        now = self.manifest()
+        merged = {}
+        for kind, schema in (("postings", None), ("windows", None)):
+            old = now[kind]
+            if len(old) > 1:
+                rows = self._run(old[0])
+                for r in old[1:]:
+                    rows = rows.unionByName(self._run(r))
+                whole = rows.distinct().repartition(self.buckets, "fp") if kind == "postings" else rows.groupBy("a", "b").agg(F.min("owner").alias("owner"), F.sum("n").alias("n"))
+                merged[kind] = [self._write(whole, kind)]
+        if merged:
+            self._commit(now, **merged)
+            self._remove([r for kind in merged for r in now[kind]])
+
+
+_FACTS = "doc_id long, key long, n_words long, whole string, copy boolean"
+_STARTS = "doc_id long, key long, starts array<int>"
+_TEXTS = "doc_id long, key long, mark int, n_words long, whole string, text string, fps array<long>"
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    """(doc_id, key, n_removed, kept) of rows (doc_id, key, text, starts): words of covered positions go."""
+    t = rows.withColumn("_w", words_col(F.col("text")))
     t = t.withColumn("_gone", F.expr(f"array_distinct(flatten(transform(starts, s -> sequence(s, s + {WINDOW - 1}))))"))
     t = t.withColumn("_left", F.expr("transform(array_except(sequence(0, size(_w) - 1), _gone), i -> get(_w, i))"))
-    return t.select("doc_id", F.sha2(F.array_join("_w", " "), 256).alias("whole"), F.size("_gone").cast("long").alias("n_removed"), F.array_join("_left", " ").alias("kept"))
+    return t.select("doc_id", "key", F.size("_gone").cast("long").alias("n_removed"), F.array_join("_left", " ").alias("kept"))
+
+
+def _name(docs: DataFrame) -> str:
+    """A name of a batch by its contents: the same rows in any order have the same."""
+    h = F.xxhash64(F.col("doc_id").cast("long"), text_col()).cast("decimal(20,0)")
+    n, a, b = docs.agg(F.count(F.lit(1)), F.sum(h), F.sum(F.xxhash64(F.col("doc_id").cast("long"), text_col(), F.lit(1)).cast("decimal(20,0)"))).first()
+    return f"{n}.{a}.{b}"
 
 
 def dedup_substrings(docs: DataFrame, index: FingerprintIndex | None = None, batches: int = BATCHES) -> DataFrame:
     """Per row (doc_id, n_words, n_removed, kept_sha256): words covered by a window that a smaller doc_id has go.
 
-    The documents enter the index in `batches` ranges of doc_id. Windows are judged on the input. Null texts
-    have no words; rows with a null doc_id lose nothing; rows that repeat a doc_id are one document to each
-    other, so none of them loses words to another. Empty tables give no rows.
+    The documents enter the index in `batches` ranges of doc_id, and are compared with all that it holds: with the
+    documents of earlier calls on the same index too. What was decided on those stays as it was. A call with rows
+    that are in the index already (as the same batches) gives the same result again. Without an index one of its own is used.
+
+    Windows are judged on the input. Null texts have no words. Rows with a null doc_id lose nothing. Rows that
+    repeat a doc_id, be it with other texts, are one document to each other: none of them loses words to another,
+    each loses what its own text shares with a smaller doc_id, and each gives a row. Empty tables give no rows.
+    Columns other than doc_id and text, whatever their names, are not read. A text's words are hashed at once, so
+    a task needs some tens of bytes per word of its longest text.
     """
     spark = docs.sparkSession
+    own = index is None
     index = index or FingerprintIndex(spark, fresh_dir(spark, "substring-index"))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text"))
-    whole = F.sha2(F.array_join("_w", " "), 256)
-    facts = cut(plain.withColumn("_w", words_col(F.col("text"))).select("doc_id", F.size("_w").cast("long").alias("n_words"), whole.alias("whole")), "substring-facts")
-    groups = cut(facts.groupBy("whole").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "substring-copies")
-    facts = cut(attach_by_key(facts, groups, ["whole"], "n").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).drop("first", "n"), "substring-facts")
-
-    lo, hi = facts.agg(F.min("doc_id"), F.max("doc_id")).first()
-    hits = None
-    if lo is not None:
-        edges = [lo + (hi - lo + 1) * k // batches for k in range(batches)] + [hi + 1]
-        for a, b in zip(edges, edges[1:]):
-            if a < b:
-                part = index.add(f"{a}-{b - 1}", docs.filter((F.col("doc_id") >= a) & (F.col("doc_id") < b)))
-                hits = part if hits is None or part is None else hits.unionByName(part)
-    rest = facts.select("doc_id", "n_words", "whole", "copy")
-    if hits is not None:
-        copies = facts.groupBy("doc_id").agg(F.min("copy").alias("copy")).filter("copy").select("doc_id")
-        left = cut(hits.join(copies, "doc_id", "left_anti"), "substring-hits")
-        shared = left.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("fp")
-        part = cut(_kept(verified(plain, left.join(shared, "fp", "left_semi"))).select("doc_id", "whole", "n_removed", F.sha2("kept", 256).alias("kept_sha256")).distinct(), "substring-kept")
-        rest = rest.join(part, ["doc_id", "whole"], "left")
-    else:
-        rest = rest.withColumns({"n_removed": F.lit(None).cast("long"), "kept_sha256": F.lit(None).cast("string")})
-    gone = F.col("copy") & (F.col("n_words") >= WINDOW)
-    return rest.select("doc_id", "n_words", F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-                       F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"))
+    d = F.col("doc_id").cast("long")
+    lo, hi = docs.agg(F.min(d), F.max(d)).first()
+    edges = [None] if lo is None else [lo + (hi - lo + 1) * k // batches for k in range(batches)] + [hi + 1]
+    ranges = [docs.filter(d.isNull())] if lo is None else [docs.filter((d >= a) & (d < b) | (d.isNull() if a == lo else F.lit(False))) for a, b in zip(edges, edges[1:]) if a < b]
+    out = None
+    for k, part in enumerate(ranges):
+        facts, starts, texts = index.add(f"part-{k}" if own else _name(part), part)
+        kept = _kept(_picked(texts.select("doc_id", "key", "text"), starts.withColumnRenamed("key", "_key")).filter("key = _key").drop("_key"))
+        kept = cut(kept.select("doc_id", "key", "n_removed", F.sha2("kept", 256).alias("kept_sha256")).distinct(), "substring-kept")
+        gone = F.col("copy") & (F.col("n_words") >= WINDOW)
+        rows = facts.join(kept, ["doc_id", "key"], "left").select(
+            "doc_id", "n_words", F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+            F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"))
+        out = rows if out is None else out.unionByName(rows)
+    if own:
+        index.drop()
+    return out
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -49,14 +49,24 @@ class _Files:
         at = self.path(folder)
         if not self.fs.exists(at):
             return {}
-        out = {}
-        for s in self.fs.listStatus(at):
-            stream = self.fs.open(s.getPath())
-            try:
-                out[s.getPath().getName()] = json.loads(bytes(stream.readNBytes(s.getLen())).decode())
-            finally:
-                stream.close()
-        return out
+        return {s.getPath().getName(): self._content(s) for s in self.fs.listStatus(at)}
+
+    def last(self, folder: str) -> dict | None:
+        """The content of the file with the greatest name; only that one is opened."""
+        at = self.path(folder)
+        found = self.fs.listStatus(at) if self.fs.exists(at) else []
+        return self._content(max(found, key=lambda s: s.getPath().getName())) if len(found) else None
+
+    def _content(self, status) -> dict:
+        stream = self.fs.open(status.getPath())
+        try:
+            return json.loads(bytes(stream.readNBytes(status.getLen())).decode())
+        finally:
+            stream.close()
+
+    def delete(self, name: str) -> None:
+        """Removes a file or folder, if it is there."""
+        self.fs.delete(self.path(name), True)
 
 
 def signed(changes: DataFrame) -> DataFrame:

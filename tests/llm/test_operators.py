@@ -450,10 +450,44 @@ def test_substring_dedup(spark, tmp_path):
         want = brute_words([(r["doc_id"], r["text"] or "") for r in df.collect()])
         got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.dedup_substrings(df, batches=batches).collect()}
         assert got == want
-    index = substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"), 4)
-    assert index.add("a", planted(spark)) is not None and index.add("a", planted(spark)) is None
-    again = substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"))
-    assert again.manifest()["batches"] == ["a"] and again.buckets == 4
+
+
+def test_substring_dedup_over_sessions(spark, tmp_path, monkeypatch):
+    """Batches that come one after another lose what earlier ones have; replays change nothing; equal to brute force over the union."""
+    monkeypatch.setattr(substring_dedup, "MAX_RUNS", 2)
+    rows = [(r["doc_id"], r["text"] or "") for r in planted(spark).collect()]
+    rows += [(100 + i, t) for i, t in rows] + [(300, prose(20, 60)), (301, "new " * 3 + prose(20, 60) + " " + prose(23, 30)), (302, prose(77, 40)), (303, prose(78, 9) + " " + prose(77, 40))]
+    rows += [(i, t) for i, t in rows_of(spark) if i > 1000]
+    want = brute_words(rows)
+    where = str(tmp_path / "index")
+    cut_at = [0, 5, 11, 14, 23, len(rows)]
+    parts = [sorted(rows)[a:b] for a, b in zip(cut_at, cut_at[1:])]
+    run = lambda part: {(r["doc_id"], r["kept_sha256"]): (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.dedup_substrings(spark.createDataFrame(part, "doc_id long, text string"), substring_dedup.FingerprintIndex(spark, where, 4), batches=1).collect()}
+    first = [run(p) for p in parts]
+    assert {k[0]: v for got in first for k, v in got.items()} == want and any(v[1] for v in first[2].values())
+    index = substring_dedup.FingerprintIndex(spark, where)
+    now = index.manifest()
+    assert len(now["postings"]) <= 2 and len(now["batches"]) == len(parts) and index.buckets == 4
+    live = {p.name for p in (tmp_path / "index").iterdir()}
+    assert {n for n in live if n.startswith(("postings_", "windows_"))} == set(now["postings"] + now["windows"])
+    assert [run(p) for p in parts] == first and index.manifest() == now
+    # one id with two texts, and repeated rows: each loses what its own text shares with a smaller id
+    late = [(900, prose(20, 60)), (900, prose(91, 50)), (901, prose(91, 50)), (901, prose(91, 50)), (None, prose(91, 50)), (902, "own " + prose(77, 40)), (1, prose(92, 20))]
+    got = sorted((r["doc_id"] or -1, r["n_words"], r["n_removed"]) for r in substring_dedup.dedup_substrings(spark.createDataFrame(late, "doc_id long, text string"), index, batches=1).collect())
+    assert got == [(-1, 50, 0), (1, 20, 0), (900, 50, 0), (900, 60, 60), (901, 50, 50), (901, 50, 50), (902, 41, 40)]
+
+
+def test_substring_dedup_with_boilerplate(spark, monkeypatch):
+    """Fingerprints that many documents have go the unbucketed way, in the batch and in history, with equal results."""
+    monkeypatch.setattr(substring_dedup, "HOT_SHARE", 8)
+    licence = prose(50, 30)
+    texts = [(i, f"{prose(200 + i, 20)} {licence if i % 3 else prose(51, 25)} {prose(300 + i, 15)}") for i in range(60)]
+    texts += [(200 + i, f"{licence} {prose(400 + i, 15)}" if i < 2 else prose(500 + i, 30) + " " + prose(52, 20)) for i in range(40)]
+    texts += [(400 + i, prose(600 + i, 15) + " " + (prose(520, 20) if i < 30 else prose(502, 30))) for i in range(45)]
+    want = brute_words(texts)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.dedup_substrings(df, batches=3).collect()}
+    assert got == want
 
 
 # --- odd input, for all ----------------------------------------------------------------------------------
