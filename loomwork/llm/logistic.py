@@ -12,11 +12,21 @@ class Logistic:
         self.mean, self.scale, self.weights = mean, scale, weights
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> "Logistic":
+    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40, signed: bool = True) -> "Logistic":
+        """Unless `signed`, no coefficient is negative: features that would get one are taken out, the most negative first."""
+        model = cls._fit(x, y, ridge, steps, np.ones(x.shape[1], dtype=bool))
+        use = np.ones(x.shape[1], dtype=bool)
+        while not signed and model.weights[:-1].min(initial=0.0) < 0:
+            use[int(model.weights[:-1].argmin())] = False
+            model = cls._fit(x, y, ridge, steps, use)
+        return model
+
+    @classmethod
+    def _fit(cls, x: np.ndarray, y: np.ndarray, ridge: float, steps: int, use: np.ndarray) -> "Logistic":
         if not len(x):
             return cls(np.zeros(x.shape[1]), np.ones(x.shape[1]), np.zeros(x.shape[1] + 1))
         mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-        z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
+        z = np.hstack([(x - mean) / scale * use, np.ones((len(x), 1))])
         w = np.zeros(z.shape[1])
         rate = (y.sum() + 0.5) / (len(y) + 1)
         w[-1] = np.log(rate / (1 - rate))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -288,7 +289,7 @@ def accuracy(spark, name, label, parts, held):
 
 def test_toxicity_held_out(spark):
     caught, clean = accuracy(spark, "op6_toxicity", "toxic", 4, 2)
-    assert caught >= 0.85 and clean >= 0.99
+    assert caught >= 0.92 and clean >= 0.99
 
 
 def test_quality_held_out(spark):
@@ -322,37 +323,85 @@ def test_levenshtein_trie_against_edit_distance():
         assert (got[1] if got else None) == (near[0] if near else None), w
         assert not got or toxicity._Alive(trie)[w.encode()[:3]]
     assert trie.match("vequta") == ("vequ", 0, True)
-    scan = toxicity.Scanner({"idiot": 3.0}, {})
-    abuse, quote = scan.hits("you are an idiot really")[0][4], scan.hits('he said the word "idiot" there')[0][4]
-    assert abuse > 3 * quote
+    scan = toxicity.Scanner(toxicity.Lexicon({"idiot": 3.0}, {}))
+    weight = lambda text: scan.hits(text)[0][0][4]
+    abuse = weight("you are an idiot really")
+    assert abuse > 10 * weight('he said the word "idiot" there') and abuse > 10 * weight("la palabra «idiot» significa") and abuse > 2 * weight('"you idiot"') and weight("thorea idiot bleand") > 0.85 * abuse
+    few = toxicity.FuzzyTrie({"worthless": 1.0, "idiot": 1.0}, {}, {"worthless": 1})
+    assert [few.match(w) for w in ("worthles", "wortles", "idiott", "idiot")] == [("worthless", 1, False), None, None, ("idiot", 0, False)]
+
+
+def test_toxicity_of_misspelt_and_quoted_insults(spark):
+    """Held-out toxic documents with each insult misspelt are caught still; ones whose insults are all quoted weigh less; clean ones stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    lex, model = toxicity.train(docs, labels, labelled.fold("doc_id", 4) != 2)
+    assert model.weights[:-1].min() >= 0 and len(lex.words) + len(lex.stems) < 40
+    scan, r = toxicity.Scanner(lex), np.random.RandomState(5)
+    score = lambda t: float(model.predict(np.array([scan.features(t)]))[0])
+
+    def typo(w):
+        at, c = r.randint(1, len(w)), chr(97 + r.randint(26))
+        return (w[:at] + c + w[at:], w[:at] + c + w[at + 1 :], w[:at] + w[at + 1 :])[r.randint(3)]
+
+    rows = docs.join(labels, "doc_id").filter(labelled.fold("doc_id", 4) == 2).select("text", "toxic").collect()
+    insults = lambda t, f: re.sub(r"[^\W_]+", lambda m: f(m[0]) if m[0].lower() in lex.words else m[0], t)
+    toxic = [x["text"] for x in rows if x["toxic"] == 1 and any(not h[3] for h in scan.hits(x["text"])[0])]
+    misspelt = [score(insults(t, lambda w: typo(w) if len(w) > 4 else w)) >= 0.3 for t in toxic]
+    assert len(toxic) > 50 and np.mean(misspelt) >= 0.9
+    assert np.mean([score(insults(t, lambda w: f'"{w}"')) < score(t) for t in toxic]) > 0.9 and np.mean([score(insults(t, lambda w: f'"{w}"')) >= 0.3 for t in toxic]) < 0.4
+    clean = [x["text"] for x in rows if x["toxic"] == 0]
+    assert np.mean([score(t) >= 0.3 for t in clean]) <= 0.01
+    base = max((t for t in clean if not scan.hits(t)[0] and len(t) < 1500), key=len)
+    assert score(base + " you idiot") >= 0.3 and score(base + " you idiott") >= 0.3 and score(base + ' he said the word "idiot" there') < 0.05
+    assert score(base + ' "you idiot"' * 4) < 0.3 < 0.9 < score(base + " you idiot" * 4) and score(base + " you idiott" * 4) > 0.9
 
 
 def test_misspelt_stems_hit():
     trie = toxicity.FuzzyTrie({"worthless": 2.0, "grond": 1.0}, {"idiot": 1.0, "vequ": 1.0})
     hits = {w: trie.match(w) for w in ("idiotic", "idoitic", "idotic", "ideotically", "xidiots", "idio", "iditos", "vequta", "veqta", "worthles", "grond")}
     assert hits == {"idiotic": ("idiot", 0, True), "idoitic": None, "idotic": ("idiot", 1, True), "ideotically": ("idiot", 1, True), "xidiots": ("idiot", 1, True), "idio": ("idiot", 1, True), "iditos": ("idiot", 1, True), "vequta": ("vequ", 0, True), "veqta": None, "worthles": ("worthless", 1, False), "grond": ("grond", 0, False)}
-    scan = toxicity.Scanner({}, {"idiot": 3.0})
-    assert [h[1:4] for h in scan.hits("an ideotic plan")] == [("idiot", 1, True)]
+    scan = toxicity.Scanner(toxicity.Lexicon({}, {"idiot": 3.0}))
+    assert [h[1:4] for h in scan.hits("an ideotic plan")[0]] == [("idiot", 1, True)]
     assert all(toxicity._Alive(trie)[w.encode()[:3]] for w, hit in hits.items() if hit)
 
 
-def test_quoted_reads_all_occurrences():
-    def brute(text, word):
-        low, inside, at = text.lower(), [], text.lower().find(word)
-        while at >= 0:
-            line = low[low.rfind("\n", 0, at) + 1 : at]
-            inside.append(line.count('"') % 2 == 1 or line.rfind("«") > line.rfind("»") or max(line.rfind("“"), line.rfind("„")) > line.rfind("”"))
-            at = low.find(word, at + len(word))
-        return bool(inside) and all(inside) and any(q in text for q in "\"«“„")
-
-    said = 'he said "idiot" then\n' * 60
-    assert toxicity.Scanner.quoted(said, b"idiot") and not toxicity.Scanner.quoted(said + "you idiot", b"idiot")
+def test_quoted_by_word_in_one_pass():
+    def brute(text):
+        out = []
+        for line in text.lower().split("\n"):
+            words, open_at, kind = [], None, ""
+            for piece in re.findall('["«»“”„]|[^ "«»“”„]+', line):
+                if piece not in set('"«»“”„'):
+                    words.append([piece, False])
+                    continue
+                straight, other = kind == '"' or kind == 'both', kind in ("x", "both")
+                if piece == '"':
+                    straight = not straight
+                else:
+                    other = piece in "«„" or (piece == "“" and not other)
+                was = kind
+                kind = {(False, False): "", (True, False): '"', (False, True): "x", (True, True): "both"}[straight, other]
+                if not was and kind:
+                    open_at = len(words)
+                elif was and not kind:
+                    for w in words[open_at:]:
+                        w[1] = True
+            out += [w[1] for w in words]
+        return out
+
+    assert toxicity.quoted("no marks here") is None
+    assert toxicity.quoted('he "said so" and «il a dit» „das Wort“ then “this” it\'s') == [False, True, True, False, True, True, True, True, True, False, True, False, False]
+    assert toxicity.quoted('"open\nnext" x') == [False, False, False]
     r, seen = np.random.RandomState(12), Counter()
     for _ in range(5000):
-        text = "".join(r.choice(['"', "«", "»", "“", "„", "”", "\n", "Bad", "bad", " a "], r.randint(1, 14), p=[0.2, 0.1, 0.05, 0.1, 0.05, 0.05, 0.1, 0.1, 0.1, 0.15]))
-        seen[brute(text, "bad")] += 1
-        assert toxicity.Scanner.quoted(text, b"bad") == brute(text, "bad"), text
+        text = "".join(r.choice(['"', "«", "»", "“", "„", "”", "\n", " bad ", " a "], r.randint(1, 14), p=[0.2, 0.1, 0.1, 0.1, 0.05, 0.1, 0.05, 0.2, 0.1]))
+        got = toxicity.quoted(text)
+        assert (got if got is not None else [False] * len(toxicity.tokens(text))) == (brute(text) if any(q in text for q in '"«“„') else [False] * len(toxicity.tokens(text))), text
+        seen[any(got or [])] += 1
     assert min(seen[True], seen[False]) > 500
+    began = time.time()
+    assert len(toxicity.quoted('say "bad word" now\n' * 400_000)) == 1_600_000 and time.time() - began < 20
 
 
 def test_quality_learns_from_late_lines():
