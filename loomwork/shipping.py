@@ -12,11 +12,15 @@ _sent: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Once per application: the compiled package as a zip file, fetched by each executor from the driver."""
+    """Once per application: the package's sources as a zip file, fetched by each executor from the driver.
+
+    The installed package is only read, so it may be on a read-only file system.
+    """
     app = spark.sparkContext.applicationId
     if app not in _sent:
-        target = Path(tempfile.mkdtemp(prefix="loomwork-")) / "loomwork.zip"
-        with zipfile.PyZipFile(str(target), "w") as z:
-            z.writepy(str(Path(__file__).parent))
+        target, here = Path(tempfile.mkdtemp(prefix="loomwork-")) / "loomwork.zip", Path(__file__).parent
+        with zipfile.ZipFile(target, "w") as z:
+            for source in sorted(here.rglob("*.py")):
+                z.write(source, source.relative_to(here.parent))
         spark.sparkContext.addPyFile(str(target))
         _sent.add(app)
