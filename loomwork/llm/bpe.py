@@ -181,12 +181,19 @@ def _mapped(docs: DataFrame, path: str, make, fields: list[tuple[str, pa.DataTyp
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>) of every row; null and empty texts give an empty list."""
+    """(doc_id, ids array<int>) of every row, repeated ones and ones with a null id too; null and empty texts give an empty list.
+
+    An empty table gives no rows. Long texts take memory in proportion to their tokens. Other columns, whatever
+    their names, are left out.
+    """
     return _mapped(docs, path or tokenizer_path(), lambda bpe, t: (bpe.encode(t),), [("ids", pa.list_(pa.int32()))], "ids array<int>", id_col, text)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, decoded) of rows (doc_id, ids), special tokens kept."""
+    """(doc_id, decoded) of every row (doc_id, ids), special tokens kept; null and empty lists give the empty string.
+
+    An id that isn't in the vocabulary is an error. An empty table gives no rows.
+    """
     tune(encoded.sparkSession)
     sent = encoded.sparkSession.sparkContext.broadcast(_spec(path or tokenizer_path()))
 
@@ -201,13 +208,15 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: number of tokens and digests of the ids and of the decoded text, one row for each row of `docs`.
 
-    Null and empty texts: no tokens, the digests of the empty string.
+    Null and empty texts: no tokens, the digests of the empty string. Repeated rows and null ids give as many rows,
+    an empty table none. Long texts take memory in proportion to their tokens. Other columns, whatever their names,
+    are left out.
     """
     return _mapped(docs, path or tokenizer_path(), lambda bpe, t: bpe.digest(t), [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())], "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text)
 
 
 def counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens) of every row."""
+    """(doc_id, n_tokens) of every row; nulls, repeats, long texts, empty tables and other columns as in `digests`."""
     return _mapped(docs, path or tokenizer_path(), lambda bpe, t: (bpe.count(t),), [("n_tokens", pa.int64())], "n_tokens long", id_col, text)
 
 

@@ -17,6 +17,9 @@ ARROW_BATCH_BYTES = 16 << 20
 #: A key is heavy if it holds more than one part in so many of all rows, so there are at most so many; skewed-join splitting does for keys below.
 HEAVY_PARTS = 64
 
+#: Bits of the broadcast filter of ids, 4 MB whatever the input; it only spares work.
+FILTER_BITS = 1 << 25
+_PAGE = 32768
 #: Delta encodings and zstd: tables between stages take about a third less disk.
 PACKED = {"compression": "zstd", "parquet.writer.version": "v2"}
 
@@ -42,9 +45,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where none is set."""
+    """The folder that the driver and all executors share. One of our own only where none is set and all runs on one machine, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         where = _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="loomwork-"))
     return where.rstrip("/")
@@ -78,6 +83,23 @@ def one_byte_view(text: str) -> bytes:
     return text.encode("utf-8", "replace").translate(_LEAD, _CONT)
 
 
+def _bits(ids: DataFrame) -> DataFrame:
+    """A fixed-size bitmap of hashes of the only column of `ids`, in pages; FILTER_BITS / _PAGE rows at most, so it may be broadcast."""
+    spot = F.pmod(F.xxhash64(ids.columns[0]), F.lit(FILTER_BITS))
+    return F.broadcast(ids.select(spot.alias("_s")).groupBy(F.expr(f"_s div {_PAGE}").alias("_page")).agg(F.bitmap_construct_agg(F.expr(f"_s % {_PAGE}")).alias("_bits")))
+
+
+def marked(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """`rows` with `_near`: false only where `column` isn't among `ids`, a frame of one column; most such rows are told by the bitmap.
+
+    Null isn't near. What is near goes on to an exact join, so the bitmap only spares shuffling the rest.
+    """
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(_s % {_PAGE} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    out = rows.withColumn("_s", F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))).withColumn("_page", F.expr("_s div %d" % _PAGE)).join(_bits(ids), "_page", "left")
+    near = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_s % 8 as int))")) != 0, F.lit(False)) & F.col(column).isNotNull()
+    return out.withColumn("_near", near).drop("_s", "_page", "_bits")
+
+
 def attach_by_key(rows: DataFrame, stats: DataFrame, key: list[str], size: str) -> DataFrame:
     """Left join of `rows` with one `stats` row per key, safe against hot keys.
 

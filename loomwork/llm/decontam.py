@@ -5,10 +5,12 @@ BM25 with itself as the query), so a score is the weighted share of the item tha
 threshold holds for all items. Items are laid out in blocks; the index keeps each term's largest impact
 overall (WAND's bound) and per block (block-max). Passages go through in batches: whole passages whose summed
 term bounds stay below the threshold are skipped, then blocks whose summed block maxima do, and only the
-postings of the blocks left are scored. Bounds never underestimate, so all items at or over the threshold
-are retrieved. A retrieved pair counts as a leak if the whole item has at least OVERLAP of its five-word shingles
+postings of the blocks left are scored. These are block-max WAND's two tests, for all blocks of a passage at once
+by numpy instead of one pivot after another; arrays are as long as the postings met. Bounds never underestimate,
+so all items at or over the threshold are retrieved. A retrieved pair counts as a leak if the whole item has at least OVERLAP of its five-word shingles
 in the passage and both its question part and its answer part have at least FLOOR of their words in shared
-shingles, or if each part alone has at least OVERLAP of its own shingles there (parts that stand apart).
+shingles, or if each part alone has at least OVERLAP of its own shingles there (parts that stand apart). Items
+under SHINGLE words can't be told from common phrases: they are no leak anywhere and aren't indexed.
 
 The index is broadcast, so the benchmark must be small: its bytes are checked against INDEX_BYTES and a
 larger one is searched in several rounds, one part of it at a time, with the statistics of the whole.
@@ -75,7 +77,7 @@ class ItemIndex:
     """
 
     def __init__(self, items: list[tuple[int, str | None]], whole: Statistics | None = None) -> None:
-        kept = [(i, w) for i, t in items if i is not None and (w := terms(t or ""))]
+        kept = [(i, w) for i, t in items if i is not None and len(w := terms(t or "")) >= SHINGLE]
         kept.sort(key=lambda x: (len(x[1]), x[0]))
         self.ids = [i for i, _ in kept]
         n = len(kept)
@@ -114,13 +116,16 @@ class ItemIndex:
         q = np.unique(np.array(query, dtype=np.int64))
         q = q[q < len(self.vocab)]
         at = self._of(self.max_starts, q)
-        live = np.bincount(self.max_block[at], weights=self.max_impact[at], minlength=self.n_blocks) >= threshold - 1e-5
-        if not live.any():
+        blocks, place = np.unique(self.max_block[at], return_inverse=True)
+        live = blocks[np.bincount(place, weights=self.max_impact[at]) >= threshold - 1e-5] if len(blocks) else blocks
+        if not len(live):
             return []
         at = self._of(self.starts, q)
-        at = at[live[self.post_item[at] // BLOCK]]
-        scores = np.bincount(self.post_item[at], weights=self.post_impact[at], minlength=len(self.ids))
-        return [(int(k), float(scores[k])) for k in np.flatnonzero(scores >= threshold - 1e-5)]
+        own = self.post_item[at] // BLOCK
+        at = at[live[np.minimum(np.searchsorted(live, own), len(live) - 1)] == own]
+        items, place = np.unique(self.post_item[at], return_inverse=True)
+        scores = np.bincount(place, weights=self.post_impact[at])
+        return [(int(items[k]), float(scores[k])) for k in np.flatnonzero(scores >= threshold - 1e-5)]
 
     def shingles_of(self, item: int) -> tuple[list[int], set, list[tuple[set, int]]]:
         """An item's words, its shingles, and (shingles, words) of its question and answer; kept for a while, as few items are ever retrieved."""
@@ -191,7 +196,10 @@ class ItemIndex:
                     s = int(start[p])
                     if shares := self.verified(item, flat[cuts[p] : end].tolist()):
                         found[key] = (score, s, *shares)
-        return [(d, self.ids[k], s, score, q, a) for (d, k), (score, s, q, a) in sorted(found.items())]
+        best: dict[tuple[int, int], tuple] = {}
+        for (d, k), hit in sorted(found.items(), key=lambda x: (x[0][0], -x[1][0], x[0][1])):
+            best.setdefault((d, self.ids[k]), hit)  # of items that share an id the best
+        return [(d, i, s, score, q, a) for (d, i), (score, s, q, a) in sorted(best.items())]
 
 
 def _item_terms(items: DataFrame) -> DataFrame:
@@ -202,6 +210,7 @@ def _item_terms(items: DataFrame) -> DataFrame:
             parts, found, sizes = [], [], []
             for part, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 own = terms(t)
+                own = own if len(own) >= SHINGLE else []
                 once = set(own)
                 parts += [part] * len(once)
                 found += once
@@ -237,7 +246,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """(doc_id, item_id, first_word, score, question_share, answer_share) of each leak.
 
     Null and empty texts and items have none; items with a null id are left out; repeated rows of a document
-    give repeated rows. An empty benchmark or table gives no rows.
+    give repeated rows, repeated items one per document. An empty benchmark or table gives no rows. Long texts take
+    memory in proportion to their words. Other columns, whatever their names, aren't read.
     """
     tune(docs.sparkSession)
     schema = "doc_id long, item_id long, first_word long, score double, question_share double, answer_share double"
@@ -262,7 +272,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """The documents without a leak, in all columns of `docs`: decided row by row, so nothing is shuffled."""
+    """The documents without a leak, in all columns of `docs`: decided row by row, so nothing is shuffled.
+
+    Null and empty texts have no leak and stay. Repeated rows fare alike. An empty benchmark keeps all, an empty
+    table gives no rows. Other columns may have any names and keep their values.
+    """
     tune(docs.sparkSession)
     for index in _rounds(benchmark, item_id, "text"):
         sent = docs.sparkSession.sparkContext.broadcast(index)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_by_key, cut, table, text_col
+from .common import attach_by_key, cut, marked, table, text_col
 
 WINDOW = 3
 _GAPS = " \t\n\x0b\x0c\r"
@@ -45,31 +45,47 @@ def removed(docs: DataFrame) -> DataFrame:
     return covered.groupBy("doc_id", "copy").agg(F.collect_set("p").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All columns of `docs`, `text` without the removed lines, and `_n_removed`. A text that loses all its lines becomes empty."""
-    gone = cut(removed(docs), "line-gone").select(F.col("doc_id").alias("__ld_d"), F.col("copy").alias("__ld_c"), F.col("gone").alias("__ld_gone"))
-    key = (docs["doc_id"].cast("long") == gone["__ld_d"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == gone["__ld_c"])
-    rows = docs.join(gone.hint("merge"), key, "left")  # the same plan at every size
-    n = F.coalesce(F.size("__ld_gone"), F.lit(0))
+def _applied(docs: DataFrame) -> DataFrame:
+    """(row, text, n): each row of `docs` as a struct, its text without the removed lines, and how many these are.
+
+    Only rows whose doc_id is, or by a bitmap may be, one that loses lines are shuffled; all others stay where they are.
+    """
+    gone = cut(removed(docs), "line-gone")
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("doc_id", F.col("row.doc_id").cast("long"))
+    rows = marked(rows, "doc_id", gone.select("doc_id"))
+    same = rows.filter("not _near").select("row", F.col("row.text").alias("text"), F.lit(0).cast("long").alias("n"))
+    near = rows.filter("_near").select("row", "doc_id", F.xxhash64(text).alias("copy")).join(gone.hint("merge"), ["doc_id", "copy"], "left")  # the same plan at every size
     has_word = lambda x: F.trim(F.translate(x, _GAPS, "      ")) != ""
-    all_lines = F.split(F.coalesce(docs["text"].cast("string"), F.lit("")), "\n")
-    # a line's number among those with a word: running count kept while folding over the lines
-    numbered = F.transform(F.filter(F.transform(all_lines, lambda x, i: F.struct(i.alias("i"), has_word(x).alias("w"))), lambda s: s["w"]), lambda s: s["i"])
-    rows = rows.withColumn("__ld_all", F.when(F.col("__ld_gone").isNotNull(), all_lines)).withColumn("__ld_num", F.when(F.col("__ld_gone").isNotNull(), numbered))
-    out = F.expr("transform(__ld_gone, p -> get(__ld_num, p))")
-    rows = rows.withColumn("__ld_out", out)
-    left = F.expr("array_join(transform(array_except(sequence(0, size(__ld_all) - 1), __ld_out), i -> get(__ld_all, i)), '\n')")
-    kept = F.when(F.size("__ld_gone") >= F.size("__ld_num"), F.lit("")).otherwise(left)
-    own = [c for c in docs.columns if c != "text"]
-    return rows.select(*[docs[c] for c in own], F.when(F.col("__ld_gone").isNull(), docs["text"]).otherwise(kept).alias("text"), n.cast("long").alias("_n_removed"))
+    every = F.split(text, "\n")
+    worded = F.transform(F.filter(F.transform(every, lambda x, i: F.struct(i.alias("i"), has_word(x).alias("w"))), lambda s: s["w"]), lambda s: s["i"])
+    near = near.withColumns({"every": F.when(F.col("gone").isNotNull(), every), "worded": F.when(F.col("gone").isNotNull(), worded)})
+    near = near.withColumn("out", F.expr("transform(gone, p -> get(worded, p))"))
+    left = F.expr("array_join(transform(array_except(sequence(0, size(every) - 1), out), i -> get(every, i)), '\n')")
+    kept = F.when(F.size("gone") >= F.size("worded"), F.lit("")).otherwise(left)
+    return same.unionByName(near.select("row", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept).alias("text"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n")))
+
+
+def dedup_lines(docs: DataFrame, count: str = "_n_removed") -> DataFrame:
+    """All columns of `docs`, `text` without the removed lines, and `count`; a column of that name in `docs` is replaced.
+
+    A text that loses all its lines becomes empty. Null texts stay null. Rows with a null doc_id, and repeated rows
+    of one document, stay in number; a repeat of a document's own text loses nothing to it. An empty table gives
+    no rows. Long texts take a few arrays as long as their lines. Other columns may have any names.
+    """
+    return _applied(docs).select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != count], F.col("n").alias(count))
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """`dedup_lines` in the columns of `docs`; `n_chars`, if there is one, follows the text."""
-    out = dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+    """`dedup_lines` in the columns of `docs`, which keep their values and may have any names; `n_chars`, if there is one, follows the text.
+
+    Nulls, repeated rows, long texts and empty tables: as `dedup_lines` says.
+    """
+    kinds, n = dict(docs.dtypes), F.col("n")
+    new = {"text": F.col("text")}
+    if "n_chars" in kinds:
+        new["n_chars"] = F.when(n > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(kinds["n_chars"]).alias("n_chars")
+    return _applied(docs).select(*[new.get(c, F.col("row")[c].alias(c)) for c in docs.columns])
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -28,6 +28,8 @@ KINDS = ["email", "ip", "card", "phone", "secret"]
 LABELS = ["outside", *KINDS]
 SEED = 7
 CACHE_SHAPES = 50_000
+#: Words, padding included, that one round of Viterbi takes; a longer stretch is a round of its own.
+CELLS = 1 << 16
 _DOMAIN = re.compile(rb"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(rb"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(rb"[0-9](?:[ -]?[0-9])+")
@@ -205,12 +207,19 @@ class ShapeCRF:
         return bool((e[0] > (e + loss)[1:]).all())
 
     def viterbi(self, stretches: list[np.ndarray]) -> list[np.ndarray]:
-        """Best labels of stretches (emissions, words by labels), batched by length; label 0 stands on either side."""
+        """Best labels of stretches (emissions, words by labels), batched by length; label 0 stands on either side.
+
+        Memory is bounded by CELLS words, or by the longest stretch.
+        """
         out: list[np.ndarray] = [np.zeros(0, dtype=int)] * len(stretches)
-        order = sorted(range(len(stretches)), key=lambda i: len(stretches[i]))
-        for lo in range(0, len(order), 512):
-            part = order[lo : lo + 512]
-            n, t = len(part), max(len(stretches[i]) for i in part)
+        order = sorted((i for i in range(len(stretches)) if len(stretches[i])), key=lambda i: len(stretches[i]))
+        lo = 0
+        while lo < len(order):
+            hi = lo + 1
+            while hi < len(order) and (hi + 1 - lo) * len(stretches[order[hi]]) <= CELLS:
+                hi += 1
+            part, lo = order[lo:hi], hi
+            n, t = len(part), len(stretches[part[-1]])
             k = len(self.trans)
             e, lens = np.zeros((n, t, k)), np.array([len(stretches[i]) for i in part])
             for j, i in enumerate(part):
@@ -221,7 +230,7 @@ class ShapeCRF:
                 back[:, i] = way.argmax(axis=1)
                 score = np.where((i < lens)[:, None], way.max(axis=1) + e[:, i], score)
             best = (score + self.trans[:, 0]).argmax(axis=1)
-            path = np.zeros((n, t), dtype=int)
+            path = np.zeros((n, t), dtype=np.int8)
             for i in range(t - 1, -1, -1):
                 path[:, i] = np.where(i < lens, best, 0)
                 if i:
@@ -240,7 +249,20 @@ def default_model(seed: int = SEED) -> ShapeCRF:
     return ShapeCRF.fit(labelled_table(seed=seed))
 
 
-_EDGE = b".,;:!?\"'"
+#: Marks that are no part of a span at its ends; of brackets only such without their other half.
+_EDGE = b".,;:!?\"'*#$%&|"
+
+
+def trimmed(view: bytes, start: int, end: int) -> tuple[int, int]:
+    """A span without the marks at its ends."""
+    while start < end:
+        if view[start] in _EDGE or view[start] == 41 or view[start] == 40 and view.find(b")", start, end) < 0:
+            start += 1
+        elif view[end - 1] in _EDGE or view[end - 1] == 40 or view[end - 1] == 41 and view.find(b"(", start, end) < 0:
+            end -= 1
+        else:
+            break
+    return start, end
 
 
 class Finder:
@@ -288,11 +310,7 @@ class Finder:
                 while j < len(labels) and labels[j] == labels[i]:
                     j += 1
                 if labels[i]:
-                    start, end = places[i][0], places[j - 1][1]
-                    while start < end and view[start] in _EDGE:
-                        start += 1
-                    while end > start and view[end - 1] in _EDGE:
-                        end -= 1
+                    start, end = trimmed(view, places[i][0], places[j - 1][1])
                     if start < end:
                         done[doc][1].append((int(labels[i]) - 1, start, end))
                 i = j
@@ -302,7 +320,9 @@ class Finder:
 def spans(docs: DataFrame, model: ShapeCRF | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row: doc_id, base and added as arrays of (kind, start, end), counts of the base by kind.
 
-    Null and empty texts have none. Offsets are code points, ends exclusive. Other columns are left out.
+    Null and empty texts have none. Offsets are code points, ends exclusive. Repeated rows and ones with a null id
+    give as many rows; an empty table gives none. Other columns, whatever their names, are left out. A long text
+    takes some hundred bytes for each word that may be personal data, and two for each character.
     """
     tune(docs.sparkSession)
     own = model or default_model()

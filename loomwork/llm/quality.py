@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_col, tune
+from .common import cut, table, text_col, tune
 from .labelled import fold, sample
 from .logistic import Logistic
 
-#: Labelled documents per class that are learnt from, at most.
+#: Labelled documents per class that are learnt from, at most, and their lines: documents enter in the order of hashed
+#: ids, whole, as long as they fit.
 SAMPLE_PER_CLASS = 1500
+SAMPLE_LINES = 300_000
 CUTOFF = 0.3
 _KINDS = np.zeros(256, dtype=np.uint8)
 for _c in range(256):
@@ -55,15 +57,22 @@ def line_features(lines: list[str]) -> np.ndarray:
     ], axis=1)
 
 
-def document(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(features, weights) of the lines with a word: own, previous and next line's features, bias; weights are lengths."""
+def own_features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(features, weights) of the lines with a word, each by itself; weights are lengths."""
     lines = [x for x in text.split("\n") if x and not x.isspace()]
-    if not lines:
-        return np.zeros((0, WIDTH)), np.zeros(0)
-    own = line_features(lines)
+    return (line_features(lines) if lines else np.zeros((0, OWN))), np.array([len(v) for v in lines], dtype=float)
+
+
+def with_neighbours(own: np.ndarray) -> np.ndarray:
+    """Each line's own, previous and next line's features, and a bias."""
     none = np.zeros((1, OWN))
-    x = np.hstack([own, np.vstack([none, own[:-1]]), np.vstack([own[1:], none]), np.ones((len(lines), 1))])
-    return x, np.array([len(v) for v in lines], dtype=float)
+    return np.hstack([own, np.vstack([none, own])[:-1], np.vstack([own, none])[1:], np.ones((len(own), 1))])
+
+
+def document(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(features, weights) of the lines with a word."""
+    own, weights = own_features(text)
+    return with_neighbours(own), weights
 
 
 def marginals(emit: list[np.ndarray], trans: np.ndarray, pairs: np.ndarray | None = None) -> list[np.ndarray]:
@@ -153,7 +162,10 @@ class QualityModel:
 
     @classmethod
     def fit(cls, texts: list[str], y: np.ndarray) -> "QualityModel":
-        docs = [document(t) for t in texts]
+        return cls.learn([document(t) for t in texts], y)
+
+    @classmethod
+    def learn(cls, docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> "QualityModel":
         some = [i for i, (x, _) in enumerate(docs) if len(x)]
         xs = [docs[i][0] for i in some]
         crf = LineCRF(np.zeros((WIDTH, 2)), np.zeros((2, 2)))
@@ -170,20 +182,48 @@ class QualityModel:
         return self.final.predict(sums)
 
 
-def train(docs: DataFrame, labels: DataFrame, usable, per_class: int = SAMPLE_PER_CLASS) -> QualityModel:
+def _lines_of(rows: DataFrame) -> DataFrame:
+    """(doc_id, y, n, own, weights) of rows (doc_id, text, y): the lines' features in a row; texts stay on the executors."""
+    names = ["doc_id", "y", "n", "own", "weights"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [own_features(t) for t in b.column(2).to_pylist()]
+            lists = [pa.array([v.astype(np.float32).ravel() for v in part], pa.list_(pa.float32())) for part in zip(*got)] if got else [pa.array([], pa.list_(pa.float32()))] * 2
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(w) for _, w in got], pa.int64()), *lists], names)
+
+    return rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, n long, own array<float>, weights array<float>")
+
+
+def train(docs: DataFrame, labels: DataFrame, usable, per_class: int = SAMPLE_PER_CLASS, most_lines: int = SAMPLE_LINES) -> QualityModel:
     """A model from a bounded sample of labelled documents; without usable labels the score is the base rate.
 
-    The driver fetches 2 * per_class texts at most; all their lines count.
+    The driver fetches 48 bytes for each of `most_lines` lines at most, and no texts. Labels that are null or neither
+    0 nor 1, and such of a null doc_id, don't count; of several labels of a document the largest does; repeated
+    rows count once.
     """
     tune(docs.sparkSession)
-    rows = sample(docs, labels, "quality", usable, per_class).orderBy("doc_id").collect()
-    if not rows:
+    rows = cut(_lines_of(sample(docs, labels, "quality", usable, per_class)), "quality-lines")
+    sizes = rows.select("doc_id", "n").orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # 2 * per_class rows at most
+    taken, left = [], most_lines
+    for r in sizes:
+        if r["n"] <= left:
+            taken.append(r["doc_id"])
+            left -= r["n"]
+    chosen = rows if len(taken) == len(sizes) else rows.filter(F.col("doc_id").isin(taken))
+    got = chosen.orderBy("doc_id").collect()
+    if not got:
         return QualityModel(LineCRF(np.zeros((WIDTH, 2)), np.zeros((2, 2))), Logistic.fit(np.zeros((0, 4)), np.zeros(0)))
-    return QualityModel.fit([r["text"] for r in rows], np.array([r["y"] for r in rows], dtype=float))
+    lines = [(with_neighbours(np.array(r["own"], dtype=float).reshape(-1, OWN)), np.array(r["weights"], dtype=float)) for r in got]
+    return QualityModel.learn(lines, np.array([r["y"] for r in got], dtype=float))
 
 
 def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """(doc_id, score) of every row; texts without a word, null and empty ones count as one bad line."""
+    """(doc_id, score) of every row, repeated ones and ones with a null doc_id too.
+
+    Texts without a word, null and empty ones count as one bad line. A long text takes some hundred bytes per line.
+    An empty table gives no rows. Other columns, whatever their names, are left out.
+    """
     tune(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -7,7 +7,7 @@ from .decontam import op5_decontamination
 from .line_dedup import op9_line_dedup
 from .pii import op1_pii
 from .quality import op7_quality_classifier
-from .rules import RULES, DELTA, MAX_STRATA, RISK, op8_quality_rules
+from .rules import DELTA, RISK, RULES, op8_quality_rules
 from .simhash import op2_simhash_near_dedup
 from .substring_dedup import op10_substring_dedup
 from .token_counts import op4_token_counts
@@ -57,7 +57,7 @@ f AS (SELECT t.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(arra
   CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM t LEFT JOIN rep ON t.doc_id = rep.doc_id),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
 held AS (SELECT b.* FROM b SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) q ON b.doc_id = q.doc_id WHERE NOT base_failed),
-strata AS (SELECT lang, count(*) AS n FROM held GROUP BY lang ORDER BY n DESC, lang LIMIT {MAX_STRATA}),
+strata AS (SELECT lang, count(*) AS n FROM held GROUP BY lang),
 tests AS (SELECT lang, x.r AS rule, x.c AS cutoff, x.k AS k FROM (SELECT lang, unnest([{counts.replace("('", "struct_pack(r := '").replace("', ", "', c := ").replace(", count", ", k := count")}]) AS x FROM held GROUP BY lang)),
 tails AS (SELECT tests.*, n, (SELECT count(*) FROM strata) AS m, (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk}) + (n - j) * ln(1 - {risk}))) FROM (SELECT unnest(range(0, k + 1)) AS j)) AS tail FROM tests JOIN strata ON tests.lang IS NOT DISTINCT FROM strata.lang),
 ok AS (SELECT *, k < n * {risk} AND tail <= {DELTA} / {len(RULES)} / m AS ok FROM tails),

@@ -7,8 +7,8 @@ v <> 0 is orthogonal to all of their vectors. So the search has no false negativ
 
 Only distinct fingerprints take part (copies share one). Buckets of two are checked by an aggregate alone;
 buckets up to BUCKET_LIMIT are compared in numpy, and only a spanning forest of their links leaves; larger
-buckets go an exact linear way: two fingerprints within 4 bits share a point within 2 bits of both, so each
-joins the smallest fingerprint of each such point.
+buckets go an exact linear way: two fingerprints within 4 bits share a point within 2 bits of both (for an odd
+radius one of them is a bit nearer to it), so each joins the smallest fingerprint of each such point.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_by_key, cut, table, text_col, tune
+from .common import attach_by_key, cut, marked, table, text_col, tune
 from .components import connected_components
 
 RADIUS = 4
+#: The family grows as 2**radius, and the points around a fingerprint as 64**(radius / 2).
+MOST_RADIUS = 4
 SHINGLE = 4
 SEED = 42
 BUCKET_LIMIT = 8192
@@ -59,16 +61,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp long) of every row; other columns, whatever their names, are left out."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep=None) -> DataFrame:
+    """(doc_id, fp long) of every row, with `key` if `keep` is an expression of type long; other columns, whatever their names, are left out."""
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], ["doc_id", "fp", "key"][: b.num_columns])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    more = [] if keep is None else [keep.alias("key")]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col(text).alias("text"), *more).mapInArrow(run, "doc_id long, fp long" + ", key long" * len(more))
 
 
 @lru_cache
@@ -103,7 +106,9 @@ def _forest(fps: np.ndarray, reps: np.ndarray, radius: int) -> list[tuple[int, i
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """Links (a, b) between rows (fp, rep) of distinct fingerprints, enough to connect all pairs within the radius."""
+    """Links (a, b) between rows (fp, rep) of distinct fingerprints, enough to connect all pairs within the radius, 0 to MOST_RADIUS."""
+    if not 0 <= radius <= MOST_RADIUS:
+        raise ValueError(f"the radius must be 0 to {MOST_RADIUS}")
     tune(distinct.sparkSession)
     masks = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("k")) for i, m in enumerate(covering_masks(radius))])
     rows = distinct.select("fp", "rep", F.explode(masks).alias("x")).select(F.xxhash64("x.k", "x.t").alias("key"), "fp", "rep")
@@ -123,18 +128,26 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_
     groups = more.filter(F.col("n") <= bucket_limit).groupBy("key").agg(F.collect_list(F.struct("fp", "rep")).alias("m")).select("m")
     found = pairs.unionByName(groups.mapInArrow(within, "a long, b long"))
     if more.filter(F.col("n") > bucket_limit).limit(1).count():
-        flips = [0, *(1 << i for i in range(64)), *(1 << i | 1 << j for i in range(64) for j in range(i))] if radius > 2 else [0, *(1 << i for i in range(64))]
+        wide, close = -(-radius // 2), radius // 2  # of two within the radius one has a common point within `close` bits, the other within `wide`
+        flips = [0, *(1 << i for i in range(64) if wide > 0), *(1 << i | 1 << j for i in range(64) for j in range(i) if wide > 1)]
         points = F.explode(F.array(*[F.lit(_signed(x)).cast("long") for x in flips]))
-        around = more.filter(F.col("n") > bucket_limit).select("fp", "rep").distinct().select("fp", "rep", points.alias("d")).select("rep", F.expr("fp ^ d").alias("point"), "fp")
-        least = around.groupBy("point").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n"), F.min_by("fp", "rep").alias("of")).filter("n > 1")
-        # two members of a point differ by 4 bits at most, which is the radius; smaller radii check each link
-        linked = around.join(least, "point").filter(f"rep <> least and bit_count(fp ^ of) <= {max(radius, 0)}")
-        if radius not in (4, 2):
-            raise ValueError("buckets over the limit need a radius of 2 or 4")
+        around = more.filter(F.col("n") > bucket_limit).select("fp", "rep").distinct().select("fp", "rep", points.alias("d")).select("rep", F.expr("fp ^ d").alias("point"), (F.bit_count("d") <= close).alias("near"))
+        least = around.groupBy("point").agg(F.min(F.when(F.col("near"), F.col("rep"))).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1 and least is not null")
+        linked = around.join(least, "point").filter("rep <> least")
         found = found.unionByName(linked.select(F.col("rep").alias("a"), F.col("least").alias("b")))
     return cut(found.distinct(), "simhash-links")
 
 
+def _components(own: DataFrame, radius: int, bucket_limit: int) -> DataFrame:
+    """(fp, part, component_id, n_rows) of the distinct fingerprints of rows (doc_id, fp): its component's smallest fingerprint and smallest doc_id."""
+    distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_rows")), "simhash-distinct")
+    # fingerprints are the nodes, as rows with one doc_id may have several
+    parts = connected_components(links(distinct.filter("rep is not null").select("fp", F.col("fp").alias("rep")), radius, bucket_limit))
+    named = cut(distinct.join(parts, distinct["fp"] == parts["node"], "left").select("fp", "rep", "n_rows", F.coalesce("component", "fp").alias("part")), "simhash-parts")
+    least = cut(named.groupBy("part").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n")), "simhash-least")
+    return cut(attach_by_key(named, least, ["part"], "n").select("fp", "part", "component_id", "n_rows"), "simhash-named")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """(doc_id, fp, component_id) of every row: component_id is the smallest doc_id reachable over links.
 
@@ -142,16 +155,30 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket_limit: int = B
     rows. Rows with a null doc_id keep their fingerprint and get the component of it. An empty table gives none.
     """
     own = cut(fingerprints(docs), "simhash-fp")
-    distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_rows")), "simhash-distinct")
-    parts = connected_components(links(distinct.filter("rep is not null"), radius, bucket_limit))
-    named = distinct.join(parts, distinct["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "n_rows")
-    return attach_by_key(own, cut(named, "simhash-named"), ["fp"], "n_rows").select("doc_id", "fp", "component_id")
+    return attach_by_key(own, _components(own, radius, bucket_limit), ["fp"], "n_rows").select("doc_id", "fp", "component_id")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The documents without all but one of each near-duplicate group: the smallest doc_id stays, in all columns of `docs`."""
-    gone = near_duplicates(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("__sh_gone")).distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["__sh_gone"], "left_anti")  # the same plan at every size
+    """One row of each group of near duplicates, in all columns of `docs`, which may have any names.
+
+    The row with the smallest doc_id stays, of several such (other texts, or repeated rows) one by a hash of its
+    text and columns. A row is judged by its own text, also if others have its doc_id. Null and empty texts are
+    near duplicates of each other. Rows with a null doc_id can't be told apart and all stay. An empty table gives
+    no rows. Only rows that go, and few others, are shuffled with their texts. Fingerprints take memory for a block
+    of a long text's shingles and 8 bytes for each.
+    """
+    key = F.xxhash64(text_col())
+    own = cut(fingerprints(docs, keep=key), "simhash-fp")
+    named = attach_by_key(own.filter("doc_id is not null"), _components(own, RADIUS, BUCKET_LIMIT), ["fp"], "n_rows")
+    named = cut(named.groupBy("doc_id", "key").agg(F.min("part").alias("part"), F.count(F.lit(1)).alias("rows")), "simhash-keys")
+    first = named.groupBy("part").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    marks = attach_by_key(named, cut(first, "simhash-firsts"), ["part"], "n")
+    judged = cut(marks.withColumn("go", F.coalesce(F.struct("doc_id", "key") != F.col("first"), F.lit(False))).filter("go or rows > 1").select("doc_id", "key", "go"), "simhash-judged")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"))
+    rows = marked(rows, "doc_id", judged.select("doc_id"))
+    met = rows.filter("_near").drop("_near").join(judged.hint("merge"), ["doc_id", "key"], "left")  # the same plan at every size
+    once = met.filter("go = false").groupBy("doc_id", "key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row")
+    return rows.filter("not _near").select("row").unionByName(met.filter("go is null").select("row")).unionByName(once).select("row.*")
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PACKED, attach_by_key, cut, fresh_dir, table, text_col, tune, words_col
+from .common import PACKED, attach_by_key, cut, fresh_dir, marked, table, text_col, tune, words_col
 from .token_counts import _Files
 
 WINDOW = 13
@@ -45,9 +45,6 @@ MAX_RUNS = 4
 #: most HOT_SHARE times a document's mean number of fingerprints are hot, whatever the input.
 HOT_SAMPLE = 4096
 HOT_SHARE = 64
-#: Bits of the broadcast filter of document ids, 4 MB whatever the input; it only spares work.
-FILTER_BITS = 1 << 25
-_PAGE = 32768
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -110,27 +107,14 @@ def _digested(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, key long, mark int, n_words long, whole string, text string, fps array<long>")
 
 
-def _bits(ids: DataFrame):
-    """A fixed-size bitmap of the column doc_id, in pages; FILTER_BITS / _PAGE rows at most."""
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    return F.broadcast(ids.select(spot.alias("_s")).groupBy(F.expr(f"_s div {_PAGE}").alias("_page")).agg(F.bitmap_construct_agg(F.expr(f"_s % {_PAGE}")).alias("_bits")))
-
-
-def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """`docs` with `_near`: false only for rows whose doc_id isn't in `ids`; most of those are told by the bitmap."""
-    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(_s % {_PAGE} div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    rows = docs.withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).withColumn("_page", F.expr(f"_s div {_PAGE}")).join(_bits(ids), "_page", "left")
-    return rows.withColumn("_near", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_s % 8 as int))")) != 0, F.lit(False))).drop("_s", "_page", "_bits")
-
-
 def _picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """`docs` joined with `wanted` on doc_id; the bitmap spares shuffling the texts of most others."""
-    return _marked(docs, wanted).filter("_near").drop("_near").join(wanted, "doc_id")
+    return marked(docs, "doc_id", wanted.select("doc_id")).filter("_near").drop("_near").join(wanted, "doc_id")
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows (doc_id, key, fps) whose (doc_id, key) isn't in `gone`: most need no join."""
-    rows = _marked(docs, gone)
+    rows = marked(docs, "doc_id", gone.select("doc_id"))
     return rows.filter("not _near").drop("_near").unionByName(rows.filter("_near").drop("_near").join(gone, ["doc_id", "key"], "left_anti"))
 
 

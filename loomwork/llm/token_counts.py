@@ -34,7 +34,10 @@ class _Files:
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def claim(self, name: str, content: str) -> bool:
-        """Creates a file with this content, unless there is one: False then. The content becomes visible at once, by a rename of a written file."""
+        """Creates a file with this content, unless there is one: False then. The content becomes visible at once, by a rename of a written file.
+
+        It takes a file system whose rename is atomic and refuses an existing target, as HDFS and local folders; a bare object store gives neither.
+        """
         if self.fs.exists(self.path(name)):
             return False
         own = self.path(f"_tmp/{uuid.uuid4().hex}")
@@ -45,11 +48,14 @@ class _Files:
         done = self.fs.rename(own, self.path(name))
         return bool(done)
 
-    def read(self, folder: str) -> dict[str, dict]:
+    def exists(self, name: str) -> bool:
+        return bool(self.fs.exists(self.path(name)))
+
+    def read(self, folder: str, but=()) -> dict[str, dict]:
+        """Contents by name; files named in `but` aren't opened and give an empty one."""
         at = self.path(folder)
-        if not self.fs.exists(at):
-            return {}
-        return {s.getPath().getName(): self._content(s) for s in self.fs.listStatus(at)}
+        found = self.fs.listStatus(at) if self.fs.exists(at) else []
+        return {n: {} if (n := s.getPath().getName()) in but else self._content(s) for s in found}
 
     def last(self, folder: str) -> dict | None:
         """The content of the file with the greatest name; only that one is opened."""
@@ -73,7 +79,8 @@ def signed(changes: DataFrame) -> DataFrame:
     """Deltas by key of rows (op, source, lang, tokenizer_version, n_tokens, n_chars, old_tokens, old_chars).
 
     insert: +1 document and its counts; delete: -1 and minus its counts; revise: no document, counts new less
-    old. Null counts are 0; null keys are a key of their own; any other op is an error.
+    old. Null counts are 0; null keys are a key of their own; any other op is an error. Repeated rows count as
+    often as they stand there. No rows give no deltas. Other columns, whatever their names, aren't read.
     """
     sign = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).when(F.col("op") == "revise", 0).otherwise(F.raise_error(F.concat(F.lit("unknown op: "), F.coalesce("op", F.lit("null")))))
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
@@ -89,39 +96,47 @@ class TokenLedger:
         self.spark, self.root, self.files = spark, root.rstrip("/"), _Files(spark, root.rstrip("/"))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Adds a batch; False, and nothing changes, if a batch of this name is committed already."""
-        if batch in self.files.read("commits"):
+        """Adds a batch; False, and nothing changes, if a batch of this name is committed already. Names are file names."""
+        if self.files.exists(f"commits/{batch}"):
             return False
         attempt = f"deltas/{uuid.uuid4().hex}"
         signed(changes).write.parquet(f"{self.root}/{attempt}")
         return self.files.claim(f"commits/{batch}", json.dumps({"at": attempt}))
 
     def _parts(self) -> tuple[list[str], list[str], int]:
-        commits, snapshots = self.files.read("commits"), self.files.read("snapshots")
-        last = max(snapshots, default=None)
-        folded = set(snapshots[last]["folded"]) if last else set()
-        paths = [snapshots[last]["at"]] if last else []
-        return paths + [c["at"] for b, c in sorted(commits.items()) if b not in folded], sorted(commits), len(snapshots)
+        """Folders whose sum is the totals, the batches in them, and the number of snapshots; from one listing."""
+        last = self.files.last("snapshots") or {"folded": [], "n": 0}
+        folded = set(last["folded"])
+        commits = self.files.read("commits", folded)
+        return [x for x in [last.get("at")] if x] + [c["at"] for b, c in sorted(commits.items()) if b not in folded], sorted({*commits, *folded}), last["n"]
+
+    def _sum(self, paths: list[str]) -> DataFrame:
+        rows = self.spark.read.schema(_SCHEMA).parquet(*[f"{self.root}/{p}" for p in paths]) if paths else self.spark.createDataFrame([], _SCHEMA)
+        return rows.groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES]).filter(" or ".join(f"{m} <> 0" for m in MEASURES))
 
     def totals(self) -> DataFrame:
         """One row per key whose documents or counts aren't all zero; no rows before the first commit."""
-        paths = self._parts()[0]
-        if not paths:
-            return self.spark.createDataFrame([], _SCHEMA)
-        rows = self.spark.read.schema(_SCHEMA).parquet(*[f"{self.root}/{p}" for p in paths])
-        return rows.groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES]).filter(" or ".join(f"{m} <> 0" for m in MEASURES))
+        return self._sum(self._parts()[0])
 
-    def compact(self) -> None:
-        """Folds all that is committed into a snapshot; the folded batches stay known, so replays stay harmless."""
+    def compact(self) -> bool:
+        """Folds what is committed now into a snapshot; batches committed meanwhile stay deltas. False if another snapshot came first.
+
+        The folded batches stay known by name, so replays stay harmless: a snapshot lists a name for each batch.
+        """
         paths, batches, n = self._parts()
-        if paths:
-            attempt = f"snapshots-data/{uuid.uuid4().hex}"
-            self.totals().write.parquet(f"{self.root}/{attempt}")
-            self.files.claim(f"snapshots/{n:09d}", json.dumps({"at": attempt, "folded": batches}))
+        if not paths:
+            return False
+        attempt = f"snapshots-data/{uuid.uuid4().hex}"
+        self._sum(paths).write.parquet(f"{self.root}/{attempt}")
+        return self.files.claim(f"snapshots/{n + 1:09d}", json.dumps({"at": attempt, "folded": batches, "n": n + 1}))
 
 
 def counted(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, source, lang, n_chars, n_words, n_tokens) of every row; null texts count as empty."""
+    """(doc_id, source, lang, n_chars, n_words, n_tokens) of every row, repeated ones and ones with nulls too.
+
+    Null texts count as empty. Long texts take memory in proportion to their tokens. An empty table gives no rows.
+    Other columns, whatever their names, are left out.
+    """
     text = text_col()
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(bpe._spec(path or bpe.tokenizer_path()))

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -100,6 +101,26 @@ def test_pii_keeps_what_a_base_span_leaves_of_a_run():
     assert np.array_equal(model.emission(long), want)
 
 
+def test_pii_of_a_long_text_in_bounded_memory():
+    model, text = pii.default_model(), "12-34x(5 " * 40_000
+    short = ["mail joe(at)mail.com or 555-123-4567 now"] * 200
+    finder = pii.Finder(model)
+    tracemalloc.start()
+    found = finder.find([text, *short])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20 and all(f == found[1] for f in found[1:]) and {k for k, _, _ in found[1][1]} == {0, 3}
+    r = np.random.RandomState(3)
+    stretches = [r.randn(n, len(pii.LABELS)) for n in (0, 1, 7, 2000, 3, 70_000, 5, 0, 1)]
+    alone = [model.viterbi([s])[0] for s in stretches]
+    assert all(np.array_equal(a, b) for a, b in zip(model.viterbi(stretches), alone))
+
+
+def test_pii_trims_marks_and_single_brackets():
+    cut = lambda t: t[slice(*pii.trimmed(t.encode(), 0, len(t)))]
+    assert [cut(t) for t in ('24be07ff"###', "(555) 123-4567", "(joe@x", "+1 (555) 12)", "((ab", "***", "")] == ["24be07ff", "(555) 123-4567", "joe@x", "+1 (555) 12)", "ab", "", ""]
+
+
 # --- 2 ---------------------------------------------------------------------------------------------------
 
 def brute_fp(t):
@@ -149,6 +170,39 @@ def test_simhash_links_all_pairs_also_over_the_bucket_limit(spark, limit):
     assert {i: got.get(i, i) for i, _ in pairs} == brute_groups(pairs)
 
 
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 4])
+def test_simhash_radius_over_the_bucket_limit(spark, radius):
+    r = np.random.RandomState(radius)
+    fps = {0}
+    while len(fps) < 40:
+        fps.add(int(list(fps)[r.randint(len(fps))]) ^ sum(1 << int(b) for b in r.choice(64, r.randint(1, 8), replace=False)))
+    pairs = list(enumerate(sorted(fps)))
+    want = {i: i for i, _ in pairs}
+    for _ in pairs:  # the smallest label spreads
+        for i, a in pairs:
+            for j, b in pairs:
+                if bin(a ^ b).count("1") <= radius:
+                    want[i] = want[j] = min(want[i], want[j])
+    df = spark.createDataFrame([(i, fp - (1 << 64) if fp >= 1 << 63 else fp) for i, fp in pairs], "rep long, fp long")
+    for limit in (3, 8192):
+        got = {x["node"]: x["component"] for x in components.connected_components(simhash.links(df, radius, limit)).collect()}
+        assert {i: got.get(i, i) for i, _ in pairs} == want
+    with pytest.raises(ValueError, match="radius"):
+        simhash.links(df.limit(0), 5)
+
+
+def test_simhash_dedup_judges_rows(spark):
+    """Rows with one id go by their own texts, repeated rows leave one, other columns may have any names."""
+    a, b, c = prose(1, 40), prose(2, 40), prose(3, 40)
+    rows = [(1, a, 0, "x", 1), (1, b, 0, "y", 2), (2, a, 0, "z", 3), (3, c, 0, "r", 4), (3, c, 0, "r", 4), (3, c, 0, "q", 5), (4, None, 0, "n", 6), (5, "", 0, "m", 7), (None, a, 0, "o", 8), (None, a, 0, "o", 8)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, row int, key string, go int").withColumns({"_near": F.lit(1), "fp": F.lit("f"), "component_id": F.lit(2), "a.b": F.lit(3), "m": F.create_map(F.lit("k"), F.lit(1))})
+    got = simhash.dedup(df)
+    assert got.columns == df.columns and got.dtypes == df.dtypes
+    left = sorted((x["doc_id"] or -1, x["text"] or "", x["go"]) for x in got.collect())
+    assert [x for x in left if x[0] != 3] == sorted([(-1, a, 8), (-1, a, 8), (1, a, 1), (1, b, 2), (4, "", 6)]) and [x[:2] for x in left if x[0] == 3] == [(3, c)]
+    assert simhash.dedup(df.limit(0)).count() == 0
+
+
 # --- 3, 4 ------------------------------------------------------------------------------------------------
 
 def test_bpe_equals_the_library(spark):
@@ -206,6 +260,24 @@ def test_token_counts(spark, tmp_path):
         ledger.commit("e", change("upsert", 1))
 
 
+def test_token_counts_commit_during_compaction(spark, tmp_path, monkeypatch):
+    ledger = token_counts.TokenLedger(spark, str(tmp_path / "ledger"))
+    change = lambda n: spark.createDataFrame([("insert", "s", "en", "v", n, n, None, None)], "op string, source string, lang string, tokenizer_version string, n_tokens long, n_chars long, old_tokens long, old_chars long")
+    ledger.commit("a", change(5)), ledger.commit("b", change(7))
+    whole = token_counts.TokenLedger._sum
+
+    def late(self, paths):  # a batch comes in once the listing is done
+        monkeypatch.setattr(token_counts.TokenLedger, "_sum", whole)
+        assert token_counts.TokenLedger(spark, str(tmp_path / "ledger")).commit("c", change(8))
+        return whole(self, paths)
+
+    monkeypatch.setattr(token_counts.TokenLedger, "_sum", late)
+    assert ledger.compact()
+    assert [tuple(r)[3:] for r in ledger.totals().collect()] == [(3, 20, 20)]
+    assert ledger.compact() and not ledger.commit("a", change(5)) and not ledger.commit("c", change(8))
+    assert [tuple(r)[3:] for r in ledger.totals().collect()] == [(3, 20, 20)]
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------
 
 def test_decontamination(spark):
@@ -275,6 +347,14 @@ def test_decontamination_is_the_same_in_parts(spark, monkeypatch):
     assert decontam.decontaminate(docs, bench).count() == 0
 
 
+def test_decontamination_of_short_and_repeated_items(spark):
+    """Items under five words are a leak nowhere; an id that several items share gives one row a document."""
+    index = decontam.ItemIndex([(1, "the"), (2, "yes no"), (3, "a b c d"), (4, prose(1, 5)), (5, prose(2, 20)), (5, prose(2, 20)), (5, prose(3, 20))])
+    texts = ["the yes no a b c d the", prose(1, 5) + " end", prose(2, 20) + " and " + prose(3, 20), prose(4, 50)]
+    assert [g[:2] for g in index.leaks(texts)] == [(1, 4), (2, 5)]
+    assert decontam.ItemIndex([(1, "the"), (None, prose(1, 9))]).leaks(texts) == []
+
+
 # --- 6, 7 ------------------------------------------------------------------------------------------------
 
 def accuracy(spark, name, label, parts, held):
@@ -450,6 +530,36 @@ def test_rules_base_and_guarantee(spark):
         assert r["ok"] == (r["k"] < 0.02 * r["n"] and tail <= 0.003)
 
 
+def test_rules_tail_at_any_size(spark):
+    """The exact binomial tail, also far beyond what a term-by-term sum from zero could take."""
+    from math import lgamma, log
+
+    def log_tail(k, n, p):
+        low = max(0, k - 60_000)
+        terms = np.array([lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * log(p) + (n - j) * log(1 - p) for j in range(low, k + 1)])
+        return terms.max() + log(np.exp(terms - terms.max()).sum())
+
+    cases = [(k, n) for n, ks in ((7_000_000, (139_000, 139_050, 139_060, 139_100)), (20_000_000, (398_000, 398_300, 398_500, 399_990)), (900, (0, 5, 7, 8)), (1, (0,))) for k in ks]
+    df = spark.createDataFrame(cases, "k long, n long").select("k", "n", rules._passes(F.col("k"), F.col("n"), 0.02, F.lit(0.003)).alias("ok"))
+    got = {(r["k"], r["n"]): r["ok"] for r in df.collect()}
+    assert got == {(k, n): log_tail(k, n, 0.02) <= log(0.003) for k, n in cases} and len(set(got.values())) == 2
+
+
+def test_rules_of_many_strata_and_repeated_rows(spark, monkeypatch):
+    """No stratum is left out, however they are joined, and a repeated document counts once."""
+    docs = spark.range(1500 * 3).select(F.col("id").alias("doc_id"), F.format_string("s%d", F.col("id") % 1500).alias("stratum"), *[F.lit(100).cast("long").alias(c) for c in ("n_words", "word_chars", "n_lines")], *[F.lit(0).cast("long").alias(c) for c in ("n_symbols", "n_marks", "n_dup_lines", "n_repeat_words")], F.lit(False).alias("base_failed"))
+    big = docs.filter("stratum = 's7'").crossJoin(spark.range(700).withColumnRenamed("id", "k")).withColumn("doc_id", F.col("doc_id") * 100_000 + F.col("k")).drop("k")
+    rows = docs.unionByName(big)
+    labels = rows.select("doc_id", F.lit(1).alias("quality"))
+    chosen = rules.cutoffs(rows, labels)
+    assert {r["stratum"] for r in chosen.collect()} == {"s7"}
+    again = docs.filter("doc_id < 20").unionByName(docs.filter("doc_id < 20")).crossJoin(spark.range(500)).drop("id").withColumn("stratum", F.lit("one"))
+    assert rules.cutoffs(again, labels).count() == 0  # 20 documents prove nothing, however often they stand there
+    want = rules.judged(rows, chosen).filter("kept").count()
+    monkeypatch.setattr(rules, "FEW_STRATA", 0)
+    assert rules.judged(rows, chosen).filter("kept").count() == want == rows.count()
+
+
 # --- 9, 10 -----------------------------------------------------------------------------------------------
 
 def brute_lines(rows):
@@ -494,6 +604,23 @@ def test_line_dedup(spark):
     assert sum(n for n, _ in want.values()) > 0 and line_dedup.stage(planted(spark)).columns == planted(spark).columns
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    names = ["_n_removed", "__ld_gone", "__ld_all", "row", "gone", "copy", "n", "every", "out", "_near", "a.b"]
+    df = planted(spark).withColumns({c: F.lit(f"own {c}") for c in names})
+    out = line_dedup.stage(df)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    want = brute_lines([(r["doc_id"], r["text"] or "") for r in df.collect()])
+    for r in out.collect():
+        assert r["text"] == want[r["doc_id"]][1] and all(r[c] == f"own {c}" for c in names) and r["n_chars"] == len(r["text"])
+    counted = line_dedup.dedup_lines(df)
+    assert counted.columns == [*[c for c in df.columns if c != "_n_removed"], "_n_removed"] and {r["doc_id"]: r["_n_removed"] for r in counted.collect()} == {i: n for i, (n, _) in want.items()}
+    # two texts of one id, and a repeated row: each by its own text; a repeat keeps what is its own
+    lines = "\n".join(prose(70 + k, 6) for k in range(4))
+    two = frame(spark, [lines, "other\n" + lines, lines, lines, None, None], [1, 1, 2, 2, None, 3])
+    got = sorted((r["doc_id"] or -1, r["_n_removed"], r["text"]) for r in line_dedup.dedup_lines(two).filter("text is not null").collect())
+    assert [g[:2] for g in got] == [(1, 0), (1, 4), (2, 4), (2, 4)] and line_dedup.dedup_lines(two).filter("text is null").count() == 2
+
+
 def test_substring_dedup(spark, tmp_path):
     for df, batches in ((planted(spark), 3), (docs_of(spark), 2), (docs_of(spark), 7)):  # seven batches make runs compact
         want = brute_words([(r["doc_id"], r["text"] or "") for r in df.collect()])
