@@ -115,6 +115,8 @@ class ItemIndex:
         """Items (by position) of one passage's term numbers that score at least the threshold."""
         q = np.unique(np.array(query, dtype=np.int64))
         q = q[q < len(self.vocab)]
+        if self.term_max[q].sum(dtype=np.float64) < threshold - 1e-5:  # WAND's bound again, repeats apart
+            return []
         at = self._of(self.max_starts, q)
         blocks, place = np.unique(self.max_block[at], return_inverse=True)
         live = blocks[np.bincount(place, weights=self.max_impact[at]) >= threshold - 1e-5] if len(blocks) else blocks
