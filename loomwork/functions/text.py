@@ -153,6 +153,18 @@ def token_language(t) -> Column:
     )
 
 
+def with_model(t, predicted) -> Column:
+    """struct(lang, conf) of an optional language model's guess, struct(label, conf) or null, and of `token_language`.
+
+    The model's label counts; below a confidence of 0.75 the words decide between fa and ar if they are surer.
+    """
+    label = F.regexp_replace(F.lower(col(predicted)["label"]), "^__label__", "")
+    lang = F.when(label.isin("fa", "persian"), "fa").when(label.isin("ar", "ara", "arb"), "ar").when(label == "en", "en").otherwise("other")
+    conf, own = col(predicted)["conf"].cast("double"), token_language(t)
+    doubt = (conf < 0.75) & own["lang"].isin("fa", "ar") & (own["lang"] != lang) & (own["conf"] > conf)
+    return F.when(col(predicted).isNull() | label.isNull() | doubt, own).otherwise(F.struct(lang.alias("lang"), conf.alias("conf")))
+
+
 def response_language(t) -> Column:
     """`code` for an answer of code blocks only, else the language of the rest."""
     prose = F.regexp_replace(col(t), r"```[\s\S]*?```", " ")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
+from ..tables import cut
+from . import dedup, sampling
 
 
 def assemble(turns: DataFrame) -> DataFrame:
@@ -89,9 +91,39 @@ def last_messages(messages, n: int) -> Column:
     return F.slice(m, F.greatest(F.lit(1), F.size(m) - n + 1), F.lit(n))
 
 
-def normalize(convs: DataFrame, fn) -> DataFrame:
-    """Applies a text UDF or expression to each content, by message rows, and assembles again."""
-    key = [c for c in convs.columns if c != "messages"]
-    rows = convs.select(*key, F.posexplode("messages").alias("turn", "m")).select(*key, "turn", F.col("m.role").alias("role"), fn(F.coalesce("m.content", F.lit(""))).alias("content"))
-    again = rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "content"))).alias("m"))
-    return again.select(*key, F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+def normalize(convs: DataFrame, fn, key: str = "conv_id") -> DataFrame:
+    """Applies a text UDF or expression to each content, by message rows, and assembles again; missing contents become empty.
+
+    Rows are told apart by `key`, and the other columns stay beside it. Conversations without messages stay as they are.
+    """
+    rows = convs.filter(F.size("messages") > 0).select(key, F.posexplode("messages").alias("turn", "m")).select(key, "turn", F.col("m.role").alias("role"), fn(F.coalesce("m.content", F.lit(""))).alias("content"))
+    again = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "content"))).alias("_m"))
+    new = F.transform("_m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    out = convs.join(again.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key"), "left").drop("_key")
+    return out.withColumn("messages", F.coalesce(new, "messages")).drop("_m")
+
+
+def preparation(convs: DataFrame, target: int, domain: str = "domain", seed: int = 42, val_share: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """The large-corpus job: (picked conversations with split, one row of stats) of conversations (conv_id, messages, turns, domain).
+
+    Normalizes, filters by the first failing reason, drops exact and near duplicates, keeps conversations of several
+    turns and the best others of each domain up to the target, and deals them to the splits. The stats' identity:
+    n_raw = n_rejected + n_exact + n_near + n_kept, and n_picked = n_train + n_validation.
+    """
+    judged = cut(with_reason(convs.withColumn("messages", F.transform("messages", lambda m: F.struct(m["role"].alias("role"), T.normalize_segment(m["content"]).alias("content"))))), "prep-judged")
+    ok = judged.filter("reason = 'ok'")
+    unique = cut(dedup.exact(ok), "prep-exact")
+    said = F.concat_ws(" ", F.transform("messages", lambda m: m["content"]))
+    groups = cut(dedup.min_shingle(unique.withColumn("_t", said), "_t", "conv_id").drop("_t"), "prep-near")
+    kept = groups.filter("conv_id = group").drop("group").withColumns({"_a": joined("messages", "assistant"), "_u": joined("messages", "user")}).withColumn("_w", T.words("_a"))
+    scored = cut(kept.withColumn("score", T.quality_rank("_a", "_u", "turns", F.col("_w"))).withColumn("turns", F.when(F.col("turns") > 2, F.col("turns")).otherwise(1)).drop("_a", "_u", "_w"), "prep-scored")
+    domains = convs.select(domain).distinct().count()
+    picked = cut(sampling.hash_split(sampling.balanced(scored, target, domain, "turns", "score", "conv_id", domains), "conv_id", seed, val_share), "prep-picked")
+    n = lambda df, to: df.agg(F.count(F.lit(1)).alias(to))
+    parts = [judged.agg(F.count(F.lit(1)).alias("n_raw"), F.sum((F.col("reason") != "ok").cast("long")).alias("n_rejected")), n(unique, "_unique"), n(scored, "n_kept"),
+             picked.agg(F.count(F.lit(1)).alias("n_picked"), F.sum((F.col("split") == "train").cast("long")).alias("n_train"), F.sum((F.col("split") == "validation").cast("long")).alias("n_validation"), F.sum((F.col("turns") > 1).cast("long")).alias("n_multi"))]
+    stats = parts[0]
+    for p in parts[1:]:
+        stats = stats.crossJoin(F.broadcast(p))  # one row each, ungrouped aggregates
+    stats = stats.withColumns({"n_exact": F.col("n_raw") - F.col("n_rejected") - F.col("_unique"), "n_near": F.col("_unique") - F.col("n_kept")}).drop("_unique")
+    return picked, stats

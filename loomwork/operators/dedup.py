@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..tables import cut
+from .closure import connected_components
 
 #: Above any 32-bit hash; products of a hash and a factor below 2**31 stay within a long.
 PRIME = 4294967311
@@ -62,6 +64,32 @@ def agreement(a, b):
     return F.size(same) / F.size(T.col(a))
 
 
+def lsh_pairs(rows: DataFrame, text: str, key: str, perms: int = 32, width: int = 4, threshold: float = 0.85, most: int = 60) -> DataFrame:
+    """(a, b, agreement) of the pairs, a < b, that share a band of their signatures and agree in the threshold's share of places.
+
+    A band is `width` places of the signature; buckets of one band with over `most` rows aren't searched, as in
+    the method that this is compatible with, so a bucket gives a bounded number of pairs. For all pairs whatever
+    the buckets' sizes see `similar_pairs`.
+    """
+    worded = rows.withColumn("_w", T.words(text))
+    hashed = worded.withColumn("_s", F.transform(T.shingles(F.col("_w")), lambda s: T.hash32(s)))
+    signed = cut(hashed.select(F.col(key).alias("k"), minhash_signature("_s", perms).alias("sig")), "lsh-signatures")
+    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[F.get("sig", F.lit(b * width + i)) for i in range(width)]).alias("h")) for b in range(perms // width)])
+    each = signed.select("k", F.explode(bands).alias("x")).select("k", "x.*")
+    sizes = each.groupBy("band", "h").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n").between(2, most)).select("band", "h")
+    met = cut(each.join(sizes, ["band", "h"]), "lsh-buckets")
+    pairs = met.withColumnRenamed("k", "a").join(met.withColumnRenamed("k", "b"), ["band", "h"]).filter("a < b").select("a", "b").distinct()
+    side = lambda to: signed.select(F.col("k").alias(to), F.col("sig").alias(f"sig_{to}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("agreement", agreement("sig_a", "sig_b"))
+    return both.filter(F.col("agreement") >= threshold).select("a", "b", "agreement")
+
+
+def lsh_groups(rows: DataFrame, text: str, key: str, **options) -> DataFrame:
+    """`rows` with `group`: the smallest key that is reached over the pairs of `lsh_pairs`; its row is the survivor."""
+    parts = connected_components(lsh_pairs(rows, text, key, **options).select("a", "b"))
+    return rows.join(parts.withColumnRenamed("node", "_node"), F.col(key) == F.col("_node"), "left").withColumn("group", F.coalesce("component", F.col(key))).drop("_node", "component")
+
+
 def shingle_classes(rows: DataFrame, text: str, key: str) -> DataFrame:
     """`rows` with `class`: the smallest key of the rows with the same set of five-word shingles."""
     marked = _with_set(rows, text).withColumn("_h", F.md5(F.array_join("_s", ","))).drop("_s")

@@ -101,6 +101,17 @@ def filled_templates(rows: DataFrame, template: str, key: str, choices: dict[str
     return rows.withColumn("text", text)
 
 
+def derived_config(machines: DataFrame, ram: str = "ram_gb", cores: str = "cores", gpu: str = "gpu") -> DataFrame:
+    """`machines` with the training settings that fit them; nulls count as 4 GB, 2 cores and no GPU."""
+    memory, has_gpu = F.coalesce(F.col(ram).cast("double"), F.lit(4.0)), F.coalesce(F.col(gpu), F.lit(False))
+    roomy = has_gpu | (memory >= 8)
+    either = lambda a, b: F.when(roomy, a).otherwise(b)
+    return machines.withColumns({
+        "device": F.when(has_gpu, "cuda").otherwise("cpu"), "threads": F.greatest(F.lit(1), F.coalesce(F.col(cores).cast("int"), F.lit(2))), "max_seq_len": F.when(has_gpu | (memory >= 12), 768).when(memory >= 8, 384).otherwise(256),
+        "batch_size": either(2, 1), "accumulation": either(4, 8), "lora_r": either(16, 12), "lora_alpha": either(32, 24), "learning_rate": either(1.5e-4, 1.2e-4),
+    })
+
+
 def fitting_config(configs: DataFrame, memory_limit: float = 14.5, fallback: int = 2048) -> DataFrame:
     """(seq_len): the longest measured length without an error and within the memory limit, else the fallback."""
     fits = F.max(F.when(F.col("error").isNull() & (F.col("memory_gb") < memory_limit), F.col("seq_len")))

@@ -49,6 +49,28 @@ def misclassified(judged: DataFrame, order: str, limit: int = 40) -> DataFrame:
     return judged.filter(wrong).orderBy(order).limit(limit).select("id", "expect", "got", F.substring("answer", 1, 200).alias("response"))
 
 
+def projected(rows: DataFrame, cuts: dict[str, int]) -> DataFrame:
+    """`rows` with texts cut to so many characters, as reports show them."""
+    return rows.withColumns({c: F.substring(F.coalesce(c, F.lit("")), 1, n) for c, n in cuts.items()})
+
+
+def validated_files(files: DataFrame, html_error, js_error) -> DataFrame:
+    """(path, kind, valid, error) of rows (path, code): by extension, or as a page by what the code begins with; other files are left out."""
+    ext = F.lower(F.when(F.contains("path", F.lit(".")), F.element_at(F.split("path", r"\."), -1)).otherwise(""))
+    page = (ext == "html") | F.contains(F.substring("code", 1, 200), F.lit("<html")) | F.contains(F.substring("code", 1, 100), F.lit("<!DOCTYPE"))
+    rows = files.withColumn("kind", F.when(page, "html").when(ext == "css", "css").when(ext == "js", "js")).filter("kind is not null")
+    check = lambda kind, udf: rows.filter(F.col("kind") == kind).withColumn("error", udf)
+    css = F.when(~T.css_balanced("code"), "brace mismatch")
+    out = check("html", html_error("code")).unionByName(check("css", css)).unionByName(check("js", js_error("code")))
+    return out.withColumn("valid", F.when(F.coalesce(F.col("error") != "unchecked", F.lit(True)), F.col("error").isNull()))
+
+
+def verdict(validated: DataFrame) -> DataFrame:
+    """One row: files checked, valid ones, and PASS if all are; FAIL without any."""
+    n, ok = count_if(F.col("valid").isNotNull()), count_if(F.col("valid"))
+    return validated.agg(n.alias("checked"), ok.alias("valid")).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("checked", "valid")}).withColumn("verdict", F.when((F.col("checked") > 0) & (F.col("checked") == F.col("valid")), "PASS").otherwise("FAIL"))
+
+
 def answer_measures(rows: DataFrame, answer: str, prompt: str, expect: str) -> DataFrame:
     """`rows` with the measures of each answer; syntax by brace balance of CSS blocks (HTML by the UDF in functions)."""
     a = F.col(answer)

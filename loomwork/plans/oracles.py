@@ -141,7 +141,7 @@ ORACLE_SQL = {
       SELECT doc_id, source, turns, score FROM s WHERE turns > 1 UNION ALL SELECT doc_id, source, turns, score FROM p, n WHERE g <= greatest(0, 400 - multi)""",
     "length_statistics": f"SELECT count(*) AS n, round(avg(v), 1) AS mean, max(v) FILTER (r = n // 2) AS p50, max(v) FILTER (r = CAST(floor(n * 0.95) AS BIGINT)) AS p95, max(v) AS max FROM (SELECT CAST(length(text) AS BIGINT) AS v, row_number() OVER (ORDER BY length(text)) - 1 AS r, count(*) OVER () AS n FROM {D})",
     "distributions": f"SELECT lang, source, CAST(grouping(lang, source) AS BIGINT) AS level, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM {D} GROUP BY GROUPING SETS ((lang), (source), ())",
-    "length_batches": f"SELECT doc_id, (row_number() OVER (ORDER BY length(text), doc_id) - 1) // 16 AS batch FROM {D}",
+    "length_batches": f"SELECT doc_id, batch, sha256('42:' || batch) AS batch_order FROM (SELECT doc_id, (row_number() OVER (ORDER BY length(text), doc_id) - 1) // 16 AS batch FROM {D})",
     "shortest_documents": f"SELECT doc_id, CAST(length(text) AS BIGINT) AS n FROM {D} ORDER BY length(text), doc_id LIMIT 24",
     "round_robin_pick": f"SELECT doc_id, source FROM (SELECT *, regexp_replace(source, '-?[0-9]+$', '') AS cat FROM {D}) QUALIFY row_number() OVER (PARTITION BY cat ORDER BY doc_id) <= 50 ORDER BY row_number() OVER (PARTITION BY cat ORDER BY doc_id), cat LIMIT 50",
     "benchmark_metrics": f"""SELECT count(*) AS n_prompts, round((count(*) FILTER (expect = 'fa' AND got = 'fa'))::DOUBLE / nullif(count(*) FILTER (NOT empty AND expect = 'fa'), 0), 4) AS persian_response_rate, round((count(*) FILTER ({EXPECTED} AND expect = got))::DOUBLE / nullif(count(*) FILTER ({EXPECTED}), 0), 4) AS language_compliance,
@@ -178,3 +178,37 @@ ORACLE_SQL = {
     "pricing_summary": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 2) AS avg_price FROM lineitem GROUP BY ALL",
     "streamed_event_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
+
+
+SIGNED = f"(SELECT doc_id, [{', '.join(f'list_min(list_transform(h, lambda x: (x * {a} + {b}) % 4294967311))' for a, b in affine(32))}] AS g FROM (SELECT doc_id, list_transform(s, lambda y: ('0x' || substr(md5(y), 1, 8))::BIGINT) AS h FROM {SETS}))"
+DIGEST = "md5(array_to_string(list_transform(m, lambda y: y.role || ':' || y.content), '|'))"
+
+ORACLE_SQL |= {
+    "normalized_texts": f"SELECT doc_id, md5(text || chr(10) || 'کتاب ی ' || doc_id || ' `ي ك`') AS md5 FROM {D}",
+    "normalized_conversations": f"SELECT conv_id, turns, md5(array_to_string(list_transform(m, lambda y: y.role || ':' || y.content || ' ی'), '|')) AS md5 FROM {M}",
+    "folded_texts": f"SELECT doc_id, md5(lower({strip(f"regexp_replace(nfc_normalize(text), '{chr(92)}s+', ' ', 'g')")})) AS md5 FROM {D}",
+    "lsh_near_duplicates": f"""WITH RECURSIVE g AS MATERIALIZED {SIGNED}, b AS (SELECT doc_id, unnest(range(8)) AS band, unnest(list_transform(range(8), lambda i: array_to_string(g[4 * i + 1:4 * i + 4], ','))) AS h FROM g),
+      c AS (SELECT *, count(*) OVER (PARTITION BY band, h) AS n FROM b), p AS (SELECT DISTINCT l.doc_id AS a, r.doc_id AS b FROM c l JOIN c r ON l.band = r.band AND l.h = r.h AND l.doc_id < r.doc_id WHERE l.n <= 60),
+      v AS MATERIALIZED (SELECT a, b FROM p JOIN g x ON x.doc_id = a JOIN g y ON y.doc_id = b WHERE len(list_filter(range(1, 33), lambda i: x.g[i] = y.g[i])) / 32.0 >= 0.85),
+      e AS (SELECT a, b FROM v UNION ALL SELECT b, a FROM v), r AS (SELECT a AS s, a AS x FROM e UNION SELECT r.s, e.b FROM r JOIN e ON r.x = e.a)
+      SELECT d.doc_id, coalesce(min(x), d.doc_id) AS group_id FROM documents d LEFT JOIN r ON r.s = d.doc_id GROUP BY d.doc_id""",
+    "truncated_answers": f"""SELECT doc_id, CASE WHEN length(k) > 0 AND length(k) >= 0.1 * w THEN md5(k) END AS md5 FROM (SELECT doc_id, w, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (c <= 500), ''), '\\s+$', '') AS k
+      FROM (SELECT doc_id, i, line, w, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, length(regexp_replace(text, '\\s+$', '')) AS w FROM {D})) GROUP BY doc_id, w)""",
+    "preparation_stats": f"""SELECT count(*) AS n_raw, count(*) FILTER (reason <> 'ok') AS n_rejected, count(*) FILTER (reason = 'ok') - count(DISTINCT m) FILTER (reason = 'ok') AS n_exact, CAST(0 AS BIGINT) AS gap, CAST(0 AS BIGINT) AS split_gap
+      FROM {REASON} r JOIN {M} c ON r.conv_id = c.conv_id""",
+    "split_distributions": f"SELECT turns, domain, lang, count(*) AS n FROM (SELECT turns, 'd' || (conv_id % 5) AS domain, {talk('m')} AS lang, conv_id FROM {M}) WHERE {split_of('conv_id')} >= 100 GROUP BY GROUPING SETS ((turns), (domain), (lang))",
+    "cut_answers": f"SELECT conv_id, turn, substr(prompt, 1, 120) AS prompt, substr(answer, 1, 1200) AS answer FROM {PAIRS}",
+    "languages_with_model": f"""SELECT doc_id, CASE WHEN own THEN l ELSE g END AS lang, round(CASE WHEN own THEN c ELSE p END, 6) AS conf FROM (SELECT *, doc_id % 4 = 0 OR (p < 0.75 AND l IN ('fa', 'ar') AND l <> g AND c > p) AS own
+      FROM (SELECT doc_id, {LANG} AS l, {CONF} AS c, ['en', 'fa', 'other'][doc_id % 3 + 1] AS g, (doc_id % 10)::DOUBLE / 10 AS p FROM {D}))""",
+    "derived_configs": """SELECT n_nationkey, CASE WHEN gpu THEN 'cuda' ELSE 'cpu' END AS device, greatest(1, cores) AS threads, CAST(CASE WHEN gpu OR ram >= 12 THEN 768 WHEN ram >= 8 THEN 384 ELSE 256 END AS BIGINT) AS max_seq_len,
+      CAST(CASE WHEN roomy THEN 2 ELSE 1 END AS BIGINT) AS batch_size, CAST(CASE WHEN roomy THEN 4 ELSE 8 END AS BIGINT) AS accumulation, CAST(CASE WHEN roomy THEN 16 ELSE 12 END AS BIGINT) AS lora_r, CAST(CASE WHEN roomy THEN 32 ELSE 24 END AS BIGINT) AS lora_alpha, CASE WHEN roomy THEN 1.5e-4::DOUBLE ELSE 1.2e-4::DOUBLE END AS learning_rate
+      FROM (SELECT n_nationkey, n_nationkey * 0.75 AS ram, CAST(n_nationkey % 9 AS BIGINT) AS cores, n_nationkey % 7 = 0 AS gpu, n_nationkey % 7 = 0 OR n_nationkey * 0.75 >= 8 AS roomy FROM nation)""",
+    "validated_files": "SELECT 'css' AS kind, count(*) AS n, count(*) FILTER (doc_id % 3 <> 0) AS valid FROM documents UNION ALL SELECT 'html', count(*), count(*) FILTER (doc_id % 5 <> 0) FROM documents",
+    "json_lines_round_trip": f"SELECT 'd' || (conv_id % 5) AS domain, 'raw' AS source, {DIGEST} AS md5 FROM {M}",
+    "malformed_lines": "SELECT count(*) FILTER (doc_id % 7 = 0 OR doc_id % 11 <> 0) AS rows, count(*) FILTER (doc_id % 7 = 0) AS malformed, count(*) FILTER (doc_id % 7 <> 0 AND doc_id % 11 <> 0) AS ids, count(*) FILTER (doc_id % 7 = 0 OR doc_id % 11 <> 0) AS lines, count(*) FILTER (doc_id % 7 = 0) AS by_file FROM documents",
+    "split_files": f"SELECT CASE WHEN {split_of('conv_id')} < 100 THEN 'validation' ELSE 'train' END AS split, false AS lineage, count(*) AS n FROM (SELECT DISTINCT conv_id FROM conversations) GROUP BY ALL",
+    "resumed_append": "SELECT count(*) FILTER (conv_id % 5 < 3) AS first, count(*) FILTER (conv_id % 5 >= 3) AS second, CAST(0 AS BIGINT) AS third, count(*) AS rows, CAST(3 AS BIGINT) AS logged FROM (SELECT DISTINCT conv_id FROM conversations)",
+    "domain_parquet_round_trip": "SELECT 'd' || (conv_id % 5) AS domain, count(*) AS n, true AS stable FROM (SELECT DISTINCT conv_id FROM conversations) GROUP BY 1",
+    "documents_and_reports": """SELECT 'b.html' AS file, CAST(4 AS BIGINT) AS bytes, sha256('<p>' || chr(10)) AS sha256 UNION ALL SELECT 'e.css', 4, sha256('q{}' || chr(10)) UNION ALL SELECT v.f, v.n, NULL FROM (SELECT unnest([struct_pack(f := 'prompts', n := count(*)), struct_pack(f := 'stats', n := count(*)), struct_pack(f := 'removed', n := 3),
+      struct_pack(f := 'fine', n := 1), struct_pack(f := 'died', n := 0), struct_pack(f := 'files', n := 2), struct_pack(f := 'lines', n := count(*) + 3), struct_pack(f := 'title', n := 1), struct_pack(f := 'done', n := 8), struct_pack(f := 'none', n := 1)]) AS v FROM benchmark)""",
+}

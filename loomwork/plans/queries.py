@@ -11,8 +11,10 @@ from ..functions import udfs as U
 from ..operators import conversations as V
 from ..operators import dedup, materialize, metrics, sampling
 from ..shipping import ship
+from ..sources import readers, sinks
 from ..sources.readers import spread
 from ..streaming import prep
+from ..tables import fresh_dir
 
 SYSTEM_PREFIX = "You are"
 Q: dict = {}
@@ -165,14 +167,16 @@ def normalized_segments(s, d):
 
 @query
 def normalized_texts(s, d):
-    """F1, F3"""
-    return docs(s, d).select("doc_id", F.md5(U.normalize_text("text")).alias("md5"))
+    """each text with a line of Arabic letters, some within inline code"""
+    text = F.concat("text", F.lit("\nكتاب ي "), F.col("doc_id").cast("string"), F.lit(" `ي ك`"))
+    return docs(s, d).select("doc_id", F.md5(U.normalize_text(text)).alias("md5"))
 
 
 @query
 def normalized_conversations(s, d):
     """F5"""
-    return V.normalize(convs(s, d), U.normalize_text).select("conv_id", F.md5(F.to_json("messages")).alias("md5"))
+    arabic = convs(s, d).withColumn("messages", F.transform("messages", lambda m: F.struct(m["role"].alias("role"), F.concat(m["content"], F.lit(" ي")).alias("content"))))
+    return V.normalize(arabic, U.normalize_text).select("conv_id", "turns", F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")).alias("md5"))
 
 
 @query
@@ -232,7 +236,7 @@ def distributions(s, d):
 @query
 def length_batches(s, d):
     """O6"""
-    return sampling.length_batches(docs(s, d).select("doc_id", F.length("text").alias("n")), "n", "doc_id", 16).select("doc_id", "batch")
+    return sampling.length_batches(docs(s, d).select("doc_id", F.length("text").alias("n")), "n", "doc_id", 16).select("doc_id", "batch", "batch_order")
 
 
 @query
@@ -478,6 +482,154 @@ def streamed_turns(s, d):
     return s.read.parquet(f"{base}/out")
 
 
+@query
+def lsh_near_duplicates(s, d):
+    """Signatures, bands, verified pairs and their closure"""
+    return dedup.lsh_groups(docs(s, d).select("doc_id", "text"), "text", "doc_id").select("doc_id", F.col("group").alias("group_id"))
+
+
+@query
+def truncated_answers(s, d):
+    """whole lines within 500 characters, a tenth of the text at least"""
+    return materialize.truncated_answers(docs(s, d), "doc_id", "text", 500, lambda line: F.length(line) + 1).select("doc_id", F.md5("kept").alias("md5"))
+
+
+def domain_convs(s, d):
+    return convs(s, d).withColumn("domain", F.concat(F.lit("d"), (F.col("conv_id") % 5).cast("string")))
+
+
+@query
+def preparation_stats(s, d):
+    """A5, 3.1: the large-corpus job's totals and its two identities"""
+    stats = V.preparation(domain_convs(s, d), 60)[1]
+    return stats.select("n_raw", "n_rejected", "n_exact", F.expr("n_raw - n_rejected - n_exact - n_near - n_kept").alias("gap"), F.expr("n_picked - n_train - n_validation").alias("split_gap"))
+
+
+@query
+def split_distributions(s, d):
+    """A2, A3: turns, domains and languages of the train split"""
+    rows = sampling.hash_split(domain_convs(s, d), "conv_id").filter("split = 'train'").withColumn("lang", T.conversation_language("messages"))
+    return rows.groupingSets([["turns"], ["domain"], ["lang"]], "turns", "domain", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def cut_answers(s, d):
+    """P20: prompts and answers as reports show them"""
+    rows = metrics.projected(pairs(s, d), {"prompt": 120, "answer": 1200})
+    return rows.select("conv_id", "turn", "prompt", "answer")
+
+
+@query
+def languages_with_model(s, d):
+    """a model's guess by source, decided with the words below a confidence of 0.75"""
+    guess = F.when(F.col("doc_id") % 4 > 0, F.struct(F.element_at(F.array(F.lit("__label__en"), F.lit("fa"), F.lit("de")), (F.col("doc_id") % 3 + 1).cast("int")).alias("label"), (F.col("doc_id") % 10 / 10).alias("conf")))
+    rows = docs(s, d).withColumn("_g", guess).withColumn("_x", T.with_model("text", "_g"))
+    return rows.select("doc_id", F.col("_x.lang").alias("lang"), F.round("_x.conf", 6).alias("conf"))
+
+
+@query
+def derived_configs(s, d):
+    """F39 over machines made of nations"""
+    k = F.col("n_nationkey")
+    rows = t(s, d, "nation").select("n_nationkey", (k * 0.75).alias("ram_gb"), (k % 9).cast("int").alias("cores"), (k % 7 == 0).alias("gpu"))
+    return materialize.derived_config(rows).select("n_nationkey", "device", "threads", "max_seq_len", "batch_size", "accumulation", "lora_r", "lora_alpha", "learning_rate")
+
+
+@query
+def validated_files(s, d):
+    """Pages, style sheets and other files of each source, by extension"""
+    css = docs(s, d).select(F.format_string("%d.css", "doc_id").alias("path"), F.when(F.col("doc_id") % 3 == 0, "a{b:c").otherwise("a{b:c}").alias("code"))
+    page = docs(s, d).select(F.format_string("%d", "doc_id").alias("path"), F.when(F.col("doc_id") % 5 == 0, "<html><p><b></html></i>").otherwise("<html><p>x</p></html>").alias("code"))
+    other = docs(s, d).select(F.format_string("%d.txt", "doc_id").alias("path"), F.lit("text").alias("code"))
+    return metrics.validated_files(css.unionByName(page).unionByName(other), U.html_error, U.js_error).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("valid").cast("long")).alias("valid"))
+
+
+def written(s, d):
+    """(folder, conversations with a split) after the sink has written them."""
+    where = fresh_dir(s, "written")
+    rows = sampling.hash_split(domain_convs(s, d), "conv_id").select(F.format_string("c%d#0", "conv_id").alias("id"), "messages", "domain", F.lit("raw").alias("source"), "split", F.lit("x").alias("_lineage"))
+    return where, rows
+
+
+def digest(rows):
+    return rows.select("domain", "source", F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")).alias("md5"))
+
+
+@query
+def json_lines_round_trip(s, d):
+    """Written as JSON lines, read again"""
+    where, rows = written(s, d)
+    sinks.write_json_lines(rows, where)
+    return digest(readers.json_lines(s, f"{where}/*.json"))
+
+
+@query
+def malformed_lines(s, d):
+    """Lines of which every seventh is broken and some are blank; a path that doesn't exist is skipped"""
+    where = fresh_dir(s, "lines")
+    line = F.when(F.col("doc_id") % 7 == 0, "{broken").when(F.col("doc_id") % 11 == 0, "  ").otherwise(F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), "source")))
+    docs(s, d).select(line.alias("value")).write.text(where)
+    rows = readers.optional_json_lines(s, f"{where}/, {where}-none/")
+    counts = rows.agg(F.count(F.lit(1)).alias("rows"), F.count("_bad").alias("malformed"), F.countDistinct("id").alias("ids"))
+    lines = readers.line_count(s, where).agg(F.sum("rows").alias("lines"))
+    bad = readers.malformed_counts(rows).agg(F.coalesce(F.sum("malformed"), F.lit(0)).alias("by_file"))
+    return counts.crossJoin(lines).crossJoin(bad)  # one row each
+
+
+@query
+def split_files(s, d):
+    """One folder per split, without lineage columns"""
+    where, rows = written(s, d)
+    sinks.write_splits(rows, where)
+    got = s.read.json(where)
+    return got.groupBy("split", F.lit("_lineage" in got.columns).alias("lineage")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def resumed_append(s, d):
+    """Half of the rows, then all of them with repeats, then all again"""
+    where, rows = written(s, d)
+    half = rows.filter("substr(domain, 2) < '3'")
+    added = [sinks.append_new(half, where), sinks.append_new(rows.unionByName(rows), where), sinks.append_new(rows, where)]
+    sinks.append_log(s.range(3).select(F.lit("log").alias("id")), f"{where}-log")
+    return s.createDataFrame([(*added, s.read.json(where).count(), s.read.json(f"{where}-log").count())], "first long, second long, third long, rows long, logged long")
+
+
+@query
+def domain_parquet_round_trip(s, d):
+    """Parquet files by folders of domains; a subset is the same at each run"""
+    where, rows = written(s, d)
+    rows.select("messages", F.concat(F.lit("train-"), "domain").alias("file"), "domain").write.partitionBy("domain", "file").parquet(where)
+    read = lambda n=None: readers.domain_parquet(s, where, "domain=*/file=train-*/*.parquet", n)
+    few = [sorted(map(str, read(10).select("messages").collect())) for _ in range(2)]
+    return read().groupBy(F.regexp_extract(F.col("domain"), "file=train-(.*)", 1).alias("domain")).agg(F.count(F.lit(1)).alias("n"), F.lit(few[0] == few[1] and len(few[0]) == 10).alias("stable"))
+
+
+@query
+def documents_and_reports(s, d):
+    """Small files written, replaced, listed and read again"""
+    where = fresh_dir(s, "reports")
+    items = t(s, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("prompt"))
+    sinks.write_stats(items.agg(F.lit("set").alias("name"), F.count(F.lit(1)).alias("count"), F.sort_array(F.collect_list(F.struct("id", "prompt"))).alias("prompts")).select("name", "count", F.to_json("prompts").alias("prompts")), f"{where}/stats.json")
+    sinks.write_document(s, f"{where}/set.json", "[" + ", ".join(r["value"] for r in sinks.as_json(items).collect()) + "]")
+    for k in range(8):
+        sinks.write_document(s, f"{where}/old/eval-{k}.md", sinks.markdown(items.filter(f"id % 8 = {k}").select("id"), f"Part {k}"))
+    sinks.write_progress(s, f"{where}/progress.json", 3, 8)
+    sinks.write_progress(s, f"{where}/progress.json", 8, 8)
+    went = sinks.keep_newest(s, f"{where}/old", 5)
+    fine = sinks.write_unless_died(items, f"{where}/report.md", [F.col("id").cast("long")], F.col("id") % 2 == 0, lambda r: sinks.markdown(r.select("id"), "All"))
+    died = sinks.write_unless_died(items, f"{where}/report.md", [F.col("id").cast("long")], F.col("id").isin("4", "5"), lambda r: "lost")
+    files = sinks.write_files(s.createDataFrame([("/a/b.html", "<p>"), ("../c.txt", "no"), ("d\\e.css", "q{}")], "path string, code string"), f"{where}/files")
+    lines = readers.line_count(s, f"{where}/report.md").first()["rows"]
+    first = [r["value"] for r in readers.first_lines(s, f"{where}/report.md", 1).collect()]
+    seen = readers.manifest(s, f"{where}/files/*/*").select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256")
+    state = readers.json_or_null(s, f"{where}/progress.json", "running boolean, done long, total long")
+    none = readers.json_or_null(s, f"{where}/none.json", "done long")
+    facts = [("prompts", readers.prompt_set(s, f"{where}/set.json").count()), ("stats", readers.json_or_null(s, f"{where}/stats.json", "name string, count long")["count"]), ("removed", len(went)), ("fine", int(fine)), ("died", int(died)), ("files", files), ("lines", lines), ("title", int(first == ["# All"])), ("done", state["done"] * (not state["running"])), ("none", int(none is None))]
+    small = s.createDataFrame(facts, "file string, bytes long").withColumn("sha256", F.lit(None).cast("string"))
+    return seen.unionByName(small)
+
+
 @query
 def pricing_summary(s, d):
     """Generic relational coverage: aggregation"""
@@ -486,11 +638,7 @@ def pricing_summary(s, d):
 
 def stream_paths(s, path):
     """(folder for state and output, what a stream reads); streams read folders or globs, not single files."""
-    import tempfile
-    import uuid
-
-    base = f"{(s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()).rstrip('/')}/loomwork/stream-{uuid.uuid4().hex}"
-    return base, f"{path[:-1]}[{path[-1]}]" if _is_file(s, path) else path
+    return fresh_dir(s, "stream"), f"{path[:-1]}[{path[-1]}]" if _is_file(s, path) else path
 
 
 @query

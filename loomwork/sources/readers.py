@@ -20,11 +20,11 @@ def spread(rows: DataFrame) -> DataFrame:
 def domain_parquet(spark: SparkSession, root: str, pattern: str = "*/train-*.parquet", subset: int | None = None) -> DataFrame:
     """(messages, domain, source, seq-able file name) of Parquet files whose folder names the domain; only `messages` is read.
 
-    `subset` keeps that many rows in the order of files.
+    `subset` keeps that many rows, the first by files and by the messages within a file: the same ones at each run.
     """
     rows = spark.read.schema(f"messages {MESSAGES}").parquet(f"{root.rstrip('/')}/{pattern}")
     rows = rows.select("messages", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("domain"), F.lit("raw").alias("source"), F.col("_metadata.file_path").alias("_file"))
-    return rows.orderBy("_file").limit(subset) if subset else rows
+    return rows.orderBy("_file", F.md5(F.to_json("messages"))).limit(subset) if subset else rows
 
 
 def json_lines(spark: SparkSession, paths, schema: str = EXAMPLE) -> DataFrame:

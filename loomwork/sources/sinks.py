@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import sampling
+from ..tables import cut
 from .readers import existing
 
 
@@ -18,13 +23,17 @@ def write_splits(rows: DataFrame, path: str, split: str = "split") -> None:
 
 
 def append_new(rows: DataFrame, path: str, key: str = "id", before: str = "#") -> int:
-    """Appends the rows whose key (up to `before`) isn't in the output yet; returns how many."""
+    """Appends the rows whose key (up to `before`) isn't in the output yet; returns how many.
+
+    Rows that repeat a key are written once, the smallest by their JSON. What is new is fixed before it is written.
+    """
     spark = rows.sparkSession
     done = spark.read.json(path) if existing(spark, path) else None
     new = not_done(rows, done, key, before) if done is not None and key in done.columns else rows
-    n = new.count()
-    new.write.mode("append").json(path)
-    return n
+    once = new.withColumn("_k", F.coalesce(F.col(key), F.lit(""))).groupBy("_k").agg(F.min_by(F.struct(*rows.columns), F.to_json(F.struct(*rows.columns))).alias("x"))
+    fixed = cut(once.select("x.*"), "append-new")
+    fixed.write.mode("append").json(path)
+    return fixed.count()
 
 
 def not_done(rows: DataFrame, done: DataFrame, key: str = "id", before: str = "#") -> DataFrame:
@@ -42,22 +51,77 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def markdown(rows: DataFrame, title: str, limit: int = 200) -> str:
-    """A report table of a small result."""
+def markdown(rows: DataFrame, title: str) -> str:
+    """A report table of all rows of a small result, which the driver holds."""
     head = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
-    return "\n".join(head + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.limit(limit).collect()]) + "\n"
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    return "\n".join(head + ["| " + " | ".join(map(cell, r)) + " |" for r in rows.collect()]) + "\n"
+
+
+def write_document(spark: SparkSession, path: str, text: str) -> None:
+    """Replaces one small file (stats, report, progress) at any path that Spark knows: written beside it, then renamed."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(at, False)
+    if not fs.rename(beside, at):
+        raise OSError(f"cannot replace {path}")
+
+
+def write_stats(stats: DataFrame, path: str) -> None:
+    """A one-row frame as one JSON document."""
+    write_document(stats.sparkSession, path, json.dumps(stats.toPandas().iloc[0].to_dict(), ensure_ascii=False, indent=2, default=lambda v: v.item()))
+
 
+def write_progress(spark: SparkSession, path: str, done: int, total: int, **more) -> None:
+    """How far a run is, for whoever polls the file."""
+    write_document(spark, path, json.dumps({"running": done < total, "done": done, "total": total, **more}, ensure_ascii=False))
 
-def keep_newest(folder, keep: int = 5) -> list[str]:
-    """Removes all but the newest files of a local report folder, by name; returns what went."""
-    from pathlib import Path
 
-    old = sorted(p for p in Path(folder).iterdir() if p.is_file())[:-keep or None]
+def died(rows: DataFrame, order: list, failed, in_a_row: int = 2) -> bool:
+    """Whether so many rows failed one after another, in the given order."""
+    bad = sampling.ranked(rows, order).filter(failed).select("rank")
+    for k in range(1, in_a_row):
+        bad = bad.join(bad.select((F.col("rank") - k).alias("rank")), "rank", "left_semi")
+    return bad.limit(1).count() > 0
+
+
+def write_unless_died(rows: DataFrame, path: str, order: list, failed, text) -> bool:
+    """Writes the report `text(rows)` over the old one, unless the run died: then the old one stays and False comes back."""
+    if died(rows, order, failed):
+        return False
+    write_document(rows.sparkSession, path, text(rows))
+    return True
+
+
+def keep_newest(spark: SparkSession, folder: str, keep: int = 5) -> list[str]:
+    """Removes all but the last files, by name, of a report folder at any path that Spark knows; returns what went."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = sorted((s.getPath() for s in fs.listStatus(at) if s.isFile()), key=lambda p: p.getName())[: -keep or None]
     for p in old:
-        p.unlink()
-    return [p.name for p in old]
+        fs.delete(p, False)
+    return [p.getName() for p in old]
 
 
-def write_files(rows: DataFrame, root: str) -> DataFrame:
-    """(path, code) rows that a file writer may take: absolute and climbing paths are left out."""
-    return rows.filter(~F.col("path").startswith("/") & ~F.array_contains(F.split("path", "/"), "..")).withColumn("target", F.concat(F.lit(root.rstrip("/") + "/"), F.col("path")))
+def safe_files(rows: DataFrame, root: str) -> DataFrame:
+    """Rows (path, code) with `target` under a folder: leading slashes go, paths that climb are left out."""
+    path = F.regexp_replace(F.translate("path", "\\", "/"), "^/+", "")
+    return rows.withColumn("target", F.concat(F.lit(root.rstrip("/") + "/"), path)).filter(~F.contains(path, F.lit("..")))
+
+
+def write_files(rows: DataFrame, root: str) -> int:
+    """Writes rows (path, code) as files under a folder, each with a line end; of rows with one path the last by code stays. Returns how many.
+
+    The rows are the files of a few answers: they pass the driver one at a time.
+    """
+    files = safe_files(rows, root).groupBy("target").agg(F.max("code").alias("code"))
+    n = 0
+    for r in files.toLocalIterator():
+        write_document(rows.sparkSession, r["target"], r["code"] + "\n")
+        n += 1
+    return n

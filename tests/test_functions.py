@@ -1,11 +1,13 @@
 """Branches that the tables don't reach, on hand-written rows."""
 
+import re
 import time
 from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomwork.functions import constants as C
 from loomwork.functions import text as T
 from loomwork.functions import udfs as U
 from loomwork.operators import conversations as V
@@ -166,6 +168,57 @@ def test_metrics_and_material(spark):
     assert [round(r["x"], 6) for r in rate] == [0.1, 1.0, 1.0, 0.0]
 
 
+def test_html_balance_of_all_pages(spark):
+    """Against a stack over tags found by a pattern, comments and scripts apart."""
+    page = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<(/?)([a-zA-Z][^\s/>]*)[^>]*?>", re.S)
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html", U.html_error("html").alias("fault")).collect()
+    for r in rows:
+        path, fault = [], None
+        for m in page.finditer(r["html"] or ""):
+            tag = (m[3] or "").lower()
+            if not tag or tag in C.VOID_TAGS:
+                continue
+            if not m[2]:
+                path.append(tag)
+            elif tag in path:
+                del path[len(path) - 1 - path[::-1].index(tag) :]
+            else:
+                fault = f"unmatched </{tag}>" if path else f"stray </{tag}>"
+        assert r["fault"] == (fault or (f"unclosed: {path}" if len(path) > 1 else None))
+    assert rows
+
+
+def test_validated_files_and_verdict(spark):
+    files = [("a.html", "<html><p>x</p></html>"), ("b", "<!DOCTYPE html><i><b>"), ("c.CSS", "a{"), ("d.css", "a{}"), ("e.txt", "{"), ("f.js", "let x = 1")]
+    df = spark.createDataFrame(files, "path string, code string")
+    got = metrics.validated_files(df, U.html_error, lambda c: F.lit("unchecked"))
+    assert {r["path"]: r["valid"] for r in got.collect()} == {"a.html": True, "b": False, "c.CSS": False, "d.css": True, "f.js": None}
+    assert tuple(metrics.verdict(got).first()) == (4, 2, "FAIL") and metrics.verdict(got.filter("path in ('a.html', 'd.css')")).first()["verdict"] == "PASS" and metrics.verdict(got.limit(0)).first()["verdict"] == "FAIL"
+
+
+def test_language_with_model_and_conversations_without_messages(spark):
+    rows = [(FA, "__label__ar", 0.5, "fa"), (FA, "ara", 0.9, "ar"), ("plain English words", "EN", 0.2, "en"), (FA, None, None, "fa"), (FA, "de", 0.74, "fa"), ("plain words", "de", 0.5, "other")]
+    df = spark.createDataFrame(rows, "t string, label string, conf double, want string").withColumn("g", F.when(F.col("label").isNotNull(), F.struct("label", "conf")))
+    assert [r["x"]["lang"] for r in df.select(T.with_model("t", "g").alias("x")).collect()] == [r[3] for r in rows]
+    convs = spark.createDataFrame([(1, 2, [("user", "ي"), ("assistant", None)]), (2, 0, []), (3, 0, None)], CONVS)
+    got = {r["conv_id"]: r["messages"] for r in V.normalize(convs, T.normalize_segment).collect()}
+    assert [tuple(m) for m in got[1]] == [("user", "ی"), ("assistant", "")] and got[2] == [] and got[3] is None
+
+
+def test_lsh_groups_and_preparation(spark):
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(reversed(words)), " ".join(words)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    assert {r["id"]: r["group"] for r in dedup.lsh_groups(df, "t", "id").collect()} == {0: 0, 1: 0, 2: 2, 3: 0}
+    many = spark.createDataFrame([(i, " ".join(words)) for i in range(61)], "id long, t string")
+    assert dedup.lsh_groups(many, "t", "id").filter("group = id").count() == 61 and dedup.lsh_groups(many.limit(0), "t", "id").count() == 0
+    convs = [(i, 2, conv(f"What is question number {i} about?", f"answer {i} " + " ".join(f"{x}{i}" for x in words[:30])), "d") for i in range(6)]
+    convs += [(10, 2, convs[0][2], "d"), (11, 2, conv("What?", LONG), "d"), (12, 4, [*conv("What is that one about?", LONG), *conv("And what else is there?", " ".join(f"{x}z" for x in words[:30]))], "e")]
+    picked, stats = V.preparation(spark.createDataFrame(convs, CONVS + ", domain string"), 4)
+    s = stats.first()
+    assert (s["n_raw"], s["n_rejected"], s["n_exact"], s["n_near"], s["n_kept"], s["n_multi"]) == (9, 1, 1, 0, 7, 1) and s["n_picked"] == picked.count() == s["n_train"] + s["n_validation"] == 2
+
+
 def test_generators(spark):
     tasks = materialize.task_matrix(spark, [("page", "fa", 3), ("fix", "en", 0), ("css", "en", 2)], ["easy", "hard"]).orderBy("id").collect()
     assert [(r["id"], r["difficulty"]) for r in tasks] == [("css-en-000", "easy"), ("css-en-001", "hard"), ("page-fa-000", "easy"), ("page-fa-001", "hard"), ("page-fa-002", "easy")]

@@ -37,6 +37,19 @@ def test_parquet_by_domain_and_prompt_sets(spark, tmp_path):
     assert readers.json_or_null(spark, str(tmp_path / "a.json"), "name string") == {"name": "n"}
 
 
+def test_small_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a#1", 1), ("a#2", 2), ("a#1", 1), ("b#1", 3)], "id string, n int")
+    assert sinks.append_new(rows, str(tmp_path / "log")) == 3 and sinks.append_new(rows, str(tmp_path / "log")) == 0
+    wide = spark.range(300).selectExpr("id", "'x|y' as t")
+    assert sinks.markdown(wide, "All").count("\n") == 304 and "x\\|y" in sinks.markdown(wide, "All")
+    report = str(tmp_path / "r.md")
+    runs = spark.createDataFrame([(k, k in (1, 3, 4)) for k in range(6)], "k long, failed boolean")
+    assert sinks.write_unless_died(runs.filter("k < 4"), report, ["k"], "failed", lambda r: "one") and not sinks.write_unless_died(runs, report, ["k"], "failed", lambda r: "two")
+    assert (tmp_path / "r.md").read_text() == "one" and [p.name for p in tmp_path.glob("*.tmp")] == []
+    files = spark.createDataFrame([("/x/a.js", "1"), ("x/../../b", "2"), ("x\\c.css", "3")], "path string, code string")
+    assert sinks.write_files(files, str(tmp_path / "out")) == 2 and (tmp_path / "out/x/a.js").read_text() == "1\n" and (tmp_path / "out/x/c.css").exists()
+
+
 def test_stream(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").write.parquet(str(tmp_path / "in"))
     stream = prep.prepared(prep.turns(spark, str(tmp_path / "in")))
