@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..tables import PACKED, cut, fresh_dir, shared_dir  # noqa: F401  (for the operators)
 
 #: The words of every operator whose result is fixed by contract: runs free of ASCII white space.
 WORD_GAP = r"[ \x09-\x0D]+"
@@ -20,12 +18,9 @@ HEAVY_PARTS = 64
 #: Bits of the broadcast filter of ids, 4 MB whatever the input; it only spares work.
 FILTER_BITS = 1 << 25
 _PAGE = 32768
-#: Delta encodings and zstd: tables between stages take about a third less disk.
-PACKED = {"compression": "zstd", "parquet.writer.version": "v2"}
 
 _CONT = bytes(range(0x80, 0xC0))
 _LEAD = bytes(range(0x80)) + b"\x80" * 128
-_own_dirs: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,28 +39,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. One of our own only where none is set and all runs on one machine, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        where = _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="loomwork-"))
-    return where.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/loomwork/{tag}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them again: later stages survive lost executors without recomputing."""
-    path = fresh_dir(df.sparkSession, tag)
-    df.write.options(**PACKED).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_col(name: str = "text"):
     """The text; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

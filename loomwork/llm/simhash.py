@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.closure import connected_components
 from .common import attach_by_key, cut, marked, table, text_col, tune
-from .components import connected_components
 
 RADIUS = 4
 #: The family grows as 2**radius, and the points around a fingerprint as 64**(radius / 2).

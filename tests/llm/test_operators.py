@@ -12,8 +12,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, components, decontam, labelled, line_dedup, pii, quality, rules, simhash, substring_dedup, token_counts, toxicity
+from loomwork.llm import bpe, decontam, labelled, line_dedup, pii, quality, rules, simhash, substring_dedup, token_counts, toxicity
 from loomwork.llm.registry import QUERIES
+from loomwork.operators import closure as components
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
