@@ -6,7 +6,7 @@ threshold holds for all items. Items are laid out in blocks; the index keeps eac
 overall (WAND's bound) and per block (block-max). Passages go through in batches: whole passages whose summed
 term bounds stay below the threshold are skipped, then blocks whose summed block maxima do, and only the
 postings of the blocks left are scored. These are block-max WAND's two tests, for all blocks of a passage at once
-by numpy instead of one pivot after another; arrays are as long as the postings met. Bounds never underestimate,
+by numpy instead of one pivot after another; arrays are no longer than a few times the postings met. Bounds never underestimate,
 so all items at or over the threshold are retrieved. A retrieved pair counts as a leak if the whole item has at least OVERLAP of its five-word shingles
 in the passage and both its question part and its answer part have at least FLOOR of their words in shared
 shingles, or if each part alone has at least OVERLAP of its own shingles there (parts that stand apart). Items
@@ -111,6 +111,14 @@ class ItemIndex:
         lens = starts[q + 1] - starts[q]
         return np.repeat(starts[q] - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
 
+    @staticmethod
+    def _sums(keys: np.ndarray, weights: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys (below `size`) and the sums of their weights, by arrays as long as the shorter of the keys met and all of them."""
+        if size <= 8 * len(keys):
+            return np.arange(size), np.bincount(keys, weights=weights, minlength=size)
+        own, place = np.unique(keys, return_inverse=True)
+        return own, np.bincount(place, weights=weights, minlength=len(own))
+
     def search(self, query: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
         """Items (by position) of one passage's term numbers that score at least the threshold."""
         q = np.unique(np.array(query, dtype=np.int64))
@@ -118,15 +126,14 @@ class ItemIndex:
         if self.term_max[q].sum(dtype=np.float64) < threshold - 1e-5:  # WAND's bound again, repeats apart
             return []
         at = self._of(self.max_starts, q)
-        blocks, place = np.unique(self.max_block[at], return_inverse=True)
-        live = blocks[np.bincount(place, weights=self.max_impact[at]) >= threshold - 1e-5] if len(blocks) else blocks
+        blocks, sums = self._sums(self.max_block[at], self.max_impact[at], self.n_blocks)
+        live = blocks[sums >= threshold - 1e-5]
         if not len(live):
             return []
         at = self._of(self.starts, q)
         own = self.post_item[at] // BLOCK
         at = at[live[np.minimum(np.searchsorted(live, own), len(live) - 1)] == own]
-        items, place = np.unique(self.post_item[at], return_inverse=True)
-        scores = np.bincount(place, weights=self.post_impact[at])
+        items, scores = self._sums(self.post_item[at], self.post_impact[at], len(self.ids))
         return [(int(items[k]), float(scores[k])) for k in np.flatnonzero(scores >= threshold - 1e-5)]
 
     def shingles_of(self, item: int) -> tuple[list[int], set, list[tuple[set, int]]]:
