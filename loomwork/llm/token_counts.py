@@ -55,7 +55,8 @@ class _Files:
         """Contents by name; files named in `but` aren't opened and give an empty one."""
         at = self.path(folder)
         found = self.fs.listStatus(at) if self.fs.exists(at) else []
-        return {n: {} if (n := s.getPath().getName()) in but else self._content(s) for s in found}
+        named = [(s.getPath().getName(), s) for s in found]
+        return {name: {} if name in but else self._content(s) for name, s in named}
 
     def last(self, folder: str) -> dict | None:
         """The content of the file with the greatest name; only that one is opened."""
