@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,21 +103,29 @@ def similar_pairs(rows: DataFrame, text: str, key: str, threshold: float = 0.8)
     """(a, b, jaccard) of all pairs of classes (see `shingle_classes`) whose shingle sets reach the threshold; a < b.
 
     Exact, by prefix filtering: in any common order of shingles, two such sets share one of the first
-    n - ceil(threshold * n) + 1 of either. Frequent shingles come last in the order, so that few sets meet at a
-    prefix; those with over one part in FREQUENT_PARTS of all shingles are at most so many, and are broadcast.
-    Sizes too far apart never meet.
+    n - ceil(threshold * n) + 1 of either, and at the first that they share enough must be left in both. Rare
+    shingles come first in the order, so that few sets meet at a prefix, and those of one set alone aren't sent to
+    the join. Sets meet within classes of sizes only, of which two that are similar have one in common, so a
+    shingle of many sets is searched class by class. The few shingles (FREQUENT_PARTS at most) with a large share
+    of all get their counts by broadcast, so that no task holds all rows of one.
     """
-    sets = _with_set(rows, text).groupBy("_s").agg(F.min(key).alias("k")).withColumn("n", F.size("_s"))
-    each = sets.select("k", "n", F.explode_outer("_s").alias("x"))  # outer, though no set is empty: its filters would be pushed down and split the text once per shingle
-    counts = each.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
-    total = each.agg(F.count(F.lit(1)).alias("total"))
-    frequent = counts.crossJoin(F.broadcast(total)).filter(F.col("df") * FREQUENT_PARTS > F.col("total")).select("x", "df")  # one row, an ungrouped aggregate
-    order = Window.partitionBy("k").orderBy(F.coalesce("df", F.lit(0)), "x")
-    first = each.join(F.broadcast(frequent), "x", "left").withColumn("_rn", F.row_number().over(order))
-    first = first.filter(F.col("_rn") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-    side = lambda to: first.select(F.col("k").alias(to), F.col("n").alias(f"n{to}"), "x")
+    sets = cut(_with_set(rows, text).groupBy("_s").agg(F.min(key).alias("k")).withColumn("n", F.size("_s")), "shingle-sets")
+    each = sets.select("k", "n", F.explode("_s").alias("x"))
+    counts = cut(each.groupBy("x").agg(F.count(F.lit(1)).alias("df")), "shingle-counts")
+    total = counts.agg(F.sum("df").alias("total"))
+    sized = counts.crossJoin(F.broadcast(total)).withColumn("often", F.col("df") * FREQUENT_PARTS > F.col("total"))  # one row, an ungrouped aggregate
+    known = each.join(F.broadcast(sized.filter("often").select("x", F.col("df").alias("often"))), "x", "left")
+    hot = known.filter("often is not null").select("k", "n", "x", F.col("often").alias("df"))
+    rest = known.filter("often is null").select("k", "n", "x").join(sized.filter("not often and df > 1").select("x", "df"), "x", "left")
+    place = F.row_number().over(Window.partitionBy("k").orderBy(F.coalesce("df", F.lit(1)), "x"))
+    first = hot.unionByName(rest.select("k", "n", "x", "df")).withColumn("i", place)
+    first = first.filter(F.col("i") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).filter("df > 1")
+    size_class = F.floor(F.log("n") / (1e-9 - math.log(threshold)))  # two sizes within the threshold differ by one class at most
+    first = cut(first.select("k", "n", "x", "i", F.explode(F.array(size_class, size_class + 1)).alias("c")), "shingle-prefixes")
+    side = lambda to: first.select(F.col("k").alias(to), F.col("n").alias(f"n{to}"), F.col("i").alias(f"i{to}"), "x", "c")
     near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
-    pairs = side("a").join(side("b"), "x").filter(near).select("a", "b").distinct()
+    enough = 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-6
+    pairs = side("a").join(side("b"), ["x", "c"]).filter(near & enough).select("a", "b").distinct()
     texts = sets.select("k", "_s")
     both = pairs.join(texts.withColumnsRenamed({"k": "a", "_s": "sa"}), "a").join(texts.withColumnsRenamed({"k": "b", "_s": "sb"}), "b")
     same = F.size(F.array_intersect("sa", "sb"))

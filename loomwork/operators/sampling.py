@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..tables import cut
 
 
 def top_per_group(rows: DataFrame, group: str, order: list, cap: int) -> DataFrame:
@@ -27,11 +28,14 @@ def hash_split(rows: DataFrame, key: str, seed: int = 42, val_share: float = 0.1
 
 
 def ranked(rows: DataFrame, order: list, parts: int | None = None) -> DataFrame:
-    """`rank` from 1 in a global order, without one task for all rows: ranges are sorted apart and shifted by their predecessors' sizes."""
+    """`rank` from 1 in a global order, without one task for all rows: ranges are sorted apart and shifted by their predecessors' sizes.
+
+    The ranges are written once, as sizes and places must come from the same ones.
+    """
     spark = rows.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    local = dealt.withColumn("_rn", F.col("_id") - F.shiftleft(F.col("_part").cast("long"), 33) + 1)
+    local = cut(dealt.withColumn("_rn", F.col("_id") - F.shiftleft(F.col("_part").cast("long"), 33) + 1), "ranges")
     sizes = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per partition
     return local.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("rank", (F.col("_rn") + F.col("_before")).cast("long")).drop("_part", "_id", "_rn", "_before")
