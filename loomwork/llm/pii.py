@@ -3,7 +3,7 @@
 The base (e-mail, IP, card, phone) is fixed by contract. The CRF is trained by gradient ascent from a small
 labelled table that `labelled_table` builds from a seed, and decoded by Viterbi in numpy batches. It finds
 what the patterns leave: spelled-out addresses, numbers with odd separators, keys and tokens. Its spans keep
-clear of base spans, which always stay.
+clear of base spans, which always stay. What it takes for a card number must pass Luhn, which shapes can't show.
 
 Words whose best label is "outside" whatever their neighbours' labels cut the chain exactly: only the
 stretches between such words are decoded.
@@ -38,6 +38,7 @@ _LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456
 _WORD = re.compile(rb"[^ \t-\r]+")
 _SHAPE = bytes(ord("d") if 48 <= c <= 57 else ord("X") if 65 <= c <= 90 else ord("x") if 97 <= c <= 122 or c >= 128 else c for c in range(256))
 _DIGIT = re.compile(rb"[0-9]")
+_NO_DIGITS = bytes(c for c in range(256) if not 48 <= c <= 57)
 
 
 def emails(view: bytes) -> list[tuple[int, int]]:
@@ -265,6 +266,26 @@ def trimmed(view: bytes, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+def card_spans(view: bytes, places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Card numbers among neighbouring words that the CRF takes for cards: from the left, the fewest words with 13 to 19 digits that pass Luhn.
+
+    Shapes don't show a check digit, and numbers in a row make one run; so each number is read by itself.
+    """
+    digits = [view[a:b].translate(None, _NO_DIGITS) for a, b in places]
+    out, i = [], 0
+    while i < len(places):
+        got, j = b"", i
+        while j < len(places) and digits[j] and len(got) + len(digits[j]) <= 19:
+            got += digits[j]
+            j += 1
+            if len(got) >= 13 and _luhn(got):
+                out.append((places[i][0], places[j - 1][1]))
+                i = j - 1
+                break
+        i += 1
+    return out
+
+
 class Finder:
     """Base and CRF spans of texts, many at a time."""
 
@@ -310,9 +331,11 @@ class Finder:
                 while j < len(labels) and labels[j] == labels[i]:
                     j += 1
                 if labels[i]:
-                    start, end = trimmed(view, places[i][0], places[j - 1][1])
-                    if start < end:
-                        done[doc][1].append((int(labels[i]) - 1, start, end))
+                    kind = int(labels[i]) - 1
+                    whole = card_spans(view, places[i:j]) if KINDS[kind] == "card" else [(places[i][0], places[j - 1][1])]
+                    for start, end in (trimmed(view, *span) for span in whole):
+                        if start < end:
+                            done[doc][1].append((kind, start, end))
                 i = j
         return done
 

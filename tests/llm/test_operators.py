@@ -122,6 +122,38 @@ def test_pii_trims_marks_and_single_brackets():
     assert [cut(t) for t in ('24be07ff"###', "(555) 123-4567", "(joe@x", "+1 (555) 12)", "((ab", "***", "")] == ["24be07ff", "(555) 123-4567", "joe@x", "+1 (555) 12)", "ab", "", ""]
 
 
+def test_pii_card_runs_are_read_number_by_number():
+    model = pii.default_model()
+    got = lambda t: [(pii.KINDS[k], t[s:e]) for k, s, e in pii.Finder(model).find([t])[0][1]]
+    assert got("pay 4111.1111.1111.1111 now") == [("card", "4111.1111.1111.1111")] and got("pay 4111.1111.1111.1112 now") == got("order 9807915762804490 now") == []
+    assert got("cards 4111111111111111 5500005555555559 end") == [("card", "4111111111111111"), ("card", "5500005555555559")]
+    places = lambda t: [m.span() for m in WORD.finditer(t)]
+    assert pii.card_spans(b"9 4111 1111 1111 1111 7 x", places("9 4111 1111 1111 1111 7 x")) == [(2, 21)] and pii.card_spans(b"", []) == []
+
+
+def test_pii_added_spans_on_documents():
+    """Without the base patterns, the CRF alone against them and the forms of keys, on whole documents."""
+    import pyarrow.parquet as pq
+
+    forms = re.compile(r"AKIA[0-9A-Z]{16}|[0-9a-f]{32,}|(?:sk|gh[po])[-_][A-Za-z0-9_-]{16,}")
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    finder, want, found, right = pii.Finder(pii.default_model()), Counter(), Counter(), Counter()
+    for t in texts:
+        view = pii.one_byte_view(t)
+        truth = [*pii.base_spans(view), [m.span() for m in forms.finditer(t)]]
+        words = [m.span() for m in pii._WORD.finditer(view)]
+        labels = finder.model.viterbi([np.array([finder.model.emission(view[a:b].translate(pii._SHAPE)) for a, b in words])])[0] if words else []
+        for k, spans in enumerate(truth):
+            own = [w for w, x in zip(words, labels) if x == k + 1]
+            for a, b in spans:
+                want[k] += 1
+                found[k] += any(s < b and a < e for s, e in own)
+        for k, s, e in finder.find([t])[0][1]:
+            right[k, any(s < b and a < e for a, b in truth[k])] += 1
+    assert all(want[k] >= 5 and found[k] >= 0.9 * want[k] for k in range(5)), (want, found)
+    assert right[4, True] >= 0.95 * (right[4, True] + right[4, False])
+
+
 # --- 2 ---------------------------------------------------------------------------------------------------
 
 def brute_fp(t):
