@@ -1,4 +1,9 @@
-"""The training-data pipeline: five stages of `loomwork.llm`, each reading what the one before has written."""
+"""The training-data pipeline: five stages of `loomwork.llm`, each reading what the one before has written.
+
+In every stage null and empty texts count as texts without words, an empty table gives no rows, and columns beyond
+those of `documents` may have any names and keep their values (the last stage returns its own columns only). Texts
+are worked on whole; what a long one takes is said at each operator.
+"""
 
 from __future__ import annotations
 
@@ -7,27 +12,46 @@ from loomwork.llm.common import cut, table
 
 
 def drop_toxic(spark, docs, sf_dir):
-    """Documents whose toxicity score reaches the cutoff go; learnt from the labels outside the held-out fold."""
+    """Documents whose toxicity score reaches the cutoff go; learnt from the labels outside the held-out fold.
+
+    Null texts stay, as they have no hits. Repeated rows, and rows with a null doc_id, are judged by their own texts
+    and stay in number. Null labels don't count.
+    """
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_lines(spark, docs, sf_dir):
-    """Lines of windows that occurred before go from the texts; `n_chars` follows."""
+    """Lines of windows that occurred before go from the texts; `n_chars` follows.
+
+    No row goes; null texts stay null. Of equal windows the one with the smallest doc_id, then place, stays. Rows
+    that repeat a document with its text lose nothing to each other; rows with a null doc_id stay as they are.
+    """
     return line_dedup.stage(docs)
 
 
 def dedup_near(spark, docs, sf_dir):
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays.
+
+    It is the one with the smallest doc_id, of such by a hash of its text and columns, so repeated rows leave one.
+    Null and empty texts are near duplicates of each other. Rows with a null doc_id stay.
+    """
     return simhash.dedup(docs)
 
 
 def drop_leaks(spark, docs, sf_dir):
-    """Documents with a benchmark item go."""
+    """Documents with a benchmark item go.
+
+    Null texts stay. Repeated rows, and rows with a null doc_id, are judged by their own texts. Items that are null,
+    have a null id or under five words are a leak nowhere; without items all documents stay.
+    """
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark, docs, sf_dir):
-    """Token counts and digests of ids and decoded texts of what is left."""
+    """Token counts and digests of ids and decoded texts of what is left, one row for each row.
+
+    Null texts have no tokens and the digests of the empty string; repeated rows and null ids give as many rows.
+    """
     return bpe.digests(docs)
 
 
