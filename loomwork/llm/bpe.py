@@ -157,11 +157,11 @@ class ForcedBPE:
 
 
 @lru_cache(maxsize=4)
-def _load(spec: str) -> ForcedBPE:
+def load(spec: str) -> ForcedBPE:
     return ForcedBPE(spec)
 
 
-def _spec(path: str) -> str:
+def spec_of(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
 
@@ -169,10 +169,10 @@ def _spec(path: str) -> str:
 def _mapped(docs: DataFrame, path: str, make, fields: list[tuple[str, pa.DataType]], schema: str, id_col: str, text: str) -> DataFrame:
     """Row by row over (id, text); the file's text is sent once per executor (a vocabulary: a few MB, whatever the input)."""
     tune(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(_spec(path))
+    sent = docs.sparkSession.sparkContext.broadcast(spec_of(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _load(sent.value)
+        bpe = load(sent.value)
         for b in batches:
             got = [make(bpe, t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([g[i] for g in got], kind) for i, (_, kind) in enumerate(fields)]], ["doc_id", *[n for n, _ in fields]])
@@ -195,10 +195,10 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     An id that isn't in the vocabulary is an error. An empty table gives no rows.
     """
     tune(encoded.sparkSession)
-    sent = encoded.sparkSession.sparkContext.broadcast(_spec(path or tokenizer_path()))
+    sent = encoded.sparkSession.sparkContext.broadcast(spec_of(path or tokenizer_path()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _load(sent.value)
+        bpe = load(sent.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.decode(i or []) for i in b.column(1).to_pylist()])], ["doc_id", "decoded"])
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe_encode_decode
+from .collocations import op13_collocations
 from .decontam import op5_decontamination
+from .fim import op11_fill_in_middle
 from .line_dedup import op9_line_dedup
+from .packing import op12_packing
 from .pii import op1_pii
 from .quality import op7_quality_classifier
 from .rules import DELTA, RISK, RULES, op8_quality_rules
@@ -13,7 +16,7 @@ from .substring_dedup import op10_substring_dedup
 from .token_counts import op4_token_counts
 from .toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash_near_dedup, op3_bpe_encode_decode, op4_token_counts, op5_decontamination, op6_toxicity, op7_quality_classifier, op8_quality_rules, op9_line_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash_near_dedup, op3_bpe_encode_decode, op4_token_counts, op5_decontamination, op6_toxicity, op7_quality_classifier, op8_quality_rules, op9_line_dedup, op10_substring_dedup, op11_fill_in_middle, op12_packing, op13_collocations)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '')"
 _CLEAN_LINE = r"trim(translate({x}, chr(9) || chr(11) || chr(12) || chr(13), '    '))"
@@ -42,6 +45,40 @@ SELECT doc_id, CAST(count(*) FILTER (out) AS BIGINT) AS n_removed, CAST(count(*)
 FROM kept GROUP BY doc_id
 """
 
+_HEAD = "CASE WHEN {k} = 0 THEN '' WHEN {k} >= n THEN text ELSE array_to_string(p[1:{k}], chr(10)) || chr(10) END"
+_FIM = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS p, sha256('7:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+u AS (SELECT *, CAST(len(p) - (p[len(p)] = '')::INT AS BIGINT) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t),
+f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+  least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM u),
+c AS (SELECT *, {_HEAD.format(k="a")} AS to_a, {_HEAD.format(k="b")} AS to_b FROM f),
+x AS (SELECT *, to_a AS prefix, to_b[length(to_a) + 1:] AS middle, text[length(to_b) + 1:] AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256, sha256(text) AS restored_sha256
+FROM x
+"""
+
+_PHRASES = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[ \x09]+'), lambda x: x <> '') AS w FROM d),
+u AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+g AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3 FROM u),
+f1 AS (SELECT lang, w1, count(*) AS f FROM g GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM g WHERE w2 IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS a FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, sum(f) AS n FROM f1 GROUP BY lang),
+c3 AS (SELECT f3.*, x.f AS l1, y.f AS r1, z.f AS l2, t.f AS r2 FROM f3 JOIN f1 x ON f3.lang = x.lang AND f3.w1 = x.w1 JOIN f2 y ON f3.lang = y.lang AND f3.w2 = y.w1 AND f3.w3 = y.w2
+  JOIN f2 z ON f3.lang = z.lang AND f3.w1 = z.w1 AND f3.w2 = z.w2 JOIN f1 t ON f3.lang = t.lang AND f3.w3 = t.w1),
+s3 AS (SELECT *, CAST(1000000 * a::HUGEINT * a // (l1::HUGEINT * r1) AS BIGINT) AS s1, CAST(1000000 * a::HUGEINT * a // (l2::HUGEINT * r2) AS BIGINT) AS s2 FROM c3),
+over AS (SELECT lang, w1, w2, max(a) AS m FROM (SELECT lang, w1, w2, a FROM f3 UNION ALL SELECT lang, w2, w3, a FROM f3) GROUP BY ALL),
+c2 AS (SELECT b.lang, b.w1, b.w2, b.f AS a, x.f AS l, y.f AS r FROM f2 b JOIN f1 x ON b.lang = x.lang AND b.w1 = x.w1 JOIN f1 y ON b.lang = y.lang AND b.w2 = y.w1 LEFT JOIN over o ON b.lang = o.lang AND b.w1 = o.w1 AND b.w2 = o.w2
+  WHERE b.f >= 10 AND (o.m IS NULL OR 100 * o.m < 50 * b.f)),
+every AS (SELECT lang, w1 || ' ' || w2 || ' ' || w3 AS phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END AS l, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END AS r, least(s1, s2) AS score FROM s3
+  UNION ALL SELECT lang, w1 || ' ' || w2, a, l, r, CAST(1000000 * a::HUGEINT * a // (l::HUGEINT * r) AS BIGINT) FROM c2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM every)
+SELECT r.lang, rank, phrase, a, l, r.r, CAST(n.n AS BIGINT) AS n, score FROM ranked r JOIN n ON r.lang = n.lang WHERE rank <= 2000
+"""
+
 
 def _rules_sql() -> str:
     counts = ", ".join(f"({r!r}, {float(c)}, count(*) FILTER ({expr.replace(' / ', '::DOUBLE / ')} > {c}))" for r, (expr, grid) in RULES.items() for c in grid)
@@ -67,4 +104,4 @@ SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 """
 
 
-ORACLE_SQL = {"op8_quality_rules": _rules_sql(), "op9_line_dedup": _LINES, "op10_substring_dedup": _SUBSTRINGS}
+ORACLE_SQL = {"op11_fill_in_middle": _FIM, "op13_collocations": _PHRASES, "op8_quality_rules": _rules_sql(), "op9_line_dedup": _LINES, "op10_substring_dedup": _SUBSTRINGS}

@@ -140,13 +140,13 @@ def counted(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     text = text_col()
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(bpe._spec(path or bpe.tokenizer_path()))
+    sent = docs.sparkSession.sparkContext.broadcast(bpe.spec_of(path or bpe.tokenizer_path()))
     bpe.tune(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
-        coder = bpe._load(sent.value)
+        coder = bpe.load(sent.value)
         for b in batches:
             n = pa.array([coder.count(t) for t in b.column(5).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(5)], n], ["doc_id", "source", "lang", "n_chars", "n_words", "n_tokens"])
