@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..tables import cut
+from ..tables import cut, unused
 from .closure import connected_components
 
 #: Above any 32-bit hash; products of a hash and a factor below 2**31 stay within a long.
@@ -18,14 +18,19 @@ FREQUENT_PARTS = 1 << 16
 
 
 def keep_first(rows: DataFrame, key, order: list[str]) -> DataFrame:
-    """Of the rows with one key the first in order.
+    """Of the rows with one key the first in order; null is a key of its own, and null comes first in an order.
 
-    The first is found by an aggregate over (key, order) alone, so a hot key is combined before the shuffle and no
-    text but the survivors' moves; ties in `order` keep all tied rows.
+    The first is found by an aggregate over (key, order) alone, which combines a hot key before the shuffle; ties in
+    `order` keep all tied rows. Columns of `rows` may have any names, an empty table gives no rows.
     """
-    marked = rows.withColumn("_key", F.xxhash64(key)).withColumn("_key2", F.md5(key))
-    first = marked.groupBy("_key", "_key2").agg(F.min(F.struct(*order)).alias("_first")).select("_key2", *[F.col(f"_first.{o}").alias(o) for o in order])
-    return marked.join(first, ["_key2", *order], "left_semi").select(*rows.columns)
+    mark, *firsts = unused(rows, "_key", *[f"_first{i}" for i in range(len(order))])
+    marked = rows.withColumn(mark, F.coalesce(F.md5(key), F.lit("")))  # no key's digest is empty
+    least = marked.groupBy(mark).agg(F.min(F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])).alias("least"))
+    first = least.select(F.col(mark).alias(f"{mark}_of"), *[F.col(f"least.o{i}").alias(f) for i, f in enumerate(firsts)])
+    same = F.col(mark) == F.col(f"{mark}_of")
+    for o, f in zip(order, firsts):
+        same &= F.col(o).eqNullSafe(F.col(f))
+    return marked.join(first, same, "left_semi").select(*rows.columns)
 
 
 def exact(convs: DataFrame, order: str = "conv_id") -> DataFrame:

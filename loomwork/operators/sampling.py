@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..tables import cut
+from . import quantiles, scans
 
 
 def top_per_group(rows: DataFrame, group: str, order: list, cap: int) -> DataFrame:
@@ -32,13 +32,11 @@ def ranked(rows: DataFrame, order: list, parts: int | None = None) -> DataFrame:
 
     The ranges are written once, as sizes and places must come from the same ones.
     """
-    spark = rows.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    local = cut(dealt.withColumn("_rn", F.col("_id") - F.shiftleft(F.col("_part").cast("long"), 33) + 1), "ranges")
-    sizes = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per partition
-    return local.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("rank", (F.col("_rn") + F.col("_before")).cast("long")).drop("_part", "_id", "_rn", "_before")
+    r = scans.ranges(rows, order, parts)
+    local = r.rows.withColumn("_rn", F.col(r.at) - F.shiftleft(F.col(r.part).cast("long"), 33) + 1)
+    sizes = local.groupBy(r.part).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(r.part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per partition
+    return local.join(F.broadcast(before.select(r.part, "_before")), r.part).withColumn("rank", (F.col("_rn") + F.col("_before")).cast("long")).drop(r.part, r.at, "_rn", "_before")
 
 
 def shuffled(key: str, seed: int = 42) -> list:
@@ -69,13 +67,43 @@ def shortest(rows: DataFrame, length: str, key: str, k: int) -> DataFrame:
 
 
 def nearest_rank(rows: DataFrame, value: str) -> DataFrame:
-    """count, mean (one decimal), the entries number floor(n/2) and floor(n * 0.95) counted from 0, and the largest; an empty input gives no row."""
-    n = rows.count()
-    if not n:
-        return rows.sparkSession.createDataFrame([], "n long, mean double, p50 long, p95 long, max long")
-    r = ranked(rows.select(F.col(value).cast("long").alias("v")), [F.col("v")])
-    at = lambda k: F.max(F.when(F.col("rank") == k + 1, F.col("v")))
-    return r.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 1).alias("mean"), at(n // 2).alias("p50"), at(int(n * 0.95)).alias("p95"), F.max("v").alias("max"))
+    """count, mean (one decimal), the entries number floor(n/2) and floor(n * 0.95) counted from 0, and the largest; an empty input gives no row.
+
+    By counting (`quantiles.order_statistics`): no row is sorted or shuffled.
+    """
+    facts, at = quantiles.order_statistics(rows, value, lambda n: [n // 2, int(n * 0.95)])
+    given = rows.sparkSession.createDataFrame([(facts["n"], facts["sum"], *at, facts["max"])] if at else [], "n long, total decimal(38,0), p50 long, p95 long, max long")
+    return given.select("n", F.round(F.col("total").cast("double") / F.col("n"), 1).alias("mean"), "p50", "p95", "max")
+
+
+def uniform(seed: int, key) -> Column:
+    """A number above 0 and below 1 that the seed and the key fix: 52 bits of a SHA-256."""
+    bits = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256), 1, 13), 16, 10)
+    return (bits.cast("double") + 0.5) / float(1 << 52)
+
+
+def without_replacement(rows: DataFrame, group: str, key: str, k: int, seed: int = 42, weight: Column | None = None) -> DataFrame:
+    """(group, key, place) of k different keys of each group, all of a smaller one, in the order they are drawn.
+
+    A key's number u comes from its hash, the smallest numbers are the sample, and every task keeps only its own k
+    smallest of each group before the shuffle (up to 1000; above, keys are first dealt to parts that are cut apart).
+    With a weight the number is -ln(u) / weight, which draws by weight; weights of 0 and less, and null ones, are
+    never drawn. Keys that repeat are one key, with their largest weight. Null is a group, but not a key.
+    """
+    w = F.lit(1.0) if weight is None else weight.cast("double")
+    given = rows.select(F.col(group), F.col(key), w.alias("_w")).filter(F.col(key).isNotNull() & (F.col("_w") > 0))
+    each = given.groupBy(group, key).agg(F.max("_w").alias("_w"))
+    u = uniform(seed, F.col(key))
+    drawn = each.select(group, key, (u if weight is None else -F.log(u) / F.col("_w")).alias("_u"))
+    drawn = drawn.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(64)))
+    few = drawn.withColumn("place", F.row_number().over(Window.partitionBy(group, "_part").orderBy("_u", key))).filter(F.col("place") <= k)
+    return few.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("_u", key))).filter(F.col("place") <= k).select(group, key, "place")
+
+
+def picks(values: list[str], k: int, seed: int, slot: str, key) -> Column:
+    """k different ones of the values for a row, in a hashed order of the seed, the slot and the row's key."""
+    item = lambda i, v: F.struct(T.hash32(F.concat(F.lit(f"{seed}:{slot}:{i}:"), T.col(key).cast("string"))).alias("h"), F.lit(i).alias("i"), F.lit(v).alias("v"))
+    return F.transform(F.slice(F.array_sort(F.array(*[item(i, v) for i, v in enumerate(values)])), 1, k), lambda x: x["v"])
 
 
 def within_budget(rows: DataFrame, key: str, budget: int, least: int = 64, seed: int = 42) -> DataFrame:

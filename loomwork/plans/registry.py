@@ -1,8 +1,10 @@
 """The library's queries by name and their SQL."""
 
-from .oracles import ORACLE_SQL
+from . import ordered  # noqa: F401  (registers its queries)
+from .oracles import ORACLE_SQL as _SQL
+from .ordered_sql import SQL
 from .queries import Q
 
 FLAGSHIP = "reason_counts"
 QUERIES = dict(Q)
-ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if k in QUERIES}
+ORACLE_SQL = {k: v for k, v in (_SQL | SQL).items() if k in QUERIES}

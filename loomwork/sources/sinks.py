@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import sampling
-from ..tables import cut
+from ..tables import cut, unused
 from .readers import existing
 
 
@@ -25,21 +25,25 @@ def write_splits(rows: DataFrame, path: str, split: str = "split") -> None:
 def append_new(rows: DataFrame, path: str, key: str = "id", before: str = "#") -> int:
     """Appends the rows whose key (up to `before`) isn't in the output yet; returns how many.
 
-    Rows that repeat a key are written once, the smallest by their JSON. What is new is fixed before it is written.
+    Rows that repeat a key are written once, the smallest by their JSON. Rows without a key cannot be told apart, so
+    all of them are written. What is new is fixed before it is written; of the output only the keys are read.
     """
     spark = rows.sparkSession
-    done = spark.read.json(path) if existing(spark, path) else None
-    new = not_done(rows, done, key, before) if done is not None and key in done.columns else rows
-    once = new.withColumn("_k", F.coalesce(F.col(key), F.lit(""))).groupBy("_k").agg(F.min_by(F.struct(*rows.columns), F.to_json(F.struct(*rows.columns))).alias("x"))
-    fixed = cut(once.select("x.*"), "append-new")
+    new = not_done(rows, spark.read.schema(f"`{key}` string").json(path), key, before) if existing(spark, path) else rows
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    keyed = new.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k"), row.alias("x"))
+    once = keyed.groupBy("k").agg(F.min_by("x", F.to_json("x")).alias("x")).select("x.*")
+    fixed = cut(once.unionByName(new.filter(F.col(key).isNull())), "append-new")
     fixed.write.mode("append").json(path)
     return fixed.count()
 
 
 def not_done(rows: DataFrame, done: DataFrame, key: str = "id", before: str = "#") -> DataFrame:
-    """Anti-join on the key's part before a mark."""
-    stem = lambda c: F.substring_index(F.col(c), before, 1)
-    return rows.withColumn("_k", stem(key)).join(done.select(stem(key).alias("_k")).distinct(), "_k", "left_anti").drop("_k")
+    """Anti-join on the key's part before a mark; rows without a key stay."""
+    stem = lambda c: F.substring_index(F.col(c).cast("string"), before, 1)
+    (mark,) = unused(rows, "_stem")
+    seen = done.select(stem(key).alias(mark)).filter(F.col(mark).isNotNull()).distinct()
+    return rows.withColumn(mark, stem(key)).join(seen, mark, "left_anti").select(*rows.columns)
 
 
 def as_json(rows: DataFrame) -> DataFrame:
@@ -59,17 +63,19 @@ def markdown(rows: DataFrame, title: str) -> str:
 
 
 def write_document(spark: SparkSession, path: str, text: str) -> None:
-    """Replaces one small file (stats, report, progress) at any path that Spark knows: written beside it, then renamed."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(beside, True)
+    """Replaces one small file (stats, report, progress) at any path that Spark knows.
+
+    It is written beside the old one and renamed over it, so a reader finds the old or the new one at any time.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at, beside = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(at, False)
-    if not fs.rename(beside, at):
-        raise OSError(f"cannot replace {path}")
+    where = hadoop.FileContext.getFileContext(at.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    where.rename(where.makeQualified(beside), where.makeQualified(at), options)
 
 
 def write_stats(stats: DataFrame, path: str) -> None:

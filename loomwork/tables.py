@@ -34,3 +34,14 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     path = fresh_dir(df.sparkSession, tag)
     df.write.options(**PACKED).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unused(rows: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of `rows` is called so."""
+    taken, out = {c.lower() for c in rows.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
