@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bags, dedup, intervals, metrics, quantiles, sampling, scans
+from ..operators import bags, dedup, intervals, quantiles, sampling, scans, sketches
 from ..sources import sinks
+from ..streaming.commit import BatchLedger
 from ..tables import fresh_dir
 from .queries import docs, measured, query, t
 
@@ -154,3 +155,20 @@ def appended_without_keys(s, d):
     sinks.append_new(rows, where)
     got = s.read.schema("id string, doc_id long, n long").json(where)
     return got.select(F.substring_index("id", "#", 1).alias("stem"), F.when(F.col("id").isNull(), F.col("doc_id")).alias("unkeyed"), (F.col("doc_id") % 2).alias("odd"))
+
+
+@query
+def sketched_sources(s, d):
+    """Sketches of four batches kept by source and language, merged by source, against exact counts within their bounds"""
+    rows = docs(s, d).select("doc_id", "source", "lang", "text", F.length("text").cast("long").alias("size"))
+    ledger = BatchLedger(s, fresh_dir(s, "sketches"))
+    for k in range(4):
+        ledger.write("state", sketches.state(rows.filter(F.col("doc_id") % 4 == k), ["source", "lang"], F.col("text"), F.col("size")), k)
+        ledger.commit(k)
+    kept = ledger.read("state", "source string, lang string, n long, total long, items binary, sizes binary")
+    got = sketches.report(sketches.merged(kept, ["source"]), [0.5, 0.95]).withColumnsRenamed({"source": "_source", "total": "chars"})
+    true = rows.join(got, F.col("source").eqNullSafe(F.col("_source")))
+    under = lambda q, c: F.sum((F.col("size") < F.get("quantiles", F.lit(q))).cast("long") if c == "<" else (F.col("size") <= F.get("quantiles", F.lit(q))).cast("long"))
+    fits = lambda q, share: (under(q, "<") <= (share + sketches.RANK_ERROR) * F.count(F.lit(1))) & (under(q, "<=") >= (share - sketches.RANK_ERROR) * F.count(F.lit(1)))
+    error = F.abs(F.first("distinct") - F.countDistinct("text")) <= F.greatest(F.lit(1.0), sketches.DISTINCT_ERROR * F.countDistinct("text"))
+    return true.groupBy("source").agg(F.first("n").alias("n"), F.first("chars").alias("chars"), error.alias("distinct_fits"), fits(0, 0.5).alias("median_fits"), fits(1, 0.95).alias("p95_fits"))

@@ -47,4 +47,5 @@ SELECT doc_id, md5(coalesce(text, '')) AS md5, CAST(sum(x) AS BIGINT) AS change
 SELECT key AS stem, CAST(NULL AS BIGINT) AS unkeyed, CAST(0 AS BIGINT) AS odd FROM (SELECT DISTINCT key, doc_id FROM e WHERE key IS NOT NULL)
 UNION ALL SELECT key, NULL, doc_id % 2 FROM (SELECT DISTINCT key, doc_id FROM r WHERE key IS NOT NULL AND key NOT IN (SELECT key FROM ek))
 UNION ALL SELECT NULL, doc_id, doc_id % 2 FROM (SELECT * FROM e WHERE key IS NULL UNION ALL SELECT * FROM r WHERE key IS NULL)""",
+    "sketched_sources": f"SELECT source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, true AS distinct_fits, true AS median_fits, true AS p95_fits FROM {D} GROUP BY source",
 }
