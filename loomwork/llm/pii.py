@@ -286,6 +286,19 @@ def card_spans(view: bytes, places: list[tuple[int, int]]) -> list[tuple[int, in
     return out
 
 
+def _reaches(base: list[list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all base spans in order, and the farthest end up to each."""
+    every = np.array(sorted(x for spans in base for x in spans), dtype=np.int64)
+    return every[:, 0], np.maximum.accumulate(every[:, 1])
+
+
+def _touched(starts: np.ndarray, reach: np.ndarray, places: list[tuple[int, int]]) -> np.ndarray:
+    """Which places share a character with a span: of the spans that begin before its end one ends after its start."""
+    at = np.array(places, dtype=np.int64)
+    before = np.searchsorted(starts, at[:, 1])
+    return (before > 0) & (reach[before - 1] > at[:, 0])
+
+
 class Finder:
     """Base and CRF spans of texts, many at a time."""
 
@@ -306,7 +319,7 @@ class Finder:
 
     def find(self, texts: list[str]) -> list[tuple[list[list[tuple[int, int]]], list[tuple[int, int, int]]]]:
         """For each text its base spans by kind and the CRF's (kind, start, end)."""
-        done, jobs, stretches = [], [], []
+        done, jobs, stretches, taken = [], [], [], {}
         for t in texts:
             view = one_byte_view(t)
             base = base_spans(view)
@@ -317,14 +330,15 @@ class Finder:
             if not at:
                 continue
             places = [m.span() for m in _WORD.finditer(view)]
+            if any(base):
+                taken[len(done) - 1] = _reaches(base)
             runs = np.split(np.array(at), np.flatnonzero(np.diff(at) != 1) + 1)
             for run in runs:
                 stretches.append(np.array([self.model.emission(words[i]) for i in run]))
                 jobs.append((len(done) - 1, view, [places[i] for i in run]))
         for (doc, view, places), labels in zip(jobs, self.model.viterbi(stretches)):
-            taken = [x for spans in done[doc][0] for x in spans]
             # words that a base span touches are outside, so they cut a run and its other words stay
-            labels = [0 if any(a < end and start < b for a, b in taken) else k for k, (start, end) in zip(labels, places)] if taken else labels
+            labels = np.where(_touched(*taken[doc], places), 0, labels) if doc in taken else labels
             i = 0
             while i < len(labels):
                 j = i
