@@ -12,6 +12,10 @@ in the passage and both its question part and its answer part have at least FLOO
 shingles, or if each part alone has at least OVERLAP of its own shingles there (parts that stand apart). Items
 under SHINGLE words can't be told from common phrases: they are no leak anywhere and aren't indexed.
 
+Items are indexed by classes of length, each with passages of its own: two steps long, at every step, a step being
+the class's bound (SHORTEST doubled some times). So a long item doesn't make the passages of short ones long, in
+which bounds would rule nothing out, and passages don't depend on what else the benchmark holds.
+
 The index is broadcast, so the benchmark must be small: its bytes are checked against INDEX_BYTES and a
 larger one is searched in several rounds, one part of it at a time, with the statistics of the whole.
 """
@@ -39,6 +43,8 @@ FLOOR = 0.5
 SHINGLE = 5
 BLOCK = 8
 INDEX_BYTES = 16 << 20
+#: Words of the longest items of the first length class; each further class reaches twice as far.
+SHORTEST = 32
 #: Items whose shingles a task keeps at a time.
 KEPT_ITEMS = 4096
 #: ASCII punctuation and white space separate words; digits, letters and all beyond ASCII belong to them.
@@ -60,50 +66,38 @@ def question_and_answer(words: list) -> tuple[list, list]:
 
 
 class Statistics(NamedTuple):
-    """Of all items with a word: their number, words in all, words of the longest, and items with each term (of those asked for)."""
+    """Of all items with a word: their number, words in all, and items with each term (of those asked for)."""
 
     n: int
     words: int
-    longest: int
     df: dict[bytes, int]
 
 
-class ItemIndex:
-    """Postings of a set of items with BM25 impacts, their maxima per term and per block of items.
+class LengthClass:
+    """Postings of the items of one length class with BM25 impacts, their maxima per term and per block of items.
 
-    All in flat arrays, as large as the items' words: postings by term and item, block maxima by term and
-    block (only of blocks that have the term), and the items' words as term numbers. An index of a part of the
-    benchmark is given the statistics of the whole.
+    All in flat arrays, as large as the items' words: postings by term and item, and block maxima by term and block
+    (only of blocks that have the term). Terms are numbered within the class, `local` translates.
     """
 
-    def __init__(self, items: list[tuple[int, str | None]], whole: Statistics | None = None) -> None:
-        kept = [(i, w) for i, t in items if i is not None and len(w := terms(t or "")) >= SHINGLE]
-        kept.sort(key=lambda x: (len(x[1]), x[0]))
-        self.ids = [i for i, _ in kept]
-        n = len(kept)
-        self.vocab = {t: k for k, t in enumerate(sorted({t for _, w in kept for t in w}))}
-        self.words = np.array([self.vocab[t] for _, w in kept for t in w], dtype=np.int32)
-        lens = np.array([len(w) for _, w in kept], dtype=np.int64)
-        self.ends = np.cumsum(lens)
-        self.longest = whole.longest if whole else int(lens.max(initial=0))
+    def __init__(self, words: np.ndarray, lens: np.ndarray, idf: np.ndarray, mean: float, step: int, first_item: int) -> None:
+        self.step, self.first_item, n = step, first_item, len(lens)
+        own, at = np.unique(words, return_inverse=True)
+        self.n_terms, self.n_items = len(own), n
+        self.local = np.full(len(idf) + 1, len(own), dtype=np.int32)  # the last number stands for words that no item of the class has
+        self.local[own] = np.arange(len(own))
         self.n_blocks = -(-n // BLOCK)
-        pairs, tf = np.unique(self.words.astype(np.int64) * n + np.repeat(np.arange(n), lens), return_counts=True)
-        term, item = np.divmod(pairs, max(1, n))
-        df = np.bincount(term, minlength=len(self.vocab))
-        all_n, all_words = (whole.n, whole.words) if whole else (n, int(lens.sum()))
-        all_df = np.array([whole.df[t] for t in self.vocab], dtype=np.int64) if whole else df
-        idf = np.log(1 + (all_n - all_df + 0.5) / (all_df + 0.5))
-        raw = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[item] / (all_words / all_n if n else 1)))
-        own = np.bincount(item, weights=raw, minlength=n)
-        self.post_item, self.post_impact = item.astype(np.int32), (raw / own[item]).astype(np.float32)
-        # the last term number stands for words that no item has: without postings
-        self.starts = np.concatenate([[0], np.cumsum(df), [len(pairs)]])
+        pairs, tf = np.unique(at.astype(np.int64) * n + np.repeat(np.arange(n), lens), return_counts=True)
+        term, item = np.divmod(pairs, n)
+        raw = idf[own[term]] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[item] / mean))
+        whole = np.bincount(item, weights=raw, minlength=n)
+        self.post_item, self.post_impact = item.astype(np.int32), (raw / whole[item]).astype(np.float32)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(own))), [len(pairs)]])
         first = np.flatnonzero(np.diff(term * (self.n_blocks + 1) + item // BLOCK, prepend=-1))
         self.max_block = (item[first] // BLOCK).astype(np.int32)
-        self.max_impact = np.maximum.reduceat(self.post_impact, first) if n else self.post_impact
-        self.max_starts = np.searchsorted(term[first], np.arange(len(self.vocab) + 2))
-        self.term_max = np.append(np.maximum.reduceat(self.post_impact, self.starts[:-2]) if n else self.post_impact, np.float32(0))
-        self.parts: dict[int, tuple[list[int], set, list[tuple[set, int]]]] = {}
+        self.max_impact = np.maximum.reduceat(self.post_impact, first)
+        self.max_starts = np.searchsorted(term[first], np.arange(len(own) + 2))
+        self.term_max = np.append(np.maximum.reduceat(self.post_impact, self.starts[:-2]), np.float32(0))
 
     @staticmethod
     def _of(starts: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -120,9 +114,9 @@ class ItemIndex:
         return own, np.bincount(place, weights=weights, minlength=len(own))
 
     def search(self, query: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
-        """Items (by position) of one passage's term numbers that score at least the threshold."""
+        """Items (by position in the class) of one passage's terms, as the class numbers them, that score at least the threshold."""
         q = np.unique(np.array(query, dtype=np.int64))
-        q = q[q < len(self.vocab)]
+        q = q[q < self.n_terms]
         if self.term_max[q].sum(dtype=np.float64) < threshold - 1e-5:  # WAND's bound again, repeats apart
             return []
         at = self._of(self.max_starts, q)
@@ -133,9 +127,42 @@ class ItemIndex:
         at = self._of(self.starts, q)
         own = self.post_item[at] // BLOCK
         at = at[live[np.minimum(np.searchsorted(live, own), len(live) - 1)] == own]
-        items, scores = self._sums(self.post_item[at], self.post_impact[at], len(self.ids))
+        items, scores = self._sums(self.post_item[at], self.post_impact[at], self.n_items)
         return [(int(items[k]), float(scores[k])) for k in np.flatnonzero(scores >= threshold - 1e-5)]
 
+
+class ItemIndex:
+    """An index of test items by length classes, and the items' words as term numbers.
+
+    Of an id that several items share all count. An index of a part of the benchmark is given the statistics of the whole.
+    """
+
+    def __init__(self, items: list[tuple[int, str | None]], whole: Statistics | None = None) -> None:
+        kept = [(i, w) for i, t in items if i is not None and len(w := terms(t or "")) >= SHINGLE]
+        kept.sort(key=lambda x: (len(x[1]), x[0]))
+        self.ids = [i for i, _ in kept]
+        n = len(kept)
+        self.vocab = {t: k for k, t in enumerate(sorted({t for _, w in kept for t in w}))}
+        self.words = np.array([self.vocab[t] for _, w in kept for t in w], dtype=np.int32)
+        lens = np.array([len(w) for _, w in kept], dtype=np.int64)
+        self.ends = np.cumsum(lens)
+        all_n, all_words = (whole.n, whole.words) if whole else (n, int(lens.sum()))
+        if whole:
+            df = np.array([whole.df[t] for t in self.vocab], dtype=np.int64)
+        else:
+            df = np.bincount(np.unique(self.words.astype(np.int64) * n + np.repeat(np.arange(n), lens)) // max(1, n), minlength=len(self.vocab))
+        idf = np.log(1 + (all_n - df + 0.5) / (df + 0.5))
+        self.classes: list[LengthClass] = []
+        lo, step = 0, SHORTEST
+        while lo < n:
+            while step < lens[lo]:
+                step *= 2
+            hi = int(np.searchsorted(lens, step, "right"))
+            begin = int(self.ends[lo] - lens[lo])
+            self.classes.append(LengthClass(self.words[begin : self.ends[hi - 1]], lens[lo:hi], idf, all_words / all_n, step, lo))
+            lo = hi
+        self.parts: dict[int, tuple[list[int], set, list[tuple[set, int]]]] = {}
+
     def shingles_of(self, item: int) -> tuple[list[int], set, list[tuple[set, int]]]:
         """An item's words, its shingles, and (shingles, words) of its question and answer; kept for a while, as few items are ever retrieved."""
         if item not in self.parts:
@@ -145,12 +172,15 @@ class ItemIndex:
             self.parts[item] = words, _shingles(words), [(_shingles(p), len(p)) for p in question_and_answer(words) if p]
         return self.parts[item]
 
-    def verified(self, item: int, passage: list[int]) -> tuple[float, float] | None:
-        """Shares of the question's and the answer's shingles in the passage (term numbers), if the pair is a leak."""
+    def verified(self, item: int, passage: list[int], grams: dict[int, set] | None = None) -> tuple[float, float] | None:
+        """Shares of the question's and the answer's shingles in the passage (term numbers), if the pair is a leak.
+
+        `grams` holds the passage's shingles by their size, from one item to the next.
+        """
         words, whole, parts = self.shingles_of(item)
-        grams = {SHINGLE: _shingles(passage)}
-        for size in {min(SHINGLE, len(words)), *(min(SHINGLE, size) for _, size in parts)} - {SHINGLE}:
-            grams[size] = {tuple(passage[i : i + size]) for i in range(len(passage) - size + 1)}
+        grams = {} if grams is None else grams
+        for size in {SHINGLE, min(SHINGLE, len(words)), *(min(SHINGLE, size) for _, size in parts)} - grams.keys():
+            grams[size] = _shingles(passage) if size == SHINGLE else {tuple(passage[i : i + size]) for i in range(len(passage) - size + 1)}
         shares = [len(want & grams[min(SHINGLE, size)]) / len(want) for want, size in parts]
         if min(shares) < OVERLAP:
             shared = whole & grams[min(SHINGLE, len(words))]
@@ -168,48 +198,46 @@ class ItemIndex:
         """(text's position, item id, first word of the passage, score, question share, answer share), one row per
         text and item: the passage with the best score, the first of equal ones.
 
-        Passages are two steps long and start at every step, a step being the longest item's words, so any
-        place of any item lies within one passage.
+        A class's passages are two steps long and start at every step, and no item of the class is longer than a
+        step, so any place of any item lies within one passage.
         """
-        if not self.ids:
-            return []
-        step, unknown = max(32, self.longest), len(self.vocab)
         words = [terms(t) for t in texts]
-        get = self.vocab.get
+        get, unknown = self.vocab.get, len(self.vocab)
         flat = np.array([get(w, unknown) for ws in words for w in ws], dtype=np.int64)
-        pieces, owner, first = [], [], []
-        base = 0
-        for d, ws in enumerate(words):
-            for s in range(0, len(ws), step):
-                pieces.append(base + s)
-                owner.append(d)
-                first.append(s)
-            base += len(ws)
-        if not pieces:
-            return []
-        cuts, own, start = np.array(pieces), np.array(owner), np.array(first)
-        follows = np.append(own[1:] == own[:-1], False)
-        # bounds of each step; repeats within it count again, which only loosens them
-        wand = np.add.reduceat(self.term_max[flat].astype(np.float64), cuts)
-        passage = wand + np.where(follows, np.append(wand[1:], 0), 0)
+        lens = np.array([len(ws) for ws in words], dtype=np.int64)
         found: dict[tuple[int, int], tuple] = {}
-        live = np.flatnonzero(passage >= threshold - 1e-5)
-        ends = np.append(cuts[1:], len(flat))
-        for lo in range(0, len(live), 1024):
-            for p in live[lo : lo + 1024].tolist():
-                end = ends[p + 1] if follows[p] else ends[p]
-                for item, score in self.search(flat[cuts[p] : end], threshold):
-                    key = (int(own[p]), item)
-                    if key in found and found[key][0] >= score:
-                        continue
-                    s = int(start[p])
-                    if shares := self.verified(item, flat[cuts[p] : end].tolist()):
-                        found[key] = (score, s, *shares)
+        if len(flat):
+            for c in self.classes:
+                self._class_leaks(c, flat, lens, threshold, found)
         best: dict[tuple[int, int], tuple] = {}
         for (d, k), hit in sorted(found.items(), key=lambda x: (x[0][0], -x[1][0], x[0][1])):
             best.setdefault((d, self.ids[k]), hit)  # of items that share an id the best
         return [(d, i, s, score, q, a) for (d, i), (score, s, q, a) in sorted(best.items())]
 
+    def _class_leaks(self, c: LengthClass, flat: np.ndarray, lens: np.ndarray, threshold: float, found: dict) -> None:
+        """Adds the leaks of one class's items."""
+        steps = -(-lens // c.step)
+        own = np.repeat(np.arange(len(lens)), steps)
+        start = (np.arange(len(own)) - np.repeat(np.cumsum(steps) - steps, steps)) * c.step
+        cuts = start + np.repeat(np.cumsum(lens) - lens, steps)
+        follows = np.append(own[1:] == own[:-1], False)
+        local = c.local[flat]
+        # bounds of each step; repeats within it count again, which only loosens them
+        wand = np.add.reduceat(c.term_max[local].astype(np.float64), cuts)
+        passage = wand + np.where(follows, np.append(wand[1:], 0), 0)
+        ends = np.append(cuts[1:], len(flat))
+        for p in np.flatnonzero(passage >= threshold - 1e-5).tolist():
+            at, end, s = int(cuts[p]), int(ends[p + 1] if follows[p] else ends[p]), int(start[p])
+            grams: dict[int, set] = {}
+            words = None
+            for near, score in c.search(local[at:end], threshold):
+                key = (int(own[p]), c.first_item + near)
+                if key in found and found[key][0] >= score:
+                    continue
+                words = flat[at:end].tolist() if words is None else words
+                if shares := self.verified(key[1], words, grams):
+                    found[key] = (score, s, *shares)
+
 
 def _item_terms(items: DataFrame) -> DataFrame:
     """(part, term, words) of each item with a word: its terms once each; `words`, the item's length, stands on its first row only."""
@@ -243,11 +271,11 @@ def _rounds(benchmark: DataFrame, item_id: str, text: str) -> Iterator[ItemIndex
         return
     items = items.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
     each = cut(_item_terms(items), "item-terms")
-    n, words, longest = each.agg(F.count("words"), F.sum("words"), F.max("words")).first()
+    n, words = each.agg(F.count("words"), F.sum("words")).first()
     df = cut(each.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "item-df")
     for k in range(parts):
         own = df.join(each.filter(F.col("part") == k).select("term").distinct(), "term")
-        whole = Statistics(n or 0, words or 0, longest or 0, {bytes(r["term"]): r["df"] for r in own.collect()})
+        whole = Statistics(n or 0, words or 0, {bytes(r["term"]): r["df"] for r in own.collect()})
         yield ItemIndex([(r["id"], r["text"]) for r in items.filter(F.col("part") == k).collect()], whole)
 
 

@@ -117,6 +117,26 @@ def test_pii_of_a_long_text_in_bounded_memory():
     assert all(np.array_equal(a, b) for a, b in zip(model.viterbi(stretches), alone))
 
 
+def test_pii_of_a_text_with_very_many_base_spans():
+    """Time grows with the spans, not with their square; the spans are those of the parts."""
+    finder = pii.Finder(pii.default_model())
+    part = "".join(f"mail u{k}.x@host{k % 7}.example.com or +49 (30) {1000000 + k} or name at host dot com, 4111 1111 1111 1111; " for k in range(100))
+    (base, more), = finder.find([part])
+    n = len(part)
+    began = time.process_time()
+    (many, added), = finder.find([part * 500])
+    assert time.process_time() - began < 60
+    assert many == [[(a + n * i, b + n * i) for i in range(500) for a, b in spans] for spans in base] and sum(map(len, many)) > 100_000
+    assert {(k, a % n) for k, a, _ in added} == {(k, a) for k, a, _ in more} and len(added) == 500 * len(more)
+    r = np.random.RandomState(3)
+    for _ in range(300):
+        spans = [[tuple(sorted(r.choice(40, 2, replace=False).tolist())) for _ in range(r.randint(0, 4))] for _ in range(4)]
+        places = sorted(tuple(sorted(r.choice(40, 2, replace=False).tolist())) for _ in range(6))
+        if any(spans):
+            every = [x for s in spans for x in s]
+            assert pii._touched(*pii._reaches(spans), places).tolist() == [any(a < end and start < b for a, b in every) for start, end in places]
+
+
 def test_pii_trims_marks_and_single_brackets():
     cut = lambda t: t[slice(*pii.trimmed(t.encode(), 0, len(t)))]
     assert [cut(t) for t in ('24be07ff"###', "(555) 123-4567", "(joe@x", "+1 (555) 12)", "((ab", "***", "")] == ["24be07ff", "(555) 123-4567", "joe@x", "+1 (555) 12)", "ab", "", ""]
@@ -242,7 +262,7 @@ def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(bpe.tokenizer_path())
-    coder = bpe.ForcedBPE(bpe._spec(bpe.tokenizer_path()))
+    coder = bpe.ForcedBPE(bpe.spec_of(bpe.tokenizer_path()))
     r = np.random.RandomState(6)
     pool = [*range(1, 300), *range(0x370, 0x3000, 7), *map(ord, "etaoin '.<|> 日本 ́‍🙂")]
     texts = ["", "Hi <|endoftext|>there<|startoftext|>", "don't!!! #!x", "\x1cab\x85c\xa0d", "ΑΣ İ ﬁ"] + ["".join(chr(r.choice(pool)) for _ in range(30)) for _ in range(1500)]
@@ -259,7 +279,7 @@ def test_bpe_equals_the_library(spark):
 
 
 def test_bpe_digests_what_the_ids_decode_to():
-    coder = bpe.ForcedBPE(bpe._spec(bpe.tokenizer_path()))
+    coder = bpe.ForcedBPE(bpe.spec_of(bpe.tokenizer_path()))
     n, ids, decoded = coder.digest("Hi there <|endoftext|> don't")
     other = {i: f"<{i}>" for i in coder.by_id}
     coder.by_id = other
@@ -270,7 +290,7 @@ def test_bpe_digests_what_the_ids_decode_to():
 
 def test_token_counts(spark, tmp_path):
     want = {}
-    coder = bpe.ForcedBPE(bpe._spec(bpe.tokenizer_path()))
+    coder = bpe.ForcedBPE(bpe.spec_of(bpe.tokenizer_path()))
     for r in docs_of(spark).collect():
         t = r["text"] or ""
         for version, n in (("word_bpe_49k", coder.count(t)), ("words", len(WORD.findall(t)))):
@@ -313,26 +333,48 @@ def test_token_counts_commit_during_compaction(spark, tmp_path, monkeypatch):
 
 # --- 5 ---------------------------------------------------------------------------------------------------
 
+def leaks_by_hand(items, text):
+    """{item: score} of the leaks of a text by the operator's rule, without an index: each item against each passage of its length class."""
+    kept = [(i, w) for i, t in items if i is not None and len(w := decontam.terms(t or "")) >= 5]
+    words, out = decontam.terms(text or ""), {}
+    mean, df = sum(len(w) for _, w in kept) / max(1, len(kept)), Counter(t for _, w in kept for t in set(w))
+    for i, w in kept:
+        step = 32
+        while step < len(w):
+            step *= 2
+        tf = Counter(w)
+        gain = {t: np.log(1 + (len(kept) - df[t] + 0.5) / (df[t] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t, n in tf.items()}
+        grams = lambda x, n: {tuple(x[k : k + n]) for k in range(len(x) - n + 1)}
+        half = (len(w) + 1) // 2
+        for s in range(0, len(words), step):
+            passage = words[s : s + 2 * step]
+            score = sum(g for t, g in gain.items() if t in set(passage)) / sum(gain.values())
+            if score < 0.5 - 1e-6:
+                continue
+            parts = all(len(grams(p, min(5, len(p))) & grams(passage, min(5, len(p)))) >= 0.8 * len(grams(p, min(5, len(p)))) for p in (w[:half], w[half:]))
+            shared = grams(w, 5) & grams(passage, 5)
+            covered = [any(k - j >= 0 and tuple(w[k - j : k - j + 5]) in shared for j in range(5)) for k in range(len(w))]
+            if parts or (len(shared) >= 0.8 * len(grams(w, 5)) and 2 * sum(covered[:half]) >= half and 2 * sum(covered[half:]) >= len(w) - half):
+                out[i] = max(score, out.get(i, 0))
+    return out
+
+
 def test_decontamination(spark):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    want = set()
-    for i, t in rows_of(spark):
-        have = decontam._shingles(decontam.terms(t))
-        for k, item in items:
-            if all(len(p & have) >= 0.8 * len(p) for p in map(decontam._shingles, decontam.question_and_answer(decontam.terms(item)))):
-                want.add((i, k))
+    want = {(i, k) for i, t in rows_of(spark) for k in leaks_by_hand(items, t)}
     got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op5_decontamination"](spark, SF).collect()}
     assert got == want and want
     index = decontam.ItemIndex(items)
     r = np.random.RandomState(8)
-    for _ in range(200):  # block-max search against exhaustive scores
-        q = np.unique(r.choice(len(index.vocab), 120))
-        exact = np.zeros(len(index.ids))
-        for t in q:
-            for p in range(index.starts[t], index.starts[t + 1]):
-                exact[index.post_item[p]] += index.post_impact[p]
-        found = dict(index.search(q.tolist(), 0.12))
-        assert set(found) == set(np.flatnonzero(exact >= 0.12 - 1e-5)) and all(abs(exact[k] - v) < 1e-6 for k, v in found.items())
+    for c in index.classes:
+        for _ in range(200):  # block-max search against exhaustive scores
+            q = np.unique(r.choice(c.n_terms, min(c.n_terms, 120)))
+            exact = np.zeros(c.n_items)
+            for t in q:
+                for p in range(c.starts[t], c.starts[t + 1]):
+                    exact[c.post_item[p]] += c.post_impact[p]
+            found = dict(c.search(q.tolist(), 0.12))
+            assert set(found) == set(np.flatnonzero(exact >= 0.12 - 1e-5)) and all(abs(exact[k] - v) < 1e-6 for k, v in found.items())
     bench = spark.createDataFrame([(1, prose(9, 40)), (None, "x y z"), (2, None), (3, "")], "item_id long, text string")
     docs = frame(spark, [prose(10, 500) + " " + prose(9, 40).upper() + ", " + prose(11, 500), prose(12, 900), None])
     assert [(x["doc_id"], x["item_id"]) for x in decontam.contaminated(docs, bench).collect()] == [(0, 1)]
@@ -340,6 +382,38 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_items_of_all_lengths():
+    """Leaks of short, middling and long items, cut in their midst by passage borders, as by hand; also for an item's edited copies."""
+    r = np.random.RandomState(31)
+    items = [(k, prose(200 + k, int(n))) for k, n in enumerate([5, 7, 31, 32, 33, 64, 65, 100, 400, 1500])]
+    texts = []
+    for k, t in items:
+        w = t.split()
+        for lead in (0, 17, 60, 130):
+            texts.append(" ".join(["x"] * lead + w + ["y"] * 20))
+            texts.append(" ".join(["x"] * lead + edited(w, set(r.choice(len(w), max(1, len(w) // 20), replace=False).tolist()))))
+        texts.append(" ".join(w[: len(w) // 2] + ["gap"] * 3 + w[len(w) // 2 :]))
+        texts.append(" ".join(w[: len(w) // 2]))
+    got = {(g[0], g[1]): g[3] for g in decontam.ItemIndex(items).leaks(texts)}
+    want = {(d, i): s for d, t in enumerate(texts) for i, s in leaks_by_hand(items, t).items()}
+    assert got.keys() == want.keys() and len(want) > 50 and all(abs(got[k] - v) < 1e-5 for k, v in want.items())
+
+
+def test_one_long_item_leaves_the_passages_of_short_ones_alone(monkeypatch):
+    r = np.random.RandomState(32)
+    some = lambda n: " ".join(f"w{i}" for i in r.zipf(1.3, n) % 3000)
+    items, texts = [(k, some(30)) for k in range(300)], [some(8000) for _ in range(10)]
+    tried = Counter()
+    real = decontam.ItemIndex.verified
+    monkeypatch.setattr(decontam.ItemIndex, "verified", lambda self, item, *a: tried.update([self.ids[item]]) or real(self, item, *a))
+    short = decontam.ItemIndex(items).leaks(texts)
+    before = dict(tried)
+    tried.clear()
+    assert decontam.ItemIndex([*items, (999, some(4000))]).leaks(texts) == short
+    own = tried.pop(999, 0)
+    assert sum(tried.values()) <= sum(before.values()) + 60 and own <= 20  # statistics shift a little, passages don't
+
+
 def edited(words, spots):
     return [f"changed{i}" if i in spots else w for i, w in enumerate(words)]
 

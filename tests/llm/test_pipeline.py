@@ -1,11 +1,11 @@
 """The pipeline's stages one after another against brute-force versions, on the smallest tables."""
 
 import corpus_pipeline as P
-from loomwork.llm import bpe, decontam, toxicity
+from loomwork.llm import bpe, toxicity
 from loomwork.llm.common import cut, table
 from loomwork.llm.labelled import fold
 
-from .test_operators import SF, brute_fp, brute_groups, brute_lines, sha
+from .test_operators import SF, brute_fp, brute_groups, brute_lines, leaks_by_hand, sha
 
 
 def test_pipeline(spark):
@@ -20,9 +20,8 @@ def test_pipeline(spark):
     assert set(texts[0]) == {i for i, s in score.items() if s < toxicity.CUTOFF}
     assert texts[1] == {i: t for i, (_, t) in brute_lines(texts[0].items()).items()}
     assert set(texts[2]) == set(brute_groups([(i, brute_fp(t)) for i, t in texts[1].items()]).values())
-    items = [decontam.question_and_answer(decontam.terms(r["text"])) for r in table(spark, SF, "benchmark").collect()]
-    leaky = lambda t: any(all(len(decontam._shingles(p) & have) >= 0.8 * len(decontam._shingles(p)) for p in item) for item in items) if (have := decontam._shingles(decontam.terms(t))) else False
-    assert set(texts[3]) == {i for i, t in texts[2].items() if not leaky(t)}
-    coder = bpe.ForcedBPE(bpe._spec(bpe.tokenizer_path()))
+    items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]
+    assert set(texts[3]) == {i for i, t in texts[2].items() if not leaks_by_hand(items, t)}
+    coder = bpe.ForcedBPE(bpe.spec_of(bpe.tokenizer_path()))
     assert {r["doc_id"]: r["ids_sha256"] for r in docs.collect()} == {i: sha(" ".join(map(str, coder.encode(t)))) for i, t in texts[3].items()}
     assert {r["doc_id"] for r in P.run(spark, SF).collect()} == set(texts[3])
