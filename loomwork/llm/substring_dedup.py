@@ -14,8 +14,12 @@ documents becomes new runs, which are merge-joined bucket by bucket with the run
   from the index, and its windows become owned ones;
 * all windows of the batch with a shared fingerprint are compared with each other and with the owned ones.
 
-A batch is committed by a manifest, with its decisions: a batch that was committed before gives the same result
-again and changes nothing. Beyond MAX_RUNS runs are compacted into one and the old ones removed.
+A batch is committed by a manifest that names what is live, with the batch's decisions: a batch that was committed
+before gives the same result again and changes nothing. What a batch costs beyond the merge with history's runs
+doesn't grow with the number of batches: runs come in tiers, over MAX_RUNS of one tier are compacted into one of the
+next and removed. A compacted run of postings keeps two documents of each fingerprint, the smallest and the
+largest, as no more is ever asked; one of texts is dealt to parts by document, of which only those with a wanted
+text are read. Lists of boilerplate are one list again after each compaction.
 
 Documents with equal word sequences are copies: all but the smallest doc_id lose all their words at once (if
 there are 13), and take no part in the comparison. Fingerprints of boilerplate, which over one in HOT_SHARE of
@@ -25,6 +29,7 @@ where the documents are.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Iterator
@@ -45,6 +50,8 @@ MAX_RUNS = 4
 #: most HOT_SHARE times a document's mean number of fingerprints are hot, whatever the input.
 HOT_SAMPLE = 4096
 HOT_SHARE = 64
+#: Documents in a part of a compacted run of texts, about, and its parts at most.
+PART_DOCS, TEXT_PARTS = 4096, 1024
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -144,38 +151,60 @@ class FingerprintIndex:
     """The index under a folder that all executors share; the last manifest names what is live.
 
     One writer at a time: a second one's commit is refused. Compaction removes the runs that it replaces, so a
-    reader that holds an older manifest opens the index anew.
+    reader that holds an older manifest opens the index anew. What a failed attempt left is removed by the commit
+    that takes its place. The decisions on each batch stay, for replays; nothing else reads them.
     """
 
     _KINDS = {"postings": ("fp BIGINT, doc_id BIGINT", ["fp"]), "windows": ("a BIGINT, b INT, owner BIGINT, n BIGINT", ["a", "b"])}
+    _TAGS = ("texts", "hot", "facts", "starts")
 
     def __init__(self, spark: SparkSession, root: str, buckets: int | None = None) -> None:
         self.spark, self.root, self.files = spark, root.rstrip("/"), _Files(spark, root.rstrip("/"))
         self.buckets = self.manifest()["buckets"] or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def manifest(self) -> dict:
+        """Live runs of postings and windows, of texts ([name, parts, tier]) and boilerplate, and the last batch's decisions."""
         last = self.files.last("manifests")
-        return last or {"postings": [], "windows": [], "texts": [], "hot": [], "batches": {}, "buckets": None, "n": 0}
+        return last or {"postings": [], "windows": [], "texts": [], "hot": [], "decided": {}, "buckets": None, "n": 0}
+
+    @staticmethod
+    def _decisions(batch: str) -> str:
+        return f"decided/{hashlib.sha256(batch.encode()).hexdigest()}"
+
+    def decided(self, batch: str) -> dict | None:
+        """Where the decisions on a batch are; None if it isn't in the index."""
+        now, name = self.manifest(), self._decisions(batch)
+        return now["decided"].get(batch) or (self.files.content(name) if self.files.exists(name) else None)
 
     def _commit(self, now: dict, **changed) -> None:
-        new = now | changed | {"buckets": self.buckets, "n": now["n"] + 1}
-        if not self.files.claim(f"manifests/{now['n'] + 1:09d}", json.dumps(new)):
+        for batch, own in now["decided"].items():  # the manifest holds one batch's, however many there are
+            self.files.claim(self._decisions(batch), json.dumps(own))
+        new = now | {"decided": {}} | changed | {"buckets": self.buckets, "n": now["n"] + 1}
+        if not self.files.claim(f"manifests/{new['n']:09d}", json.dumps(new)):
             raise RuntimeError("another writer has committed to the index meanwhile")
+        own = json.dumps(new)
+        for tag in self._TAGS:  # of this number's attempts only what was committed stays
+            for name in self.files.names(f"{tag}/{new['n']:09d}"):
+                if name not in own:
+                    self.files.delete(f"{tag}/{new['n']:09d}/{name}")
+        self._remove([name for name in self.files.names("") if f"_{new['n']:09d}_" in name and name not in own])
+        self.files.delete("work")
 
-    def _save(self, rows: DataFrame, tag: str) -> str:
+    def _save(self, rows: DataFrame, tag: str, now: dict, by: str | None = None) -> str:
         """Writes a table within the index; it counts once a manifest names it."""
-        name = f"{tag}/{uuid.uuid4().hex}"
-        rows.write.options(**PACKED).parquet(f"{self.root}/{name}")
+        name = f"{tag}/{now['n'] + 1:09d}/{uuid.uuid4().hex}"
+        out = rows.write.options(**PACKED)
+        (out.partitionBy(by) if by else out).parquet(f"{self.root}/{name}")
         return name
 
     def _read(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def _cut(self, rows: DataFrame, tag: str) -> DataFrame:
-        return self.spark.read.schema(rows.schema).parquet(f"{self.root}/{self._save(rows, f'work/{tag}')}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.root}/{self._save(rows, f'work/{tag}', {'n': 0})}")
 
-    def _write(self, rows: DataFrame, kind: str) -> str:
-        name, keys = f"{kind}_{uuid.uuid4().hex}", self._KINDS[kind][1]
+    def _write(self, rows: DataFrame, kind: str, now: dict, tier: int = 0) -> str:
+        name, keys = f"{kind}_{tier}_{now['n'] + 1:09d}_{uuid.uuid4().hex}", self._KINDS[kind][1]
         rows.write.options(**PACKED).bucketBy(self.buckets, *keys).sortBy(*keys).option("path", f"{self.root}/{name}").saveAsTable(name)
         return name
 
@@ -195,9 +224,28 @@ class FingerprintIndex:
         """Removes the whole index but the facts and decisions of its batches."""
         now = self.manifest()
         self._remove(now["postings"] + now["windows"])
-        for name in now["hot"] + now["texts"]:
+        for name in [*now["hot"], *[t[0] for t in now["texts"]]]:
             self.files.delete(name)
 
+    def _boilerplate(self, now: dict) -> DataFrame:
+        """(fp) of all that was boilerplate in some batch."""
+        rows = self.spark.createDataFrame([], "fp long")
+        for name in now["hot"]:
+            rows = rows.unionByName(self._read(name, "fp long"))
+        return rows.distinct()
+
+    def text_paths(self, now: dict, wanted: DataFrame) -> list[str]:
+        """Where the texts of the documents in `wanted` (doc_id) are: runs of single batches, and of compacted ones the parts with a wanted text."""
+        out = []
+        for name, parts, _ in now["texts"]:
+            if not parts:
+                out.append(f"{self.root}/{name}")
+                continue
+            have = set(self.files.names(name))
+            own = wanted.select(_part(parts).alias("p")).distinct().collect()  # TEXT_PARTS at most
+            out += [f"{self.root}/{name}/part={r['p']}" for r in own if f"part={r['p']}" in have]
+        return out
+
     def _owned(self, rows: DataFrame, now: dict) -> DataFrame:
         """(a, b, owner, n): the smallest doc_id of each pair of hashes among rows (doc_id, a, b) and in history, and how many have it, runs of history counting once."""
         got = rows.groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n"))
@@ -217,30 +265,28 @@ class FingerprintIndex:
         (doc_id, key, n_words, whole, copy) of each row of the batch; (doc_id, key, starts) of the documents
         that lose windows; (doc_id, key, ..., text) of the batch's rows.
         """
-        now = self.manifest()
-        if batch not in now["batches"]:
-            self._judge(now, batch, docs)
-            if len(now["postings"]) + 1 > MAX_RUNS:
-                self.compact()
-            now = self.manifest()
-        own = now["batches"][batch]
-        return self._read(own["facts"], _FACTS), self._read(own["starts"], _STARTS), self._read(own["texts"], _TEXTS)
-
-    def _judge(self, now: dict, batch: str, docs: DataFrame) -> None:
-        stored = self._save(_digested(docs), "texts")
+        own, texts = self.decided(batch), None
+        if own is None:
+            self.compact()
+            own = self._judge(self.manifest(), batch, docs)
+            texts = self._read(own["texts"], _TEXTS)
+        return self._read(own["facts"], _FACTS), self._read(own["starts"], _STARTS), _digested(docs) if texts is None else texts
+
+    def _judge(self, now: dict, batch: str, docs: DataFrame) -> dict:
+        stored = self._save(_digested(docs), "texts", now)
         rows = self._read(stored, _TEXTS)
         # copies: rows whose words a smaller doc_id has, all of them
         known = rows.select("doc_id", F.col("key").alias("a"), F.col("mark").alias("b"), "key", "n_words", "whole")
-        wholes = self._write(self._owned(known.filter("doc_id is not null"), now), "windows")
+        wholes = self._write(self._owned(known.filter("doc_id is not null"), now), "windows", now)
         owners = self._run(wholes).filter("n > 1")
-        facts = self._save(attach_by_key(known, owners, ["a", "b"], "n").select("doc_id", "key", "n_words", "whole", F.coalesce(F.col("owner") < F.col("doc_id"), F.lit(False)).alias("copy")), "facts")
+        facts = self._save(attach_by_key(known, owners, ["a", "b"], "n").select("doc_id", "key", "n_words", "whole", F.coalesce(F.col("owner") < F.col("doc_id"), F.lit(False)).alias("copy")), "facts", now)
         first = self._read(facts, _FACTS)
         n = first.count()
         single = self._cut(_without(rows.select("doc_id", "key", "fps"), first.filter("copy").select("doc_id", "key")).filter("size(fps) > 0").select("doc_id", "fps"), "single")
-        hot = self._save(self._hot(single, n), "hot")
+        hot = self._save(self._hot(single, n), "hot", now)
         boiler = F.broadcast(self._read(hot, "fp long"))
         each = single.select(F.explode("fps").alias("fp"), "doc_id")
-        postings = self._write(each.join(boiler, "fp", "left_anti").repartition(self.buckets, "fp"), "postings")
+        postings = self._write(each.join(boiler, "fp", "left_anti").repartition(self.buckets, "fp"), "postings", now)
 
         new = self._run(postings)
         shared = new.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).withColumns({"_held": F.lit(0), "_old": F.lit(None).cast("long")})
@@ -248,8 +294,8 @@ class FingerprintIndex:
             before = self._run(name).groupBy("fp").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"))
             shared = shared.join(before, "fp", "left").withColumns({"_held": F.col("_held") + F.when(F.col("_lo").isNull(), 0).when(F.col("_lo") < F.col("_hi"), 2).otherwise(1), "_old": F.coalesce("_old", "_lo")}).drop("_lo", "_hi")
         alone = F.when(F.col("_held") == 1, F.col("_old"))  # a document of history that had the fingerprint alone
-        for name in now["hot"]:
-            shared = shared.join(F.broadcast(self._read(name, "fp long").withColumn("_hot", F.lit(True))), "fp", "left").withColumn("_held", F.col("_held") + F.when(F.col("_hot"), 2).otherwise(0)).drop("_hot")
+        if now["hot"]:
+            shared = shared.join(self._boilerplate(now).withColumn("_hot", F.lit(True)), "fp", "left").withColumn("_held", F.col("_held") + F.when(F.col("_hot"), 2).otherwise(0)).drop("_hot")
         shared = shared.filter("lo < hi or _held > 0").select("fp", alone.alias("old"))
         hits = new.join(shared, "fp").select("doc_id", "fp", "old")
         boilers = each.join(boiler, "fp").select("doc_id", "fp", F.lit(None).cast("long").alias("old"))
@@ -261,41 +307,79 @@ class FingerprintIndex:
                 part = self._run(name).join(boiler, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
                 held = part if held is None else held.unionByName(part)
             held = held.groupBy("fp").agg(F.min("lo").alias("doc_id"), F.max("hi").alias("hi")).filter("doc_id = hi")
-            for name in now["hot"]:
-                held = held.join(F.broadcast(self._read(name, "fp long")), "fp", "left_anti")
+            if now["hot"]:
+                held = held.join(self._boilerplate(now), "fp", "left_anti")
             met = met.unionByName(held.select("doc_id", "fp"))
 
         wanted = hits.groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
         texts = _picked(rows.select("doc_id", "key", "text"), self._cut(wanted, "wanted")).withColumn("old", F.lit(False))
         if now["texts"]:
             wanted = self._cut(met.groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "wanted-old")
-            for name in now["texts"]:
-                texts = texts.unionByName(_picked(self._read(name, _TEXTS).select("doc_id", "key", "text"), wanted).withColumn("old", F.lit(True)))
+            if paths := self.text_paths(now, wanted):
+                before = self.spark.read.schema("doc_id long, key long, text string").parquet(*paths)
+                texts = texts.unionByName(_picked(before, wanted).withColumn("old", F.lit(True)))
         found = self._cut(windows(texts), "found")
-        owned = self._write(self._owned(found, now), "windows")
+        owned = self._write(self._owned(found, now), "windows", now)
         several = self._run(owned).filter("n > 1")
         later = attach_by_key(found.filter("not old").drop("old"), several, ["a", "b"], "n").filter("owner < doc_id")
-        starts = self._save(later.groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts")), "starts")
-        self._commit(now, postings=[*now["postings"], postings], windows=[*now["windows"], wholes, owned], texts=[*now["texts"], stored], hot=[*now["hot"], hot], batches=now["batches"] | {batch: {"facts": facts, "starts": starts, "texts": stored}})
-        self.files.delete("work")
+        starts = self._save(later.groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts")), "starts", now)
+        own = {"facts": facts, "starts": starts, "texts": stored}
+        self._commit(now, postings=[*now["postings"], postings], windows=[*now["windows"], wholes, owned], texts=[*now["texts"], [stored, 0, 0]], hot=[*now["hot"], hot], decided={batch: own})
+        return own
 
     def compact(self) -> None:
-        """Merges the runs of each kind into one and removes the old ones."""
-        now = self.manifest()
-        merged = {}
-        for kind, schema in (("postings", None), ("windows", None)):
-            old = now[kind]
-            if len(old) > 1:
-                rows = self._run(old[0])
-                for r in old[1:]:
-                    rows = rows.unionByName(self._run(r))
-                whole = rows.distinct().repartition(self.buckets, "fp") if kind == "postings" else rows.groupBy("a", "b").agg(F.min("owner").alias("owner"), F.sum("n").alias("n"))
-                merged[kind] = [self._write(whole, kind)]
-        if merged:
+        """Merges the runs of each tier that has over MAX_RUNS of them (twice as many of windows, two for each batch) into one of the next, and removes them."""
+        while True:
+            now = self.manifest()
+            merged, old = {}, []
+            for kind in self._KINDS:
+                tier, runs = _fullest(now[kind], lambda name: int(name.split("_")[1]), MAX_RUNS * (2 if kind == "windows" else 1))
+                if runs:
+                    rows = self._run(runs[0])
+                    for r in runs[1:]:
+                        rows = rows.unionByName(self._run(r))
+                    if kind == "postings":
+                        ends = rows.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+                        rows = ends.select("fp", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("doc_id"))
+                    else:
+                        rows = rows.groupBy("a", "b").agg(F.min("owner").alias("owner"), F.sum("n").alias("n"))
+                    merged[kind] = [*[r for r in now[kind] if r not in runs], self._write(rows.repartition(self.buckets, *self._KINDS[kind][1]), kind, now, tier + 1)]
+                    old += runs
+            gone = []
+            tier, runs = _fullest(now["texts"], lambda t: t[2], MAX_RUNS)
+            if runs:
+                rows = self._read(runs[0][0], _PICKED)
+                for r in runs[1:]:
+                    rows = rows.unionByName(self._read(r[0], _PICKED))
+                parts = max(1, min(TEXT_PARTS, rows.count() // PART_DOCS))
+                dealt = rows.withColumn("part", _part(parts)).repartition("part")
+                merged["texts"] = [*[t for t in now["texts"] if t not in runs], [self._save(dealt, "texts", now, "part"), parts, tier + 1]]
+                gone += [t[0] for t in runs]
+            if len(now["hot"]) > MAX_RUNS:
+                merged["hot"] = [self._save(self._boilerplate(now), "hot", now)]
+                gone += now["hot"]
+            if not merged:
+                return
             self._commit(now, **merged)
-            self._remove([r for kind in merged for r in now[kind]])
+            self._remove(old)
+            for name in gone:
+                self.files.delete(name)
+
+
+def _part(parts: int):
+    return F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
+
+
+def _fullest(runs: list, tier_of, most: int) -> tuple[int, list]:
+    """The lowest tier with more than `most` runs, and these; none: no runs."""
+    for tier in sorted({tier_of(r) for r in runs}):
+        own = [r for r in runs if tier_of(r) == tier]
+        if len(own) > most:
+            return tier, own
+    return 0, []
 
 
+_PICKED = "doc_id long, key long, text string"
 _FACTS = "doc_id long, key long, n_words long, whole string, copy boolean"
 _STARTS = "doc_id long, key long, starts array<int>"
 _TEXTS = "doc_id long, key long, mark int, n_words long, whole string, text string, fps array<long>"

@@ -64,6 +64,14 @@ class _Files:
         found = self.fs.listStatus(at) if self.fs.exists(at) else []
         return self._content(max(found, key=lambda s: s.getPath().getName())) if len(found) else None
 
+    def names(self, folder: str) -> list[str]:
+        """Names in a folder; none if there isn't one."""
+        at = self.path(folder)
+        return [s.getPath().getName() for s in self.fs.listStatus(at)] if self.fs.exists(at) else []
+
+    def content(self, name: str) -> dict:
+        return self._content(self.fs.getFileStatus(self.path(name)))
+
     def _content(self, status) -> dict:
         stream = self.fs.open(status.getPath())
         try:

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip, held-out accuracy, and odd input."""
 
 import hashlib
+import json
 import re
 import time
 import tracemalloc
@@ -750,7 +751,7 @@ def test_substring_dedup_over_sessions(spark, tmp_path, monkeypatch):
     assert {k[0]: v for got in first for k, v in got.items()} == want and any(v[1] for v in first[2].values())
     index = substring_dedup.FingerprintIndex(spark, where)
     now = index.manifest()
-    assert len(now["postings"]) <= 2 and len(now["batches"]) == len(parts) and index.buckets == 4
+    assert len(now["postings"]) <= 3 and len(now["texts"]) <= 3 and len(now["hot"]) <= 3 and len(now["decided"]) <= 1 and index.buckets == 4
     live = {p.name for p in (tmp_path / "index").iterdir()}
     assert {n for n in live if n.startswith(("postings_", "windows_"))} == set(now["postings"] + now["windows"])
     assert [run(p) for p in parts] == first and index.manifest() == now
@@ -760,6 +761,38 @@ def test_substring_dedup_over_sessions(spark, tmp_path, monkeypatch):
     assert got == [(-1, 50, 0), (1, 20, 0), (900, 50, 0), (900, 60, 60), (901, 50, 50), (901, 50, 50), (902, 41, 40)]
 
 
+def test_substring_index_after_many_batches(spark, tmp_path, monkeypatch):
+    """Ten batches: results as over the union, runs in few tiers, and the texts read for the last batch are no more than for earlier ones."""
+    monkeypatch.setattr(substring_dedup, "MAX_RUNS", 2)
+    monkeypatch.setattr(substring_dedup, "PART_DOCS", 4)
+    first = [(k, prose(700 + k, 40)) for k in range(30)]
+    batches = [first] + [[(100 * b + k, prose(1000 * b + k, 30) + (" " + first[(b + k) % 30][1] if k < 2 else "")) for k in range(30)] for b in range(1, 10)]
+    index, read = substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"), 4), []
+    real = substring_dedup.FingerprintIndex.text_paths
+
+    def counted(self, now, wanted):
+        paths = real(self, now, wanted)
+        read.append(sum(spark.read.parquet(p).count() for p in paths))
+        return paths
+
+    monkeypatch.setattr(substring_dedup.FingerprintIndex, "text_paths", counted)
+    got = {}
+    for rows in batches:
+        for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), index, batches=1).collect():
+            got[r["doc_id"]] = (r["n_words"], r["n_removed"], r["kept_sha256"])
+    assert got == brute_words([r for rows in batches for r in rows]) and sum(v[1] for v in got.values()) >= 18 * 40
+    now = index.manifest()
+    assert all(len(now[k]) <= 6 for k in ("postings", "texts", "hot")) and len(json.dumps(now)) < 4000
+    assert len(read) == 9 and read[-1] <= 30 * 3 + 2 * 30 and max(read) <= 150, read
+    tmp = tmp_path / "index"
+    assert {p.name for p in (tmp / "texts").glob("*/*")} == {t[0].split("/")[-1] for t in now["texts"]}
+    # what a failed attempt leaves goes with the next commit
+    orphan = index._save(spark.range(3), "facts", now)
+    run = index._write(spark.createDataFrame([(1, 1)], "fp long, doc_id long"), "postings", now)
+    index.add("more", spark.createDataFrame([(5000, prose(1, 20))], "doc_id long, text string"))
+    assert index.manifest()["n"] > now["n"] and not (tmp / orphan).exists() and not (tmp / run).exists()
+
+
 def test_substring_dedup_with_boilerplate(spark, monkeypatch):
     """Fingerprints that many documents have go the unbucketed way, in the batch and in history, with equal results."""
     monkeypatch.setattr(substring_dedup, "HOT_SHARE", 8)
