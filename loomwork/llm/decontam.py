@@ -5,8 +5,8 @@ BM25 with itself as the query), so a score is the weighted share of the item tha
 threshold holds for all items. Items are laid out in blocks; the index keeps each term's largest impact
 overall (WAND's bound) and per block (block-max). Passages go through in batches: whole passages whose summed
 term bounds stay below the threshold are skipped, then blocks whose summed block maxima do, and only the
-postings of the blocks left are scored. These are block-max WAND's two tests, for all blocks of a passage at once
-by numpy instead of one pivot after another; arrays are no longer than a few times the postings met. Bounds never underestimate,
+postings of the blocks left are scored. These are block-max WAND's two tests, for all blocks of many passages at
+once by numpy instead of one pivot after another; arrays are no longer than a few times the postings met. Bounds never underestimate,
 so all items at or over the threshold are retrieved. A retrieved pair counts as a leak if the whole item has at least OVERLAP of its five-word shingles
 in the passage and both its question part and its answer part have at least FLOOR of their words in shared
 shingles, or if each part alone has at least OVERLAP of its own shingles there (parts that stand apart). Items
@@ -45,6 +45,8 @@ BLOCK = 8
 INDEX_BYTES = 16 << 20
 #: Words of the longest items of the first length class; each further class reaches twice as far.
 SHORTEST = 32
+#: Entries of block maxima that passages searched together meet.
+MET = 1 << 20
 #: Items whose shingles a task keeps at a time.
 KEPT_ITEMS = 4096
 #: ASCII punctuation and white space separate words; digits, letters and all beyond ASCII belong to them.
@@ -113,22 +115,51 @@ class LengthClass:
         own, place = np.unique(keys, return_inverse=True)
         return own, np.bincount(place, weights=weights, minlength=len(own))
 
+    def search_many(self, owner: np.ndarray, term: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item by position in the class, score) of what scores at least the threshold, by passage and item.
+
+        `owner`, in ascending order, and `term` give the words of passages as the class numbers them. Passages are
+        searched many at a time, as many as meet MET entries of block maxima, one at least.
+        """
+        known = term < self.n_terms
+        own, q = np.divmod(np.unique(owner[known] * np.int64(self.n_terms) + term[known]), self.n_terms)
+        enough = np.bincount(own, self.term_max[q])[own] >= threshold - 1e-5 if len(own) else np.zeros(0, bool)  # WAND's bound again, repeats apart
+        own, q = own[enough], q[enough]
+        met = np.cumsum(self.max_starts[q + 1] - self.max_starts[q])
+        out, at = [], 0
+        while at < len(own):
+            end = int(np.searchsorted(met, (met[at - 1] if at else 0) + MET, "right"))
+            if end < len(own):  # whole passages
+                end = int(np.searchsorted(own, own[max(end, at)]))
+                end = end if end > at else int(np.searchsorted(own, own[at], "right"))
+            out.append(self._searched(own[at:end], q[at:end], threshold))
+            at = end
+        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else empty
+
+    def _searched(self, own: np.ndarray, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for distinct (passage, term): block maxima first, then the postings of the blocks that are left."""
+        passages, place = np.unique(own, return_inverse=True)
+        n = self.max_starts[q + 1] - self.max_starts[q]
+        keys, sums = self._sums(np.repeat(place, n) * self.n_blocks + self.max_block[self._of(self.max_starts, q)], self.max_impact[self._of(self.max_starts, q)], len(passages) * self.n_blocks)
+        live = keys[sums >= threshold - 1e-5]
+        left = np.isin(place, live // self.n_blocks)
+        if not left.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        place, q = place[left], q[left]
+        at, place = self._of(self.starts, q), np.repeat(place, self.starts[q + 1] - self.starts[q])
+        key = place * self.n_blocks + self.post_item[at] // BLOCK
+        hit = live[np.minimum(np.searchsorted(live, key), len(live) - 1)] == key
+        keys, scores = self._sums(place[hit] * self.n_items + self.post_item[at[hit]], self.post_impact[at[hit]], len(passages) * self.n_items)
+        best = scores >= threshold - 1e-5
+        place, item = np.divmod(keys[best], self.n_items)
+        return passages[place], item, scores[best]
+
     def search(self, query: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
         """Items (by position in the class) of one passage's terms, as the class numbers them, that score at least the threshold."""
-        q = np.unique(np.array(query, dtype=np.int64))
-        q = q[q < self.n_terms]
-        if self.term_max[q].sum(dtype=np.float64) < threshold - 1e-5:  # WAND's bound again, repeats apart
-            return []
-        at = self._of(self.max_starts, q)
-        blocks, sums = self._sums(self.max_block[at], self.max_impact[at], self.n_blocks)
-        live = blocks[sums >= threshold - 1e-5]
-        if not len(live):
-            return []
-        at = self._of(self.starts, q)
-        own = self.post_item[at] // BLOCK
-        at = at[live[np.minimum(np.searchsorted(live, own), len(live) - 1)] == own]
-        items, scores = self._sums(self.post_item[at], self.post_impact[at], self.n_items)
-        return [(int(items[k]), float(scores[k])) for k in np.flatnonzero(scores >= threshold - 1e-5)]
+        q = np.array(query, dtype=np.int64)
+        _, items, scores = self.search_many(np.zeros(len(q), np.int64), q, threshold)
+        return list(zip(items.tolist(), scores.tolist()))
 
 
 class ItemIndex:
@@ -226,17 +257,20 @@ class ItemIndex:
         wand = np.add.reduceat(c.term_max[local].astype(np.float64), cuts)
         passage = wand + np.where(follows, np.append(wand[1:], 0), 0)
         ends = np.append(cuts[1:], len(flat))
-        for p in np.flatnonzero(passage >= threshold - 1e-5).tolist():
-            at, end, s = int(cuts[p]), int(ends[p + 1] if follows[p] else ends[p]), int(start[p])
-            grams: dict[int, set] = {}
-            words = None
-            for near, score in c.search(local[at:end], threshold):
-                key = (int(own[p]), c.first_item + near)
-                if key in found and found[key][0] >= score:
-                    continue
-                words = flat[at:end].tolist() if words is None else words
-                if shares := self.verified(key[1], words, grams):
-                    found[key] = (score, s, *shares)
+        live = np.flatnonzero(passage >= threshold - 1e-5)
+        until = np.where(follows, ends[np.minimum(np.arange(len(own)) + 1, len(own) - 1)], ends)
+        n = until[live] - cuts[live]
+        words = local[np.repeat(cuts[live] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        near, item, score = c.search_many(np.repeat(live, n), words, threshold)
+        before, said, grams = -1, [], {}
+        for p, k, x in zip(near.tolist(), (item + c.first_item).tolist(), score.tolist()):
+            key = (int(own[p]), k)
+            if key in found and found[key][0] >= x:
+                continue
+            if p != before:
+                before, said, grams = p, flat[cuts[p] : until[p]].tolist(), {}
+            if shares := self.verified(k, said, grams):
+                found[key] = (x, int(start[p]), *shares)
 
 
 def _item_terms(items: DataFrame) -> DataFrame:
