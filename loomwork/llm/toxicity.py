@@ -9,8 +9,10 @@ how often words that near occur in clean documents: edits that ordinary words re
 
 Each hit weighs its term's weight, less by a factor per edit, times the chance that it is meant as abuse. That
 chance comes from a window of words around the hit and from quotation marks, by a model trained on a small labelled
-table of contexts (`context_table`), so quotation and report weigh little. A document's score is a logistic model
-over sums of these weights, whose coefficients can't be negative: one more hit never lowers a score.
+table of contexts (`context_table`), so quotation and report weigh little. Hits of one term that are more likely
+quotation or report than abuse count once, by the largest: a word that is talked about isn't worse for being named
+often. A document's score is a logistic model over sums of these weights, whose coefficients can't be negative: one
+more hit never lowers a score but for its part in the text's length.
 """
 
 from __future__ import annotations
@@ -112,6 +114,8 @@ def context_table(n: int = 3000, seed: int = SEED) -> list[tuple[list[bytes], li
     )]
     report = [x.split("_") for x in (
         "he said the word _", "she said _ was", "the term _ is considered rude", "the word _ means", "was called a _ by", "he called him a _ and apologized", "the slur _ was used", "quoted as saying _", "they wrote _ on the wall", "calling someone a _ is", "the insult _ in the text", "a report of the word _",
+        "he called me an _", "she called me a _ yesterday", "they called us _ at", "called him an _ in", "called her a _ and", "someone called them _ on", "i was called an _", "he was called a _", "accused of being a _", "told her she was an _", "said that he was a _", "referred to them as _",
+        "il m a traité de _", "on l a traitée de _ hier", "elle m a appelé _", "er nannte mich einen _", "sie hat mich _ genannt", "wurde als _ bezeichnet", "me llamó _ ayer", "lo trató de _", "dijo que era un _",
         "le mot _ est", "il a dit _ dans", "l article cite _", "elle a écrit _", "das wort _ bedeutet", "er sagte _ und", "sie schrieb _ in", "nannte ihn einen _", "ein zitat _", "la palabra _ significa", "dijo _ en", "escribió _ en", "lo llamó _ y",
     )]
     fill = "the of and to in is was a for on with that it as de la le les et des du en un une est die der und das zu den mit ist ein el los que y por se con para su".split()
@@ -294,7 +298,7 @@ class Lexicon:
 class Scanner:
     """A text's hits and their sums."""
 
-    NAMES = ["sum", "density", "terms"]
+    NAMES = ["sum", "density"]
 
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon = lexicon
@@ -302,8 +306,8 @@ class Scanner:
         self.live = _Alive(self.trie)
         self.contexts = contexts()
 
-    def hits(self, text: str) -> tuple[list[tuple[int, str, int, bool, float]], int]:
-        """(word number, term, edits, stem?, weight in its context) of each hit, and the number of words."""
+    def hits(self, text: str) -> tuple[list[tuple[int, str, int, bool, float, float]], int]:
+        """(word number, term, edits, stem?, weight in its context, chance of abuse) of each hit, and the number of words."""
         if len(self.trie.states) > STATES or len(self.live) > STATES:
             self.trie.reset()
             self.live.clear()
@@ -315,18 +319,25 @@ class Scanner:
                 found.append((i, *m))
         if not found:
             return [], len(ws)
-        marks = quoted(text)
-        weights = self.lexicon.words | self.lexicon.stems
-        return [(i, t, e, stem, weights[t] * PER_EDIT**e * self.contexts.chance(ws, i, bool(marks and marks[i]))) for i, t, e, stem in found], len(ws)
+        marks, out = quoted(text), []
+        for i, t, e, stem in found:
+            chance = self.contexts.chance(ws, i, bool(marks and marks[i]))
+            weight = self.lexicon.words.get(t) or self.lexicon.stems[t]
+            out.append((i, t, e, stem, weight * PER_EDIT**e * chance, chance))
+        return out, len(ws)
 
     def features(self, text: str) -> list[float]:
-        """Sum of the hits' weights, their sum per 100 words, and the sum of each term's largest, as logarithms."""
+        """Sum of the hits' weights and their sum per 100 words, as logarithms; of a term's hits that are likelier meant otherwise only the largest counts."""
         got, n = self.hits(text)
-        best: dict[str, float] = {}
-        for _, t, _, _, w in got:
-            best[t] = max(best.get(t, 0.0), w)
-        total = sum(h[4] for h in got)
-        return [math.log1p(total), math.log1p(100 * total / max(n, 20)), math.log1p(sum(best.values()))]
+        said: dict[str, float] = {}
+        total = 0.0
+        for _, t, _, _, w, chance in got:
+            if chance < 0.5:
+                said[t] = max(said.get(t, 0.0), w)
+            else:
+                total += w
+        total += sum(said.values())
+        return [math.log1p(total), math.log1p(100 * total / max(n, 20))]
 
 
 # --- learning -------------------------------------------------------------------------------------------
@@ -401,7 +412,7 @@ def _edits(rows: DataFrame, lex: Lexicon) -> dict[str, int]:
             for text in b.column(0).to_pylist():
                 got, n = scan.hits(text)
                 total["", 0] += n
-                total.update((t, e) for _, t, e, _, _ in got if e)
+                total.update((t, e) for _, t, e, *_ in got if e)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int32()), pa.array(list(total.values()), pa.int64())], ["term", "edits", "n"])
 
     clean = rows.filter("y = 0").select("text").mapInArrow(run, "term string, edits int, n long")

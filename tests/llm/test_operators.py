@@ -544,6 +544,20 @@ def test_toxicity_of_misspelt_and_quoted_insults(spark):
     assert score(base + " you idiot") >= 0.3 and score(base + " you idiott") >= 0.3 and score(base + ' he said the word "idiot" there') < 0.05
     assert score(base + ' "you idiot"' * 4) < 0.3 < 0.9 < score(base + " you idiot" * 4) and score(base + " you idiott" * 4) > 0.9
 
+    # reports with and without marks, also of one word again and again; misspelt ones of words that allow an edit are caught alike
+    for said in ("He called me an idiot yesterday", "My boss called me a moron", '"idiot" and "idiot" or "idiot" then "idiot"', 'He said "you idiot" and left.', "The word idiot is an insult", "il m'a traité d'idiot hier", "er nannte mich einen idiot"):
+        assert score(said) < 0.3, said
+    long = [w for w in lex.words if len(w) >= 5]
+    assert all(score(f"you {w}") >= 0.3 for w in lex.words) and sorted(w for w in long if not lex.edits[w]) == ["moron"]
+    assert all(score(f"you {w}{w[-1]}") >= 0.3 for w in long if lex.edits[w])
+
+
+def test_quoted_hits_of_a_term_count_once():
+    scan = toxicity.Scanner(toxicity.Lexicon({"idiot": 5.0, "clown": 4.0}, {}))
+    one, many = scan.features('the word "idiot" is rude'), scan.features('the word "idiot" is rude ' * 9)
+    assert many[0] <= one[0] * 1.5 and scan.features("you idiot")[0] < scan.features("you idiot, you idiot")[0]
+    assert scan.features('the words "idiot" and "clown" are rude')[0] > one[0]
+
 
 def test_misspelt_stems_hit():
     trie = toxicity.FuzzyTrie({"worthless": 2.0, "grond": 1.0}, {"idiot": 1.0, "vequ": 1.0})
