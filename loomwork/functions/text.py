@@ -195,6 +195,13 @@ def without_thinking(t) -> Column:
     return F.when(F.instr(x, "</think>") > 0, strip(F.substring(x, F.instr(x, "</think>") + F.lit(8), F.length(x)))).when(x.startswith("<think>"), "").otherwise(x)
 
 
+def runner_answer(t) -> Column:
+    """The trimmed answer after its first end of thinking, if anything follows there; else all of it, trimmed."""
+    x = strip(F.coalesce(col(t), F.lit("")))
+    tail = strip(F.substring(x, F.instr(x, "</think>") + F.lit(8), F.length(x)))
+    return F.when((F.instr(x, "</think>") > 0) & (tail != ""), tail).otherwise(x)
+
+
 def bad_markers(t) -> Column:
     return F.filter(F.array(*[F.lit(m) for m in C.BAD_MARKERS]), lambda m: F.contains(F.lower(col(t)), F.lower(m)))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
+from ..functions import udfs as U
 from ..tables import cut
 from . import dedup, sampling
 
@@ -104,26 +105,33 @@ def normalize(convs: DataFrame, fn, key: str = "conv_id") -> DataFrame:
 
 
 def preparation(convs: DataFrame, target: int, domain: str = "domain", seed: int = 42, val_share: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """The large-corpus job: (picked conversations with split, one row of stats) of conversations (conv_id, messages, turns, domain).
+    """The large-corpus job: (picked conversations with score and split, one row of stats) of conversations (conv_id, messages, domain).
 
-    Normalizes, filters by the first failing reason, drops exact and near duplicates, keeps conversations of several
-    turns and the best others of each domain up to the target, and deals them to the splits. The stats' identity:
-    n_raw = n_rejected + n_exact + n_near + n_kept, and n_picked = n_train + n_validation.
+    Conversations of fewer than two messages are malformed and of no domain. The others are normalized but for code,
+    links and the like, filtered by the first failing reason, freed of exact and near duplicates; those of several
+    turns (pairs of messages, `turns`) are kept, and the best others of each domain up to the target; all are dealt to
+    the splits. Every number of the stats is counted by itself, so they check each other: n_raw = n_rejected + n_exact
+    + n_near + n_kept, and n_picked = n_train + n_validation.
     """
-    judged = cut(with_reason(convs.withColumn("messages", F.transform("messages", lambda m: F.struct(m["role"].alias("role"), T.normalize_segment(m["content"]).alias("content"))))), "prep-judged")
+    whole = F.coalesce(F.size("messages") >= 2, F.lit(False))
+    usable = convs.filter(whole).withColumn("turns", F.floor(F.size("messages") / 2).cast("int"))
+    judged = cut(with_reason(normalize(usable, U.normalize_text)), "prep-judged")
     ok = judged.filter("reason = 'ok'")
     unique = cut(dedup.exact(ok), "prep-exact")
+    copies = ok.groupBy(F.md5(F.to_json("messages"))).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_exact"))
     said = F.concat_ws(" ", F.transform("messages", lambda m: m["content"]))
-    groups = cut(dedup.min_shingle(unique.withColumn("_t", said), "_t", "conv_id").drop("_t"), "prep-near")
+    groups = cut(dedup.min_shingle(unique.withColumn("_t", said), "_t", "conv_id", 60).drop("_t"), "prep-near")
     kept = groups.filter("conv_id = group").drop("group").withColumns({"_a": joined("messages", "assistant"), "_u": joined("messages", "user")}).withColumn("_w", T.words("_a"))
-    scored = cut(kept.withColumn("score", T.quality_rank("_a", "_u", "turns", F.col("_w"))).withColumn("turns", F.when(F.col("turns") > 2, F.col("turns")).otherwise(1)).drop("_a", "_u", "_w"), "prep-scored")
-    domains = convs.select(domain).distinct().count()
+    scored = cut(kept.withColumn("score", T.quality_rank("_a", "_u", "turns", F.col("_w"))).drop("_a", "_u", "_w"), "prep-scored")
+    domains = usable.select(domain).distinct().count()
     picked = cut(sampling.hash_split(sampling.balanced(scored, target, domain, "turns", "score", "conv_id", domains), "conv_id", seed, val_share), "prep-picked")
-    n = lambda df, to: df.agg(F.count(F.lit(1)).alias(to))
-    parts = [judged.agg(F.count(F.lit(1)).alias("n_raw"), F.sum((F.col("reason") != "ok").cast("long")).alias("n_rejected")), n(unique, "_unique"), n(scored, "n_kept"),
-             picked.agg(F.count(F.lit(1)).alias("n_picked"), F.sum((F.col("split") == "train").cast("long")).alias("n_train"), F.sum((F.col("split") == "validation").cast("long")).alias("n_validation"), F.sum((F.col("turns") > 1).cast("long")).alias("n_multi"))]
+    n = lambda c, to: F.coalesce(F.sum(F.coalesce(c.cast("long"), F.lit(0))), F.lit(0)).alias(to)
+    one = F.lit(1)
+    parts = [
+        convs.agg(n(one, "n_raw"), n(~whole, "_malformed")), judged.agg(n(F.col("reason") != "ok", "_failed")), copies, groups.agg(n(F.col("conv_id") != F.col("group"), "n_near")), scored.agg(n(one, "n_kept")),
+        picked.agg(n(one, "n_picked"), n(F.col("split") == "train", "n_train"), n(F.col("split") == "validation", "n_validation"), n(F.col("turns") > 1, "n_multi")),
+    ]
     stats = parts[0]
     for p in parts[1:]:
         stats = stats.crossJoin(F.broadcast(p))  # one row each, ungrouped aggregates
-    stats = stats.withColumns({"n_exact": F.col("n_raw") - F.col("n_rejected") - F.col("_unique"), "n_near": F.col("_unique") - F.col("n_kept")}).drop("_unique")
-    return picked, stats
+    return picked, stats.withColumn("n_rejected", F.col("_malformed") + F.col("_failed")).drop("_malformed", "_failed")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..tables import cut, unused
+from .attach import attach_by_key
 from .closure import connected_components
 
 #: Above any 32-bit hash; products of a hash and a factor below 2**31 stay within a long.
@@ -43,16 +44,20 @@ def by_prompt_and_answer(rows: DataFrame, user: str, answer: str, fold, order: l
     return keep_first(rows, F.concat(fold(F.col(user)), F.lit("||"), F.substring(fold(F.col(answer)), 1, 600)), order)
 
 
-def min_shingle(rows: DataFrame, text: str, order: str, most: int = 60) -> DataFrame:
+def min_shingle(rows: DataFrame, text: str, order: str, most: int | None = None) -> DataFrame:
     """Rows with `group`: rows with one smallest 32-bit shingle hash are a group and take its first row's number.
 
-    Groups over `most` rows count as no group, as in the method that this is compatible with.
+    `most`: groups over so many rows count as no group, as in the method that this is compatible with (60 there).
+    The groups' numbers come by aggregates over hashes alone, and hot groups (texts without words are one) are
+    attached by broadcast, so none lands in one task.
     """
-    worded = rows.withColumn("_w", T.words(text))  # a column of its own, or each shingle would split the text again
-    least = F.array_min(F.transform(T.shingles(F.col("_w")), lambda s: T.hash32(s)))
-    marked = worded.withColumn("_m", F.coalesce(least, F.lit(-1))).drop("_w")  # never null, so that no null check of the whole expression is pushed down
-    groups = marked.groupBy("_m").agg(F.min(order).alias("_root"), F.count(F.lit(1)).alias("_n"))
-    return marked.join(groups, "_m").withColumn("group", F.when(F.col("_n") > most, F.col(order)).otherwise(F.col("_root"))).drop("_m", "_root", "_n")
+    w, mark, root, n = unused(rows, "_w", "_m", "_root", "_n")
+    worded = rows.withColumn(w, T.words(text))  # a column of its own, or each shingle would split the text again
+    least = F.array_min(F.transform(T.shingles(F.col(w)), lambda s: T.hash32(s)))
+    marked = worded.withColumn(mark, F.coalesce(least, F.lit(-1))).drop(w)  # never null, so that no null check of the whole expression is pushed down
+    groups = marked.groupBy(mark).agg(F.min(order).alias(root), F.count(F.lit(1)).alias(n))
+    over = F.lit(False) if most is None else F.col(n) > most
+    return attach_by_key(marked, cut(groups, "shingle-groups"), [mark], n).withColumn("group", F.when(over, F.col(order)).otherwise(F.col(root))).drop(mark, root, n)
 
 
 def minhash_signature(shingles, perms: int = 32):
@@ -98,10 +103,10 @@ def lsh_groups(rows: DataFrame, text: str, key: str, **options) -> DataFrame:
 
 
 def shingle_classes(rows: DataFrame, text: str, key: str) -> DataFrame:
-    """`rows` with `class`: the smallest key of the rows with the same set of five-word shingles."""
+    """`rows` with `class`: the smallest key of the rows with the same set of five-word shingles; hot classes are no one task's."""
     marked = _with_set(rows, text).withColumn("_h", F.md5(F.array_join("_s", ","))).drop("_s")
-    least = marked.groupBy("_h").agg(F.min(key).alias("class"))
-    return marked.join(least, "_h").drop("_h")
+    least = marked.groupBy("_h").agg(F.min(key).alias("class"), F.count(F.lit(1)).alias("_n"))
+    return attach_by_key(marked, cut(least, "shingle-classes"), ["_h"], "_n").drop("_h", "_n")
 
 
 def similar_pairs(rows: DataFrame, text: str, key: str, threshold: float = 0.8) -> DataFrame:

@@ -183,6 +183,15 @@ ORACLE_SQL = {
 SIGNED = f"(SELECT doc_id, [{', '.join(f'list_min(list_transform(h, lambda x: (x * {a} + {b}) % 4294967311))' for a, b in affine(32))}] AS g FROM (SELECT doc_id, list_transform(s, lambda y: ('0x' || substr(md5(y), 1, 8))::BIGINT) AS h FROM {SETS}))"
 DIGEST = "md5(array_to_string(list_transform(m, lambda y: y.role || ':' || y.content), '|'))"
 
+PREPARED = f"""ok AS (SELECT c.conv_id, c.m, CAST(len(c.m) // 2 AS BIGINT) AS turns FROM {REASON} r JOIN {M} c ON r.conv_id = c.conv_id WHERE reason = 'ok' AND len(c.m) >= 2),
+u AS (SELECT *, array_to_string(list_transform(m, lambda y: y.content), ' ') AS text FROM ok QUALIFY row_number() OVER (PARTITION BY m ORDER BY conv_id) = 1),
+h AS (SELECT *, list_min(list_transform(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE {grams('w', 5)} END, lambda s: ('0x' || substr(md5(s), 1, 8))::BIGINT)) AS k FROM (SELECT *, {words('text')} AS w FROM u)),
+kept AS (SELECT conv_id, m, turns FROM h QUALIFY count(*) OVER (PARTITION BY k) > 60 OR conv_id = min(conv_id) OVER (PARTITION BY k)),
+s AS (SELECT conv_id, turns, 'd' || (conv_id % 5) AS domain, 2.0::DOUBLE * least(1.0::DOUBLE, length(a)::DOUBLE / 900) + 1.5::DOUBLE * least(1.0::DOUBLE, {chars('a', chr(0x200C))}::DOUBLE / 8) + 1.5::DOUBLE * (1.0::DOUBLE - {rep('w', 5)}) + 1.5::DOUBLE * least(1.0::DOUBLE, {uniq('w')})
+  + CASE WHEN turns > 2 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END + 0.8::DOUBLE * least(1.0::DOUBLE, length(x)::DOUBLE / 120) AS score FROM (SELECT *, {words('a')} AS w FROM (SELECT *, {said('assistant')} AS a, {said('user')} AS x FROM kept))),
+b AS (SELECT greatest(1, (40 - count(*) FILTER (turns > 1)) // greatest(1, (SELECT count(DISTINCT conv_id % 5) FROM conversations))) AS cap, greatest(0, 40 - count(*) FILTER (turns > 1)) AS room FROM s),
+one AS (SELECT s.* FROM s, b WHERE turns = 1 QUALIFY row_number() OVER (PARTITION BY domain ORDER BY score DESC, conv_id) <= cap),
+picked AS (SELECT *, CASE WHEN {split_of('conv_id')} < 100 THEN 'validation' ELSE 'train' END AS split FROM (SELECT * FROM s WHERE turns > 1 UNION ALL SELECT one.* FROM one, b QUALIFY row_number() OVER (ORDER BY score DESC, conv_id) <= room))"""
 ORACLE_SQL |= {
     "normalized_texts": f"SELECT doc_id, md5(text || chr(10) || 'کتاب ی ' || doc_id || ' `ي ك`') AS md5 FROM {D}",
     "normalized_conversations": f"SELECT conv_id, turns, md5(array_to_string(list_transform(m, lambda y: y.role || ':' || y.content || ' ی'), '|')) AS md5 FROM {M}",
@@ -194,8 +203,9 @@ ORACLE_SQL |= {
       SELECT d.doc_id, coalesce(min(x), d.doc_id) AS group_id FROM documents d LEFT JOIN r ON r.s = d.doc_id GROUP BY d.doc_id""",
     "truncated_answers": f"""SELECT doc_id, CASE WHEN length(k) > 0 AND length(k) >= 0.1 * w THEN md5(k) END AS md5 FROM (SELECT doc_id, w, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (c <= 500), ''), '\\s+$', '') AS k
       FROM (SELECT doc_id, i, line, w, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, length(regexp_replace(text, '\\s+$', '')) AS w FROM {D})) GROUP BY doc_id, w)""",
-    "preparation_stats": f"""SELECT count(*) AS n_raw, count(*) FILTER (reason <> 'ok') AS n_rejected, count(*) FILTER (reason = 'ok') - count(DISTINCT m) FILTER (reason = 'ok') AS n_exact, CAST(0 AS BIGINT) AS gap, CAST(0 AS BIGINT) AS split_gap
-      FROM {REASON} r JOIN {M} c ON r.conv_id = c.conv_id""",
+    "preparation_stats": f"""WITH {PREPARED} SELECT (SELECT count(*) FROM {M}) AS n_raw, (SELECT count(*) FROM {M}) - (SELECT count(*) FROM ok) AS n_rejected, (SELECT count(*) FROM ok) - (SELECT count(*) FROM u) AS n_exact, (SELECT count(*) FROM u) - (SELECT count(*) FROM kept) AS n_near,
+      (SELECT count(*) FROM kept) AS n_kept, count(*) AS n_picked, count(*) FILTER (turns > 1) AS n_multi, count(*) FILTER (split = 'validation') AS n_validation, CAST(0 AS BIGINT) AS gap, CAST(0 AS BIGINT) AS split_gap FROM picked""",
+    "preparation_picked": f"WITH {PREPARED} SELECT conv_id, turns, domain, round(score, 6) AS score, split FROM picked",
     "split_distributions": f"SELECT turns, domain, lang, count(*) AS n FROM (SELECT turns, 'd' || (conv_id % 5) AS domain, {talk('m')} AS lang, conv_id FROM {M}) WHERE {split_of('conv_id')} >= 100 GROUP BY GROUPING SETS ((turns), (domain), (lang))",
     "cut_answers": f"SELECT conv_id, turn, substr(prompt, 1, 120) AS prompt, substr(answer, 1, 1200) AS answer FROM {PAIRS}",
     "languages_with_model": f"""SELECT doc_id, CASE WHEN own THEN l ELSE g END AS lang, round(CASE WHEN own THEN c ELSE p END, 6) AS conf FROM (SELECT *, doc_id % 4 = 0 OR (p < 0.75 AND l IN ('fa', 'ar') AND l <> g AND c > p) AS own

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import chat
+from ..functions import text as T
 from ..operators import bags, dedup, intervals, quantiles, sampling, scans, sketches
 from ..sources import sinks
 from ..streaming.commit import BatchLedger
 from ..tables import fresh_dir
-from .queries import docs, measured, query, t
+from .queries import convs, docs, measured, pairs, query, t
 
 SHARES = [0.0, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]
 NAV = ["home", "about", "prices", "contact", "team", "blog", "help"]
 DAY = 86_400_000_000
+TOOLS = ['{"name": "search", "parameters": {"q": "string"}}', '{"name": "time"}']
 
 
 @query
@@ -172,3 +175,28 @@ def sketched_sources(s, d):
     fits = lambda q, share: (under(q, "<") <= (share + sketches.RANK_ERROR) * F.count(F.lit(1))) & (under(q, "<=") >= (share - sketches.RANK_ERROR) * F.count(F.lit(1)))
     error = F.abs(F.first("distinct") - F.countDistinct("text")) <= F.greatest(F.lit(1.0), sketches.DISTINCT_ERROR * F.countDistinct("text"))
     return true.groupBy("source").agg(F.first("n").alias("n"), F.first("chars").alias("chars"), error.alias("distinct_fits"), fits(0, 0.5).alias("median_fits"), fits(1, 0.95).alias("p95_fits"))
+
+
+@query
+def builds_prompt_dedup(s, d):
+    """W3 in the builds generator's form: 300 characters of the prompt, letters unfolded"""
+    return dedup.keep_first(pairs(s, d), T.prompt_key("prompt", 300, False), ["conv_id", "turn"]).select("conv_id", "turn")
+
+
+@query
+def runner_answers(s, d):
+    """P14 as the benchmark's runner does it: an answer that is all thinking stays whole"""
+    k = F.col("doc_id") % 4
+    text = F.when(k == 0, F.concat(F.lit("<think>"), "text", F.lit("</think>\n "))).when(k == 1, F.concat(F.lit("<think>why</think> "), "text")).when(k == 2, F.concat("text", F.lit("</think>a</think>b"))).otherwise(F.col("text"))
+    return docs(s, d).select("doc_id", F.md5(T.runner_answer(text)).alias("md5"))
+
+
+@query
+def tool_chats(s, d):
+    """F32 with tools: each conversation after a system's turn (for some), with calls and responses in its midst, and the prompt for an answer"""
+    message = lambda role, content, calls="null": F.expr(f"named_struct('role', {role}, 'content', {content}, 'tool_calls', cast({calls} as array<struct<name: string, arguments: string>>))")
+    system = F.when(F.col("conv_id") % 2 == 0, F.array(message("'system'", "'Be brief.'"))).otherwise(F.expr(f"cast(array() as array<{chat.MESSAGE}>)"))
+    called = F.array(message("'assistant'", "'<think>hm</think>Wait.'", "array(named_struct('name', 'search', 'arguments', '{}'), named_struct('name', 'time', 'arguments', '{}'))"), message("'tool'", "'one'"), message("'tool'", "'two'"))
+    own = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), F.lit(None).cast("array<struct<name: string, arguments: string>>").alias("tool_calls")))
+    rows = convs(s, d).withColumn("messages", F.concat(system, own, called))
+    return chat.with_chat(rows, "messages", "text", TOOLS, True, False).select("conv_id", F.md5("text").alias("md5"))

@@ -1,7 +1,8 @@
 """SQL, for DuckDB, of the queries in `ordered`."""
 
-from .oracles import D, PAIRS, measured  # noqa: F401
-from .ordered import NAV, SHARES
+from ..functions import chat
+from .oracles import D, PAIRS, M, lit, measured, strip
+from .ordered import NAV, SHARES, TOOLS
 
 _SHARES = ", ".join(f"{q}::DOUBLE" for q in SHARES)
 _U = lambda seed, key: f"((('0x' || sha256('{seed}:' || {key})[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)"
@@ -48,4 +49,11 @@ SELECT key AS stem, CAST(NULL AS BIGINT) AS unkeyed, CAST(0 AS BIGINT) AS odd FR
 UNION ALL SELECT key, NULL, doc_id % 2 FROM (SELECT DISTINCT key, doc_id FROM r WHERE key IS NOT NULL AND key NOT IN (SELECT key FROM ek))
 UNION ALL SELECT NULL, doc_id, doc_id % 2 FROM (SELECT * FROM e WHERE key IS NULL UNION ALL SELECT * FROM r WHERE key IS NULL)""",
     "sketched_sources": f"SELECT source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, true AS distinct_fits, true AS median_fits, true AS p95_fits FROM {D} GROUP BY source",
+    "builds_prompt_dedup": f"SELECT conv_id, turn FROM {PAIRS} QUALIFY row_number() OVER (PARTITION BY substr(lower({strip("regexp_replace(prompt, '\\s+', ' ', 'g')")}), 1, 300) ORDER BY conv_id, turn) = 1",
+    "runner_answers": f"""SELECT doc_id, md5(CASE doc_id % 4 WHEN 0 THEN {strip("'<think>' || text || '</think>'")} WHEN 1 THEN CASE WHEN {strip('text')} = '' THEN '<think>why</think>' ELSE {strip('text')} END WHEN 2 THEN 'a</think>b' ELSE {strip('text')} END) AS md5 FROM {D}""",
+    "tool_chats": f"""SELECT conv_id, md5('<|im_start|>system' || chr(10) || CASE WHEN conv_id % 2 = 0 THEN 'Be brief.' || chr(10) || chr(10) WHEN m[1].role = 'system' THEN m[1].content || chr(10) || chr(10) ELSE '' END || {lit(chat.TOOLS_HEAD + chr(10) + chr(10).join(TOOLS) + chat.TOOLS_TAIL)} || e
+  || coalesce(array_to_string(list_transform(range(CASE WHEN conv_id % 2 = 1 AND m[1].role = 'system' THEN 2 ELSE 1 END, len(m) + 1), lambda i: s || m[i].role || chr(10) || m[i].content || e), ''), '')
+  || s || 'assistant' || chr(10) || '<think>' || chr(10) || 'hm' || chr(10) || '</think>' || chr(10) || chr(10) || 'Wait.' || chr(10) || '<tool_call>' || chr(10) || '{{"name": "search", "arguments": {{}}}}' || chr(10) || '</tool_call>' || chr(10) || '<tool_call>' || chr(10) || '{{"name": "time", "arguments": {{}}}}' || chr(10) || '</tool_call>' || e
+  || s || 'user' || chr(10) || '<tool_response>' || chr(10) || 'one' || chr(10) || '</tool_response>' || chr(10) || '<tool_response>' || chr(10) || 'two' || chr(10) || '</tool_response>' || e || s || 'assistant' || chr(10) || '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10)) AS md5
+FROM (SELECT *, '<|im_start|>' AS s, '<|im_end|>' || chr(10) AS e FROM {M})""",
 }

@@ -105,7 +105,7 @@ def prompt_answer_dedup(s, d):
 @query
 def near_dedup_min_shingle(s, d):
     """J4, J5, A14, F19, F20, W4 in the compatible mode"""
-    return dedup.min_shingle(docs(s, d), "text", "doc_id").select("doc_id", F.col("group").alias("group_id"))
+    return dedup.min_shingle(docs(s, d), "text", "doc_id", 60).select("doc_id", F.col("group").alias("group_id"))
 
 
 @query
@@ -500,9 +500,16 @@ def domain_convs(s, d):
 
 @query
 def preparation_stats(s, d):
-    """A5, 3.1: the large-corpus job's totals and its two identities"""
-    stats = V.preparation(domain_convs(s, d), 60)[1]
-    return stats.select("n_raw", "n_rejected", "n_exact", F.expr("n_raw - n_rejected - n_exact - n_near - n_kept").alias("gap"), F.expr("n_picked - n_train - n_validation").alias("split_gap"))
+    """A5, 3.1: the large-corpus job's totals, each counted by itself, and whether they add up"""
+    stats = V.preparation(domain_convs(s, d), 40)[1]
+    gap, split_gap = F.expr("n_raw - n_rejected - n_exact - n_near - n_kept"), F.expr("n_picked - n_train - n_validation")
+    return stats.select("n_raw", "n_rejected", "n_exact", "n_near", "n_kept", "n_picked", "n_multi", "n_validation", gap.alias("gap"), split_gap.alias("split_gap"))
+
+
+@query
+def preparation_picked(s, d):
+    """3.1: the conversations that the large-corpus job picks, with what they are ranked by and their split"""
+    return V.preparation(domain_convs(s, d), 40)[0].select("conv_id", "turns", "domain", F.round("score", 6).alias("score"), "split")
 
 
 @query

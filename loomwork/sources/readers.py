@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MESSAGES = "array<struct<role: string, content: string>>"
@@ -20,11 +22,19 @@ def spread(rows: DataFrame) -> DataFrame:
 def domain_parquet(spark: SparkSession, root: str, pattern: str = "*/train-*.parquet", subset: int | None = None) -> DataFrame:
     """(messages, domain, source, seq-able file name) of Parquet files whose folder names the domain; only `messages` is read.
 
-    `subset` keeps that many rows, the first by files and by the messages within a file: the same ones at each run.
+    `subset` keeps that many rows, the first by files (in the order of their names) and by the rows within a file.
+    How many rows a file has is told by its footer, so only files with a wanted row are read, and nothing is sorted.
     """
-    rows = spark.read.schema(f"messages {MESSAGES}").parquet(f"{root.rstrip('/')}/{pattern}")
-    rows = rows.select("messages", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("domain"), F.lit("raw").alias("source"), F.col("_metadata.file_path").alias("_file"))
-    return rows.orderBy("_file", F.md5(F.to_json("messages"))).limit(subset) if subset else rows
+    read = spark.read.schema(f"messages {MESSAGES}")
+    rows, place = read.parquet(f"{root.rstrip('/')}/{pattern}"), F.col("_metadata.file_path")
+    if subset:
+        sizes = rows.groupBy(place.alias("file")).agg(F.count(F.lit(1)).alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per file
+        files = sizes.withColumn("before", before).filter(F.col("before") < subset).orderBy("file").collect()  # `subset` of them at most
+        rows = read.parquet(*[unquote(f["file"]) for f in files]) if files else rows.limit(0)
+        if files:
+            rows = rows.filter((place != files[-1]["file"]) | (F.col("_metadata.row_index") < subset - files[-1]["before"]))
+    return rows.select("messages", F.element_at(F.split(place, "/"), -2).alias("domain"), F.lit("raw").alias("source"), place.alias("_file"))
 
 
 def json_lines(spark: SparkSession, paths, schema: str = EXAMPLE) -> DataFrame:

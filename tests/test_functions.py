@@ -128,7 +128,7 @@ def test_files_and_truncated_answers(spark):
 def test_dedup_and_sampling(spark):
     df = spark.createDataFrame([(i, f"same start of the text {'x' if i < 61 else i}") for i in range(65)], "id long, t string")
     assert dedup.min_shingle(df.filter("id < 60"), "t", "id").select("group").distinct().count() == 1
-    assert dedup.min_shingle(df.filter("id < 61"), "t", "id").filter("group = id").count() == 61  # a group over 60 counts as none
+    assert dedup.min_shingle(df.filter("id < 61"), "t", "id", 60).filter("group = id").count() == 61 and dedup.min_shingle(df.filter("id < 61"), "t", "id").filter("group = 0").count() == 61
     words = [f"w{i}" for i in range(60)]
     texts = [" ".join(words), " ".join(words[:-1] + ["other"]), " ".join(reversed(words)), " ".join(words)]
     table = spark.createDataFrame(list(enumerate([*texts, "", "  "])), "id long, t string")
