@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.attach import HEAVY_PARTS, attach_by_key  # noqa: F401  (for the operators)
 from ..shipping import ship
 from ..tables import PACKED, cut, fresh_dir, shared_dir  # noqa: F401  (for the operators)
 
@@ -12,8 +13,6 @@ from ..tables import PACKED, cut, fresh_dir, shared_dir  # noqa: F401  (for the
 WORD_GAP = r"[ \x09-\x0D]+"
 #: Bytes of text handed to Python at a time, so that very long texts cannot fill a worker's memory.
 ARROW_BATCH_BYTES = 16 << 20
-#: A key is heavy if it holds more than one part in so many of all rows, so there are at most so many; skewed-join splitting does for keys below.
-HEAVY_PARTS = 64
 
 #: Bits of the broadcast filter of ids, 4 MB whatever the input; it only spares work.
 FILTER_BITS = 1 << 25
@@ -71,22 +70,3 @@ def marked(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     out = rows.withColumn("_s", F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))).withColumn("_page", F.expr("_s div %d" % _PAGE)).join(_bits(ids), "_page", "left")
     near = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_s % 8 as int))")) != 0, F.lit(False)) & F.col(column).isNotNull()
     return out.withColumn("_near", near).drop("_s", "_page", "_bits")
-
-
-def attach_by_key(rows: DataFrame, stats: DataFrame, key: list[str], size: str) -> DataFrame:
-    """Left join of `rows` with one `stats` row per key, safe against hot keys.
-
-    `size` names the column of `stats` with the number of rows of the key. Keys with more than
-    1 / HEAVY_PARTS of all rows are at most HEAVY_PARTS many whatever the input, so they are broadcast;
-    all other keys are small enough for a shuffled join. Both inputs should be cheap to read twice.
-    """
-    total = stats.agg(F.sum(size).alias("_total"))
-    marked = stats.crossJoin(F.broadcast(total))  # one row, an ungrouped aggregate
-    heavy = marked.filter(F.col(size) * HEAVY_PARTS > F.col("_total")).drop("_total")
-    light = marked.filter(F.col(size) * HEAVY_PARTS <= F.col("_total")).drop("_total")
-    names = [c for c in stats.columns if c not in key]
-    tagged = heavy.select(*key, *[F.col(c).alias(f"_heavy_{c}") for c in names], F.lit(True).alias("_is_heavy"))
-    once = rows.join(F.broadcast(tagged), key, "left")
-    hot = once.filter(F.col("_is_heavy")).select(*rows.columns, *[F.col(f"_heavy_{c}").alias(c) for c in names])
-    rest = once.filter(F.col("_is_heavy").isNull()).select(*rows.columns).join(light, key, "left").select(*rows.columns, *names)
-    return hot.unionByName(rest)
