@@ -1,6 +1,7 @@
 """Branches that the tables don't reach, on hand-written rows."""
 
 import re
+import shutil
 import time
 from itertools import product
 
@@ -228,3 +229,18 @@ def test_generators(spark):
     assert len(set(texts)) == 6 and not any("{" in t for t in texts)
     runs = spark.createDataFrame([(1024, 10.0, None), (4096, 15.0, None), (3072, 14.0, None), (8192, 1.0, "oom")], "seq_len int, memory_gb double, error string")
     assert materialize.fitting_config(runs).first()["seq_len"] == 3072 and materialize.fitting_config(runs.limit(0)).first()["seq_len"] == 2048
+
+
+@pytest.mark.skipif(shutil.which("node") is None, reason="no node")
+def test_scripts_are_checked_a_batch_at_a_time(spark, monkeypatch):
+    codes = ["let a = 1;", "function (", None, "return 1", "throw new Error('not run')", "const x = {;", "a => a * 2", "\u2028 let é = '日本'"]
+    want = [True, False, True, True, True, False, True, True]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "i int, c string").repartition(2)
+    got = {r["i"]: r["e"] for r in df.select("i", U.js_error("c").alias("e")).collect()}
+    assert [got[i] is None for i in range(len(codes))] == want and got[1].startswith("SyntaxError")
+    rows = df.select(F.concat(F.col("i").cast("string"), F.lit(".js")).alias("path"), F.col("c").alias("code"))
+    assert metrics.verdict(metrics.validated_files(rows, U.html_error, U.js_error)).first()["valid"] == sum(want)
+    started = []
+    real = U.subprocess.run
+    monkeypatch.setattr(U.subprocess, "run", lambda *a, **k: started.append(1) or real(*a, **k))
+    assert U.script_faults(shutil.which("node"), ["1"] * 500) == [None] * 500 and len(started) == 1
