@@ -192,7 +192,8 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, decoded) of every row (doc_id, ids), special tokens kept; null and empty lists give the empty string.
 
-    An id that isn't in the vocabulary is an error. An empty table gives no rows.
+    An id that isn't in the vocabulary is an error. Repeated rows and null ids give as many rows, an empty table none.
+    Long lists take memory in proportion to their ids. Other columns, whatever their names, are left out.
     """
     tune(encoded.sparkSession)
     sent = encoded.sparkSession.sparkContext.broadcast(spec_of(path or tokenizer_path()))

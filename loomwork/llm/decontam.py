@@ -346,7 +346,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     """The documents without a leak, in all columns of `docs`: decided row by row, so nothing is shuffled.
 
     Null and empty texts have no leak and stay. Repeated rows fare alike. An empty benchmark keeps all, an empty
-    table gives no rows. Other columns may have any names and keep their values.
+    table gives no rows. Other columns may have any names and keep their values. Long texts take memory in
+    proportion to their words, a batch of texts at a time.
     """
     tune(docs.sparkSession)
     for index in _rounds(benchmark, item_id, "text"):

@@ -29,7 +29,12 @@ def _lines(text):
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, copy, p, a, b): hashes a, b of each window and the number p of its first line among those with a word."""
+    """(doc_id, copy, p, a, b): hashes a, b of each window and the number p of its first line among those with a word.
+
+    `copy` is a hash of the text, which tells rows of one doc_id apart; repeated rows give their windows again. Null
+    texts, texts of fewer than three such lines and rows with a null doc_id have none, so an empty table has none. A
+    long text takes some arrays as long as its lines. Other columns, whatever their names, are left out.
+    """
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("_t")).filter("doc_id is not null")
     t = t.withColumn("copy", F.xxhash64("_t")).withColumn("_l", _lines(F.col("_t"))).filter(F.size("_l") >= WINDOW)
     each = f"transform(sequence(0, size(_l) - {WINDOW}), p -> struct(p, xxhash64({', '.join(f'_l[p + {k}].h' for k in range(WINDOW))}) as a, xxhash64({', '.join(f'_l[p + {k}].g' for k in range(WINDOW))}) as b))"
@@ -37,7 +42,11 @@ def windows(docs: DataFrame) -> DataFrame:
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """(doc_id, copy, gone array<int>): numbers, among a document's lines with a word, of the lines to remove."""
+    """(doc_id, copy, gone array<int>): numbers, among a document's lines with a word, of the lines to remove; documents that lose none have no row.
+
+    Of equal windows that with the smallest (doc_id, p, copy) stays. Repeated rows of a document are one here. Nulls,
+    long texts, empty tables and other columns as in `windows`.
+    """
     rows = cut(windows(docs), "line-windows")
     first = rows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "p", "copy")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     later = attach_by_key(rows, cut(first, "line-firsts"), ["a", "b"], "n").filter("first is not null and not (doc_id = first.doc_id and p = first.p and copy = first.copy)")

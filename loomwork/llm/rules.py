@@ -112,7 +112,12 @@ def cutoffs(features: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
 
 
 def judged(features: DataFrame, chosen: DataFrame) -> DataFrame:
-    """`features` with `kept`: not failed by the base and above no cutoff of its stratum. Null strata have no rules."""
+    """`features` with `kept`: not failed by the base and above no cutoff of its stratum.
+
+    Null strata and strata without labels have no rules, so the base alone decides there. Rows that repeat a document
+    are judged each by itself, also with a null doc_id; an empty table gives no rows. Texts aren't read any more, so
+    their length doesn't matter; columns of `features` keep their values.
+    """
     wide = cut(chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in RULES]), "rule-cutoffs")
     few = wide.count() <= FEW_STRATA
     rows = features.join(F.broadcast(wide) if few else wide, "stratum", "left")

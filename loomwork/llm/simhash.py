@@ -153,6 +153,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket_limit: int = B
 
     Null and empty texts have fingerprint 0 and link like any other. Rows that repeat a doc_id give as many
     rows. Rows with a null doc_id keep their fingerprint and get the component of it. An empty table gives none.
+    A long text takes memory in proportion to its words. Other columns, whatever their names, are left out.
     """
     own = cut(fingerprints(docs), "simhash-fp")
     return attach_by_key(own, _components(own, radius, bucket_limit), ["fp"], "n_rows").select("doc_id", "fp", "component_id")

@@ -485,7 +485,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> Da
     """The documents whose score stays below the cutoff, in all columns of `docs`; learns from all labels but the held-out fold.
 
     Decided row by row, so nothing is shuffled, repeated rows fare alike, and null texts stay as they are (they
-    have no hits). An empty table gives no rows.
+    have no hits). An empty table gives no rows. A long text takes memory in proportion to its words. Other columns
+    may have any names and keep their values.
     """
     model = train(docs, labels, fold("doc_id", 4) != 2)
     sent = docs.sparkSession.sparkContext.broadcast(model)
