@@ -14,18 +14,18 @@ GAP, DELAY = 12 * HOUR, 6 * HOUR
 LATE = "5 days"
 
 
-def arrivals(s, d, place):
+def arrivals(s, d, place, sittings=SITTINGS):
     """Events with the sitting they arrive in: `place` is their place in the order of arrival."""
     rows = t(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     n = rows.count()
     at = place(F.col("event_id"))
-    return rows.withColumn("sitting", F.greatest(F.lit(0), F.least(F.lit(SITTINGS - 1), F.floor(at * SITTINGS / max(1, n)))).cast("int"))
+    return rows.withColumn("sitting", F.greatest(F.lit(0), F.least(F.lit(sittings - 1), F.floor(at * sittings / max(1, n)))).cast("int"))
 
 
-def in_sittings(s, rows, run):
+def in_sittings(s, rows, run, sittings=SITTINGS):
     """Writes each sitting's rows to a folder that a stream reads and calls `run(stream)`, which goes on where it ended before."""
     where = fresh_dir(s, "arrivals")
-    for k in range(SITTINGS):
+    for k in range(sittings):
         rows.filter(F.col("sitting") == k).drop("sitting").write.mode("append").parquet(f"{where}/{k}")
         run(s.readStream.schema(rows.drop("sitting").schema).parquet(f"{where}/*"))
 
@@ -53,7 +53,7 @@ def first_events_of_a_stream(s, d):
         rows = first.first_of_key(stream.select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], "ts", ["event_id"], LATE)
         first.start(s, rows.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(availableNow=True)).awaitTermination()
 
-    in_sittings(s, arrivals(s, d, lambda k: k + k * 7919 % 50), run)
+    in_sittings(s, arrivals(s, d, lambda k: k + k * 7919 % 50, 2), run, 2)
     return s.read.parquet(f"{where}/out").select("user_id", "event_type", "event_id")
 
 
