@@ -13,6 +13,7 @@ SECRETS = [
 # Fixed: template leftovers; preparation and metrics each have their own pattern.
 PREP_PLACEHOLDER = r"\{\{?\s*\w+\s*\}?\}|\[[نام توضیح موضوع]\]|<نام>|TODO|Lorem ipsum"
 METRIC_PLACEHOLDER = r"\{\{\s*\w+\s*\}\}|<نام>|\[نام\]|Lorem ipsum|\bTODO\b"
+METRIC_MARKS = ["{{", "<نام>", "[نام]", "Lorem ipsum", "TODO"]  # one of them is in all that METRIC_PLACEHOLDER matches
 # Fixed: ends of an unfinished answer.
 UNFINISHED = ["،", ",", ":", "؛", " و", " یا", " که", " برای"]
 # Fixed: substrings counted as signs of Arabic and of Persian, and letters that only Persian has.

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from . import constants as C
 
-#: White space as Python's str.split sees it.
-SPACE = r"[\s\x0B\x1c-\x1f\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+#: White space as Python's str.split sees it. What is under 256 is listed one by one, which is one look-up, and the rest is asked for within its range only.
+SPACE = r"[ \t\n\x0B\f\r\x1c\x1d\x1e\x1f\x85\xA0[\u1680-\u3000&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]]]+"
+#: The same characters one by one.
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 SCRIPT = r"[\u0600-\u06FF]"
 
@@ -27,16 +29,21 @@ def any_of(conditions) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def let(value: Column, then) -> Column:
+    """`then` of a value that is evaluated once, however often `then` uses it; conditional branches would evaluate it again each."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def strip(t) -> Column:
-    return F.regexp_replace(col(t), f"^{SPACE}|{SPACE}$", "")
+    return F.btrim(col(t), F.lit(BLANKS))
 
 
 def rstrip(t) -> Column:
-    return F.regexp_replace(col(t), f"{SPACE}$", "")
+    return F.rtrim(col(t), F.lit(BLANKS))
 
 
 def words(t) -> Column:
-    return F.filter(F.split(col(t), SPACE), lambda w: w != "")
+    return F.when(strip(t) == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(strip(t), SPACE))
 
 
 def grams(w: Column, n: int) -> Column:
@@ -46,8 +53,17 @@ def grams(w: Column, n: int) -> Column:
 
 def gram_hashes(w: Column, n: int) -> Column:
     """64-bit hashes of the n-grams of an array of words; within one text they stand for the n-grams. Empty below n words."""
-    each = lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), each)).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+    def wider(h: Column, have: int) -> Column:
+        """From hashes of `have` words to those of n: two that overlap or touch make one of up to twice as many words."""
+        if have == n:
+            return h
+        to = min(n, 2 * have)
+        left = F.size(h) - (to - have)
+        return let(F.zip_with(F.slice(h, F.lit(1), left), F.slice(h, F.lit(to - have + 1), left), lambda a, b: F.xxhash64(a, b)), lambda x: wider(x, to))
+
+    hashed = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: wider(h, 1))
+    return F.when(F.size(w) >= n, hashed).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
 def repetition(w: Column, n: int = 3, min_words: int = 12) -> Column:
@@ -58,20 +74,19 @@ def repetition(w: Column, n: int = 3, min_words: int = 12) -> Column:
 
 def max_gram_repeat(w: Column, n: int = 12) -> Column:
     """How often the most frequent n-gram occurs; 1 below n words. Sorted hashes bring equal n-grams side by side."""
-    h = F.sort_array(gram_hashes(w, n))
     run = lambda acc, x: F.when(acc["last"] == x, acc["run"] + 1).otherwise(1)
     step = lambda acc, x: F.struct(x.alias("last"), run(acc, x).alias("run"), F.greatest(acc["best"], run(acc, x)).alias("best"))
-    longest = F.aggregate(h, F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(1).alias("best")), step, lambda acc: acc["best"])
-    return F.when(F.size(w) < n, 1).when(F.size(F.array_distinct(gram_hashes(w, n))) == F.size(w) - (n - 1), 1).otherwise(longest)
+    longest = lambda h: F.aggregate(F.sort_array(h), F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(1).alias("best")), step, lambda acc: acc["best"])
+    return F.when(F.size(w) < n, 1).otherwise(let(gram_hashes(w, n), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 1).otherwise(longest(h))))
 
 
 def repeats_at_least(w: Column, n: int, times: int) -> Column:
     """Whether some n-gram occurs at least `times` times: after sorting, an entry equals the one `times` - 1 further."""
     total = F.size(w) - (n - 1)
-    some = F.size(F.array_distinct(gram_hashes(w, n))) <= total - (times - 1)  # as many repeats at least; the sort is for the rest
-    h = F.sort_array(gram_hashes(w, n))
-    far = F.exists(F.zip_with(h, F.slice(h, times, F.greatest(F.size(h), F.lit(1))), lambda a, b: a == b), lambda x: F.coalesce(x, F.lit(False)))
-    return F.when((total >= times) & some, far).otherwise(False)
+    some = lambda h: F.size(F.array_distinct(h)) <= total - (times - 1)  # noqa: E731  (as many repeats at least; the sort is for the rest)
+    same = lambda h: F.exists(F.zip_with(h, F.slice(h, times, F.greatest(F.size(h), F.lit(1))), lambda a, b: a == b), lambda x: F.coalesce(x, F.lit(False)))
+    far = lambda h: F.when(some(h), let(F.sort_array(h), same)).otherwise(False)
+    return F.when(total >= times, let(gram_hashes(w, n), far)).otherwise(False)
 
 
 def unique_ratio(w: Column) -> Column:
@@ -79,8 +94,8 @@ def unique_ratio(w: Column) -> Column:
 
 
 def char_count(t, chars: str) -> Column:
-    """Characters of `t` in a regex class."""
-    return F.length(col(t)) - F.length(F.regexp_replace(col(t), chars, ""))
+    """Characters of `t` in a regex class; whole runs of them are one match."""
+    return F.length(col(t)) - F.length(F.regexp_replace(col(t), f"{chars}+", ""))
 
 
 def occurrences(t, piece: str) -> Column:
@@ -120,37 +135,71 @@ def normalize_segment(t) -> Column:
 def substring_language(t) -> Column:
     """fa, ar, en, mixed or other, from counted substrings and letters."""
     t = col(t)
+    total = lambda pieces: reduce(lambda a, b: a + b, [occurrences(t, p) for p in pieces])
+    size = F.greatest(F.lit(1), F.length(t)).cast("long")
+    over = lambda n, tenths: n * 10 > size * tenths  # noqa: E731  (whole numbers: 0.7 * 90 as doubles is under 63)
     # all markers are of the Arabic script: texts without it have none, and skip the counting
-    total = lambda pieces: F.when(t.rlike(SCRIPT), reduce(lambda a, b: a + b, [occurrences(t, p) for p in pieces])).otherwise(0)
-    ar, fa, letters = total(C.ARABIC_MARKERS), total(C.PERSIAN_MARKERS), char_count(t, f"[{C.PERSIAN_LETTERS}]")
-    size, ascii_n, arabic = F.greatest(F.lit(1), F.length(t)), char_count(t, "[A-Za-z]"), char_count(t, r"[\u0600-\u06FF\u0750-\u077F]")
-    return (
-        F.when(t.isNull() | (t == ""), "other").when(ascii_n > 0.7 * size, "en").when((letters >= 1) & (fa >= ar), "fa").when((ar >= 3) & (fa == 0) & (letters == 0), "ar")
-        .when(arabic > 0.3 * size, F.when((fa > 0) | (letters > 0), "fa").otherwise("mixed")).when(ascii_n > 0.3 * size, "mixed").otherwise("other")
-    )
+    counted = F.struct(total(C.ARABIC_MARKERS).alias("ar"), total(C.PERSIAN_MARKERS).alias("fa"), char_count(t, f"[{C.PERSIAN_LETTERS}]").alias("letters"))
+    none = F.struct(F.lit(0).alias("ar"), F.lit(0).alias("fa"), F.lit(0).alias("letters"))
+    arabic = F.when(t.rlike(r"[\u0600-\u06FF\u0750-\u077F]"), char_count(t, r"[\u0600-\u06FF\u0750-\u077F]")).otherwise(0)
+
+    def told(x: Column, ascii_n: Column) -> Column:
+        ar, fa, letters = x["ar"], x["fa"], x["letters"]
+        return (
+            F.when((letters >= 1) & (fa >= ar), "fa").when((ar >= 3) & (fa == 0) & (letters == 0), "ar")
+            .when(over(arabic, 3), F.when((fa > 0) | (letters > 0), "fa").otherwise("mixed")).when(over(ascii_n, 3), "mixed").otherwise("other")
+        )
+
+    others = lambda ascii_n: let(F.when(t.rlike(SCRIPT), counted).otherwise(none), lambda x: told(x, ascii_n))
+    return F.when(t.isNull() | (t == ""), "other").otherwise(let(char_count(t, "[A-Za-z]").cast("long"), lambda n: F.when(over(n, 7), "en").otherwise(others(n))))
 
 
 def conversation_language(messages) -> Column:
     """Of the user's turns: ar, fa_en, fa, en or mixed."""
     langs = F.transform(F.filter(col(messages), lambda m: m["role"] == "user"), lambda m: substring_language(m["content"]))
-    n = lambda x: F.size(F.filter(langs, lambda y: y == x))
-    return F.when((n("ar") > 0) & (n("ar") >= n("fa")), "ar").when((n("fa") > 0) & (n("en") > 0), "fa_en").when(n("fa") > 0, "fa").when(n("en") > 0, "en").otherwise("mixed")
+
+    def told(langs: Column) -> Column:
+        n = lambda x: F.size(F.filter(langs, lambda y: y == x))
+        return F.when((n("ar") > 0) & (n("ar") >= n("fa")), "ar").when((n("fa") > 0) & (n("en") > 0), "fa_en").when(n("fa") > 0, "fa").when(n("en") > 0, "en").otherwise("mixed")
+
+    return let(langs, told)
+
+
+def without(t: Column, mark: str, pattern: str) -> Column:
+    """A blank for each match of a pattern that has `mark` in it; texts without the mark aren't searched."""
+    return let(t, lambda x: F.when(F.contains(x, F.lit(mark)), F.regexp_replace(x, pattern, " ")).otherwise(x))
+
+
+def prose(t) -> Column:
+    """The text without its code blocks."""
+    return without(col(t), "```", r"```[\s\S]*?```")
 
 
 def token_language(t) -> Column:
     """struct(lang, conf) from whole words and letters, code and links left out."""
     raw = col(t)
-    x = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"```[\s\S]*?```", " "), r"`[^`\n]+`", " "), r"https?://\S+", " ")
-    w = F.regexp_extract_all(x, F.lit(r"([\p{L}\p{N}_\u0600-\u06FF\u0750-\u077F]+)"), 1)
-    hits = lambda lexicon: F.when(x.rlike(SCRIPT), F.size(F.filter(w, lambda y: y.isin(lexicon)))).otherwise(0)
-    fa, ar = hits(C.PERSIAN_WORDS), hits(C.ARABIC_WORDS)
-    letters, ascii_n, arabic = char_count(x, f"[{C.PERSIAN_LETTERS}]"), char_count(x, "[A-Za-z]"), char_count(x, r"[\u0600-\u06FF]")
+    word = r"[\p{L}\p{N}_\u0600-\u06FF\u0750-\u077F]"
     out = lambda lang, conf: F.struct(F.lit(lang).alias("lang"), (conf if isinstance(conf, Column) else F.lit(float(conf))).alias("conf"))
-    return (
-        F.when(raw.isNull() | ~x.rlike(r"[\p{L}\p{N}_\u0600-\u06FF\u0750-\u077F]"), out("other", 0.0)).when((ascii_n > 5) & (ascii_n > arabic * 2), out("en", 0.8))
-        .when((letters >= 2) & (fa >= ar), out("fa", F.least(F.lit(1.0), 0.55 + 0.08 * letters + 0.05 * fa))).when((ar >= 2) & (fa == 0) & (letters == 0), out("ar", F.least(F.lit(1.0), 0.5 + 0.1 * ar)))
-        .when(arabic >= 5, F.when((fa == 0) & (ar >= 1), out("ar", 0.6)).otherwise(out("fa", 0.55))).when(fa >= 1, out("fa", 0.5)).otherwise(out("other", 0.3))
-    )
+
+    def arabic_script(x: Column, arabic: Column) -> Column:
+        hits = lambda w, lexicon: F.size(F.filter(w, lambda y: y.isin(lexicon)))
+        counted = let(F.regexp_extract_all(x, F.lit(f"({word}+)"), 1), lambda w: F.struct(hits(w, C.PERSIAN_WORDS).alias("fa"), hits(w, C.ARABIC_WORDS).alias("ar"), char_count(x, f"[{C.PERSIAN_LETTERS}]").alias("letters")))
+        return let(counted, lambda n: told(n["fa"], n["ar"], n["letters"], arabic))
+
+    def told(fa: Column, ar: Column, letters: Column, arabic: Column) -> Column:
+        return (
+            F.when((letters >= 2) & (fa >= ar), out("fa", F.least(F.lit(1.0), 0.55 + 0.08 * letters + 0.05 * fa))).when((ar >= 2) & (fa == 0) & (letters == 0), out("ar", F.least(F.lit(1.0), 0.5 + 0.1 * ar)))
+            .when(arabic >= 5, F.when((fa == 0) & (ar >= 1), out("ar", 0.6)).otherwise(out("fa", 0.55))).when(fa >= 1, out("fa", 0.5)).otherwise(out("other", 0.3))
+        )
+
+    def counted(x: Column) -> Column:
+        letters = F.struct(char_count(x, "[A-Za-z]").alias("en"), F.when(x.rlike(SCRIPT), char_count(x, SCRIPT)).otherwise(0).alias("arabic"))
+        # the lexicons and the letters are of the Arabic script: a text without it has none of them
+        rest = lambda n: F.when(n["arabic"] > 0, arabic_script(x, n["arabic"])).otherwise(out("other", 0.3))
+        return let(letters, lambda n: F.when((n["en"] > 5) & (n["en"] > n["arabic"] * 2), out("en", 0.8)).otherwise(rest(n)))
+
+    x = without(without(prose(raw), "`", r"`[^`\n]+`"), "://", r"https?://\S+")
+    return let(x, lambda x: F.when(x.isNull() | ~x.rlike(word), out("other", 0.0)).otherwise(counted(x)))
 
 
 def with_model(t, predicted) -> Column:
@@ -160,15 +209,15 @@ def with_model(t, predicted) -> Column:
     """
     label = F.regexp_replace(F.lower(col(predicted)["label"]), "^__label__", "")
     lang = F.when(label.isin("fa", "persian"), "fa").when(label.isin("ar", "ara", "arb"), "ar").when(label == "en", "en").otherwise("other")
-    conf, own = col(predicted)["conf"].cast("double"), token_language(t)
-    doubt = (conf < 0.75) & own["lang"].isin("fa", "ar") & (own["lang"] != lang) & (own["conf"] > conf)
-    return F.when(col(predicted).isNull() | label.isNull() | doubt, own).otherwise(F.struct(lang.alias("lang"), conf.alias("conf")))
+    conf = col(predicted)["conf"].cast("double")
+    doubt = lambda own: (conf < 0.75) & own["lang"].isin("fa", "ar") & (own["lang"] != lang) & (own["conf"] > conf)
+    return let(token_language(t), lambda own: F.when(col(predicted).isNull() | label.isNull() | doubt(own), own).otherwise(F.struct(lang.alias("lang"), conf.alias("conf"))))
 
 
-def response_language(t) -> Column:
-    """`code` for an answer of code blocks only, else the language of the rest."""
-    prose = F.regexp_replace(col(t), r"```[\s\S]*?```", " ")
-    return F.when(strip(prose) == "", "code").otherwise(token_language(prose)["lang"])
+def response_language(t, known: Column | None = None) -> Column:
+    """`code` for an answer of code blocks only, else the language of the rest. `known`: the text's `token_language`, if at hand; without code blocks it is the answer's."""
+    own = let(prose(t), lambda x: F.when(strip(x) == "", "code").otherwise(token_language(x)["lang"]))
+    return own if known is None else F.when(F.contains(col(t), F.lit("```")), own).when(strip(t) == "", "code").otherwise(known["lang"])
 
 
 def secret(t, patterns=C.SECRETS) -> Column:
@@ -186,13 +235,14 @@ def unfinished(t) -> Column:
 
 def malformed(t) -> Column:
     """unclosed_fence, placeholder or null."""
-    return F.when(odd_fences(t), "unclosed_fence").when(col(t).rlike(C.METRIC_PLACEHOLDER), "placeholder")
+    marked = any_of(F.contains(col(t), F.lit(m)) for m in C.METRIC_MARKS)  # most texts have none, and skip the pattern
+    return F.when(odd_fences(t), "unclosed_fence").when(marked & col(t).rlike(C.METRIC_PLACEHOLDER), "placeholder")
 
 
 def without_thinking(t) -> Column:
     """The trimmed answer after its first end of thinking; empty if thinking never ends."""
-    x = strip(F.coalesce(col(t), F.lit("")))
-    return F.when(F.instr(x, "</think>") > 0, strip(F.substring(x, F.instr(x, "</think>") + F.lit(8), F.length(x)))).when(x.startswith("<think>"), "").otherwise(x)
+    after = lambda x: strip(F.substring(x, F.instr(x, "</think>") + F.lit(8), F.length(x)))
+    return let(strip(F.coalesce(col(t), F.lit(""))), lambda x: F.when(F.contains(x, F.lit("</think>")), after(x)).when(x.startswith("<think>"), "").otherwise(x))
 
 
 def runner_answer(t) -> Column:
