@@ -102,9 +102,12 @@ def lsh_groups(rows: DataFrame, text: str, key: str, **options) -> DataFrame:
     return rows.join(parts.withColumnRenamed("node", "_node"), F.col(key) == F.col("_node"), "left").withColumn("group", F.coalesce("component", F.col(key))).drop("_node", "component")
 
 
-def shingle_classes(rows: DataFrame, text: str, key: str) -> DataFrame:
-    """`rows` with `class`: the smallest key of the rows with the same set of five-word shingles; hot classes are no one task's."""
-    marked = _with_set(rows, text).withColumn("_h", F.md5(F.array_join("_s", ","))).drop("_s")
+def shingle_classes(rows: DataFrame, text: str, key: str, keep: list[str] | None = None) -> DataFrame:
+    """`rows` (of them the columns `keep`, all by default) with `class`: the smallest key of the rows with the same set of five-word shingles; hot classes are no one task's.
+
+    The sets are found once and go on as digests; as these rows are written, `keep` should leave texts out where they aren't wanted.
+    """
+    marked = cut(_with_set(rows, text).select(*(keep or rows.columns), F.md5(F.array_join("_s", ",")).alias("_h")), "shingle-digests")
     least = marked.groupBy("_h").agg(F.min(key).alias("class"), F.count(F.lit(1)).alias("_n"))
     return attach_by_key(marked, cut(least, "shingle-classes"), ["_h"], "_n").drop("_h", "_n")
 
@@ -144,4 +147,5 @@ def similar_pairs(rows: DataFrame, text: str, key: str, threshold: float = 0.8)
 
 def _with_set(rows: DataFrame, text: str) -> DataFrame:
     worded = rows.withColumn("_w", T.words(text))  # a column of its own, or each shingle would split the text again
-    return worded.withColumn("_s", F.array_sort(F.array_distinct(F.transform(T.shingles(F.col("_w")), lambda s: F.xxhash64(s))))).drop("_w")
+    hashed = F.when(F.size("_w") < 5, F.array(F.xxhash64(F.array_join("_w", " ")))).otherwise(T.gram_hashes(F.col("_w"), 5))
+    return worded.withColumn("_s", F.sort_array(F.array_distinct(hashed))).drop("_w")
