@@ -6,13 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.attach import HEAVY_PARTS, attach_by_key  # noqa: F401  (for the operators)
-from ..shipping import ship
+from ..shipping import ARROW_BATCH_BYTES, tune  # noqa: F401  (for the operators)
 from ..tables import PACKED, cut, fresh_dir, shared_dir  # noqa: F401  (for the operators)
 
 #: The words of every operator whose result is fixed by contract: runs free of ASCII white space.
 WORD_GAP = r"[ \x09-\x0D]+"
-#: Bytes of text handed to Python at a time, so that very long texts cannot fill a worker's memory.
-ARROW_BATCH_BYTES = 16 << 20
 
 #: Bits of the broadcast filter of ids, 4 MB whatever the input; it only spares work.
 FILTER_BITS = 1 << 25
@@ -32,12 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.repartition(cores) if name == "documents" and rows.rdd.getNumPartitions() < cores else rows
 
 
-def tune(spark: SparkSession) -> None:
-    """For operators with Python code: sends the package to the executors and bounds Arrow batches by bytes."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
-
-
 def text_col(name: str = "text"):
     """The text; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
