@@ -28,7 +28,7 @@ from .common import attach_by_key, cut, table, text_col, tune
 
 NO_LANG = "und"
 #: Bytes of text laid out at a time, positions of a shard (a multiple of 16), bitmap blocks of a class of first words.
-CHUNK, SHARD, CLASS = 1 << 21, 1 << 21, 1 << 17
+CHUNK, SHARD, CLASS = 1 << 20, 1 << 21, 1 << 15
 #: Bits of the broadcast filter of frequent phrases of one length: 16 MB whatever the input; it only spares work.
 FILTER_BITS = 1 << 27
 #: Words of more bytes are hashed one by one: sums of powers are for short ones.
