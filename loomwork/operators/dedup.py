@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import udfs as U
 from ..tables import cut, unused
-from .attach import attach_by_key
+from .attach import attach_by_key, maybe_among
 from .closure import connected_components
 
 #: Above any 32-bit hash; products of a hash and a factor below 2**31 stay within a long.
 PRIME = 4294967311
-#: Shingles with a larger share of all shingles than one part in so many count as frequent.
-FREQUENT_PARTS = 1 << 16
+#: Shingles are counted in two to the power of so many buckets.
+BUCKET_BITS = 18
+#: Sets and shingles of a block, of which pairs are verified two by two; about so many, as sets are dealt by hash.
+BLOCK_SETS, BLOCK_SHINGLES = 128, 1 << 16
 
 
 def keep_first(rows: DataFrame, key, order: list[str]) -> DataFrame:
@@ -116,33 +120,93 @@ def similar_pairs(rows: DataFrame, text: str, key: str, threshold: float = 0.8)
     """(a, b, jaccard) of all pairs of classes (see `shingle_classes`) whose shingle sets reach the threshold; a < b.
 
     Exact, by prefix filtering: in any common order of shingles, two such sets share one of the first
-    n - ceil(threshold * n) + 1 of either, and at the first that they share enough must be left in both. Rare
-    shingles come first in the order, so that few sets meet at a prefix, and those of one set alone aren't sent to
-    the join. Sets meet within classes of sizes only, of which two that are similar have one in common, so a
-    shingle of many sets is searched class by class. The few shingles (FREQUENT_PARTS at most) with a large share
-    of all get their counts by broadcast, so that no task holds all rows of one.
+    n - ceil(threshold * n) + 1 of either, and at the first that they share enough must be left in both. The order is
+    by level, then by hash. A level says how full a bucket of shingles is (`_levels`): level 0 holds no shingle of
+    many rows, and few sets meet at it. So each row finds its own prefix, only prefixes are shuffled, and whole sets
+    move for rows that have a candidate alone. Shingles of level 0 that are in one prefix aren't sent to the join; they
+    are counted there, and their level bounds a count, so no task holds all rows of a frequent one. Sets meet within
+    classes of sizes only, of which two that are similar have one in common, so a shingle of many sets is searched
+    class by class. Where one of the last two shingles is shared too, a pair was met before and isn't met again.
     """
-    sets = cut(_with_set(rows, text).groupBy("_s").agg(F.min(key).alias("k")).withColumn("n", F.size("_s")), "shingle-sets")
-    each = sets.select("k", "n", F.explode("_s").alias("x"))
-    counts = cut(each.groupBy("x").agg(F.count(F.lit(1)).alias("df")), "shingle-counts")
-    total = counts.agg(F.sum("df").alias("total"))
-    sized = counts.crossJoin(F.broadcast(total)).withColumn("often", F.col("df") * FREQUENT_PARTS > F.col("total"))  # one row, an ungrouped aggregate
-    known = each.join(F.broadcast(sized.filter("often").select("x", F.col("df").alias("often"))), "x", "left")
-    hot = known.filter("often is not null").select("k", "n", "x", F.col("often").alias("df"))
-    rest = known.filter("often is null").select("k", "n", "x").join(sized.filter("not often and df > 1").select("x", "df"), "x", "left")
-    place = F.row_number().over(Window.partitionBy("k").orderBy(F.coalesce("df", F.lit(1)), "x"))
-    first = hot.unionByName(rest.select("k", "n", "x", "df")).withColumn("i", place)
-    first = first.filter(F.col("i") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).filter("df > 1")
+    worded = rows.filter(F.col(text).isNotNull())  # null has no set
+    sets = cut(_with_set(worded, text).select(F.col(key).alias("k"), F.md5(F.array_join("_s", ",")).alias("_h"), F.size("_s").alias("n"), "_s"), "shingle-sets")
+    own = sets.groupBy("_h").agg(F.min("k").alias("k"))
+    sent = rows.sparkSession.sparkContext.broadcast(_levels(sets))  # a byte a bucket, whatever the input
+    prefixes = sets.select("_h", "k", "n", U.set_prefix(sent, BUCKET_BITS, threshold)("_s").alias("p")).join(own, ["_h", "k"])
+    each = prefixes.select("k", "n", F.col("p.rare").alias("rare"), F.posexplode("p.x").alias("i", "x")).withColumn("i", F.col("i") + 1)
+    shared = each.filter("i <= rare").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("x"))).filter("df > 1")
+    first = shared.select("k", "n", "i", "x").unionByName(each.filter("i > rare").select("k", "n", "i", "x"))
+    before = lambda by: F.lag("x", by).over(Window.partitionBy("k").orderBy("i"))
+    first = cut(first.select("k", "n", "i", "x", before(1).alias("p"), before(2).alias("q")), "shingle-prefixes")
     size_class = F.floor(F.log("n") / (1e-9 - math.log(threshold)))  # two sizes within the threshold differ by one class at most
-    first = cut(first.select("k", "n", "x", "i", F.explode(F.array(size_class, size_class + 1)).alias("c")), "shingle-prefixes")
-    side = lambda to: first.select(F.col("k").alias(to), F.col("n").alias(f"n{to}"), F.col("i").alias(f"i{to}"), "x", "c")
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
+    first = first.withColumn("own", size_class).withColumn("c", F.explode(F.array("own", F.col("own") + 1)))
+    side = lambda to: first.select(*[F.col(c).alias(f"{c}{to}") for c in ("n", "i", "own", "p", "q")], F.col("k").alias(to), "x", "c")
+    near = (F.col("a") < F.col("b")) & (F.col("c") == F.greatest("owna", "ownb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
     enough = 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-6
-    pairs = side("a").join(side("b"), ["x", "c"]).filter(near & enough).select("a", "b").distinct()
-    texts = sets.select("k", "_s")
-    both = pairs.join(texts.withColumnsRenamed({"k": "a", "_s": "sa"}), "a").join(texts.withColumnsRenamed({"k": "b", "_s": "sb"}), "b")
-    same = F.size(F.array_intersect("sa", "sb"))
-    return both.withColumn("jaccard", same / (F.size("sa") + F.size("sb") - same)).filter(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+    again = F.coalesce(F.expr("pa = pb or pa = qb or qa = pb or qa = qb"), F.lit(False))
+    met = side("a").join(side("b"), ["x", "c"]).filter(near & enough & ~again)
+    return _verified(_likely(cut(met.select("a", "b").distinct(), "shingle-candidates"), sets, threshold), sets, threshold)
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that may reach the threshold by parities of their shingles' hashes (`udfs.set_parities`): two sets differ by as many shingles at least as parities do.
+
+    A set's parities take a 64th to a 32nd of its bytes, so they may be sent once for each pair.
+    """
+    known = cut(maybe_among(sets.select("k", "n", "_s"), "k", _ends(pairs)).select("k", "n", U.set_parities("_s").alias("w")).dropDuplicates(["k"]), "shingle-parities")
+    side = lambda to: known.select(F.col("k").alias(to), F.col("n").alias(f"n{to}"), F.col("w").alias(f"w{to}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    folded = lambda w, to: F.when(F.size(w) > F.size(to), F.zip_with(F.slice(w, F.lit(1), F.size(to)), F.slice(w, F.size(to) + 1, F.size(to)), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(w))
+    both = both.select("a", "b", "na", "nb", folded("wa", "wb").alias("wa"), folded("wb", "wa").alias("wb"))
+    differ = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return cut(both.filter(differ <= (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-6).select("a", "b", "na", "nb"), "shingle-pairs")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs that reach the threshold, by their whole sets.
+
+    A set isn't sent for each of its pairs: sets with one smallest neighbour are dealt to blocks of bounded numbers of
+    sets and shingles, and it goes once to each block that it has a pair in. So a group is the sets of two blocks and the
+    pairs between them.
+    """
+    end = lambda k, n, o: F.struct(F.col(k).alias("k"), F.col(n).alias("n"), F.col(o).alias("o"))
+    met = pairs.select(F.explode(F.array(end("a", "na", "b"), end("b", "nb", "a"))).alias("e")).select("e.*")
+    leaders = cut(met.groupBy("k").agg(F.max("n").alias("n"), F.min("o").alias("o")).select("k", "n", F.least("k", "o").alias("leader")), "shingle-leaders")
+    sizes = cut(leaders.groupBy("leader").agg(F.count(F.lit(1)).alias("_n"), F.sum("n").alias("_sum")), "shingle-leader-sizes")
+    part = F.pmod(F.xxhash64("k"), F.greatest(F.ceil(F.col("_n") / BLOCK_SETS), F.ceil(F.col("_sum") / BLOCK_SHINGLES)))
+    blocks = attach_by_key(leaders, sizes, ["leader"], "_n").select("k", F.xxhash64("leader", part).alias("block"))
+    side = lambda to: blocks.select(F.col("k").alias(to), F.col("block").alias(f"_{to}"))
+    dealt = pairs.join(side("a"), "a").join(side("b"), "b").select(F.xxhash64(F.least("_a", "_b"), F.greatest("_a", "_b")).alias("g"), "a", "b")
+    dealt = cut(dealt, "shingle-blocks")
+    members = dealt.select("g", F.explode(F.array("a", "b")).alias("k")).distinct()
+    texts = maybe_among(sets.select("k", "_s"), "k", _ends(pairs)).dropDuplicates(["k"])
+    either = members.join(texts, "k").select("g", F.struct("k", "_s").alias("s")).unionByName(dealt.select("g", F.struct("a", "b").alias("p")), allowMissingColumns=True)
+    groups = either.groupBy("g").agg(F.collect_list("s").alias("s"), F.collect_list("p").alias("p")).select("p", F.map_from_entries("s").alias("s"))
+    shared = lambda p: F.size(F.array_intersect(F.element_at("s", p["a"]), F.element_at("s", p["b"])))
+    total = lambda p: F.size(F.element_at("s", p["a"])) + F.size(F.element_at("s", p["b"]))
+    each = groups.select(F.explode(F.transform("p", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), shared(p).alias("m"), total(p).alias("n")))).alias("e")).select("e.*")
+    return each.withColumn("jaccard", F.col("m") / (F.col("n") - F.col("m"))).filter(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("k"))
+
+
+def _levels(sets: DataFrame) -> np.ndarray:
+    """One byte for each of 2**BUCKET_BITS buckets of shingles, told by a hash's high bits: 0, or by quarters of a power of two how far the occurrences in it pass a bound.
+
+    The bound is well over what evenly dealt shingles give, so few buckets without a frequent shingle pass it. It only
+    orders shingles: any levels give the same pairs, in more or less time. At most one (bucket, level) a bucket comes here.
+    """
+    bucket = F.expr(f"shiftrightunsigned(x, {64 - BUCKET_BITS})").cast("int").alias("at")
+    counts = cut(sets.select(F.explode("_s").alias("x")).select(bucket).groupBy("at").agg(F.count(F.lit(1)).alias("n")), "shingle-buckets")
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << BUCKET_BITS)
+    bound = mean + 8 * math.sqrt(mean) + 32
+    level = F.least(F.lit(255), 1 + F.floor(4 * F.log2(F.col("n") / bound)))
+    found = counts.filter(F.col("n") > bound).select("at", level.cast("short").alias("level")).toArrow()
+    out = np.zeros(1 << BUCKET_BITS, dtype=np.uint8)
+    out[found["at"].to_numpy()] = found["level"].to_numpy()
+    return out
 
 
 def _with_set(rows: DataFrame, text: str) -> DataFrame:

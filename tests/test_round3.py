@@ -124,3 +124,44 @@ def test_label_masks_deal_batches_without_the_ids(spark):
     finally:
         sampling.length_batches = own
     assert seen and all("ids" not in c for c in seen)
+
+
+def shuffled(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_similar_pairs_shuffle_prefixes_instead_of_all_shingles(spark):
+    random.seed(11)
+    texts = [" ".join(f"w{random.randrange(10**6)}" for _ in range(500)) for _ in range(400)]
+    texts += [t + " more words" for t in texts[:20]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    before = shuffled(spark)
+    assert {(r["a"], r["b"]) for r in dedup.similar_pairs(rows, "t", "id").collect()} == {(i, 400 + i) for i in range(20)}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert sum(n for k, n in shuffled(spark).items() if k not in before) < 3 * 8 * 500 * len(texts)  # all shingles went round five times, with their sets and counts
+
+
+@pytest.mark.parametrize("bits, most", [(20, 128), (12, 3)])
+def test_similar_pairs_of_frequent_shingles_and_dense_groups(spark, monkeypatch, bits, most):
+    monkeypatch.setattr(dedup, "BUCKET_BITS", bits)
+    monkeypatch.setattr(dedup, "BLOCK_SETS", most)
+    random.seed(5)
+    base = [[f"{g}.{i}" for i in range(random.choice([12, 40, 90, 200]))] for g in range(8)]
+    stamp = [f"stamp{i}" for i in range(30)]  # in half of all texts
+    texts = ["", " ", "a", "a b", "a b c d e", "stamp0 stamp1"]
+    for _ in range(240):
+        t = list(random.choice(base))
+        for _ in range(random.choice([0, 1, 1, 2, 3])):
+            at = random.randrange(len(t))
+            t[at : at + random.choice([0, 1])] = [f"new{random.randrange(9)}"]
+        texts.append(" ".join(t + (stamp if random.random() < 0.5 else [])))
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)}
+    sets = {}
+    for k, t in enumerate(texts):
+        sets.setdefault(frozenset(grams(t.split())), k)
+    want = {(a, b): len(x & y) / len(x | y) for x, a in sets.items() for y, b in sets.items() if a < b and 5 * len(x & y) >= 4 * len(x | y)}
+    rows = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (900, None)], "id long, t string").repartition(5)
+    got = [(r["a"], r["b"], r["jaccard"]) for r in dedup.similar_pairs(rows, "t", "id").collect()]
+    assert len(want) > 200 and len(got) == len(want) and {(a, b): j for a, b, j in got} == pytest.approx(want)
